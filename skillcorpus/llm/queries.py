@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skillcorpus.llm import line_dedup, mixing, quality_rules, sharding
+from skillcorpus.llm import jaccard_join, line_dedup, mixing, quality_rules, sharding
 from skillcorpus.sources.tables import table
 
 
@@ -15,6 +15,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents that 5-word shingles link at a Jaccard similarity of 3/4."""
+    return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op3_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near equal bytes."""
     return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), 40)
@@ -31,7 +36,7 @@ def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_sampled_splitters, op6_poisson_mix, op7_host_rules)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ngram_jaccard, op3_sampled_splitters, op6_poisson_mix, op7_host_rules)}
 
 ORACLES = {
     "op1_line_dedup": """
