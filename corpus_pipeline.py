@@ -1,3 +1,63 @@
+"""A corpus pipeline of five stages: each is one operator over all that the stage before it kept."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skillcorpus.llm import decontamination, jaccard_join, language_id, mixing, sharding
+from skillcorpus.plans.storage import cut
+from skillcorpus.sources.tables import table
+
+DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents in a language that the model can tell: neither ``und`` nor between two languages."""
+    model = language_id.train(docs)
+    found = language_id.identify(docs.select(*DOCUMENTS), model)
+    return found.filter((F.col("lang_pred") != language_id.UNKNOWN) & ~F.col("ambiguous")).select(*DOCUMENTS)
+
+
+def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of least id of each class of near duplicates; documents without shingles are classes of one."""
+    classes = jaccard_join.jaccard_classes(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    return docs.select(*DOCUMENTS).join(classes, "doc_id", "left_semi")
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    leaks = decontamination.leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("ref").alias("doc_id")).distinct()
+    return docs.select(*DOCUMENTS).join(leaks, "doc_id", "left_anti")
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats documents so that all sources weigh the same, in random order."""
+    return mixing.mix(docs.select(*DOCUMENTS)).select(*DOCUMENTS)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Deals the rows to 40 shards of near equal bytes."""
+    return sharding.shard(docs, 40)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", known_language),
+    ("near_duplicates", one_of_each_class),
+    ("decontamination", without_benchmark),
+    ("mixing", mixed),
+    ("sharding", sharded),
+]
+
+#: No SQL: the stages learn a model and search similar sets.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order, over ``documents``; each result is written and read again by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skillcorpus.llm import jaccard_join, line_dedup, mixing, quality_rules, sharding
+from skillcorpus.llm import decontamination, jaccard_join, language_id, line_dedup, mixing, quality_rules, sharding
 from skillcorpus.sources.tables import table
 
 
@@ -25,6 +25,15 @@ def op3_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), 40)
 
 
+def op5_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    out = language_id.held_out(F.col("doc_id"))
+    model = language_id.train(docs.filter(~out))
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op6_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents mixed so that all sources have equal weight, with as many bytes as before."""
     out = mixing.mix(table(spark, sf_dir, "documents"))
@@ -36,7 +45,12 @@ def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ngram_jaccard, op3_sampled_splitters, op6_poisson_mix, op7_host_rules)}
+def op9_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents hold benchmark items, and how much of them."""
+    return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ngram_jaccard, op3_sampled_splitters, op5_output_codes, op6_poisson_mix, op7_host_rules, op9_string_tiling)}
 
 ORACLES = {
     "op1_line_dedup": """
