@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skillcorpus.llm import decontamination, jaccard_join, language_id, line_dedup, mixing, quality_rules, sharding
+from skillcorpus.llm import chat_format, decontamination, jaccard_join, language_id, line_dedup, mixing, quality_rules, sharding, url_filter
 from skillcorpus.sources.tables import table
 
 
@@ -25,6 +25,16 @@ def op3_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), 40)
 
 
+#: The rules of op4: host, path, verdict.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op4_digest_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on the URLs of all pages."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
 def op5_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all documents, learned from those that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -45,12 +55,18 @@ def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns in reply order, without quotes."""
+    out = chat_format.format_chats(table(spark, sf_dir, "conversations"))
+    return out.withColumns({"n_chars": F.length("text").cast("long"), "text_md5": F.md5("text")}).drop("text")
+
+
 def op9_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents hold benchmark items, and how much of them."""
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ngram_jaccard, op3_sampled_splitters, op5_output_codes, op6_poisson_mix, op7_host_rules, op9_string_tiling)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ngram_jaccard, op3_sampled_splitters, op4_digest_array, op5_output_codes, op6_poisson_mix, op7_host_rules, op8_quotation_links, op9_string_tiling)}
 
 ORACLES = {
     "op1_line_dedup": """
@@ -61,6 +77,12 @@ WITH l AS (SELECT doc_id, coalesce(source, '') AS host, text, string_split(text,
  k AS (SELECT doc_id, ls, CASE WHEN bad IS NULL THEN ls ELSE list_filter(ls, lambda x: trim(x, ' ') = '' OR NOT list_contains(bad, trim(x, ' '))) END AS kept FROM l LEFT JOIN b USING (host))
 SELECT doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(len(ls) - len(kept), 0)::BIGINT AS n_dropped,
  length(array_to_string(kept, chr(10)))::BIGINT AS n_chars, md5(array_to_string(kept, chr(10))) AS text_md5 FROM k""",
+    "op4_digest_array": r"""
+WITH rules(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+ u AS (SELECT page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+ j AS (SELECT u.*, h || p AS rule, v, row_number() OVER (PARTITION BY page_id ORDER BY length(h) + length(p) DESC NULLS LAST) AS n
+  FROM u LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM j WHERE n = 1""",
     "op6_poisson_mix": """
 WITH d AS (SELECT doc_id, source, text, coalesce(source, '') AS s, coalesce(octet_length(encode(text)), 0) AS nb FROM documents),
  r AS (SELECT s, least(16.0::DOUBLE, sum(sum(nb + 1)) OVER () / (count(*) OVER () * sum(nb + 1))::DOUBLE) AS rate FROM d GROUP BY s),
@@ -68,6 +90,27 @@ WITH d AS (SELECT doc_id, source, text, coalesce(source, '') AS s, coalesce(octe
  u AS (SELECT d.*, ('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u FROM d),
  n AS (SELECT u.doc_id, u.source, u.text, u.nb, count(*) FILTER (WHERE cdf <= u) AS n FROM u JOIN p USING (s) GROUP BY ALL)
 SELECT doc_id, source, unnest(range(0, n))::INT AS copy, nb::BIGINT AS n_bytes, md5(text) AS text_md5 FROM n WHERE n > 0""",
+    "op8_quotation_links": r"""
+WITH RECURSIVE m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM conversations),
+ l0 AS (SELECT conv_id, turn, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM m),
+ l1 AS (SELECT conv_id, turn, pos, length(regexp_replace(regexp_extract(line, '^[ \t]*((?:>[ \t]?)*)', 1), '[^>]', '', 'g')) AS lv,
+   trim(regexp_replace(lower(regexp_replace(line, '^[ \t]*((?:>[ \t]?)*)', '')), '\s+', ' ', 'g'), ' ') AS norm FROM l0),
+ l2 AS (SELECT *, CASE WHEN lv = lag(lv) OVER (PARTITION BY conv_id, turn ORDER BY pos) THEN 0 ELSE 1 END AS new FROM l1 WHERE norm <> ''),
+ l3 AS (SELECT *, sum(new) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS passage FROM l2),
+ q AS (SELECT a.conv_id, a.turn, a.passage, a.lv, a.pos, max(b.turn) AS origin FROM l3 a LEFT JOIN l3 b ON a.conv_id = b.conv_id AND a.norm = b.norm AND b.turn < a.turn AND b.lv = 0 WHERE a.lv > 0 GROUP BY ALL),
+ v AS (SELECT conv_id, turn, passage, lv, origin, count(*) AS n FROM q GROUP BY ALL),
+ p AS (SELECT conv_id, turn, lv, sum(n) AS total, max(struct_pack(n := n, o := origin)) FILTER (WHERE origin IS NOT NULL) AS best FROM v GROUP BY conv_id, turn, passage, lv),
+ r AS (SELECT conv_id, turn, max(struct_pack(l := -lv, n := best.n, o := best.o)).o AS reply_to FROM p WHERE 2 * best.n >= total GROUP BY conv_id, turn),
+ s AS (SELECT m.*, reply_to, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM m LEFT JOIN r USING (conv_id, turn)),
+ b AS (SELECT *, max(CASE WHEN prev IS NULL OR coalesce(reply_to <> prev, false) THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn) AS branch FROM s),
+ t AS (SELECT conv_id, branch, [struct_pack(a := -9000000000, b := branch)] AS path FROM b WHERE turn = branch AND prev IS NULL
+  UNION ALL SELECT c.conv_id, c.branch, list_append(t.path, struct_pack(a := -c.reply_to, b := c.branch)) FROM t JOIN b u ON u.conv_id = t.conv_id AND u.branch = t.branch
+   JOIN b c ON c.conv_id = u.conv_id AND c.turn = c.branch AND c.prev IS NOT NULL AND c.reply_to = u.turn)
+SELECT conv_id, turn, role, reply_to, branch, (len(path) - 1)::BIGINT AS depth, row_number() OVER (PARTITION BY conv_id ORDER BY path, turn) - 1 AS position,
+ n_quoted, max_level, length(body)::BIGINT AS n_chars, md5(body) AS text_md5
+FROM (SELECT b.*, path, len(list_filter(lvs, lambda x: x > 0))::BIGINT AS n_quoted, list_max(lvs)::BIGINT AS max_level,
+  regexp_replace(array_to_string(list_filter(ls, lambda x: NOT regexp_matches(x, '^[ \t]*>')), chr(10)), '^\s+|\s+$', '', 'g') AS body
+ FROM (SELECT *, list_transform(ls, lambda x: length(regexp_replace(regexp_extract(x, '^[ \t]*((?:>[ \t]?)*)', 1), '[^>]', '', 'g'))) AS lvs FROM b) b JOIN t USING (conv_id, branch))""",
     "op7_host_rules": r"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
  p AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM d)),
