@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skillcorpus.llm import chat_format, decontamination, jaccard_join, language_id, line_dedup, mixing, quality_rules, sharding, url_filter
+from skillcorpus.llm import chat_format, decontamination, html_extract, jaccard_join, language_id, line_dedup, mixing, quality_rules, sharding, url_filter
 from skillcorpus.sources.tables import table
 
 
@@ -66,7 +66,13 @@ def op9_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ngram_jaccard, op3_sampled_splitters, op4_digest_array, op5_output_codes, op6_poisson_mix, op7_host_rules, op8_quotation_links, op9_string_tiling)}
+def op10_union_free_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    out = html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ngram_jaccard, op3_sampled_splitters, op4_digest_array, op5_output_codes, op6_poisson_mix, op7_host_rules, op8_quotation_links, op9_string_tiling, op10_union_free_wrappers)}
 
 ORACLES = {
     "op1_line_dedup": """
