@@ -91,14 +91,16 @@ class _Benchmark:
             text = np.searchsorted(at, where, side="right") - 1
             inside = where + w <= at[text + 1]
             where, lo, hi, text = where[inside], lo[inside], hi[inside], text[inside]
+            if not len(text):
+                continue
             n = hi - lo
             seed = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
             text, where = np.repeat(text, n), np.repeat(where, n)
             where = where - at[text]
             order = np.lexsort((item[seed], text))
             text, where, seed = text[order], where[order], seed[order]
-            pair = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (item[seed][1:] != item[seed][:-1])]) if len(text) else []
-            for a, b in zip(pair, np.r_[pair[1:], len(text)].astype(int), strict=True):
+            pair = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (item[seed][1:] != item[seed][:-1])])
+            for a, b in zip(pair, np.r_[pair[1:], len(text)], strict=True):
                 yield int(text[a]), int(item[seed[a]]), w, where[a:b], pos[seed[a:b]]
 
 
