@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skillcorpus.functions import rules as R
 from skillcorpus.functions.text import js_trim, listing_tokens, trigger_tokens
 from skillcorpus.operators.analysis import hit
+from skillcorpus.plans.storage import cut
 
 # Cut-offs of token overlap; listing rules of the two harnesses.
 SHADOW, SHADOW_HIGH, OVERLAP, OVERLAP_HIGH = 0.16, 0.4, 0.34, 0.55
@@ -35,7 +36,7 @@ def conflict_pairs(skills: DataFrame) -> DataFrame:
     their first tokens, so frequent tokens bring few pairs together. A broad skill meets others by its first |x| - 2 tokens,
     on both sides. Found pairs are checked on their whole sets.
     """
-    sets = token_sets(skills)
+    sets = cut(token_sets(skills), "tokens")
     n = F.size("tokens")
     narrow = F.slice("tokens", 1, F.greatest(F.lit(1), n - F.ceil(n * F.lit(OVERLAP)).cast("int") + 1))
     wide = F.slice("tokens", 1, F.greatest(F.lit(1), n - 2, n - F.ceil(n * F.lit(SHADOW)).cast("int") + 1))
