@@ -1,0 +1,23 @@
+"""Connected groups of pairs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from skillcorpus.plans.storage import cut
+
+
+def connected(pairs: DataFrame) -> DataFrame:
+    """``node, comp`` of pairs ``a, b`` (long): every node takes the least name among its own and its neighbours' and then that
+    name's own, round by round, until nothing changes. Meant for the small groups that conflicting records form."""
+    edges = cut(pairs.select("a", "b").union(pairs.select("b", "a")).filter("a <> b").distinct(), "pairs")
+    names = cut(edges.select(F.col("a").alias("node"), F.col("a").alias("comp")).distinct(), "names")
+    while True:
+        near = edges.join(names.toDF("b", "other"), "b").groupBy("a").agg(F.min("other").alias("other"))
+        step = names.join(near.withColumnRenamed("a", "node"), "node", "left").select("node", "comp", F.least("comp", F.coalesce("other", "comp")).alias("new"))
+        jumped = step.join(step.select(F.col("node").alias("new"), F.col("new").alias("up")), "new", "left")
+        changed = cut(jumped.select("node", F.col("comp").alias("old"), F.least("new", F.coalesce("up", "new")).alias("comp")), "names")
+        names = changed.select("node", "comp")
+        if changed.filter("old <> comp").isEmpty():
+            return names
