@@ -19,7 +19,7 @@ from skillcorpus.llm.shingles import Hasher, digest
 from skillcorpus.plans.storage import cut, partitions
 
 #: Postings that a mapper gathers before it deals them out, and shingles of one search task at most.
-DEAL, TASK = 1 << 20, 1 << 21
+DEAL, TASK = 1 << 20, 1 << 19
 
 DEALT = "kind int, key int, doc_id long, ref long, g long, n int, h binary, ids binary, sizes binary, df binary"
 NAMES = [x.split()[0] for x in DEALT.split(", ")]
@@ -34,9 +34,10 @@ def slack(n: np.ndarray | int) -> np.ndarray | int:
     """How many of its prefix's shingles a set must share with one other set to link.
 
     The prefix of a set is its first n - T + slack shingles by hash. If two sets share O >= T shingles, then both
-    prefixes hold the same first O - T + slack or more of these.
+    prefixes hold the same first O - T + slack or more of these. The more slack, the longer the prefix, and the larger the part
+    of a set that may be common passages before it is led to unlike sets: with T/4, 43 percent of it.
     """
-    return 1 + least_overlap(n) // 16
+    return 1 + least_overlap(n) // 4
 
 
 def _rows(**columns: object) -> pa.RecordBatch:
@@ -252,7 +253,7 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     A text's set holds its distinct 5-word shingles (see ``shingles``); two texts link when their sets' Jaccard
     similarity is 3/4 or more, and ``component_id`` is the least id that links lead to. Nothing is sampled or capped:
 
-    1. One pass hashes all texts, and deals the prefixes of their sets (about 0.3 n hashes each) out by hash. Texts
+    1. One pass hashes all texts, and deals the prefixes of their sets (about 0.44 n hashes each) out by hash. Texts
        with equal sets are one set from here on.
     2. Lists of one set go. Each set needs ``slack`` shared shingles in its prefix, else nothing links with it; it may
        skip its slack - 1 longest lists, so common passages do not bring unlike texts together.
