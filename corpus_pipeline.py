@@ -22,14 +22,14 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each class of near duplicates; documents without shingles are classes of one."""
-    classes = jaccard_join.jaccard_classes(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.select(*DOCUMENTS).join(classes, "doc_id", "left_semi")
+    """Keeps the document of least id of each class of near duplicates; documents without shingles, or without an id, stay."""
+    others = cut(jaccard_join.jaccard_classes(docs).filter("doc_id <> component_id").select("doc_id").distinct(), "others")
+    return docs.select(*DOCUMENTS).join(others, "doc_id", "left_anti")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    leaks = decontamination.leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("ref").alias("doc_id")).distinct()
+    leaks = cut(decontamination.leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("ref").alias("doc_id")).distinct(), "leaks")
     return docs.select(*DOCUMENTS).join(leaks, "doc_id", "left_anti")
 
 
