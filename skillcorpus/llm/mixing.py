@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skillcorpus.plans.storage import partitions
+from skillcorpus.plans.storage import cut, partitions
 
 #: Largest mean repetition rate: above it a source is too small for its target weight.
 MAX_RATE = 16.0
@@ -53,7 +53,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float
     is the source of empty name; a null id hashes as an empty one; null texts count one byte and are kept
     like others. Columns named ``copy`` or ``mix_key`` are replaced. Empty input gives no rows.
     """
-    rates = source_rates(docs, source, text, weights, epochs, max_rate)
+    # written, so that its size is known and a small one is not joined by moving all texts
+    rates = cut(source_rates(docs, source, text, weights, epochs, max_rate), "rates")
     held = [c for c in docs.columns if c not in ("copy", "mix_key")]
     counted = docs.select(*held).join(rates, F.coalesce(F.col(source), F.lit("")) == F.col("__source"))
     counted = counted.withColumn("__n", poisson_count(uniform(F.col(doc_id), seed), F.col("rate"), max_rate)).filter(F.col("__n") > 0)
