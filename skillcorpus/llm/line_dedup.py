@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skillcorpus.plans.storage import cut
+
 
 def _key(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
@@ -37,7 +39,8 @@ def dedup_lines(pages: DataFrame, host: str = "source", text: str = "text", max_
     lines; an empty text is one blank line. Repeated rows count as pages of their own. Columns named ``n_lines`` or
     ``n_dropped`` are replaced.
     """
-    bad = boilerplate_lines(pages, host, text, max_ratio, min_pages).withColumnRenamed("host", "__host").withColumnRenamed("lines", "__lines")
+    # written, so that its size is known and a small one is not joined by moving all texts
+    bad = cut(boilerplate_lines(pages, host, text, max_ratio, min_pages), "boilerplate").withColumnRenamed("host", "__host").withColumnRenamed("lines", "__lines")
     lines = F.split(F.col(text), "\n", -1)
     kept = F.when(F.col("__lines").isNull(), lines).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains("__lines", _key(x))))
     joined = pages.join(bad, F.coalesce(F.col(host), F.lit("")) == F.col("__host"), "left").withColumn("__kept", kept)
