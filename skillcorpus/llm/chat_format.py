@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from skillcorpus.plans.storage import cut
 
 #: Leading quote marks of a line.
-MARKS = r"^[ \t]*((?:>[ \t]?)*)"
+MARKS = r"^([> \t]*)"
 
 
 def level(line: Column) -> Column:

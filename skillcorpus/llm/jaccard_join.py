@@ -52,7 +52,7 @@ def _dealt(kind: int, key: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
     order = np.argsort(key.astype(np.uint16 if key.max(initial=0) < 65536 else np.uint32), kind="stable")
     key = key[order]
     at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, int)
-    to = np.r_[at[1:], len(key)]
+    to = np.r_[at[1:], len(key)][: len(at)]
     packed = {k: v[order] for k, v in columns.items()}
     return _rows(kind=[kind] * len(at), key=key[at].astype(np.int32), **{k: [v[a:b].tobytes() for a, b in zip(at, to, strict=True)] for k, v in packed.items()})
 

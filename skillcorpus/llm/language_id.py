@@ -139,6 +139,8 @@ class Model:
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Languages, scores and gaps of whole texts."""
         n, bits = len(column), self.code.shape[1]
+        if not self.langs:
+            return [UNKNOWN] * n, np.zeros(n), np.zeros(n)
         margins = np.zeros((n, bits))
         table = np.ascontiguousarray(self.weights.transpose(1, 2, 0).astype(np.float32))  # order, feature, bit
         for first, data, offsets in chunks(column):
@@ -155,8 +157,6 @@ class Model:
                 margins[first : first + len(rows)] += rows / np.maximum(offsets[1:] - offsets[:-1], 1)[:, None]
         best, score, gap = self.decode(margins)
         known = letters(column)
-        if not self.langs:
-            known[:] = False
         return [self.langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], np.where(known, score, 0.0), np.where(known, gap, 0.0)
 
 

@@ -12,7 +12,7 @@ MAX_RATE = 16.0
 
 
 def source_rates(docs: DataFrame, source: str, text: str, weights: dict[str, float] | None, epochs: float, max_rate: float) -> DataFrame:
-    """``source, rate``: mean copies per document that bring each source's bytes to its share of the target.
+    """``__source, __rate``: mean copies per document that bring each source's bytes to its share of the target.
 
     Shares follow ``weights`` (sources not named weigh 1; no weights: all sources equal) over the sources that
     have rows; the mix as a whole has ``epochs`` times the input's bytes. Rates are at most ``max_rate``.
@@ -24,7 +24,7 @@ def source_rates(docs: DataFrame, source: str, text: str, weights: dict[str, flo
     sizes = sizes.withColumn("weight", weight)
     whole = sizes.agg(F.sum("bytes").alias("all_bytes"), F.sum("weight").alias("all_weight"))
     rate = epochs * F.col("weight") * F.col("all_bytes") / (F.col("all_weight") * F.col("bytes"))
-    return sizes.join(F.broadcast(whole)).select("__source", F.least(F.lit(max_rate), rate).alias("rate"))
+    return sizes.join(F.broadcast(whole)).select("__source", F.least(F.lit(max_rate), rate).alias("__rate"))
 
 
 def uniform(ident: Column, seed: int) -> Column:
@@ -57,7 +57,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float
     rates = cut(source_rates(docs, source, text, weights, epochs, max_rate), "rates")
     held = [c for c in docs.columns if c not in ("copy", "mix_key")]
     counted = docs.select(*held).join(rates, F.coalesce(F.col(source), F.lit("")) == F.col("__source"))
-    counted = counted.withColumn("__n", poisson_count(uniform(F.col(doc_id), seed), F.col("rate"), max_rate)).filter(F.col("__n") > 0)
+    counted = counted.withColumn("__n", poisson_count(uniform(F.col(doc_id), seed), F.col("__rate"), max_rate)).filter(F.col("__n") > 0)
     copies = counted.select(*held, F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("copy"))
     keyed = copies.withColumn("mix_key", F.xxhash64(F.lit(seed), F.col(doc_id), F.col("copy")))
     return keyed.repartition(partitions(docs.sparkSession), "mix_key").sortWithinPartitions("mix_key")

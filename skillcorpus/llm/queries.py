@@ -99,8 +99,8 @@ SELECT doc_id, source, unnest(range(0, n))::INT AS copy, nb::BIGINT AS n_bytes,
     "op8_quotation_links": r"""
 WITH RECURSIVE m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM conversations),
  l0 AS (SELECT conv_id, turn, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM m),
- l1 AS (SELECT conv_id, turn, pos, length(regexp_replace(regexp_extract(line, '^[ \t]*((?:>[ \t]?)*)', 1), '[^>]', '', 'g')) AS lv,
-   trim(regexp_replace(lower(regexp_replace(line, '^[ \t]*((?:>[ \t]?)*)', '')), '\s+', ' ', 'g'), ' ') AS norm FROM l0),
+ l1 AS (SELECT conv_id, turn, pos, length(regexp_replace(regexp_extract(line, '^([> \t]*)', 1), '[^>]', '', 'g')) AS lv,
+   trim(regexp_replace(lower(regexp_replace(line, '^([> \t]*)', '')), '\s+', ' ', 'g'), ' ') AS norm FROM l0),
  l2 AS (SELECT *, CASE WHEN lv = lag(lv) OVER (PARTITION BY conv_id, turn ORDER BY pos) THEN 0 ELSE 1 END AS new FROM l1 WHERE norm <> ''),
  l3 AS (SELECT *, sum(new) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS passage FROM l2),
  q AS (SELECT a.conv_id, a.turn, a.passage, a.lv, a.pos, max(b.turn) AS origin FROM l3 a LEFT JOIN l3 b ON a.conv_id = b.conv_id AND a.norm = b.norm AND b.turn < a.turn AND b.lv = 0 WHERE a.lv > 0 GROUP BY ALL),
@@ -116,7 +116,7 @@ SELECT conv_id, turn, role, reply_to, branch, (len(path) - 1)::BIGINT AS depth,
  n_quoted, max_level, length(body)::BIGINT AS n_chars, md5(body) AS text_md5
 FROM (SELECT b.*, path, len(list_filter(lvs, lambda x: x > 0))::BIGINT AS n_quoted, list_max(lvs)::BIGINT AS max_level,
   regexp_replace(array_to_string(list_filter(ls, lambda x: NOT regexp_matches(x, '^[ \t]*>')), chr(10)), '^\s+|\s+$', '', 'g') AS body
- FROM (SELECT *, list_transform(ls, lambda x: length(regexp_replace(regexp_extract(x, '^[ \t]*((?:>[ \t]?)*)', 1), '[^>]', '', 'g'))) AS lvs FROM b) b JOIN t USING (conv_id, branch))""",
+ FROM (SELECT *, list_transform(ls, lambda x: length(regexp_replace(regexp_extract(x, '^([> \t]*)', 1), '[^>]', '', 'g'))) AS lvs FROM b) b JOIN t USING (conv_id, branch))""",
     "op7_host_rules": r"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
  p AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM d)),
