@@ -19,9 +19,24 @@ SCRIPTS = {"sh": "bash", "bash": "bash", "zsh": "bash", "py": "python", "python"
 TEXTS = ["md", "markdown", "mdx", "txt", "rst"]
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """``path, size, content`` of all files below a folder."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+# Where agent tools keep their files, below a home or project folder.
+ROOTS = [".claude/skills", ".claude/plugins", ".codex/skills", ".cursor/rules", ".cursorrules", ".github/copilot-instructions.md", ".github/instructions", ".clinerules", "Documents/Cline/Rules", ".windsurf/rules", ".windsurfrules"]
+
+
+def read_files(spark: SparkSession, base: str) -> DataFrame:
+    """``path, size, content`` of all files in the agent tools' folders below ``base`` (a folder, or a pattern of folders).
+
+    Spark's file listing passes over hidden folders unless a path names them, so each is named.
+    """
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    wanted = []
+    for root in ROOTS:
+        at = hadoop(f"{base.rstrip('/')}/{root}")
+        if at.getFileSystem(conf).globStatus(at):
+            wanted.append(f"{base.rstrip('/')}/{root}")
+    if not wanted:
+        return spark.createDataFrame([], "path string, size long, content binary")
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(wanted)
     return rows.select("path", F.col("length").alias("size"), "content")
 
 
