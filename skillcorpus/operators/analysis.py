@@ -16,6 +16,11 @@ def hit(c: Column, pattern: str) -> Column:
     return F.coalesce(F.rlike(c, F.lit(pattern)), F.lit(False))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body has it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def any_hit(texts: Column | str, pattern: str) -> Column:
     return F.exists(texts, lambda c: hit(c, pattern))
 
@@ -130,11 +135,12 @@ def axes(parsed: DataFrame) -> DataFrame:
     structure = clamp(clamp(first - F.when(no_bash, 6).otherwise(0)) - F.when(dangling, 12).otherwise(0))
 
     eff = F.length(d) + 3 * F.regexp_count(d, F.lit(r"[\x{3000}-\x{9fff}\x{ac00}-\x{d7a3}\x{f900}-\x{faff}\x{ff00}-\x{ffef}]"))
-    cue = hit(d, R.TRIGGER_CUES)
-    silent, n_broad = ~(cue | hit(d, R.TRIGGER_CUES_EXTRA) | hit(d, R.CONCRETE_OPENER)), F.size("broad_words")
+    rows = rows.withColumn("cue", hit(d, R.TRIGGER_CUES_LATIN) | (F.rlike(d, F.lit("[用时]")) & hit(d, R.TRIGGER_CUES_CJK)))
+    rows = rows.withColumns({"silent": ~(F.col("cue") | hit(d, R.TRIGGER_CUES_EXTRA) | hit(d, R.CONCRETE_OPENER)), "filler": hit(d, R.FILLER_WORDS)})
+    cue, silent, n_broad = F.col("cue"), F.col("silent"), F.size("broad_words")
     cost = (
         F.when(eff < 40, 35).when(F.length(d) > 500, 20).when(F.length(d) > 350, 8).otherwise(0) + F.when(silent, 25).otherwise(0) + F.least(F.lit(30), 12 * n_broad)
-        + F.when(hit(d, R.FILLER_WORDS), 12).otherwise(0) + F.when((F.length(d) < 40) & ~cue & hit(d, R.VAGUE_OPENER), 10).otherwise(0)
+        + F.when(F.col("filler"), 12).otherwise(0) + F.when((F.length(d) < 40) & ~cue & hit(d, R.VAGUE_OPENER), 10).otherwise(0)
     )
     trigger = F.when(d == "", 0).otherwise(clamp(100 - cost))
 
@@ -156,7 +162,7 @@ def axes(parsed: DataFrame) -> DataFrame:
         (named_desc & (eff >= 40) & (F.length(d) > 500), finding("low", "trigger", "Description too long")),
         (named_desc & silent, finding("medium", "trigger", "Description doesn’t say WHEN to use it")),
         (named_desc & (n_broad > 0), finding("medium", "trigger", "Trigger is too broad")),
-        (named_desc & hit(d, R.FILLER_WORDS), finding("low", "trigger", "Description contains filler")),
+        (named_desc & F.col("filler"), finding("low", "trigger", "Description contains filler")),
         (F.size("over_tools") > 0, finding("low", "privilege", "Over-declared tools (least privilege)")),
         (no_bash, finding("low", "spec", "Uses shell but doesn’t declare Bash in allowed-tools")),
         (dangling, finding("medium", "spec", "References a bundled file that isn’t present")),
@@ -178,13 +184,17 @@ def rule_hit(text: Column, low: Column, rule: R.Rule) -> Column:
 
 def rule_hits(text: Column, rules: list[R.Rule] = R.RISK_RULES, fields: tuple[str, ...] = ("id", "severity", "category", "title")) -> Column:
     """The rules that hit a text, one per title (the first of the table), without context guards."""
-    seen: dict[str, Column] = {}
-    out, low = [], F.lower(text)
-    for r in rules:
-        here = rule_hit(text, low, r)
-        out.append(F.when(here & ~seen[r.title] if r.title in seen else here, F.struct(*[F.lit(getattr(r, f)).alias(f) for f in fields])))
-        seen[r.title] = here
-    return F.array_compact(F.array(*out))
+
+    def of(t: Column) -> Column:
+        seen: dict[str, Column] = {}
+        out = []
+        for r in rules:
+            here = rule_hit(t["text"], t["low"], r)
+            out.append(F.when(here & ~seen[r.title] if r.title in seen else here, F.struct(*[F.lit(getattr(r, f)).alias(f) for f in fields])))
+            seen[r.title] = here
+        return F.array_compact(F.array(*out))
+
+    return let(F.struct(text.alias("text"), F.lower(text).alias("low")), of)
 
 
 def scripts(text: Column) -> Column:
@@ -325,4 +335,4 @@ def analysis(skills: DataFrame) -> DataFrame:
 
     Null documents grade as empty ones. ``bundle_files`` null means that no bundle was seen, an empty array that it has no files.
     """
-    return grades(risk(axes(parse(skills)))).drop("md", "text", "body", "fm", "tools_raw")
+    return grades(risk(axes(parse(skills)))).drop("md", "text", "body", "fm", "tools_raw", "cue", "silent", "filler")

@@ -19,6 +19,7 @@ def token_sets(skills: DataFrame) -> DataFrame:
     """``portfolio_id, skill_ord, name, broad, tokens``: trigger tokens of skills with a description, without those that
     more than half of a portfolio of six or more shares. Tokens are ordered by how many skills of the portfolio have them."""
     rows = skills.filter(js_trim(F.coalesce("description", F.lit(""))) != "").select("portfolio_id", "skill_ord", "name", hit(F.col("description"), R.BROAD).alias("broad"), trigger_tokens(F.col("description")).alias("tokens"))
+    rows = cut(rows, "trigger-tokens")
     sizes = rows.groupBy("portfolio_id").agg(F.count(F.lit(1)).alias("n"))
     df = rows.select("portfolio_id", F.explode("tokens").alias("token")).groupBy("portfolio_id", "token").agg(F.count(F.lit(1)).alias("df"))
     kept = df.join(sizes, "portfolio_id").filter("n < 6 or df <= floor(n / 2)").select("portfolio_id", "token", "df")

@@ -15,6 +15,5 @@ def analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The graded skills of the folder, written once per application: the scan is the costly part of every job on top of it."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _WRITTEN:
-        rows = adapters.skills(spark, sf_dir).repartition(4 * spark.sparkContext.defaultParallelism, "skill_ord")
-        _WRITTEN[key] = cut(analysis(rows), "analysis")
+        _WRITTEN[key] = cut(analysis(adapters.skills(spark, sf_dir)), "analysis")
     return _WRITTEN[key]

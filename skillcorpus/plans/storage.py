@@ -37,3 +37,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deals rows out by ``key`` where the input has too few splits for the cores at hand, as small files have.
+
+    Jobs that scan texts are bound by CPU; a large input comes in many splits and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(4 * cores, key)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skillcorpus.plans.storage import spread
 from skillcorpus.sources.tables import table
 
 # By doc_id modulo 16, what is added to a description and to a body, and the declared tools.
@@ -45,7 +46,7 @@ def skills_from_documents(docs: DataFrame) -> DataFrame:
 
 
 def skills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return skills_from_documents(table(spark, sf_dir, "documents"))
+    return skills_from_documents(spread(table(spark, sf_dir, "documents"), "doc_id"))
 
 
 def sql_text(value: str) -> str:
