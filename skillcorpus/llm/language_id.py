@@ -194,12 +194,14 @@ def identify(docs: DataFrame, model: Model, text: str = "text", ambiguous_gap: f
     within ``ambiguous_gap`` of the first's.
     """
     held = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # plain arrays, which workers read without this package
     index = held.index(text)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Model.__new__(Model)
+        vars(known).update(shared.value)
         for batch in batches:
-            langs, score, gap = shared.value.predict(batch.column(index))
+            langs, score, gap = known.predict(batch.column(index))
             flag = np.array([x != UNKNOWN for x in langs], bool) & (gap < ambiguous_gap)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(flag, pa.bool_())], names=[*batch.schema.names, "lang_pred", "score", "ambiguous"])
 
