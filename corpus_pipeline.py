@@ -15,10 +15,10 @@ DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a language that the model can tell: neither ``und`` nor between two languages."""
+    """Keeps documents in a language that the model knows; ``und`` goes. One between two languages is flagged, but clean text, and stays."""
     model = language_id.train(docs)
     found = language_id.identify(docs.select(*DOCUMENTS), model)
-    return found.filter((F.col("lang_pred") != language_id.UNKNOWN) & ~F.col("ambiguous")).select(*DOCUMENTS)
+    return found.filter(F.col("lang_pred") != language_id.UNKNOWN).select(*DOCUMENTS)
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
