@@ -30,6 +30,15 @@ def risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.scan_findings(adapters.skills(spark, sf_dir))
 
 
+@query()
+def grade_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades and gates of all skills on guarded findings."""
+    from skillcorpus.operators.analysis import analysis
+
+    rows = analysis(cut(N.with_guards(adapters.skills(spark, sf_dir)), "guarded"))
+    return rows.select(*KEY, "risk", "level", "gate", "score", "grade")
+
+
 @query()
 def risk_env_exfil(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Skills that send the whole environment away."""
