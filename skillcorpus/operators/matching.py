@@ -48,9 +48,9 @@ def searchable(catalog: DataFrame) -> Column:
 
 def idf(catalog: DataFrame) -> DataFrame:
     """``term, df, idf``: ln(1 + (N + 1) / (df + 1)) over the catalog's search words."""
-    n = catalog.agg(F.count(F.lit(1)).alias("n"))
+    n = catalog.count()
     terms = catalog.select(F.explode(searchable(catalog)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return terms.join(F.broadcast(n)).withColumn("idf", F.log(1 + (F.col("n") + 1) / (F.col("df") + 1))).drop("n")
+    return terms.withColumn("idf", F.log(1 + F.lit(n + 1) / (F.col("df") + 1)))
 
 
 def rank_goals(goals: DataFrame, catalog: DataFrame, hinted: Column) -> DataFrame:
@@ -64,8 +64,8 @@ def rank_goals(goals: DataFrame, catalog: DataFrame, hinted: Column) -> DataFram
     cat = catalog.withColumns({"terms": searchable(catalog), "plain": F.lower(F.replace("name", F.lit("-"), F.lit(" "))), "all_caps": F.array_union("caps", hinted)})
     wanted = cut(tags(asked), "goal-tags")
     weights = cut(idf(catalog), "idf")
-    n = catalog.agg(F.count(F.lit(1)).alias("n"))
-    weighed = wanted.join(weights.select(F.col("term").alias("tag"), "idf"), "tag", "left").join(F.broadcast(n)).select("goal_id", "tag", "literal", F.coalesce("idf", F.log(1 + (F.col("n") + 1) / F.lit(1.0))).alias("idf"))
+    n = catalog.count()
+    weighed = wanted.join(weights.select(F.col("term").alias("tag"), "idf"), "tag", "left").select("goal_id", "tag", "literal", F.coalesce("idf", F.log(F.lit(float(n + 2)))).alias("idf"))
     index = cat.select("ord", F.explode("terms").alias("term")).select("ord", F.explode(keys(F.col("term"))).alias("key")).distinct()
     hits = weighed.withColumn("key", F.explode(keys(F.col("tag")))).join(index, "key").select("goal_id", "ord", "tag", "literal", "idf").distinct()
     names = cat.select("ord", F.explode(match_tokens(F.col("plain"))).alias("tag"), F.lit(True).alias("named"))
