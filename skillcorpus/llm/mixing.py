@@ -21,10 +21,10 @@ def source_rates(docs: DataFrame, source: str, text: str, weights: dict[str, flo
     weight = F.lit(1.0)
     for name, w in (weights or {}).items():
         weight = F.when(F.col("__source") == name, float(w)).otherwise(weight)
-    sizes = sizes.withColumn("weight", weight)
-    whole = sizes.agg(F.sum("bytes").alias("all_bytes"), F.sum("weight").alias("all_weight"))
-    rate = epochs * F.col("weight") * F.col("all_bytes") / (F.col("all_weight") * F.col("bytes"))
-    return sizes.join(F.broadcast(whole)).select("__source", F.least(F.lit(max_rate), rate).alias("__rate"))
+    sizes = cut(sizes.withColumn("weight", weight), "source-sizes")
+    all_bytes, all_weight = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(1.0))).first()
+    rate = epochs * F.col("weight") * F.lit(all_bytes) / (F.lit(all_weight) * F.col("bytes"))
+    return sizes.select("__source", F.least(F.lit(max_rate), rate).alias("__rate"))
 
 
 def uniform(ident: Column, seed: int) -> Column:

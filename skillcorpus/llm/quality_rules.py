@@ -65,15 +65,14 @@ def host_verdicts(rows: DataFrame, host: str, failed: str, max_rate: float) -> D
     The prior has the mean of all hosts' rates and, by the method of moments, their variance less the binomial
     part; where hosts do not differ by more than chance, it weighs as 1000 documents.
     """
-    hosts = rows.groupBy(host).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col(failed).cast("long")).alias("n_failed"))
+    hosts = cut(rows.groupBy(host).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col(failed).cast("long")).alias("n_failed")), "hosts")
     raw = F.col("n_failed") / F.col("n_docs")
-    moments = hosts.agg(F.avg(raw).alias("m"), F.coalesce(F.var_samp(raw), F.lit(0.0)).alias("v"), F.avg(1 / F.col("n_docs")).alias("k"))
-    spread = F.col("m") * (1 - F.col("m"))
-    real = F.greatest(F.col("v") - spread * F.col("k"), spread / 1001)  # variance between hosts
-    weight = F.when(spread > 0, F.greatest(spread / real - 1, F.lit(0.01))).otherwise(F.lit(1000.0))
-    prior = moments.select((F.col("m") * weight).alias("a"), ((1 - F.col("m")) * weight).alias("b"))
-    rate = (F.col("n_failed") + F.col("a")) / (F.col("n_docs") + F.col("a") + F.col("b"))
-    return hosts.join(F.broadcast(prior)).select(host, "n_docs", "n_failed", rate.alias("rate")).withColumn("host_ok", F.col("rate") <= max_rate)
+    mean, var, inverse = hosts.agg(F.coalesce(F.avg(raw), F.lit(0.0)), F.coalesce(F.var_samp(raw), F.lit(0.0)), F.coalesce(F.avg(1 / F.col("n_docs")), F.lit(0.0))).first()
+    spread = mean * (1 - mean)
+    real = max(var - spread * inverse, spread / 1001)  # variance between hosts
+    weight = max(spread / real - 1, 0.01) if spread > 0 else 1000.0
+    rate = (F.col("n_failed") + F.lit(mean * weight)) / (F.col("n_docs") + F.lit(weight))
+    return hosts.select(host, "n_docs", "n_failed", rate.alias("rate")).withColumn("host_ok", F.col("rate") <= max_rate)
 
 
 def quality(docs: DataFrame, host: str = "source", text: str = "text", doc_id: str = "doc_id", min_words: int = 50, max_repeat: int = 50, max_host_rate: float = 0.5) -> DataFrame:
