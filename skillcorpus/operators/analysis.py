@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skillcorpus.functions import rules as R
-from skillcorpus.functions.text import WS, estimate_tokens, half_up, js_trim
+from skillcorpus.functions.text import estimate_tokens, half_up, js_trim
 
 LIMIT = 262_144
 FINDING = "struct<severity:string,category:string,title:string>"
