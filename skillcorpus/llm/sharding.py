@@ -56,8 +56,8 @@ def shard(docs: DataFrame, n_shards: int = 40, text: str = "text", doc_id: str =
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     # a row is in the sample with a probability in proportion to its size
     chance = F.pmod(F.xxhash64("__high", "__low", F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = rows.filter(chance * max(total, 1) < F.col("size") * sample).groupBy("__high", "__low").agg(F.lit(1))
-    keys = sorted((r[0], r[1]) for r in drawn.select("__high", "__low").collect())
+    drawn = rows.filter(chance * max(total, 1) < F.col("size") * sample).select("__high", "__low").distinct()
+    keys = sorted((r[0], r[1]) for r in drawn.collect())
     bounds = sorted({keys[len(keys) * i // parts] for i in range(1, parts)}) if keys else []
 
     placed = rows.withColumn("__range", _range_of(F.col("__high"), F.col("__low"), bounds))
