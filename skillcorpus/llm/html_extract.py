@@ -1,8 +1,9 @@
 """HTML extraction with wrappers inferred as union-free regular expressions.
 
 The token streams of a host's pages are aligned with each other: equal items stay, repeated runs become groups that may
-repeat (``+``), items that some pages lack become optional (``?``), and text becomes slots. A slot is template text where
-all pages of a host agree on it. The wrapper then tells which slots hold the main text of the host's pages.
+repeat (``+``), items that some pages lack become optional (``?``), and text becomes slots. Shapes that are not alike make
+templates of their own. A place in a template's wrapper is template text where all its pages agree on it, else data; the
+data places that a page's items match are its main text.
 """
 
 from __future__ import annotations
@@ -49,6 +50,13 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
+_WITHIN = re.compile(r"(?:^|/)(?:article|main)(?:[./]|$)")
+#: Lists, tables and figures that stand right in an article are parts of its text.
+_FLOW = re.compile(r"(?:^|/)(?:article|main)(?:\.[^/]*)?(?:/(?:ul|ol|dl|table|figure))+$")
+
+PARSED = ["host", "page", "sid", "shape", "h", "item", "texts"]
+#: Shapes that one task aligns.
+GROUP = 128
 
 
 def label(tag: str, attrs: str) -> tuple[str, bool]:
@@ -115,15 +123,46 @@ def blocks(page: str) -> list[tuple[str, bool, str]]:
     return found
 
 
-def shape(found: list[tuple[str, bool, str]]) -> list[str]:
-    """A page's items: its slots in order, a run of one slot as a group that may repeat (``slot+``)."""
-    items: list[str] = []
-    for slot, _, _ in found:
-        if items and items[-1].rstrip("+") == slot:
-            items[-1] = slot + "+"
-        else:
-            items.append(slot)
-    return items
+def folded(slots: list[str], longest: int = 8, least: int = 4) -> tuple[list[str], list[list[int]]]:
+    """A page's items, and for each item the numbers of the ``slots`` that it holds.
+
+    A slot that follows itself is one item that repeats (``slot+``); so are the items of a listing, a run of up to ``longest``
+    slots that follows itself ``least`` times or more. Shorter runs keep their places, as their texts may be of unlike kinds.
+    """
+    names: list[str] = []
+    held: list[list[int]] = []
+    listed: list[int] = []  # the length of the listed run that an item is in
+    for k, slot in enumerate(slots):
+        if names and names[-1] == slot:
+            held[-1].append(k)
+            continue
+        names.append(slot)
+        held.append([k])
+        listed.append(0)
+        p = 2
+        while p <= longest and 2 * p <= len(names):
+            times = 2 if all(x == p for x in listed[-2 * p : -p]) else least
+            if names[-p:] * times == names[-times * p :]:
+                for _ in range(times - 1):
+                    for q in range(-p, 0):
+                        held[q - p] += held[q]
+                    del names[-p:], held[-p:], listed[-p:]
+                listed[-p:] = [p] * p
+                p = 2
+            else:
+                p += 1
+    return [n + "+" * (len(h) > 1) for n, h in zip(names, held, strict=True)], held
+
+
+def _longest(x: list[str], y: list[str], weight: np.ndarray | None = None) -> np.ndarray:
+    """The common subsequence's length (or greatest weight, by ``y``) of each pair of ends of two lists."""
+    number: dict[str, int] = {}
+    a, b = (np.array([number.setdefault(s, len(number)) for s in z], np.int64) for z in (x, y))
+    table = np.zeros((len(x) + 1, len(y) + 1), np.int32 if weight is None else np.int64)
+    for i in range(len(x) - 1, -1, -1):
+        best = np.maximum(table[i + 1, :-1], np.where(b == a[i], table[i + 1, 1:] + (1 if weight is None else weight), 0))
+        table[i, :-1] = np.maximum.accumulate(best[::-1])[::-1]
+    return table
 
 
 def align(a: list[str], b: list[str]) -> list[str]:
@@ -133,10 +172,7 @@ def align(a: list[str], b: list[str]) -> list[str]:
     ``?`` wherever either list has it; what is in one list only becomes optional at its place.
     """
     x, y = [i.rstrip("+?") for i in a], [i.rstrip("+?") for i in b]
-    table = np.zeros((len(a) + 1, len(b) + 1), np.int32)
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            table[i, j] = table[i + 1, j + 1] + 1 if x[i] == y[j] else max(table[i + 1, j], table[i, j + 1])
+    table = _longest(x, y)
     out, i, j = [], 0, 0
     optional = lambda s: s if s.endswith("?") else s + "?"
     while i < len(a) or j < len(b):
@@ -150,87 +186,165 @@ def align(a: list[str], b: list[str]) -> list[str]:
         else:
             out.append(optional(b[j]))
             j += 1
-    folded: list[str] = []  # a slot that alignment has put next to itself is a repeat
+    merged: list[str] = []  # a slot that alignment has put next to itself is a repeat
     for item in out:
-        if folded and folded[-1].rstrip("+?") == item.rstrip("+?"):
-            folded[-1] = item.rstrip("+?") + "+" + "?" * (folded[-1].endswith("?") and item.endswith("?"))
+        if merged and merged[-1].rstrip("+?") == item.rstrip("+?"):
+            merged[-1] = item.rstrip("+?") + "+" + "?" * (merged[-1].endswith("?") and item.endswith("?"))
         else:
-            folded.append(item)
-    return folded
+            merged.append(item)
+    return merged
+
+
+def match(items: list[str], wrapper: list[str]) -> list[int]:
+    """For each of a page's items its place in the wrapper that was aligned from it, required places before optional ones."""
+    x, y = [i.rstrip("+?") for i in items], [i.rstrip("+?") for i in wrapper]
+    weight = np.array([len(x) + 1 + (not w.endswith("?")) for w in wrapper], np.int64)
+    table = _longest(x, y, weight)
+    places, i, j = [-1] * len(x), 0, 0
+    while i < len(x) and j < len(y):
+        if x[i] == y[j] and table[i, j] == table[i + 1, j + 1] + weight[j]:
+            places[i] = j
+            i, j = i + 1, j + 1
+        elif table[i, j] == table[i, j + 1]:
+            j += 1
+        else:
+            i += 1
+    return places
 
 
-def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``host, page, shape, slot, outside, chars, h``: for each page its shape and, by slot, its text's length and hash."""
-    for batch in batches:
-        rows: list[tuple] = []
-        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = blocks(page or "")
-            key = "\n".join(shape(found))
-            slots: dict[tuple[str, bool], list[str]] = {}
-            for slot, out, text in found:
-                slots.setdefault((slot, out), []).append(text)
-            whole = xxhash.xxh64_intdigest(page or "") >> 1
-            for (slot, out), texts in slots.items():
-                joined = " ".join(texts)
-                rows.append((host, whole, key, slot, out, len(joined), xxhash.xxh64_intdigest(joined) >> 1))
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["host", "page", "shape", "slot", "outside", "chars", "h"])
-
-
-def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One wrapper for the shapes of a group, the most frequent first."""
-    pdf = pdf.sort_values(["n", "shape"], ascending=[False, True])
-    wrapper: list[str] | None = None
-    for s in pdf["shape"]:
-        items = s.split("\n")
-        wrapper = items if wrapper is None else align(wrapper, items)
-    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "shape": ["\n".join(wrapper or [])], "n": [int(pdf["n"].sum())]})
-
-
-def wrappers(pages: DataFrame, url: str = "url", page: str = "html", alike: int = 3) -> DataFrame:
-    """One row per host: ``host, wrapper`` (its items, a line each), ``main`` (slots of main text).
-
-    All pages take part. Equal shapes are counted first, then aligned in up to 16 groups a host, whose wrappers are aligned
-    in turn. Main slots are those under ``article`` or ``main`` outside navigation, headers, footers and the like; on a host
-    without such, of all other slots those not outside whose text changes between pages (any text, on a host with fewer than
-    ``alike`` different pages), under the top container that holds most of it.
-    """
-    rows = cut(pages.select(url_host(F.col(url)).alias("host"), F.col(page).alias("html")).mapInArrow(_shapes, "host string, page long, shape string, slot string, outside boolean, chars long, h long"), "shapes")
-    counts = rows.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"))
-    out = "host string, shape string, n long"
-    part = counts.groupBy("host", F.pmod(F.xxhash64("shape"), F.lit(16)).alias("part")).applyInPandas(_fold, out)
-    whole = part.groupBy("host").applyInPandas(_fold, out).select("host", F.col("shape").alias("wrapper"))
-    slots = rows.groupBy("host", "slot", "outside").agg(F.sum("chars").alias("chars"), (F.min("h") == F.max("h")).alias("same"), F.count(F.lit(1)).alias("n"))
-    varied = rows.groupBy("host").agg(F.approx_count_distinct("page").alias("pages"))
-    known = slots.join(varied, "host").filter("not outside").withColumn("within", F.col("slot").rlike(r"(^|/)(article|main)([./]|$)"))
-    known = known.withColumn("data", ~(F.col("same") & (F.col("n") > 1) & (F.col("pages") >= alike))).withColumn("top", F.substring_index("slot", "/", 3))
-    tops = known.filter("data and not within").groupBy("host", "top").agg(F.sum("chars").alias("chars")).groupBy("host").agg(F.max_by("top", F.struct("chars", "top")).alias("best"))
-    semantic = known.groupBy("host").agg(F.bool_or("within").alias("has"))
-    chosen = known.join(semantic, "host").join(tops, "host", "left").filter(F.when(F.col("has"), F.col("within")).otherwise(F.col("data") & (F.col("top") == F.col("best"))))
-    main = chosen.groupBy("host").agg(F.array_sort(F.collect_set("slot")).alias("main"))
-    return whole.join(main, "host", "left")
-
-
-def _extracted(names: list[str]):
+def likeness(a: list[str], b: list[str]) -> float:
+    """How far two item lists are of one template: the share of the shorter's items that both have in order, outside ones aside; 0 if under half."""
+    x, y = ([i.rstrip("+?") for i in z if not i.startswith("!")] for z in (a, b))
+    if not x or not y:
+        return float(not x and not y)
+    share = int(_longest(x, y)[0, 0]) / min(len(x), len(y))
+    return share if share >= 0.5 else 0.0
+
+
+def _parsed(names: list[str]):
+    """Each page's host, hash, shape (its items, a line each), by item the hash of its text (null outside), and its texts with their items."""
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for page, main in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                keep = set(main or ())
-                texts.append(" ".join(t for slot, out, t in blocks(page or "") if not out and slot in keep))
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(texts, pa.string())], names=[*names, "text"])
+            rows: list[tuple] = []
+            for page in batch.column(0).to_pylist():
+                found = blocks(page or "")
+                items, held = folded([("!" if out else "") + slot for slot, out, _ in found])
+                at = [0] * len(found)
+                for i, members in enumerate(held):
+                    for k in members:
+                        at[k] = i
+                inside = [k for k, (_, out, _) in enumerate(found) if not out]
+                h = [None if item.startswith("!") else xxhash.xxh64_intdigest(" ".join(found[k][2] for k in sorted(members))) >> 1 for item, members in zip(items, held, strict=True)]
+                shape = "\n".join(items)
+                rows.append((xxhash.xxh64_intdigest(page or "") >> 1, xxhash.xxh64_intdigest(shape) >> 1, shape, h, [at[k] for k in inside], [found[k][2] for k in inside]))
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)), *batch.columns[2:]], names=[*PARSED, *names])
 
     return of
 
 
+def _templates(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Aligns a group's wrappers, the most frequent first, each with the one it is most like; ``to`` names the first of each template."""
+    pdf = pdf.sort_values(["n", "id"], ascending=[False, True])
+    found: list[list] = []
+    to = []
+    for ident, wrapper, n in zip(pdf["id"], pdf["wrapper"], pdf["n"], strict=True):
+        items = wrapper.split("\n")
+        like = [likeness(f[1], items) for f in found]
+        best = int(np.argmax(like)) if like else -1
+        if best < 0 or not like[best]:
+            found.append([ident, items, 0])
+            best = len(found) - 1
+        else:
+            found[best][1] = align(found[best][1], items)
+        found[best][2] += n
+        to.append(found[best][0])
+    firsts = {f[0]: f for f in found}
+    out = pd.DataFrame({"host": pdf["host"].to_numpy(), "id": pdf["id"].to_numpy(), "to": np.array(to, np.int64)})
+    out["wrapper"] = ["\n".join(firsts[i][1]) if i in firsts else None for i in out["id"]]
+    out["n"] = [int(firsts[i][2]) if i in firsts else 0 for i in out["id"]]
+    return out
+
+
+def templates(shapes: DataFrame) -> DataFrame:
+    """``host, sid, shape, cid, wrapper``: for each shape (``host, sid, shape, n``) the wrapper of its template within the host.
+
+    Shapes are aligned in groups of about ``GROUP`` a host, as many as its shapes need, and the groups' wrappers again in
+    groups, until each host's are one group, or none are alike.
+    """
+    level = shapes.select("host", F.col("sid").alias("id"), F.col("shape").alias("wrapper"), "n")
+    of = shapes.select("host", "sid", "shape", F.col("sid").alias("cid"))
+    turn = 0
+    while True:
+        sizes = level.groupBy("host").agg(F.count(F.lit(1)).alias("k"))
+        before, most = sizes.agg(F.sum("k"), F.max("k")).first()
+        part = F.pmod(F.xxhash64("wrapper", F.lit(turn)), F.ceil(F.col("k") / GROUP)).alias("part")
+        grouped = level.join(sizes, "host").select("host", "id", "wrapper", "n", part).groupBy("host", "part")
+        out = cut(grouped.applyInPandas(_templates, "host string, id long, to long, wrapper string, n long"), "templates")
+        of = of.join(out.select("host", F.col("id").alias("cid"), "to"), ["host", "cid"]).select("host", "sid", "shape", F.col("to").alias("cid"))
+        level = out.filter("wrapper is not null").select("host", "id", "wrapper", "n")
+        turn += 1
+        if before is None or most <= GROUP or level.count() == before:
+            return of.join(level.select("host", F.col("id").alias("cid"), "wrapper"), ["host", "cid"])
+
+
+def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        places = [match(s.split("\n"), w.split("\n")) for s, w in zip(batch.column("shape").to_pylist(), batch.column("wrapper").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.select(["host", "sid", "cid", "wrapper"]).columns, pa.array(places, pa.list_(pa.int32()))], names=["host", "sid", "cid", "wrapper", "places"])
+
+
+def main_items(wrapper: list[str], data: set[int], places: list[int]) -> list[int]:
+    """Which items of a shape are main text, by their ``places`` in its template's wrapper and the places that hold ``data``.
+
+    Under ``article`` or ``main``, data, and lists, tables and figures of the article's own; all there if nothing of it is
+    data. A shape without such takes all its data.
+    """
+    slots = [w.rstrip("+?") for w in wrapper]
+    inside = {p for p, s in enumerate(slots) if not s.startswith("!") and _WITHIN.search(s)}
+    main = {p for p in inside if p in data or _FLOW.search(slots[p])} if inside & data else inside
+    return [i for i, p in enumerate(places) if p in main] or [i for i, p in enumerate(places) if p in data]
+
+
+def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = [main_items(w.split("\n"), set(d or ()), p) for w, d, p in zip(*(batch.column(c).to_pylist() for c in ("wrapper", "data", "places")), strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.select(["host", "sid"]).columns, pa.array(keep, pa.list_(pa.int32()))], names=["host", "sid", "keep"])
+
+
+def wrappers(parsed: DataFrame, alike: int = 3) -> DataFrame:
+    """One row per shape of a host: ``host, sid, keep`` (its items of main text).
+
+    All pages take part. Equal shapes are counted first, then aligned into the host's templates, and each shape's items are
+    matched with its template's wrapper. A place in the wrapper is template text where all pages that have it agree on it
+    (two different pages at least, in a template of ``alike`` or more), else data; see ``main_items`` for what is kept.
+    """
+    pages = parsed.select("host", "sid", "page", "shape", "h").filter("shape <> ''")
+    shapes = cut(pages.groupBy("host", "sid").agg(F.min("shape").alias("shape"), F.count(F.lit(1)).alias("n")), "shapes")
+    matched = cut(templates(shapes).mapInArrow(_matched, "host string, sid long, cid long, wrapper string, places array<int>"), "matched")
+    at = matched.select("host", "sid", "cid", "places")
+    different = pages.groupBy("host", "sid", "page").agg(F.first("h").alias("h")).join(at, ["host", "sid"])
+    texts = different.select("host", "cid", "places", F.posexplode("h").alias("item", "h")).filter("h is not null").select("host", "cid", F.expr("places[item]").alias("place"), "h")
+    judged = texts.groupBy("host", "cid", "place").agg((F.min("h") == F.max("h")).alias("same"), F.count(F.lit(1)).alias("n"))
+    sizes = different.groupBy("host", "cid").agg(F.count(F.lit(1)).alias("pages"))
+    varied = judged.join(sizes, ["host", "cid"]).filter(~(F.col("same") & (F.col("n") > 1) & (F.col("pages") >= alike)))
+    data = varied.groupBy("host", "cid").agg(F.collect_list("place").alias("data"))
+    return matched.join(data, ["host", "cid"], "left").select("host", "sid", "wrapper", "places", "data").mapInArrow(_chosen, "host string, sid long, keep array<int>")
+
+
 def extract(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
     """All columns of ``pages`` but ``html``, with ``text``: its main text (empty if none; a column of this name is replaced).
 
-    The page is parsed as a whole; blocks of main slots are joined by one space in page order. Null pages are empty. Null
-    URLs and such without ``://`` belong to the host of empty name. Repeated rows count each. Empty input gives no rows.
+    The page is parsed as a whole, once; blocks of main items are joined by one space in page order. Null pages are empty.
+    Null URLs and such without ``://`` belong to the host of empty name. Repeated rows count each. Empty input gives no rows.
     """
     kept = [c for c in pages.columns if c not in (page, "text")]
-    found = cut(wrappers(pages, url, page), "wrappers").select(F.col("host").alias("__host"), F.col("main").alias("__main"))
-    rows = pages.select(F.col(page).alias("__html"), url_host(F.col(url)).alias("__at"), *kept)
-    joined = rows.join(found, F.col("__at") == F.col("__host"), "left").select("__html", "__main", *kept)
-    return joined.mapInArrow(_extracted(kept), T.StructType([*pages.select(*kept).schema, T.StructField("text", T.StringType())]))
+    held = [f"__{i}" for i in range(len(kept))]
+    rows = pages.select(F.col(page), url_host(F.col(url)), *(F.col(c).alias(h) for c, h in zip(kept, held, strict=True)))
+    own = [T.StructField(h, pages.schema[c].dataType) for c, h in zip(kept, held, strict=True)]
+    parsed = cut(rows.mapInArrow(_parsed(held), T.StructType([*T._parse_datatype_string("host string, page long, sid long, shape string, h array<long>, item array<int>, texts array<string>").fields, *own])), "parsed")
+    found = cut(wrappers(parsed), "wrappers")
+    joined = parsed.select("host", "sid", "item", "texts", *held).join(found, ["host", "sid"], "left")
+    text = F.array_join(F.filter("texts", lambda t, i: F.array_contains("keep", F.get("item", i))), " ")
+    return joined.select(*(F.col(h).alias(c) for c, h in zip(kept, held, strict=True)), F.coalesce(text, F.lit("")).alias("text"))
