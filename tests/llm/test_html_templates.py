@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from skillcorpus.llm import html_extract
 
+ARTICLE = "<body><div class=top>Welcome</div><article><p>Article {0} body</p></article></body>"
+STORY = "<body><div class=top>Welcome</div><div class=story><p>Story {0} body, quite long and told at length</p></div><div class=end>All rights</div></body>"
+POST = "<body><div class=top>Welcome</div><div class=post><p>Post {0}</p></div><div class=end>All rights</div></body>"
+WANT = {ARTICLE: "Article {0} body", STORY: "Story {0} body, quite long and told at length", POST: "Post {0}"}
+
+
 def texts(spark, rows):
     return {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
 
 
+def test_every_template_of_a_host_has_its_text(spark):
+    for url in ("http://h.example.com/p", None, "no scheme"):
+        rows = [(10 * k + i, url, page.format(i)) for k, page in enumerate(WANT) for i in range(5)]
+        assert texts(spark, rows) == {10 * k + i: want.format(i) for k, want in enumerate(WANT.values()) for i in range(5)}
+
+
 def test_places_of_the_wrapper_decide_within_an_article(spark):
     page = "<article><p>Begin {0}</p><div>Lead {0}</div><p>Middle {0}</p><div>Read our terms of use</div><p>End {0}</p></article>"
     rows = [(i, "http://h.example.com/p", page.format(i)) for i in range(5)]
