@@ -20,6 +20,8 @@ from skillcorpus.plans.storage import cut, partitions
 
 #: Postings that a mapper gathers before it deals them out, and shingles of one search task at most.
 DEAL, TASK = 1 << 20, 1 << 19
+#: A mapper reports the length of lists that have ``HEAVY`` entries or more in one deal; lists of ``HOT`` or more in all are in no group.
+HEAVY, HOT = 16, 1 << 14
 
 DEALT = "kind int, key int, doc_id long, ref long, g long, n int, h binary, ids binary, sizes binary, df binary"
 NAMES = [x.split()[0] for x in DEALT.split(", ")]
@@ -61,21 +63,27 @@ def _unpacked(table: pa.Table, **kinds: type) -> list[np.ndarray]:
     return [np.frombuffer(b"".join(table.column(k).to_pylist()), kind) for k, kind in kinds.items()]
 
 
-def _postings(buckets: int):
+def _postings(buckets: int, heavy: int):
+    """Rows of kind 0: postings, dealt out by shingle; 1: one per document; 2: shingles with ``heavy`` sets or more in a deal, and how many."""
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         held: list[tuple[np.ndarray, int, int]] = []
         seen: set[int] = set()
         count = 0
 
-        def deal() -> pa.RecordBatch:
+        def deal() -> Iterator[pa.RecordBatch]:
             h = np.concatenate([x[0] for x in held])
             sizes = [len(x[0]) for x in held]
             ids = np.repeat(np.array([x[1] for x in held], np.int64), sizes)
             n = np.repeat(np.array([x[2] for x in held], np.int32), sizes)
             held.clear()
             seen.clear()
-            return _dealt(0, (h % np.uint64(buckets)).astype(np.int64), h=h, ids=ids, sizes=n)
+            yield _dealt(0, (h % np.uint64(buckets)).astype(np.int64), h=h, ids=ids, sizes=n)
+            lists, length = np.unique(h, return_counts=True)
+            if (length >= heavy).any():
+                lists, length = lists[length >= heavy], length[length >= heavy]
+                yield _dealt(2, np.zeros(len(lists), np.int64), h=lists, sizes=length.astype(np.int32))
 
         for batch in batches:
             sets, sizes = [0] * len(batch), [0] * len(batch)
@@ -88,11 +96,38 @@ def _postings(buckets: int):
                     held.append((prefix, g, n))
                     count += len(prefix)
                     if count >= DEAL:
-                        yield deal()
+                        yield from deal()
                         count = 0
-            yield _rows(kind=[1] * len(batch), key=[g % buckets for g in sets], doc_id=batch.column(0).to_pylist(), ref=batch.column(1).to_pylist(), g=sets, n=sizes)
+            yield _rows(kind=[1] * len(batch), key=[0] * len(batch), doc_id=batch.column(0).to_pylist(), ref=batch.column(1).to_pylist(), g=sets, n=sizes)
         if held:
-            yield deal()
+            yield from deal()
+
+    return of
+
+
+def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        h, n = _unpacked(pa.Table.from_batches([batch]), h=np.uint64, sizes=np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+
+def _apart(buckets: int, hot: np.ndarray, length: np.ndarray, wanted: int):
+    """Of postings, those of lists that are not hot (``wanted`` 0), or those of ``hot`` ones (2; ascending), dealt out by set."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                table = pa.Table.from_batches([batch.slice(row, 1)])
+                h, ids, n = _unpacked(table, h=np.uint64, ids=np.int64, sizes=np.int32)
+                at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
+                there = hot[at] == h
+                mine = there if wanted else ~there
+                if not mine.any():
+                    continue
+                if wanted:
+                    yield _dealt(0, ids[mine] % buckets, h=h[mine], ids=ids[mine], sizes=n[mine], df=length[at[mine]].astype(np.uint32))
+                else:
+                    yield _dealt(0, np.full(int(mine.sum()), table.column("key")[0].as_py(), np.int64), h=h[mine], ids=ids[mine], sizes=n[mine])
 
     return of
 
@@ -101,8 +136,6 @@ def _shared(buckets: int):
     """Of a bucket of inverted lists, the postings of lists that two sets or more are on, dealt out by set."""
 
     def of(table: pa.Table) -> pa.Table:
-        if table.column("kind")[0].as_py() == 1:
-            return table
         h, ids, n = _unpacked(table, h=np.uint64, ids=np.int64, sizes=np.int32)
         order = np.lexsort((ids, h))
         h, ids, n = h[order], ids[order], n[order]
@@ -117,18 +150,24 @@ def _shared(buckets: int):
     return of
 
 
-def _short_lists(buckets: int):
-    """Keeps sets with enough shared shingles, each with all but its slack - 1 longest lists, dealt out by shingle."""
+def _short_lists(buckets: int, hot: int):
+    """Keeps sets with enough shared shingles, each with all but its slack - 1 longest lists, dealt out by shingle.
+
+    Entries of lists of ``hot`` sets or more come as kind 2, for they need no group: see ``_hubs``.
+    """
 
     def of(table: pa.Table) -> pa.Table:
         h, ids, n, df = _unpacked(table, h=np.uint64, ids=np.int64, sizes=np.int32, df=np.uint32)
         order = np.lexsort((h, df, ids))
-        h, ids, n = h[order], ids[order], n[order]
+        h, ids, n, df = h[order], ids[order], n[order], df[order]
+        new = np.r_[True, (ids[1:] != ids[:-1]) | (h[1:] != h[:-1])]  # a set of several deals is on a hot list as often
+        h, ids, n, df = h[new], ids[new], n[new], df[new]
         at = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
         count = np.diff(np.r_[at, len(ids)])
         rank = np.arange(len(ids)) - np.repeat(at, count)
         keep = rank <= np.repeat(count, count) - slack(n.astype(np.int64))
-        return pa.Table.from_batches([_dealt(0, (h[keep] % np.uint64(buckets)).astype(np.int64), h=h[keep], ids=ids[keep])])
+        key = (h % np.uint64(buckets)).astype(np.int64)
+        return pa.Table.from_batches([_dealt(kind, key[k], h=h[k], ids=ids[k]) for kind, k in ((0, keep & (df < hot)), (2, keep & (df >= hot)))])
 
     return of
 
@@ -146,6 +185,13 @@ def _stars(table: pa.Table) -> pa.Table:
     return pa.table({"a": first[keep], "b": ids[keep]})
 
 
+def _hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Joins each set on a hot list to a node that stands for the list, so that the list need not be in one place."""
+    for batch in batches:
+        h, ids = _unpacked(pa.Table.from_batches([batch]), h=np.uint64, ids=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(1)).astype(np.int64)), pa.array(ids)], names=["a", "b"])
+
+
 def divide_skip(sets: list[np.ndarray], ids: np.ndarray, left: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links among ``sets`` (ascending hashes): a spanning forest of all pairs with J >= 3/4.
 
@@ -257,7 +303,8 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
        with equal sets are one set from here on.
     2. Lists of one set go. Each set needs ``slack`` shared shingles in its prefix, else nothing links with it; it may
        skip its slack - 1 longest lists, so common passages do not bring unlike texts together.
-    3. The rest of the lists only join sets into blocks, by as many edges as lists have entries.
+    3. The rest of the lists only join sets into blocks, by as many edges as lists have entries. Lists of ``HOT`` sets or
+       more are counted beforehand and are in no group: their entries go to the sets at once, with the list's length.
     4. In each block ``divide_skip`` searches whole sets; large blocks are cut into bounded searches.
 
     Null or empty texts have no shingles and are alone, also where ids repeat. Rows with a null id have a null
@@ -267,11 +314,23 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     buckets = min(60_000, max(24, 2 * partitions(spark)))
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     slim = slim.select("doc_id", F.coalesce("doc_id", F.xxhash64("text")).alias("ref"), "text")  # ref finds a text again
-    dealt = slim.mapInArrow(_postings(buckets), DEALT)
-    stage = cut(dealt.groupBy("kind", "key").applyInArrow(_shared(buckets), DEALT), "postings")
-    sets = stage.filter("kind = 1").select("doc_id", "ref", "g", "n")
-    kept = stage.filter("kind = 0").select("key", "h", "ids", "sizes", "df").groupBy("key").applyInArrow(_short_lists(buckets), DEALT)
-    edges = kept.select("key", "h", "ids").groupBy("key").applyInArrow(_stars, "a long, b long")
+    dealt = cut(slim.mapInArrow(_postings(buckets, HEAVY), DEALT), "postings")
+    sets = dealt.filter("kind = 1").select("doc_id", "ref", "g", "n")
+    lengths = dealt.filter("kind = 2").select("h", "sizes").mapInArrow(_lengths, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    found = lengths.filter(F.col("n") >= HOT).toPandas()  # one of HOT postings at most
+    postings = dealt.filter("kind = 0").select("key", "h", "ids", "sizes")
+    if len(found):
+        hot = found["h"].to_numpy().astype(np.int64).view(np.uint64)
+        order = np.argsort(hot)
+        hot, length = hot[order], found["n"].to_numpy().astype(np.int64)[order]
+        cold = postings.mapInArrow(_apart(buckets, hot, length, 0), DEALT).select("key", "h", "ids", "sizes")
+        shared = cold.groupBy("key").applyInArrow(_shared(buckets), DEALT).union(postings.mapInArrow(_apart(buckets, hot, length, 2), DEALT))
+    else:
+        shared = postings.groupBy("key").applyInArrow(_shared(buckets), DEALT)
+    kept = shared.select("key", "h", "ids", "sizes", "df").groupBy("key").applyInArrow(_short_lists(buckets, HOT), DEALT)
+    kept = cut(kept.select("kind", "key", "h", "ids"), "short-lists")
+    stars = kept.filter("kind = 0").select("key", "h", "ids").groupBy("key").applyInArrow(_stars, "a long, b long")
+    edges = stars.union(kept.filter("kind = 2").select("h", "ids").mapInArrow(_hubs, "a long, b long"))
     blocks = components(edges)
 
     first = sets.filter("n > 0").groupBy("g").agg(F.min("ref").alias("ref"), F.max("n").alias("n"))
