@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 
 from skillcorpus.llm.shingles import chunks
 
-#: Texts per language that training reads at most, and the bound on the number of languages.
-TRAIN_PER_LANGUAGE, MAX_LANGUAGES = 1500, 256
+#: Texts per language that training reads at most, and the tasks that count their n-grams.
+TRAIN_PER_LANGUAGE, COUNTERS = 1500, 16
 #: log2 of the number of n-gram features.
 FEATURE_BITS = 15
 UNKNOWN = "und"
@@ -55,14 +55,20 @@ def _fold() -> np.ndarray:
     return table
 
 
-def features(data: np.ndarray) -> list[np.ndarray]:
-    """For each position its byte trigram and its 4-gram as hashed features."""
+def features(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """For each position its byte trigram and its 4-gram as hashed features; before a text stand spaces, whatever text precedes it."""
     x = _fold()[data].astype(np.uint32)
-    p1, p2, p3 = np.full_like(x, 32), np.full_like(x, 32), np.full_like(x, 32)
-    p1[1:], p2[2:], p3[3:] = x[:-1], x[:-2], x[:-3]
-    three = x | p1 << np.uint32(8) | p2 << np.uint32(16)
+    before = []
+    for back in (1, 2, 3):
+        p = np.full_like(x, 32)
+        p[back:] = x[:-back]
+        for first in range(back):
+            at = offsets[:-1] + first
+            p[at[at < np.minimum(offsets[1:], len(x))]] = 32
+        before.append(p)
+    three = x | before[0] << np.uint32(8) | before[1] << np.uint32(16)
     out = []
-    for salt, gram in ((0x9E3779B1, three), (0x85EBCA77, three ^ (p3 * np.uint32(0x01000193)))):
+    for salt, gram in ((0x9E3779B1, three), (0x85EBCA77, three ^ (before[2] * np.uint32(0x01000193)))):
         out.append((gram * np.uint32(salt)) >> np.uint32(32 - FEATURE_BITS))
     return out
 
@@ -87,7 +93,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lang, fold = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for first, data, offsets in chunks(batch.column(2)):
-            grams = features(data)
+            grams = features(data, offsets)
             for i in range(len(offsets) - 1):
                 row = sums.setdefault((lang[first + i], fold[first + i]), np.zeros((2, 1 << FEATURE_BITS)))
                 length = max(1, offsets[i + 1] - offsets[i])
@@ -146,7 +152,7 @@ class Model:
         for first, data, offsets in chunks(column):
             full = offsets[1:] > offsets[:-1]
             starts = offsets[:-1][full]
-            for order, gram in enumerate(features(data)):
+            for order, gram in enumerate(features(data, offsets)):
                 rows = np.zeros((len(offsets) - 1, bits))
                 cuts = np.union1d(starts, np.arange(0, len(data), 1 << 14))  # pieces of texts, some at a time
                 owner = np.flatnonzero(full)[np.searchsorted(starts, cuts, side="right") - 1]
@@ -160,24 +166,33 @@ class Model:
         return [self.langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], np.where(known, score, 0.0), np.where(known, gap, 0.0)
 
 
+def _summed(key: tuple, table: pa.Table) -> pa.Table:
+    """The counts of one language and half, added up; a group has a row of each counting task at most."""
+    total = sum(np.frombuffer(x.as_py()) for x in table.column("counts"))
+    return pa.table({"lang": pa.array([key[0].as_py()], pa.string()), "fold": pa.array([key[1].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+
 def train(rows: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", per_language: int = TRAIN_PER_LANGUAGE) -> Model:
-    """Fits a model on at most ``per_language`` texts of each language, those first by a hash of their id.
+    """Fits a model on about ``per_language`` texts of each language at most, those first by a hash of id and text.
 
-    N-grams are counted by the executors; only sums by language reach the driver (256 KB each; at most
-    ``MAX_LANGUAGES`` languages, those with the most rows).
+    N-grams of this bounded sample are counted by ``COUNTERS`` tasks whatever the size of the input, and added up by language on the executors.
+    The driver gets one row per language and half (512 KB) and makes the model of them. All languages take part. Rows without a language or
+    a text do not; a repeated row counts each time it is drawn; where ids lack or repeat, texts part the draws. No rows give a model that knows nothing.
     """
     labelled = rows.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = labelled.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = labelled.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()  # as many as there are languages
     if not sizes:
         return Model([], np.zeros((0, 2, 2, 1 << FEATURE_BITS)))
     spread = 1 << 30
     share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(spread, int(spread * per_language / r["n"]))))])
-    draw = F.pmod(F.xxhash64(F.col(doc_id), F.lit(3)), F.lit(spread))
+    draw = F.pmod(F.xxhash64(F.col(doc_id), F.col(text), F.lit(3)), F.lit(spread))
     taken = labelled.filter(draw < F.coalesce(share[F.col(lang)], F.lit(0))).select(F.col(lang).alias("lang"), (draw % 2).cast("int").alias("fold"), F.col(text).cast("string").alias("text"))
+    counted = taken.repartition(COUNTERS, F.xxhash64("text")).mapInArrow(_counts, "lang string, fold int, counts binary")
+    summed = counted.groupBy("lang", "fold").applyInArrow(_summed, "lang string, fold int, counts binary")
     langs = sorted(r["lang"] for r in sizes)
     counts = np.zeros((len(langs), 2, 2, 1 << FEATURE_BITS))
-    for r in taken.mapInArrow(_counts, "lang string, fold int, counts binary").toLocalIterator():
-        counts[langs.index(r["lang"]), r["fold"]] += np.frombuffer(r["counts"]).reshape(2, -1)
+    for r in summed.collect():
+        counts[langs.index(r["lang"]), r["fold"]] = np.frombuffer(r["counts"]).reshape(2, -1)
     return Model(langs, counts)
 
 
@@ -190,7 +205,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text", ambiguous_gap: f
     """All columns of ``docs`` with ``lang_pred, score, ambiguous``; columns of these names are replaced.
 
     The whole text is read, and nothing else. ``lang_pred`` is ``und`` with score 0, and not ambiguous, where the text is null
-    or has no letter, or where the model knows no language. ``ambiguous`` tells that the second codeword's share comes
+    or has no letter, or where the model knows no language. Equal losses go to the language that is first in order of names; repeated
+    rows and texts of any length are judged each and whole; an empty table gives no rows. ``ambiguous`` tells that the second codeword's share comes
     within ``ambiguous_gap`` of the first's.
     """
     held = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]
