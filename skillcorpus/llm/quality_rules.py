@@ -24,8 +24,8 @@ def _let(value: Column, body) -> Column:
 def repeated_words(words: Column) -> Column:
     """How many words of the array lie in a 3-word window that occurs twice or more in it.
 
-    Windows are packed as (hash, position) into longs and sorted, so equal ones stand side by side; the time is
-    n log n. The hash has 64 bits less those of the largest position (55 for 500 words, 44 for a million).
+    Windows are packed as (hash, position) into longs and sorted, so that equal ones stand side by side; the time is n log n. Only
+    windows whose hash is there twice are then sorted by their words and compared, so that no hash decides anything.
     """
 
     def of(w: Column) -> Column:
@@ -33,14 +33,18 @@ def repeated_words(words: Column) -> Column:
         window = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
         packed = lambda b: F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.call_function("shiftleft", window(i), b).bitwiseOR(i.cast("long")))
 
-        def positions(b: Column, s: Column) -> Column:
+        def maybe(b: Column, s: Column) -> Column:
             head = lambda x: F.call_function("shiftright", x, b)
             twice = F.filter(s, lambda x, i: (F.coalesce(head(F.get(s, i - 1)) == head(x), F.lit(False))) | (F.coalesce(head(F.get(s, i + 1)) == head(x), F.lit(False))))
-            low = lambda x: x - F.call_function("shiftleft", F.call_function("shiftright", x, b), b)
-            return F.sort_array(F.transform(twice, low))
+            at = lambda x: (x - F.call_function("shiftleft", head(x), b)).cast("int")
+            return F.sort_array(F.transform(twice, lambda x: _let(at(x), lambda i: F.struct(F.get(w, i).alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"), i.alias("i")))))
+
+        def positions(s: Column) -> Column:
+            same = lambda x, y: F.coalesce((x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), F.lit(False))
+            return F.sort_array(F.transform(F.filter(s, lambda x, i: same(x, F.get(s, i - 1)) | same(x, F.get(s, i + 1))), lambda x: x["i"].cast("long")))
 
         covered = lambda p: F.aggregate(p, F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to")), lambda a, x: F.struct((a["n"] + x + 3 - F.greatest(a["to"], x)).alias("n"), (x + 3).alias("to")))["n"]
-        return _let(bits, lambda b: _let(F.sort_array(packed(b)), lambda s: _let(positions(b, s), covered)))
+        return _let(bits, lambda b: _let(F.sort_array(packed(b)), lambda s: _let(maybe(b, s), lambda m: _let(positions(m), covered))))
 
     return F.when(F.size(words) >= 4, _let(words, of)).otherwise(F.lit(0).cast("long"))
 
