@@ -27,10 +27,15 @@ def source_rates(docs: DataFrame, source: str, text: str, weights: dict[str, flo
     return sizes.select("__source", rate.alias("__rate"))
 
 
+def identity(doc_id: Column, text: Column) -> Column:
+    """What a row's draws are hashed from: its id, or its text where it has none."""
+    return F.coalesce(doc_id.cast("string"), F.concat(F.lit("text "), F.md5(text)), F.lit(""))
+
+
 def uniform(ident: Column, seed: int, draw: Column | None = None) -> Column:
     """A number in [0, 1) with 48 random bits, from the MD5 of seed, id and, after the first, the draw's number."""
     start = F.lit(str(seed)) if draw is None else F.concat_ws("/", F.lit(str(seed)), draw.cast("string"))
-    return F.conv(F.substring(F.md5(F.concat_ws(":", start, F.coalesce(ident.cast("string"), F.lit("")))), 1, 12), 16, 10).cast("long") / F.lit(float(1 << 48))
+    return F.conv(F.substring(F.md5(F.concat_ws(":", start, ident)), 1, 12), 16, 10).cast("long") / F.lit(float(1 << 48))
 
 
 def poisson_count(u: Column, rate: Column) -> Column:
@@ -56,17 +61,17 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float
     """All columns of ``docs``, each row as often as its Poisson count says, plus ``copy`` (int, from 0) and ``mix_key`` (long).
 
     A row's count inverts the Poisson distribution whose mean is its source's rate, however high, at points hashed from seed
-    and ``doc_id``: the same id gets the same count on any cluster, and repeated rows get equal counts. Rows come out
-    in global random order: dealt to partitions by a hash of ``mix_key`` and sorted by it within each. A null source
-    is the source of empty name; a null id hashes as an empty one; null texts count one byte and are kept
-    like others. Columns named ``copy`` or ``mix_key`` are replaced. Empty input gives no rows.
+    and ``doc_id`` (a row without an id: from its text): the same id gets the same count on any cluster, and repeated rows get
+    equal counts. Rows come out in global random order: dealt to partitions by a hash of ``mix_key`` and sorted by it within
+    each; rows of one id and text have keys of their own by ``copy`` alone. A null source is the source of empty name; null
+    texts count one byte and are kept like others, as are empty and very long ones. Columns named ``copy`` or ``mix_key`` are replaced. Empty input gives no rows.
     """
     # written, so that its size is known and a small one is not joined by moving all texts
     rates = cut(source_rates(docs, source, text, weights, epochs), "rates")
     held = [c for c in docs.columns if c not in ("copy", "mix_key")]
     counted = docs.select(*held).join(rates, F.coalesce(F.col(source), F.lit("")) == F.col("__source"))
-    counted = counted.withColumn("__n", copies_of(F.col(doc_id), F.col("__rate"), seed)).filter(F.col("__n") > 0)
+    counted = counted.withColumn("__n", copies_of(identity(F.col(doc_id), F.col(text)), F.col("__rate"), seed)).filter(F.col("__n") > 0)
     parts = counted.select(*held, "__n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1, F.lit(COPIES).cast("long"))).alias("__from"))
     copies = parts.select(*held, F.explode(F.sequence(F.col("__from"), F.least(F.col("__from") + COPIES, F.col("__n")) - 1).cast("array<int>")).alias("copy"))
-    keyed = copies.withColumn("mix_key", F.xxhash64(F.lit(seed), F.col(doc_id), F.col("copy")))
+    keyed = copies.withColumn("mix_key", F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text), F.col("copy")))
     return keyed.repartition(partitions(docs.sparkSession), "mix_key").sortWithinPartitions("mix_key")
