@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skillcorpus.llm.components import components
@@ -23,7 +23,7 @@ DEAL, TASK = 1 << 20, 1 << 19
 #: A mapper reports the length of lists that have ``HEAVY`` entries or more in one deal; lists of ``HOT`` or more in all are in no group.
 HEAVY, HOT = 16, 1 << 14
 
-DEALT = "kind int, key int, doc_id long, ref long, g long, n int, h binary, ids binary, sizes binary, df binary"
+DEALT = "kind int, key int, doc_id long, ref long, g long, n int, h binary, ids binary, sizes binary, df binary, th long"
 NAMES = [x.split()[0] for x in DEALT.split(", ")]
 
 
@@ -98,7 +98,7 @@ def _postings(buckets: int, heavy: int):
                     if count >= DEAL:
                         yield from deal()
                         count = 0
-            yield _rows(kind=[1] * len(batch), key=[0] * len(batch), doc_id=batch.column(0).to_pylist(), ref=batch.column(1).to_pylist(), g=sets, n=sizes)
+            yield _rows(kind=[1] * len(batch), key=[0] * len(batch), doc_id=batch.column(0).to_pylist(), ref=batch.column(1).to_pylist(), g=sets, n=sizes, th=batch.column(3).to_pylist())
         if held:
             yield from deal()
 
@@ -196,8 +196,8 @@ def divide_skip(sets: list[np.ndarray], ids: np.ndarray, left: np.ndarray | None
     """Links among ``sets`` (ascending hashes): a spanning forest of all pairs with J >= 3/4.
 
     ``left`` marks the sets of the first side; where it is given, only pairs across the sides are searched. For each set,
-    by size, its lists are divided: the L longest are skipped, the short ones merged with counts, and those sets that are
-    on T - L of them or more are looked up in the long ones by binary search.
+    by size, its lists are divided: the L longest are skipped, the short ones, which are ascending, merged, and those sets that
+    are on T - L of them or more are looked up in the long ones by binary search.
     """
     order = np.argsort([len(s) for s in sets], kind="stable")
     sizes = np.array([len(sets[i]) for i in order], np.int64)
@@ -229,21 +229,25 @@ def divide_skip(sets: list[np.ndarray], ids: np.ndarray, left: np.ndarray | None
         short, long = mine[: len(mine) - skip], mine[len(mine) - skip :]
         spans = length[short]
         merged = owner[np.repeat(at[short] - np.r_[0, np.cumsum(spans)[:-1]], spans) + np.arange(spans.sum())]
-        counts = np.bincount(merged, minlength=q)[:q]
-        found = np.flatnonzero(counts[low:] >= need - skip) + low
+        merged = np.sort(merged[(merged >= low) & (merged < q)], kind="stable")  # ascending runs, one a list, are merged
+        edge = np.flatnonzero(np.r_[True, merged[1:] != merged[:-1]][: len(merged)])
+        on, times = merged[edge], np.diff(np.r_[edge, len(merged)])
+        enough = times >= need - skip
+        found, counts = on[enough], times[enough]
         if side is not None:
-            found = found[side[found] != side[q]]
+            other = side[found] != side[q]
+            found, counts = found[other], counts[other]
         if not len(found):
             continue
 
-        def linked(y: np.ndarray, long: np.ndarray = long, counts: np.ndarray = counts, n: int = n) -> np.ndarray:
+        def linked(y: np.ndarray, long: np.ndarray = long, all_: np.ndarray = found, counts: np.ndarray = counts, n: int = n) -> np.ndarray:
             """Those of ``y`` that link with the query, their overlap completed from the long lists."""
             wanted = (long[:, None] * len(order) + y).ravel()
             there = entries[np.minimum(np.searchsorted(entries, wanted), len(entries) - 1)] == wanted
-            overlap = counts[y] + there.reshape(len(long), len(y)).sum(0)
+            overlap = counts[np.searchsorted(all_, y)] + there.reshape(len(long), len(y)).sum(0)
             return y[100 * overlap >= 75 * (n + sizes[y] - overlap)]
 
-        found = found[np.argsort(-counts[found], kind="stable")]
+        found = found[np.argsort(-counts, kind="stable")]
         _, first = np.unique(label[found], return_index=True)  # one of each tree, then all of the trees that it left apart
         for y in linked(found[first]):
             links.append((int(ids[order[q]]), int(ids[order[y]])))
@@ -271,30 +275,67 @@ def _search(table: pa.Table) -> pa.Table:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sets of rows ``text, g, block, part, side``; where ids repeat, rows of other texts go."""
+    """The sets of rows ``text, g, block``; where ids repeat, rows of other texts go."""
     hasher = Hasher()
     for batch in batches:
         found = [(row, v.tobytes()) for row, v in hasher.sets(batch.column(0)) if digest(v) == batch.column(1)[row].as_py()]
-        kept = batch.select(["g", "block", "part", "side"]).take(pa.array([x[0] for x in found], pa.int64()))
-        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([x[1] for x in found], pa.binary())], names=["g", "block", "part", "side", "h"])
+        kept = batch.select(["g", "block"]).take(pa.array([x[0] for x in found], pa.int64()))
+        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([x[1] for x in found], pa.binary())], names=["g", "block", "h"])
 
 
-def _tasks(members: DataFrame) -> DataFrame:
-    """Cuts blocks into searches: a block of ``TASK`` shingles or fewer is one; a larger one is cut into runs of
-    sets by size, and each run is searched by itself and against every other run whose sizes can link with its own."""
-    runs = members.withColumn("run", F.expr(f"cast(sum(n) over (partition by block order by n, g rows between unbounded preceding and 1 preceding) div {TASK} as int)")).withColumn("run", F.coalesce("run", F.lit(0)))
-    spans = runs.groupBy("block", "run").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    wide = spans.join(spans.groupBy("block").agg(F.max("run").alias("last")), "block")
-    one = runs.join(wide.filter("last = 0").select("block"), "block", "left_semi").select("ref", "g", "block", F.lit(0).alias("part"), F.lit(0).alias("side"))
-    large = wide.filter("last > 0")
-    x, y = large.select("block", F.col("run").alias("i"), F.col("most").alias("most_i"), "last"), large.select("block", F.col("run").alias("j"), F.col("least").alias("least_j"))
-    pairs = x.join(y, "block").filter("i <= j and 3 * least_j <= 4 * most_i").select("block", "i", "j", F.expr("1 + i * (last + 1) + j").alias("part"))
-    sides = pairs.select("block", F.col("i").alias("run"), "part", F.expr("if(i = j, 0, 1)").alias("side")).union(pairs.filter("i < j").select("block", "j", "part", F.lit(2)))
-    return one.union(runs.join(sides, ["block", "run"]).select("ref", "g", "block", F.col("part").cast("int"), "side"))
+def _runs(members: DataFrame) -> DataFrame:
+    """Adds ``run`` to ``block, kind, n, g, …``: by size, so many sets of one block and kind as have about ``TASK`` shingles.
+
+    Only sums by size are ranked. Sets of one size are spread over the runs that their sum spans by a hash, so that a block of any size is nowhere in one place.
+    """
+    sizes = members.groupBy("block", "kind", "n").agg(F.sum("n").alias("s"))
+    begin = F.coalesce(F.sum("s").over(Window.partitionBy("block", "kind").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = cut(sizes.withColumn("begin", begin), "run-starts")
+    return members.join(starts, ["block", "kind", "n"]).withColumn("run", F.expr(f"cast((begin + pmod(xxhash64(g), s)) div {TASK} as int)")).drop("s", "begin")
+
+
+def _searched(sets: DataFrame, tasks: DataFrame, width: int) -> DataFrame:
+    """Links found by the searches that ``tasks`` (``g, block, part, side``) names, over ``sets`` (``g, block, h``)."""
+    at = F.pmod(F.xxhash64("block", "part"), F.lit(width)).cast("int").alias("at")
+    return sets.join(tasks, ["block", "g"]).select(at, "block", "part", "side", "g", "h").groupBy("at").applyInArrow(_search, "a long, b long")
+
+
+def _links(sets: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """Links within blocks, a spanning forest of them at least, by searches of bounded size.
+
+    A block of ``TASK`` shingles or fewer is one search. Of a larger one, a sample of sets (pivots, about ``TASK`` shingles) is first
+    searched against all runs of sets, which for copies of one text leaves one large class. Then only pairs of runs are searched
+    that may join classes: a class of ``TASK`` shingles or more has runs of its own and is not searched in itself, all
+    others share runs, which are searched in themselves and against all. So the work grows with what the pivots left apart.
+    """
+    total = members.groupBy("block").agg(F.sum("n").alias("total")).withColumn("large", F.col("total") > TASK)
+    marked = cut(members.join(total, "block"), "members")
+    small = _searched(sets, marked.filter("not large").select("g", "block", F.lit(0).cast("long").alias("part"), F.lit(0).alias("side")), width)
+    large = marked.filter("large")
+    if large.isEmpty():
+        return small
+    runs = _runs(large.withColumn("kind", F.lit(0).cast("long")))
+    is_pivot = F.pmod(F.xxhash64("g", F.lit(5)), F.ceil(F.col("total") / TASK)) == 0
+    parts = runs.select("block", "run").distinct()
+    pivots = large.filter(is_pivot).select("g", "block").join(parts, "block").select("g", "block", F.col("run").cast("long").alias("part"), F.lit(1).alias("side"))
+    first = cut(_searched(sets, runs.select("g", "block", F.col("run").cast("long").alias("part"), F.lit(2).alias("side")).union(pivots), width), "pivot-links")
+
+    labelled = cut(large.join(components(first).toDF("g", "label"), "g", "left").withColumn("label", F.coalesce("label", "g")), "labelled")
+    whole = labelled.groupBy("block", "label").agg(F.sum("n").alias("in_label")).filter(F.col("in_label") >= TASK).select("block", "label", F.lit(1).alias("own"))
+    kinds = labelled.join(cut(whole, "large-labels"), ["block", "label"], "left").withColumn("kind", F.when(F.col("own") == 1, F.col("label")).otherwise(-1))
+    runs = cut(_runs(kinds.select("block", "kind", "n", "g")), "runs")
+    spans = cut(runs.groupBy("block", "kind", "run").agg(F.min("n").alias("least"), F.max("n").alias("most")), "spans")
+    x, y = spans.toDF("block", "kx", "rx", "lx", "mx"), spans.toDF("block", "ky", "ry", "ly", "my")
+    differ = ((F.col("kx") != F.col("ky")) | (F.col("kx") == -1)) & (F.struct("kx", "rx") <= F.struct("ky", "ry")) & F.expr("3 * lx <= 4 * my and 3 * ly <= 4 * mx")
+    pairs = x.join(y, "block").filter(differ).withColumn("part", F.xxhash64("kx", "rx", "ky", "ry"))
+    alone = F.expr("kx = ky and rx = ry")
+    sides = pairs.select("block", F.col("kx").alias("kind"), F.col("rx").alias("run"), "part", F.when(alone, 0).otherwise(1).alias("side")).union(pairs.filter(~alone).select("block", "ky", "ry", "part", F.lit(2)))
+    second = _searched(sets, runs.join(sides, ["block", "kind", "run"]).select("g", "block", "part", "side"), width)
+    return small.union(first).union(second)
 
 
 def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_shingles, component_id``.
+    """One row per row of ``docs``: ``doc_id, n_shingles, component_id, class, text_hash``.
 
     A text's set holds its distinct 5-word shingles (see ``shingles``); two texts link when their sets' Jaccard
     similarity is 3/4 or more, and ``component_id`` is the least id that links lead to. Nothing is sampled or capped:
@@ -305,17 +346,17 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
        skip its slack - 1 longest lists, so common passages do not bring unlike texts together.
     3. The rest of the lists only join sets into blocks, by as many edges as lists have entries. Lists of ``HOT`` sets or
        more are counted beforehand and are in no group: their entries go to the sets at once, with the list's length.
-    4. In each block ``divide_skip`` searches whole sets; large blocks are cut into bounded searches.
+    4. In each block ``divide_skip`` searches whole sets; large blocks are cut into bounded searches (see ``_links``).
 
-    Null or empty texts have no shingles and are alone, also where ids repeat. Rows with a null id have a null
+    ``class`` names the class whatever the ids are (null without shingles), ``text_hash`` is the text's xxhash64. Null or empty texts have no shingles and are alone, also where ids repeat. Rows with a null id have a null
     component unless they link with others. Extra columns are ignored. Empty input gives no rows.
     """
     spark = docs.sparkSession
     buckets = min(60_000, max(24, 2 * partitions(spark)))
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    slim = slim.select("doc_id", F.coalesce("doc_id", F.xxhash64("text")).alias("ref"), "text")  # ref finds a text again
+    slim = slim.select("doc_id", F.coalesce("doc_id", F.xxhash64("text")).alias("ref"), "text", F.xxhash64("text").alias("th"))  # ref finds a text again
     dealt = cut(slim.mapInArrow(_postings(buckets, HEAVY), DEALT), "postings")
-    sets = dealt.filter("kind = 1").select("doc_id", "ref", "g", "n")
+    sets = dealt.filter("kind = 1").select("doc_id", "ref", "g", "n", "th")
     lengths = dealt.filter("kind = 2").select("h", "sizes").mapInArrow(_lengths, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     found = lengths.filter(F.col("n") >= HOT).toPandas()  # one of HOT postings at most
     postings = dealt.filter("kind = 0").select("key", "h", "ids", "sizes")
@@ -335,13 +376,12 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     first = sets.filter("n > 0").groupBy("g").agg(F.min("ref").alias("ref"), F.max("n").alias("n"))
     members = cut(first.join(blocks.toDF("g", "block"), "g"), "blocks")
-    tasks = cut(_tasks(members), "searches")
-    texts = slim.drop("doc_id").join(tasks.hint("shuffle_hash"), "ref")
-    searched = texts.select("text", "g", "block", "part", "side").mapInArrow(_sets, "g long, block long, part int, side int, h binary")
-    at = F.pmod(F.xxhash64("block", "part"), F.lit(4 * buckets)).cast("int").alias("at")
-    links = searched.select(at, "block", "part", "side", "g", "h").groupBy("at").applyInArrow(_search, "a long, b long")
+    texts = slim.select("ref", "text").join(members.select("ref", "g", "block").hint("shuffle_hash"), "ref")
+    found = cut(texts.select("text", "g", "block").mapInArrow(_sets, "g long, block long, h binary"), "sets")
+    links = _links(found, members.select("g", "block", "n"), 4 * buckets)
 
     comps = components(links).toDF("g", "c")
     named = sets.join(comps, "g", "left").withColumn("c", F.coalesce("c", "g"))
     least = named.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "c", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    alone = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
+    return named.join(least, "c", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), alone.alias("component_id"), F.when(F.col("n") > 0, F.col("c")).alias("class"), F.col("th").alias("text_hash"))
