@@ -28,8 +28,8 @@ def _range_of(high: Column, low: Column, bounds: list[tuple[int, int]]) -> Colum
     return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi")), step)["lo"]
 
 
-def shard(docs: DataFrame, n_shards: int = 40, text: str = "text", doc_id: str = "doc_id", ranges: int | None = None, sample: int = 8000) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, size, text_crc32, law, shard, slot, grown_shard``.
+def shard(docs: DataFrame, n_shards: int = 40, text: str = "text", doc_id: str = "doc_id", ranges: int | None = None, sample: int = 8000, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, size, text_crc32, law, shard, slot, grown_shard``, and the columns of ``docs`` that ``carry`` names.
 
     Rows are ordered by (64-bit hash of the text, doc_id), so that equal texts stand together and a large group
     of copies is still cut by doc_id. ``size`` is the text's UTF-8 bytes plus 16. Law ``bytes``: shard s holds the
@@ -39,7 +39,8 @@ def shard(docs: DataFrame, n_shards: int = 40, text: str = "text", doc_id: str =
 
     The sample has about ``sample`` keys at any input size (a bounded parameter); it only sets which task sorts
     which rows. Sampling probability is in proportion to size. Null texts have size 16 and hash and CRC null; rows
-    with null ids come first among equal texts. Identical rows take their slots in any order. Empty input gives no rows.
+    with null ids come first among equal texts. Identical rows take their slots in any order. Texts of any length are sized
+    whole; other columns are ignored unless carried, also where their names clash. Empty input gives no rows.
     """
     spark = docs.sparkSession
     parts = ranges or max(n_shards, 2 * partitions(spark))
@@ -50,6 +51,7 @@ def shard(docs: DataFrame, n_shards: int = 40, text: str = "text", doc_id: str =
             F.crc32(F.col(text).cast("binary")).alias("text_crc32"),
             F.xxhash64(F.col(text)).alias("__high"),
             F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("__low"),
+            *[F.col(c).alias(f"__carry_{c}") for c in carry],
         ),
         "shard-keys",
     )
@@ -71,14 +73,16 @@ def shard(docs: DataFrame, n_shards: int = 40, text: str = "text", doc_id: str =
 
     sums = placed.groupBy("__range").agg(F.sum("size").alias("__bytes"))  # one row per range: at most 4 * sample + ranges
     before = sums.withColumn("__before", F.sum("__bytes").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))).select("__range", F.coalesce("__before", F.lit(0)).alias("__before"))
-    within = Window.partitionBy("__range").orderBy("__high", "__low", "size", "text_crc32")
-    running = placed.join(F.broadcast(before), "__range").withColumn("__end", F.col("__before") + F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    within = Window.partitionBy("__range").orderBy("__high", "__low", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, 0)
+    running = placed.join(F.broadcast(before), "__range").withColumns({"__end": F.col("__before") + F.sum("size").over(within), "__row": F.count(F.lit(1)).over(within)})
     # the shard of the middle byte, in whole numbers
     at = F.expr(f"cast((2 * __end - size) * {n_shards} div {2 * max(total, 1)} as int)")
     cutting = cut(running.withColumn("shard", F.least(F.lit(n_shards - 1), at)), "shard-cuts")
-    counts = cutting.groupBy("shard", "__range").agg(F.count(F.lit(1)).alias("__n"))  # bounded by ranges + shards
-    first = counts.withColumn("__first", F.coalesce(F.sum("__n").over(Window.partitionBy("shard").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    slot = F.row_number().over(Window.partitionBy("__range", "shard").orderBy("__high", "__low", "size", "text_crc32")) - 1
+    # a range's rows of one shard follow each other; as many of these counts as ranges and shards
+    counts = cutting.groupBy("shard", "__range").agg(F.count(F.lit(1)).alias("__n"), F.min("__row").alias("__least"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("shard").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = counts.select("shard", "__range", (before - F.col("__least")).alias("__first"))
     return cutting.join(F.broadcast(first), ["shard", "__range"]).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("__first") + slot).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
-    )
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("__first") + F.col("__row")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+        *[F.col(f"__carry_{c}").alias(c) for c in carry],
+    )
