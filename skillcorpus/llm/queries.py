@@ -17,7 +17,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents that 5-word shingles link at a Jaccard similarity of 3/4."""
-    return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
+    return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op3_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,9 +91,11 @@ WITH rules(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'b
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM j WHERE n = 1""",
     "op6_poisson_mix": """
 WITH d AS (SELECT doc_id, source, text, coalesce(source, '') AS s, coalesce(octet_length(encode(text)), 0) AS nb FROM documents),
- r AS (SELECT s, least(16.0::DOUBLE, sum(sum(nb + 1)) OVER () / (count(*) OVER () * sum(nb + 1))::DOUBLE) AS rate FROM d GROUP BY s),
+ r0 AS (SELECT s, sum(sum(nb + 1)) OVER () / (count(*) OVER () * sum(nb + 1))::DOUBLE AS whole FROM d GROUP BY s),
+ r AS (SELECT s, greatest(1, ceil(whole / 16.0::DOUBLE))::BIGINT AS draws, whole / greatest(1, ceil(whole / 16.0::DOUBLE)) AS rate FROM r0),
  p AS (SELECT s, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY s ORDER BY k) AS cdf FROM r, range(0, 76) t(k)),
- u AS (SELECT d.*, ('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u FROM d),
+ u AS (SELECT d.*, i, ('0x' || substr(md5(CASE WHEN i = 0 THEN '7:' ELSE '7/' || i || ':' END || coalesce(doc_id::VARCHAR, 'text ' || md5(text), '')), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u
+   FROM d JOIN (SELECT s, unnest(range(0, draws)) AS i FROM r) USING (s)),
  n AS (SELECT u.doc_id, u.source, u.text, u.nb, count(*) FILTER (WHERE cdf <= u) AS n FROM u JOIN p USING (s) GROUP BY ALL)
 SELECT doc_id, source, unnest(range(0, n))::INT AS copy, nb::BIGINT AS n_bytes, md5(text) AS text_md5 FROM n WHERE n > 0""",
     "op8_quotation_links": r"""

@@ -152,6 +152,63 @@ def test_language_id_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def grams(text: str) -> dict:
+    """(order, feature) -> how often, from the bytes before each place one by one."""
+    fold = lambda b: b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32
+    x = [32, 32, 32, *map(fold, text.encode())]
+    out = defaultdict(int)
+    for i in range(3, len(x)):
+        three = x[i] | x[i - 1] << 8 | x[i - 2] << 16
+        four = three ^ (x[i - 3] * 0x01000193 & 0xFFFFFFFF)
+        for order, salt, gram in ((0, 0x9E3779B1, three), (1, 0x85EBCA77, four)):
+            out[order, (gram * salt & 0xFFFFFFFF) >> 32 - language_id.FEATURE_BITS] += 1
+    return out
+
+
+def test_language_id_against_plain_python(spark):
+    rng = random.Random(4)
+    sounds = {"aa": ["ka", "lo", "mi"], "bb": ["ko", "la", "mu"], "cc": ["ti", "re", "sö"]}
+    word = lambda k: "".join(rng.choice(sounds[k]) for _ in range(rng.randint(1, 4)))
+    rows = [(i, " ".join(word(k) for _ in range(rng.randint(1, 12))), k) for i, k in enumerate([*sounds] * 12)] + [(90, "x", None), (91, "", None), (92, "12 !", None), (93, "Ka", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    draw = {r.doc_id: r.fold for r in docs.select("doc_id", (F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(1 << 30)) % 2).alias("fold")).collect()}
+    got = {r.doc_id: r for r in language_id.identify(docs, language_id.train(docs)).collect()}
+
+    langs, size = sorted(sounds), 1 << language_id.FEATURE_BITS
+    code = language_id.codewords(3)
+    count = {(k, f): defaultdict(float) for k in langs for f in (0, 1)}
+    for i, text, k in rows:
+        for key, n in grams(text).items() if k else ():
+            count[k, draw[i]][key] += n / len(text.encode()) ** 0.5
+
+    def weights(folds):
+        share = []
+        for k in langs:
+            one = {key: sum(count[k, f].get(key, 0) for f in folds) + 0.05 for f0 in folds for key in count[k, f0]}
+            total = [sum(v for (o, _), v in one.items() if o == order) + 0.05 * (size - sum(o == order for o, _ in one)) for order in (0, 1)]
+            share.append(lambda key, one=one, total=total: one.get(key, 0.05) / total[key[0]])
+        mean = lambda key, b, side: (v := [share[j](key) for j in range(3) if code[j, b] == side], sum(v) / len(v))[1]
+        return lambda key, b: max(-4.0, min(4.0, float(np.log(mean(key, b, 1) / mean(key, b, -1)))))
+
+    bits = range(code.shape[1])
+    margin = np.zeros((2, 3, len(bits)))
+    for half in (0, 1):
+        w = weights([1 - half])
+        for j, k in enumerate(langs):
+            sums = [sum(v for (o, _), v in count[k, half].items() if o == order) for order in (0, 1)]
+            margin[half, j] = [sum(v / sums[key[0]] * w(key, b) for key, v in count[k, half].items()) * code[j, b] for b in bits]
+    scale, good = 1 / np.abs(margin).mean((0, 1)), np.maximum((margin > 0).mean((0, 1)) - 0.5, 0.01)
+    w = weights([0, 1])
+    for i, text, _ in rows:
+        if not any(c.isalpha() for c in text):
+            assert got[i].lang_pred == "und" and got[i].score == 0
+            continue
+        m = np.array([sum(n * w(key, b) for key, n in grams(text).items()) / len(text.encode()) for b in bits]) * scale * 2
+        loss = np.array([(np.logaddexp(0, -m * c) * good / good.sum()).sum() for c in code])
+        p = np.exp(-6 * (loss - loss.min()))
+        assert got[i].lang_pred == langs[int(loss.argmin())] and got[i].score == pytest.approx(p.max() / p.sum(), abs=1e-4)
+
+
 def test_codewords_are_apart():
     for n in (2, 3, 5, 7, 12, 40):
         code = language_id.codewords(n)
@@ -179,7 +236,9 @@ def greedy_tiles(doc: list[str], item: list[str], k: int) -> int:
         covered += n
 
 
-def test_string_tiling(spark):
+@pytest.mark.parametrize("step", [1, 37, 1 << 20])
+def test_string_tiling(spark, step, monkeypatch):
+    monkeypatch.setattr(decontamination, "STEP", step)
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abc") for _ in range(2))
     items = [(i, [word() for _ in range(rng.randint(1, 24))]) for i in range(12)]
@@ -196,12 +255,19 @@ def test_string_tiling(spark):
         docs.append((d, w))
     got = decontamination.leaks(spark.createDataFrame([(d, " ".join(w).upper()) for d, w in docs], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string"), threshold=0.6)
     want = {(d, i): c for d, w in docs for i, t in items if (c := greedy_tiles(w, t, min(5, len(t))) / len(t)) >= 0.6}
-    assert {(r.ref, r.item_id): pytest.approx(r.coverage) for r in got.collect()} == want
+    assert {(r.doc_id, r.item_id): pytest.approx(r.coverage) for r in got.collect()} == want
+
+
+def test_a_text_that_repeats_a_passage():
+    """Pairs of positions are never all there at once, and tiling ends when the item is full."""
+    doc, item = np.zeros(200_000, np.int64), np.zeros(56, np.int64)
+    found = decontamination.matches(doc, np.arange(len(doc)), item, np.arange(len(item)), 5)
+    assert found[:, 2].max() == 60 and len(found) == 200_055 and decontamination.tile(found, 5, 60) == [(0, 0, 60)]
 
 
-def test_tiling_in_blocks(spark, sf_dir, monkeypatch):
+def test_tiling_with_a_full_filter(spark, sf_dir, monkeypatch):
     one = {(r.doc_id, tuple(r.item_ids)) for r in queries.op9_string_tiling(spark, sf_dir).collect()}
-    monkeypatch.setattr(decontamination, "BLOCK_TOKENS", 100)
+    monkeypatch.setattr(decontamination, "FILTER_BITS", 1 << 15)
     assert {(r.doc_id, tuple(r.item_ids)) for r in queries.op9_string_tiling(spark, sf_dir).collect()} == one
     items = {r.item_id: " ".join(r.text.lower().split()) for r in table(spark, sf_dir, "benchmark").collect()}
     for r in table(spark, sf_dir, "documents").collect():

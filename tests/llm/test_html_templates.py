@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+import re
+
 from skillcorpus.llm import html_extract
 
 ARTICLE = "<body><div class=top>Welcome</div><article><p>Article {0} body</p></article></body>"
@@ -43,3 +46,34 @@ def test_runs_that_repeat_are_one():
     assert html_extract.folded(["a", "b", "a", "b"])[0] == ["a", "b", "a", "b"]
     wrapper = html_extract.align(["a", "b+", "a"], ["a"])
     assert html_extract.match(["a", "b+", "a"], wrapper) == [0, 1, 2] and len(html_extract.match(["a"], wrapper)) == 1
+
+
+def test_another_wrapper_gives_another_text():
+    """What is kept is what stands at the wrapper's data places: of the same shape another wrapper keeps other items."""
+    shape, data = ["top", "story", "story/div", "end"], {1}
+    assert html_extract.main_items(shape, data, html_extract.match(shape, shape)) == [1]
+    assert html_extract.main_items(["junk"], data, html_extract.match(shape, ["junk"])) == []
+    assert html_extract.main_items(["end", "top", "story?"], data, html_extract.match(shape, ["end", "top", "story?"])) == [0]
+
+
+def test_wrappers_against_brute_force(spark):
+    """The inferred expression, run as a regular expression, takes every shape of its template; it has no union and no place that no shape fills."""
+    rng = random.Random(8)
+    shapes = set()
+    for _ in range(40):
+        body = ["nav"] * rng.randint(0, 1) + ["head"] + ["p/a"] * rng.randint(0, 3) + (["row/x", "row/y"] * rng.randint(0, 6)) + ["foot"] + ["end"] * rng.randint(0, 1)
+        shapes.add("\n".join(html_extract.folded(body)[0]))
+    rows = [("h", k, s, 1) for k, s in enumerate(sorted(shapes))]
+    found = html_extract.templates(spark.createDataFrame(rows, "host string, sid long, shape string, n long")).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        parts = [(w.rstrip("+?"), w[len(w.rstrip("+?")) :]) for w in r.wrapper.split("\n")]
+        pattern = "".join(f"(?:{re.escape(n)}\\+?,)" + ("?" if "?" in f else "") for n, f in parts)
+        assert re.fullmatch(pattern, r.shape.replace("\n", ",") + ","), (r.shape, r.wrapper)
+        places = html_extract.match(r.shape.split("\n"), r.wrapper.split("\n"))
+        assert places == sorted(set(places)) and min(places) >= 0
+        assert all("?" in f or i in places for i, (_, f) in enumerate(parts))
+    used = {}
+    for r in found:
+        used.setdefault(r.wrapper, set()).update(html_extract.match(r.shape.split("\n"), r.wrapper.split("\n")))
+    assert all(u == set(range(len(w.split("\n")))) for w, u in used.items())
