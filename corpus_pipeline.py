@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skillcorpus.llm import decontamination, jaccard_join, language_id, mixing, sharding
@@ -12,35 +12,75 @@ from skillcorpus.plans.storage import cut
 from skillcorpus.sources.tables import table
 
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: What a row is found again by: an id alone may be lacking or repeated.
+KEY = ["doc_id", "text_hash"]
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(*DOCUMENTS, F.xxhash64("text").alias("text_hash"))
+
+
+def _same(a: str, b: str) -> Column:
+    """Whether rows of two tables have one key; rows without an id, too."""
+    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & F.col(f"{a}.text_hash").eqNullSafe(F.col(f"{b}.text_hash"))
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a language that the model knows; ``und`` goes. One between two languages is flagged, but clean text, and stays."""
+    """Keeps documents in a language that the model knows; ``und`` goes. One between two languages is flagged, but clean text, and stays.
+
+    The model learns from the labelled documents at hand. Null and empty texts and such without a letter are ``und``. Each row is judged
+    by its text alone, so rows without an id, or repeated ones, go or stay like others. An empty table, or one without labels, keeps nothing. Columns beside those of documents go.
+    """
     model = language_id.train(docs)
     found = language_id.identify(docs.select(*DOCUMENTS), model)
     return found.filter(F.col("lang_pred") != language_id.UNKNOWN).select(*DOCUMENTS)
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each class of near duplicates; documents without shingles, or without an id, stay."""
-    others = cut(jaccard_join.jaccard_classes(docs).filter("doc_id <> component_id").select("doc_id").distinct(), "others")
-    return docs.select(*DOCUMENTS).join(others, "doc_id", "left_anti")
+    """Keeps one row of each class of near duplicates: that of the least id (rows without an id last), then of the least hash of its text.
+
+    Of rows with one id and text one stays; rows of one id but unlike texts are of classes of their own and stay. Null and empty texts, and
+    texts without words, are in no class and stay, repeated ones too. An empty table gives no rows. Columns beside those of documents go.
+    """
+    classes = cut(jaccard_join.jaccard_classes(docs).select(*KEY, "class").filter("class is not null"), "classes")
+    rows = classes.groupBy(*KEY, "class").agg(F.count(F.lit(1)).alias("n"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    kept = classes.groupBy("class").agg(F.min(order).alias("kept"))
+    judged = cut(rows.join(kept, "class").select(*KEY, order.eqNullSafe(F.col("kept")).alias("stays"), "n"), "judged")
+    docs = _keyed(docs)
+    repeated = judged.filter("stays and n > 1")
+    gone = cut(judged.filter("not stays or n > 1").select(*KEY), "gone")
+    rest = docs.alias("d").join(gone.alias("g"), _same("d", "g"), "left_anti").select(*DOCUMENTS)
+    others = [c for c in DOCUMENTS if c != "doc_id"]
+    copies = docs.alias("d").join(repeated.alias("r"), _same("d", "r"), "left_semi").groupBy(*KEY).agg(F.min(F.struct(*others)).alias("row"))
+    return rest.union(copies.select("doc_id", *[F.col(f"row.{c}").alias(c) for c in others]).select(*DOCUMENTS))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
-    leaks = cut(decontamination.leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("ref").alias("doc_id")).distinct(), "leaks")
-    return docs.select(*DOCUMENTS).join(leaks, "doc_id", "left_anti")
+    """Drops documents of which a benchmark item covers its threshold, row by row: a row that shares its id with one of these stays if its text is clean.
+
+    Rows without an id are judged like others, and all rows of one id and text alike. Null and empty texts hold no item and stay. Empty
+    tables give no rows, or all documents. Columns beside those of documents go.
+    """
+    found = cut(decontamination.leaks(docs, table(spark, sf_dir, "benchmark")).select(*KEY).distinct(), "leaks")
+    return _keyed(docs).alias("d").join(found.alias("f"), _same("d", "f"), "left_anti").select(*DOCUMENTS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats documents so that all sources weigh the same, in random order."""
+    """Repeats documents so that all sources weigh the same, in random order, with as many bytes in all as before.
+
+    A null source is one source; rows without an id are drawn by their text; repeated rows are repeated equally often. Null texts weigh one byte.
+    An empty table gives no rows. Columns beside those of documents go.
+    """
     return mixing.mix(docs.select(*DOCUMENTS)).select(*DOCUMENTS)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deals the rows to 40 shards of near equal bytes."""
-    return sharding.shard(docs, 40)
+    """Deals the rows, with all columns of documents, to 40 shards of near equal bytes.
+
+    Each row has a place of its own, also where ids lack or repeat; equal rows take theirs in any order. Null texts have 16 bytes. An empty table gives no rows.
+    """
+    return sharding.shard(docs, 40, carry=("text", "lang", "source", "n_chars"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
