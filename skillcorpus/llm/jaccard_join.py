@@ -382,6 +382,7 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     comps = components(links).toDF("g", "c")
     named = sets.join(comps, "g", "left").withColumn("c", F.coalesce("c", "g"))
-    least = named.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"))
-    alone = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
+    # written and without classes of one row, so that the join is one that Spark can split where a class is large
+    least = cut(named.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("c", "least"), "least")
+    alone = F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id"))
     return named.join(least, "c", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), alone.alias("component_id"), F.when(F.col("n") > 0, F.col("c")).alias("class"), F.col("th").alias("text_hash"))
