@@ -29,13 +29,18 @@ GOAL_STOP = (
 MATCH_STOP = "the and for with when use this that your you from into make build want need skill skills using app apps a an to of in on or my".split()
 
 
+#: The characters of ``WS``, for trimming without a pattern.
+BLANKS = " \t\n\x0b\f\r\u00a0\ufeff" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def js_trim(c: Column) -> Column:
     """Without outer white space of any kind."""
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.trim(c, F.lit(BLANKS))
 
 
 def count_of(c: Column, pattern: str) -> Column:
-    return F.regexp_count(c, F.lit(pattern))
+    """How often a pattern of characters beyond ASCII occurs; a text of ASCII alone is not searched."""
+    return F.when(F.octet_length(c) == F.length(c), 0).otherwise(F.regexp_count(c, F.lit(pattern)))
 
 
 def half_up(c: Column) -> Column:

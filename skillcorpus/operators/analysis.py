@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skillcorpus.functions import rules as R
-from skillcorpus.functions.text import estimate_tokens, half_up, js_trim
+from skillcorpus.functions.text import WS, estimate_tokens, half_up, js_trim
 
-LIMIT = 262_144
 FINDING = "struct<severity:string,category:string,title:string>"
+
+
 def hit(c: Column, pattern: str) -> Column:
     return F.coalesce(F.rlike(c, F.lit(pattern)), F.lit(False))
 
@@ -58,15 +59,15 @@ def frontmatter(block: Column) -> Column:
 
 
 def parse(skills: DataFrame) -> DataFrame:
-    """Adds ``text`` (line ends normalised, at most ``LIMIT`` characters), ``has_frontmatter, fm, fm_name, description, tools_raw, body``."""
-    text = F.substring(F.regexp_replace(F.coalesce(F.col("md"), F.lit("")), "\r\n?", "\n"), 1, LIMIT)
+    """Adds ``text`` (line ends normalised, whole), ``has_frontmatter, fm, fm_name, description, tools_raw, body``."""
+    text = F.regexp_replace(F.coalesce(F.col("md"), F.lit("")), "\r\n?", "\n")
     head = r"\A\x{feff}?\s*---\s*\n([\s\S]*?)\n---"
     rows = skills.withColumn("text", text).withColumn("__head", F.regexp_extract("text", head, 0)).withColumn("has_frontmatter", F.col("__head") != "")
     rows = rows.withColumn("fm", F.when(F.col("has_frontmatter"), frontmatter(F.regexp_extract("text", head, 1))).otherwise(F.create_map().cast("map<string,string>")))
     get = lambda k: F.element_at("fm", F.lit(k))
     return rows.withColumns({
         "fm_name": F.coalesce(get("name"), F.lit("")), "description": F.coalesce(get("description"), F.lit("")),
-        "tools_raw": F.coalesce(get("allowed-tools"), get("allowedtools"), get("allowed_tools"), F.lit("")), "body": F.substring(F.col("text"), F.length("__head") + 1, F.lit(LIMIT)),
+        "tools_raw": F.coalesce(get("allowed-tools"), get("allowedtools"), get("allowed_tools"), F.lit("")), "body": F.substr("text", F.length("__head") + 1),
     }).drop("__head")
 
 
@@ -107,12 +108,11 @@ def broad_words(desc: Column) -> Column:
 
 def repeated_lines(body: Column) -> Column:
     """How many prose lines of more than 24 characters, outside fences, repeat an earlier one."""
-    step = lambda acc, raw: F.when(
-        F.rlike(js_trim(raw), F.lit("^(?:```|~~~)")), F.struct((~acc["fence"]).alias("fence"), acc["lines"].alias("lines"))
-    ).when(acc["fence"] | (F.length(js_trim(raw)) <= 24), acc).otherwise(F.struct(acc["fence"].alias("fence"), F.concat(acc["lines"], F.array(js_trim(raw))).alias("lines")))
-    begin = F.struct(F.lit(False).alias("fence"), F.array().cast("array<string>").alias("lines"))
-    lines = F.aggregate(F.split(body, "\n", -1), begin, step, lambda acc: acc["lines"])
-    return F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0]
+    blank = WS.replace(r"\s", r" \t\x0b\f\r")
+    fence = rf"(?dm)^{blank}*(?:```|~~~)[^\n]*(?:\n[\s\S]*?)??(?:\n{blank}*(?:```|~~~)[^\n]*|\z)"
+    prose = F.when(F.contains(body, F.lit("```")) | F.contains(body, F.lit("~~~")), F.regexp_replace(body, fence, "")).otherwise(body)
+    lines = F.filter(F.transform(F.split(prose, "\n", -1), js_trim), lambda x: F.length(x) > 24)
+    return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
 
 
 def axes(parsed: DataFrame) -> DataFrame:
@@ -197,10 +197,15 @@ def rule_hits(text: Column, rules: list[R.Rule] = R.RISK_RULES, fields: tuple[st
     return let(F.struct(text.alias("text"), F.lower(text).alias("low")), of)
 
 
+def fenced(text: Column, pattern: str) -> Column:
+    """All fences of a text that a pattern describes; a text without back-ticks is not searched."""
+    return F.when(F.contains(text, F.lit("```")), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+
+
 def scripts(text: Column) -> Column:
     """The code of fenced scripts: blocks of a script language, or of none that look like shell."""
     fence = r"```([a-zA-Z0-9_+-]*)[^\n]{0,240}\n([\s\S]*?)```"
-    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(fence), F.lit(1)).alias("lang"), F.regexp_extract_all(text, F.lit(fence), F.lit(2)).alias("code"))
+    pairs = F.transform(fenced(text, fence), lambda x: F.struct(F.regexp_extract(x, fence, 1).alias("lang"), F.regexp_extract(x, fence, 2).alias("code")))
     is_script = lambda p: F.lower(p["lang"]).isin(R.SCRIPT_LANGS) | ((p["lang"] == "") & F.rlike(p["code"], F.lit(R.SHELLISH)))
     return F.transform(F.filter(pairs, is_script), lambda p: p["code"])
 
@@ -259,7 +264,7 @@ def risk(rows: DataFrame) -> DataFrame:
     raw_ip = F.exists(F.flatten(F.transform("__code", lambda c: F.regexp_extract_all(c, F.lit(R.URL_IP), F.lit(1)))), lambda ip: ~F.rlike(ip, F.lit(R.LOCAL_IP)))
     path = cap("secret") & cap("network") & (sensitive | cap("encoded", "critical") | raw_ip)
     mild = F.col("defensive") & ~(cap("encoded", "critical") | (raw_ip & sensitive))
-    fenced = F.array_join(F.regexp_extract_all(text, F.lit(r"(```[\s\S]*?```)"), F.lit(1)), "\n")
+    blocks = F.array_join(fenced(text, r"```[\s\S]*?```"), "\n")
     claim = lambda name: hit(d, R.CLAIMS[name])
     found_crit = [F.when(critical(label), finding("critical", "shell", f"Script capability: {label.lower()}")) for label in dict.fromkeys(b[2] for b in R.BEHAVIORS)]
     rows = rows.withColumn("__chain", F.concat(
@@ -269,9 +274,9 @@ def risk(rows: DataFrame) -> DataFrame:
     ))
     rows = rows.withColumn("notes", found((chain & ~malice, finding("medium", "exfil", "Reads credentials and makes network calls — verify the destination"))))
     behaves = lambda *names: F.exists(F.concat("__rules", "__chain", "notes", "quality_findings"), lambda f: (f["severity"] != "low") & f["category"].isin(*names))
-    deletes = behaves("destructive") | hit(fenced, R.DEEDS["deletes"])
-    network = behaves("egress", "exfil") | hit(fenced, R.DEEDS["network"])
-    shell = behaves("shell") | hit(fenced, R.DEEDS["shell"])
+    deletes = behaves("destructive") | hit(blocks, R.DEEDS["deletes"])
+    network = behaves("egress", "exfil") | hit(blocks, R.DEEDS["network"])
+    shell = behaves("shell") | hit(blocks, R.DEEDS["shell"])
     rows = rows.withColumn("contradiction", F.coalesce(F.when(claim("read_only") & deletes, "read_only"), F.when(claim("no_delete") & deletes, "no_delete"), F.when(claim("no_network") & network, "no_network"), F.when(claim("no_shell") & shell, "no_shell")))
     broken = found((F.col("contradiction").isNotNull(), finding("medium", "injection", "Description contradicts the skill’s behavior")))
     return rows.withColumn("risk_findings", F.concat("__rules", "__chain", broken)).drop("__code", "__rules", "__cats", "__chain")

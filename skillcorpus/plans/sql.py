@@ -56,7 +56,7 @@ def _fm(key: str) -> str:
     return rf"""regexp_replace({trimmed(f"regexp_extract(block, '(?m)^{key}[ \t]*:[ \t]*(.*)$', 1)")}, '^["'']|["'']$', '', 'g')"""
 
 
-PARSED = rf"""pf0 AS (SELECT *, left(regexp_replace(md, '\r\n?', chr(10), 'g'), 262144) AS text FROM sk),
+PARSED = rf"""pf0 AS (SELECT *, regexp_replace(md, '\r\n?', chr(10), 'g') AS text FROM sk),
 pf1 AS (SELECT *, regexp_extract(text, {HEAD}, 0) AS head, regexp_extract(text, {HEAD}, 1) AS block FROM pf0),
 pf AS (SELECT *, head <> '' AS has_frontmatter, {_fm("name")} AS fm_name, {_fm("description")} AS description, {_fm("allowed-tools")} AS tools_raw, substr(text, length(head) + 1) AS body FROM pf1)"""
 

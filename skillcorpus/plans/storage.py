@@ -45,4 +45,4 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     Jobs that scan texts are bound by CPU; a large input comes in many splits and is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(4 * cores, key)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
