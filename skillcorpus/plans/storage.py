@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Where tables that ``cut`` wrote are.
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
@@ -31,7 +36,19 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    written = spark.read.schema(schema).parquet(path)
+    _PATHS[written] = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``cut`` wrote and that nothing reads any more, so that they take no room while a job goes on."""
+    for df in tables:
+        path = _PATHS.pop(df, None)
+        if path:
+            context = df.sparkSession.sparkContext
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def partitions(spark: SparkSession) -> int:
