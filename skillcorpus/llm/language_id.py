@@ -187,7 +187,7 @@ def train(rows: DataFrame, lang: str = "lang", text: str = "text", doc_id: str =
     share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(spread, int(spread * per_language / r["n"]))))])
     draw = F.pmod(F.xxhash64(F.col(doc_id), F.col(text), F.lit(3)), F.lit(spread))
     taken = labelled.filter(draw < F.coalesce(share[F.col(lang)], F.lit(0))).select(F.col(lang).alias("lang"), (draw % 2).cast("int").alias("fold"), F.col(text).cast("string").alias("text"))
-    counted = taken.repartition(COUNTERS, F.xxhash64("text")).mapInArrow(_counts, "lang string, fold int, counts binary")
+    counted = taken.repartition(COUNTERS).mapInArrow(_counts, "lang string, fold int, counts binary")
     summed = counted.groupBy("lang", "fold").applyInArrow(_summed, "lang string, fold int, counts binary")
     langs = sorted(r["lang"] for r in sizes)
     counts = np.zeros((len(langs), 2, 2, 1 << FEATURE_BITS))
