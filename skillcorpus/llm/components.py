@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skillcorpus.plans.storage import cut
+from skillcorpus.plans.storage import cut, discard
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,10 +26,12 @@ def components(edges: DataFrame) -> DataFrame:
             names = to.withColumnRenamed("to", "comp")
         else:
             step = to.withColumnRenamed("node", "comp")
-            names = cut(names.join(step, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "components")
+            known, names = names, cut(names.join(step, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "components")
+            discard(known)
         a, b = to.toDF("a", "ta"), to.toDF("b", "tb")
         renamed = pairs.join(a, "a").join(b, "b").filter("ta <> tb")
-        pairs = cut(renamed.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "edges")
+        done, pairs = pairs, cut(renamed.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "edges")
+        discard(done)
     if names is None:
         return pairs.select(F.col("a").alias("node"), F.col("b").alias("comp"))
     return names

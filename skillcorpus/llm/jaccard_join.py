@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from skillcorpus.llm.components import components
 from skillcorpus.llm.shingles import Hasher, digest
-from skillcorpus.plans.storage import cut, partitions
+from skillcorpus.plans.storage import cut, discard, partitions
 
 #: Postings that a mapper gathers before it deals them out, and shingles of one search task at most.
 DEAL, TASK = 1 << 20, 1 << 19
@@ -356,7 +356,7 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     slim = slim.select("doc_id", F.coalesce("doc_id", F.xxhash64("text")).alias("ref"), "text", F.xxhash64("text").alias("th"))  # ref finds a text again
     dealt = cut(slim.mapInArrow(_postings(buckets, HEAVY), DEALT), "postings")
-    sets = dealt.filter("kind = 1").select("doc_id", "ref", "g", "n", "th")
+    sets = cut(dealt.filter("kind = 1").select("doc_id", "ref", "g", "n", "th"), "set-names")
     lengths = dealt.filter("kind = 2").select("h", "sizes").mapInArrow(_lengths, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     found = lengths.filter(F.col("n") >= HOT).toPandas()  # one of HOT postings at most
     postings = dealt.filter("kind = 0").select("key", "h", "ids", "sizes")
@@ -370,9 +370,11 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         shared = postings.groupBy("key").applyInArrow(_shared(buckets), DEALT)
     kept = shared.select("key", "h", "ids", "sizes", "df").groupBy("key").applyInArrow(_short_lists(buckets, HOT), DEALT)
     kept = cut(kept.select("kind", "key", "h", "ids"), "short-lists")
+    discard(dealt)
     stars = kept.filter("kind = 0").select("key", "h", "ids").groupBy("key").applyInArrow(_stars, "a long, b long")
     edges = stars.union(kept.filter("kind = 2").select("h", "ids").mapInArrow(_hubs, "a long, b long"))
     blocks = components(edges)
+    discard(kept)
 
     first = sets.filter("n > 0").groupBy("g").agg(F.min("ref").alias("ref"), F.max("n").alias("n"))
     members = cut(first.join(blocks.toDF("g", "block"), "g"), "blocks")
@@ -381,6 +383,7 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     links = _links(found, members.select("g", "block", "n"), 4 * buckets)
 
     comps = components(links).toDF("g", "c")
+    discard(found, members, blocks)
     named = sets.join(comps, "g", "left").withColumn("c", F.coalesce("c", "g"))
     # written and without classes of one row, so that the join is one that Spark can split where a class is large
     least = cut(named.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("c", "least"), "least")
