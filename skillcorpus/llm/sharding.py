@@ -44,17 +44,15 @@ def shard(docs: DataFrame, n_shards: int = 40, text: str = "text", doc_id: str =
     """
     spark = docs.sparkSession
     parts = ranges or max(n_shards, 2 * partitions(spark))
-    rows = cut(
-        docs.select(
-            F.col(doc_id).cast("long").alias("doc_id"),
-            (F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 16).cast("long").alias("size"),
-            F.crc32(F.col(text).cast("binary")).alias("text_crc32"),
-            F.xxhash64(F.col(text)).alias("__high"),
-            F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("__low"),
-            *[F.col(c).alias(f"__carry_{c}") for c in carry],
-        ),
-        "shard-keys",
+    whole = docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"),
+        (F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 16).cast("long").alias("size"),
+        F.crc32(F.col(text).cast("binary")).alias("text_crc32"),
+        F.xxhash64(F.col(text)).alias("__high"),
+        F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("__low"),
+        *[F.col(c).alias(f"__carry_{c}") for c in carry],
     )
+    rows = cut(whole.select("doc_id", "size", "text_crc32", "__high", "__low"), "shard-keys")
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     # a row is in the sample with a probability in proportion to its size
     chance = F.pmod(F.xxhash64("__high", "__low", F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -62,27 +60,33 @@ def shard(docs: DataFrame, n_shards: int = 40, text: str = "text", doc_id: str =
     keys = sorted((r[0], r[1]) for r in drawn.collect())
     bounds = sorted({keys[len(keys) * i // parts] for i in range(1, parts)}) if keys else []
 
-    placed = rows.withColumn("__range", _range_of(F.col("__high"), F.col("__low"), bounds))
-    filled = {r[0]: r[1] for r in placed.groupBy("__range").agg(F.sum("size")).collect()}
+    def placed(of: DataFrame) -> DataFrame:
+        return of.withColumn("__range", _range_of(F.col("__high"), F.col("__low"), bounds))
+
+    filled = {r[0]: r[1] for r in placed(rows).groupBy("__range").agg(F.sum("size")).collect()}
     over = {r for r, size in filled.items() if size > 2 * total / parts}
     if over:  # subdivide overfull ranges at every sampled key inside
         edges = [None, *bounds, None]
         inside = [k for k in keys if any((edges[r] is None or k > edges[r]) and (edges[r + 1] is None or k < edges[r + 1]) for r in over)]
         bounds = sorted({*bounds, *inside})
-        placed = rows.withColumn("__range", _range_of(F.col("__high"), F.col("__low"), bounds))
 
-    sums = placed.groupBy("__range").agg(F.sum("size").alias("__bytes"))  # one row per range: at most 4 * sample + ranges
+    sums = placed(rows).groupBy("__range").agg(F.sum("size").alias("__bytes"))  # one row per range: at most 4 * sample + ranges
     before = sums.withColumn("__before", F.sum("__bytes").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))).select("__range", F.coalesce("__before", F.lit(0)).alias("__before"))
     within = Window.partitionBy("__range").orderBy("__high", "__low", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, 0)
-    running = placed.join(F.broadcast(before), "__range").withColumns({"__end": F.col("__before") + F.sum("size").over(within), "__row": F.count(F.lit(1)).over(within)})
     # the shard of the middle byte, in whole numbers
     at = F.expr(f"cast((2 * __end - size) * {n_shards} div {2 * max(total, 1)} as int)")
-    cutting = cut(running.withColumn("shard", F.least(F.lit(n_shards - 1), at)), "shard-cuts")
+
+    def cutting(of: DataFrame) -> DataFrame:
+        running = placed(of).join(F.broadcast(before), "__range").withColumns({"__end": F.col("__before") + F.sum("size").over(within), "__row": F.count(F.lit(1)).over(within)})
+        return running.withColumn("shard", F.least(F.lit(n_shards - 1), at))
+
+    known = cut(cutting(rows), "shard-cuts")
     # a range's rows of one shard follow each other; as many of these counts as ranges and shards
-    counts = cutting.groupBy("shard", "__range").agg(F.count(F.lit(1)).alias("__n"), F.min("__row").alias("__least"))
-    before = F.coalesce(F.sum("__n").over(Window.partitionBy("shard").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    first = counts.select("shard", "__range", (before - F.col("__least")).alias("__first"))
-    return cutting.join(F.broadcast(first), ["shard", "__range"]).select(
+    counts = known.groupBy("shard", "__range").agg(F.count(F.lit(1)).alias("__n"), F.min("__row").alias("__least"))
+    earlier = F.coalesce(F.sum("__n").over(Window.partitionBy("shard").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = counts.select("shard", "__range", (earlier - F.col("__least")).alias("__first"))
+    # carried columns take the same places in a pass of their own: they are moved once and written nowhere
+    return (cutting(whole) if carry else known).join(F.broadcast(first), ["shard", "__range"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("__first") + F.col("__row")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
         *[F.col(f"__carry_{c}").alias(c) for c in carry],
     )
