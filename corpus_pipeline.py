@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skillcorpus.llm import decontamination, jaccard_join, language_id, mixing, sharding
-from skillcorpus.plans.storage import cut
+from skillcorpus.plans.storage import cut, discard
 from skillcorpus.sources.tables import table
 
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -47,6 +47,7 @@ def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
     kept = classes.groupBy("class").agg(F.min(order).alias("kept"))
     judged = cut(rows.join(kept, "class").select(*KEY, order.eqNullSafe(F.col("kept")).alias("stays"), "n"), "judged")
+    discard(classes)
     docs = _keyed(docs)
     repeated = judged.filter("stays and n > 1")
     gone = cut(judged.filter("not stays or n > 1").select(*KEY), "gone")
