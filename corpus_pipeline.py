@@ -43,10 +43,11 @@ def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     texts without words, are in no class and stay, repeated ones too. An empty table gives no rows. Columns beside those of documents go.
     """
     classes = cut(jaccard_join.jaccard_classes(docs).select(*KEY, "class").filter("class is not null"), "classes")
-    rows = classes.groupBy(*KEY, "class").agg(F.count(F.lit(1)).alias("n"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
-    kept = classes.groupBy("class").agg(F.min(order).alias("kept"))
-    judged = cut(rows.join(kept, "class").select(*KEY, order.eqNullSafe(F.col("kept")).alias("stays"), "n"), "judged")
+    # written and without classes of one row, so that the join is one that Spark can split where a class is large
+    kept = cut(classes.groupBy("class").agg(F.min(order).alias("kept"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("class", "kept"), "kept")
+    judged = classes.join(kept, "class").select(*KEY, order.eqNullSafe(F.col("kept")).alias("stays")).groupBy(*KEY, "stays").agg(F.count(F.lit(1)).alias("n"))
+    judged = cut(judged, "judged")
     discard(classes)
     docs = _keyed(docs)
     repeated = judged.filter("stays and n > 1")
