@@ -79,3 +79,6 @@ NEGATION_STOP = "run running use using any the a an please skill skills".split()
 FORBIDS = [("network", "网络|联网|network|internet|egress"), ("exec", "命令|shell|执行|exec|terminal"), ("install", "安装|install|package"), ("secret", "密钥|凭证|secret|credential|api.?key"), ("filesystem", "文件|filesystem")]
 PLATFORMS = "twitter linkedin tiktok youtube shopify cloudflare".split()
 BUILDING = r"(?i)搭建|创建|开发|\bbuild\b|\bcreate\b"
+
+# Pairs of Chinese characters that tell nothing of a goal.
+CJK_STOP = "一个 我要 我想 帮我 一下 什么 怎么 如何 可以 需要 一套 这个 那个".split()

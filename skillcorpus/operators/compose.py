@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skillcorpus.functions import rules as R
 from skillcorpus.functions.text import goal_tokens
 from skillcorpus.operators.analysis import hit
+from skillcorpus.operators.matching import keys
 from skillcorpus.plans.storage import cut
 
 # Overlap from which skills are merged, or count as duplicates; order of actions; findings an edit can fix.
@@ -17,16 +17,34 @@ ORDER = {"drop": 0, "narrow": 1, "merge": 2, "optimize": 3, "keep": 4}
 FIXABLE = ["bloat", "spec", "trigger", "privilege"]
 
 
-def rows_of(graded: DataFrame) -> DataFrame:
-    """``portfolio_id, skill_ord, name, value, blocked, broad, gate, tokens_total, optimizable, tokens`` of graded skills.
+def relevance(graded: DataFrame, goals: DataFrame) -> DataFrame:
+    """``portfolio_id, skill_ord, relevance``: the share of the goal's tokens (``portfolio_id, goal``) that a skill's name and description cover, 0 where none.
 
-    The value is the score, 0 where the gate blocks. Lean A grades without a fixable finding cannot be optimized.
+    Tokens meet if they are equal, or have their first five characters in common. Portfolios without a goal, or with one without tokens, have no rows.
     """
+    asked = goals.select("portfolio_id", goal_tokens(F.col("goal")).alias("t")).filter(F.size("t") > 0).select("portfolio_id", F.size("t").alias("n"), F.explode("t").alias("token"))
+    have = graded.select("portfolio_id", "skill_ord", F.explode(goal_tokens(F.concat_ws(" ", "fm_name", "description"))).alias("term")).select("portfolio_id", "skill_ord", F.explode(keys(F.col("term"))).alias("key")).distinct()
+    met = asked.withColumn("key", F.explode(keys(F.col("token")))).join(have, ["portfolio_id", "key"]).groupBy("portfolio_id", "skill_ord").agg(F.count_distinct("token").alias("hit"))
+    sizes = asked.select("portfolio_id", "n").distinct()
+    return graded.select("portfolio_id", "skill_ord").join(sizes, "portfolio_id").join(met, ["portfolio_id", "skill_ord"], "left").select("portfolio_id", "skill_ord", (F.coalesce("hit", F.lit(0)) / F.col("n")).alias("relevance"))
+
+
+def rows_of(graded: DataFrame, goals: DataFrame | None = None) -> DataFrame:
+    """``portfolio_id, skill_ord, name, value, relevance, blocked, broad, gate, grade, tokens_total, tokens_desc, optimizable, terms`` of graded skills.
+
+    The value is the score, 0 where the gate blocks; where the portfolio has a goal, it is weighed by 0.35 and 0.65 of the relevance to it. Lean A grades without a
+    fixable finding cannot be optimized.
+    """
+    if goals is None:
+        graded = graded.withColumn("relevance", F.lit(None).cast("double"))
+    else:
+        graded = graded.join(relevance(graded, goals), ["portfolio_id", "skill_ord"], "left")
+    weight = F.when(F.col("relevance").isNull(), F.lit(1.0)).otherwise(0.35 + 0.65 * F.col("relevance"))
     fixable = F.exists("findings", lambda f: f["category"].isin(FIXABLE))
     clean = (F.col("grade") == "A") & (F.col("tokens") >= 85) & ~fixable
     return graded.select(
-        "portfolio_id", "skill_ord", F.col("fm_name").alias("name"), F.when(F.col("gate") == "block", 0).otherwise(F.col("score")).alias("value"), (F.col("gate") == "block").alias("blocked"),
-        hit(F.col("description"), R.BROAD).alias("broad"), "gate", "tokens_total", (~clean).alias("optimizable"), goal_tokens(F.concat_ws(" ", "fm_name", "description")).alias("terms"),
+        "portfolio_id", "skill_ord", F.col("fm_name").alias("name"), F.when(F.col("gate") == "block", 0.0).otherwise(F.col("score") * weight).alias("value"), "relevance", (F.col("gate") == "block").alias("blocked"),
+        hit(F.col("description"), R.BROAD).alias("broad"), "gate", "grade", "tokens_total", "tokens_desc", (~clean).alias("optimizable"), goal_tokens(F.concat_ws(" ", "fm_name", "description")).alias("terms"),
     )
 
 
@@ -53,31 +71,30 @@ def merge_candidates(rows: DataFrame) -> DataFrame:
     return both.groupBy("portfolio_id", "a", "b").agg(F.max("sim").alias("sim"), F.bool_or("same_name").alias("same_name"))
 
 
-def _resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Goes over a portfolio's candidate pairs, strongest first: the lower in value goes to the higher, unless one is gone."""
-    gone: set[int] = set()
-    out = []
-    for e in pdf.sort_values(["sim", "a", "b"], ascending=[False, True, True]).itertuples(index=False):
-        hi, lo = (e.a, e.b) if e.value_a >= e.value_b else (e.b, e.a)
-        if hi in gone or lo in gone or (e.blocked_a or e.blocked_b):
-            continue
-        gone.add(lo)
-        out.append((e.portfolio_id, lo, hi, "drop" if e.same_name or e.sim >= DUPLICATE else "merge"))
-    return pd.DataFrame(out, columns=["portfolio_id", "skill_ord", "into", "action"])
-
-
 def resolve(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """``portfolio_id, skill_ord, into, action``: which skills of the pairs are dropped or merged, in the order of strength.
 
-    The order matters only within connected pairs, so the pairs of a portfolio are resolved component by component.
+    Over the pairs, strongest first, the lower in value goes to the higher unless one of both is gone. A pair's turn has come when no stronger pair that
+    is still open would take the lower one of it, nor the higher one; all such pairs are resolved at once, those of skills that went are closed, and so on until
+    none is open. So a skill with any number of copies takes one round, and nothing is gathered by group.
     """
-    from skillcorpus.operators.groups import connected
-
     side = lambda s: rows.select("portfolio_id", F.col("skill_ord").alias(s), F.col("value").alias(f"value_{s}"), F.col("blocked").alias(f"blocked_{s}"))
-    weighed = cut(pairs.join(side("a"), ["portfolio_id", "a"]).join(side("b"), ["portfolio_id", "b"]).filter("not blocked_a and not blocked_b"), "merge-pairs")
-    comps = connected(weighed.select("a", "b"))
-    grouped = weighed.join(comps.withColumnRenamed("node", "a"), "a")
-    return grouped.groupBy("portfolio_id", "comp").applyInPandas(lambda pdf: _resolve(pdf), "portfolio_id string, skill_ord long, into long, action string")
+    weighed = pairs.join(side("a"), ["portfolio_id", "a"]).join(side("b"), ["portfolio_id", "b"]).filter("not blocked_a and not blocked_b")
+    first = F.col("value_a") >= F.col("value_b")
+    turn = F.struct((-F.col("sim")).alias("s"), "a", "b")
+    action = F.when(F.col("same_name") | (F.col("sim") >= DUPLICATE), "drop").otherwise("merge")
+    open_ = cut(weighed.select("portfolio_id", F.when(first, F.col("a")).otherwise(F.col("b")).alias("hi"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("lo"), turn.alias("turn"), action.alias("action")), "merge-pairs")
+    done = open_.limit(0).select("portfolio_id", F.col("lo").alias("skill_ord"), F.col("hi").alias("into"), "action")
+    while not open_.isEmpty():
+        next_ = cut(open_.groupBy("portfolio_id", "lo").agg(F.min("turn").alias("next")), "turns")
+        mine, other = next_, next_.select("portfolio_id", F.col("lo").alias("hi"), F.col("next").alias("before"))
+        due = open_.join(mine, ["portfolio_id", "lo"]).filter("turn = next").join(other, ["portfolio_id", "hi"], "left").filter("before is null or before > turn")
+        due = cut(due.select("portfolio_id", F.col("lo").alias("skill_ord"), F.col("hi").alias("into"), "action"), "resolved")
+        done = done.union(due)
+        gone = due.select("portfolio_id", "skill_ord")
+        left = open_.join(gone.withColumnRenamed("skill_ord", "lo"), ["portfolio_id", "lo"], "left_anti").join(gone.withColumnRenamed("skill_ord", "hi"), ["portfolio_id", "hi"], "left_anti")
+        open_ = cut(left.select(*open_.columns), "merge-pairs")
+    return done
 
 
 def narrow_victims(rows: DataFrame, absorbed: DataFrame) -> DataFrame:
@@ -91,20 +108,42 @@ def narrow_victims(rows: DataFrame, absorbed: DataFrame) -> DataFrame:
     return broad.join(first, ["portfolio_id", "t"]).filter("victim <> skill_ord").groupBy("portfolio_id", "skill_ord").agg(F.min("victim").alias("victim"))
 
 
-def compose(graded: DataFrame) -> DataFrame:
-    """``portfolio_id, skill_ord, action, target, flag, value, tokens_total``: what to do with each skill.
+def compose(graded: DataFrame, goals: DataFrame | None = None) -> DataFrame:
+    """``portfolio_id, skill_ord, action, target, flag, value, relevance, tokens_total, tokens_desc, terms``: what to do with each skill.
 
     Blocked skills are dropped; duplicates and merges are resolved strongest pair first; broad skills that still collide
-    are narrowed; the rest is optimized or kept, flagged where the gate asks for a review.
+    are narrowed; the rest is optimized or kept, flagged where the gate asks for a review. With ``goals`` (``portfolio_id, goal``) values are weighed by relevance, and
+    skills of no relevance and grade D or F that stay without another flag are flagged ``offgoal``.
     """
-    rows = cut(rows_of(graded), "compose")
+    rows = cut(rows_of(graded, goals), "compose")
     blocked = rows.filter("blocked").select("portfolio_id", "skill_ord", F.lit(None).cast("long").alias("into"), F.lit("drop").alias("action"))
     moved = cut(resolve(rows, merge_candidates(rows)).unionByName(blocked), "moved")
     victims = narrow_victims(rows, moved.select("portfolio_id", "skill_ord"))
     all_ = rows.join(moved, ["portfolio_id", "skill_ord"], "left").join(victims, ["portfolio_id", "skill_ord"], "left")
     action = F.coalesce("action", F.when(F.col("victim").isNotNull(), "narrow").when(F.col("optimizable"), "optimize").otherwise("keep"))
-    done = all_.select("portfolio_id", "skill_ord", action.alias("action"), F.coalesce("into", "victim").alias("target"), "gate", "value", "tokens_total")
-    return done.withColumn("flag", F.when(F.col("action").isin("optimize", "keep") & (F.col("gate") == "review"), "review")).drop("gate")
+    done = all_.withColumns({"action": action, "target": F.coalesce("into", "victim")})
+    review = F.col("action").isin("optimize", "keep") & (F.col("gate") == "review")
+    off = ~F.col("action").isin("drop", "merge") & F.coalesce(F.col("relevance") == 0, F.lit(False)) & F.col("grade").isin("D", "F")
+    return done.select("portfolio_id", "skill_ord", "action", "target", F.when(review, "review").when(off, "offgoal").alias("flag"), "value", "relevance", "tokens_total", "tokens_desc", "terms")
+
+
+def gaps(composed: DataFrame, goals: DataFrame, limit: int = 6) -> DataFrame:
+    """``portfolio_id, place, need``: the first ``limit`` tokens of a portfolio's goal, of four characters or more, that no skill that stays covers."""
+    stays = composed.filter(~F.col("action").isin("drop", "merge")).select("portfolio_id", F.explode("terms").alias("term")).select("portfolio_id", F.explode(keys(F.col("term"))).alias("key")).distinct()
+    asked = goals.select("portfolio_id", F.posexplode(goal_tokens(F.col("goal"))).alias("pos", "need")).filter(F.length("need") >= 4)
+    met = asked.withColumn("key", F.explode(keys(F.col("need")))).join(stays, ["portfolio_id", "key"], "left_semi").select("portfolio_id", "need").distinct()
+    left = asked.join(met, ["portfolio_id", "need"], "left_anti").withColumn("place", F.row_number().over(Window.partitionBy("portfolio_id").orderBy("pos")).cast("long"))
+    return left.filter(F.col("place") <= limit).select("portfolio_id", "place", "need")
+
+
+def summary(composed: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """One row per portfolio: counts of actions and conflicts, tokens now and after, and the standing cost of all descriptions."""
+    n = lambda a: F.count_if(F.col("action") == a).alias(a)
+    rows = composed.groupBy("portfolio_id").agg(
+        F.count(F.lit(1)).alias("total"), *[n(a) for a in ORDER], F.sum("tokens_total").alias("tokens_now"), F.sum(F.when(~F.col("action").isin("drop", "merge"), F.col("tokens_total")).otherwise(0)).alias("tokens_after"), F.sum(F.col("tokens_desc") + 8).alias("always_on")
+    )
+    found = conflicts.groupBy("portfolio_id").agg(F.count(F.lit(1)).alias("conflicts"))
+    return rows.join(found, "portfolio_id", "left").withColumn("conflicts", F.coalesce("conflicts", F.lit(0).cast("long")))
 
 
 def rank_of(action: Column) -> Column:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,29 +50,60 @@ def idf(catalog: DataFrame) -> DataFrame:
     return terms.withColumn("idf", F.log(1 + F.lit(n + 1) / (F.col("df") + 1)))
 
 
+def _weights(wanted: DataFrame, catalog: DataFrame) -> DataFrame:
+    """``goal_id, tag, idf``: the weight of each goal's tags, by how many rows of its pool have them as a word.
+
+    Shared rows of the catalog count in all pools; rows of a portfolio (``portfolio_id`` not null) in the pools of its goals only, where they take the place of shared
+    rows of the same name (see ``rank_goals``).
+    """
+    words = catalog.select("portfolio_id", F.explode("terms").alias("tag"))
+    shared = words.filter("portfolio_id is null").groupBy("tag").agg(F.count(F.lit(1)).alias("df"))
+    own = words.filter("portfolio_id is not null").groupBy("portfolio_id", "tag").agg(F.count(F.lit(1)).alias("own_df"))
+    hidden = _hidden(catalog)
+    gone = hidden.join(catalog.select("ord", F.explode("terms").alias("tag")), "ord").groupBy("portfolio_id", "tag").agg(F.count(F.lit(1)).alias("gone_df"))
+    n = catalog.filter("portfolio_id is null").count()
+    sizes = catalog.filter("portfolio_id is not null").groupBy("portfolio_id").agg(F.count(F.lit(1)).alias("own_n")).join(hidden.groupBy("portfolio_id").agg(F.count(F.lit(1)).alias("gone_n")), "portfolio_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    rows = wanted.join(shared, "tag", "left").join(own, ["portfolio_id", "tag"], "left").join(gone, ["portfolio_id", "tag"], "left").join(sizes, "portfolio_id", "left")
+    total, df = F.lit(n) + zero("own_n") - zero("gone_n"), zero("df") + zero("own_df") - zero("gone_df")
+    return rows.select("goal_id", "portfolio_id", "tag", "literal", F.log(1 + (total + 1) / (df + 1)).alias("idf"))
+
+
+def _hidden(catalog: DataFrame) -> DataFrame:
+    """``portfolio_id, ord``: shared rows that a portfolio has a row of its own for, by name in any case."""
+    own = catalog.filter("portfolio_id is not null").select("portfolio_id", F.lower("name").alias("key"))
+    return own.join(catalog.filter("portfolio_id is null").select("ord", F.lower("name").alias("key")), "key").select("portfolio_id", "ord").distinct()
+
+
 def rank_goals(goals: DataFrame, catalog: DataFrame, hinted: Column) -> DataFrame:
     """``goal_id, ord, score, n_matched, n_literal, matched``: how well catalog skills serve goals, exclusions applied.
 
     A goal's tags and a skill's words meet on equal keys (see ``keys``), each (goal, tag, skill) once. Rare tags weigh more;
     tags that the goal says weigh 4, those that intents add 1.15; words in a skill's name 3 and 1.5 more. ``hinted`` is the
-    expression of capabilities that a catalog row's text hints at. Scores are rounded to three decimals.
+    expression of capabilities that a catalog row's text hints at. Scores are rounded to three decimals. Where goals have a ``portfolio_id``, rows of the
+    catalog with one, too, are installed skills: they serve the goals of their portfolio only, and there hide shared rows of their name.
     """
+    if "portfolio_id" not in goals.columns:
+        goals = goals.withColumn("portfolio_id", F.lit(None).cast("string"))
+    if "portfolio_id" not in catalog.columns:
+        catalog = catalog.withColumn("portfolio_id", F.lit(None).cast("string"))
     asked = constraints(goals)
-    cat = catalog.withColumns({"terms": searchable(catalog), "plain": F.lower(F.replace("name", F.lit("-"), F.lit(" "))), "all_caps": F.array_union("caps", hinted)})
-    wanted = cut(tags(asked), "goal-tags")
-    weights = cut(idf(catalog), "idf")
-    n = catalog.count()
-    weighed = wanted.join(weights.select(F.col("term").alias("tag"), "idf"), "tag", "left").select("goal_id", "tag", "literal", F.coalesce("idf", F.log(F.lit(float(n + 2)))).alias("idf"))
-    index = cat.select("ord", F.explode("terms").alias("term")).select("ord", F.explode(keys(F.col("term"))).alias("key")).distinct()
-    hits = weighed.withColumn("key", F.explode(keys(F.col("tag")))).join(index, "key").select("goal_id", "ord", "tag", "literal", "idf").distinct()
+    cat = cut(catalog.withColumns({"terms": searchable(catalog), "plain": F.lower(F.replace("name", F.lit("-"), F.lit(" "))), "all_caps": F.array_union("caps", hinted)}), "catalog")
+    wanted = cut(tags(asked).join(asked.select("goal_id", "portfolio_id"), "goal_id"), "goal-tags")
+    weighed = cut(_weights(wanted, cat), "weights")
+    index = cat.select("ord", F.col("portfolio_id").alias("owner"), F.explode("terms").alias("term")).select("ord", "owner", F.explode(keys(F.col("term"))).alias("key")).distinct()
+    mine = F.col("owner").isNull() | (F.col("owner") == F.col("portfolio_id"))
+    hits = weighed.withColumn("key", F.explode(keys(F.col("tag")))).join(index, "key").filter(mine).select("goal_id", "portfolio_id", "ord", "tag", "literal", "idf").distinct().join(_hidden(cat), ["portfolio_id", "ord"], "left_anti")
     names = cat.select("ord", F.explode(match_tokens(F.col("plain"))).alias("tag"), F.lit(True).alias("named"))
     scored = hits.join(names, ["ord", "tag"], "left").groupBy("goal_id", "ord").agg(
         F.sum(F.col("idf") * (F.when(F.col("literal"), 4.0).otherwise(1.15) + F.when(F.col("named"), F.when(F.col("literal"), 3.0).otherwise(1.5)).otherwise(0.0))).alias("value"),
         F.count(F.lit(1)).alias("n_matched"), F.count_if("literal").alias("n_literal"), F.array_sort(F.collect_list("tag")).alias("matched"),
     )
-    rows = scored.join(asked.select("goal_id", "positive", "forbidden", "forbidden_caps"), "goal_id").join(cat.select("ord", "plain", "terms", "caps", "all_caps", "grade"), "ord")
-    banned = F.exists("forbidden", lambda f: F.exists("terms", lambda t: (f == t) | ((F.length(f) >= 5) & (F.length(t) >= 5) & (F.left(f, F.lit(5)) == F.left(t, F.lit(5))))))
-    rows = rows.filter(~banned & ~F.arrays_overlap("forbidden_caps", "all_caps") & ~((F.size("forbidden_caps") > 0) & (F.size("caps") == 0)))
+    facts = cat.select("ord", "plain", "caps", "all_caps", "grade")
+    rows = scored.join(asked.select("goal_id", "positive", "forbidden_caps"), "goal_id").join(facts, "ord")
+    # a skill with a forbidden word is out: forbidden words and skills' words meet on the same keys
+    banned = asked.select("goal_id", F.explode("forbidden").alias("word")).select("goal_id", F.explode(keys(F.col("word"))).alias("key")).join(index, "key").select("goal_id", "ord").distinct()
+    rows = rows.join(banned, ["goal_id", "ord"], "left_anti").filter(~F.arrays_overlap("forbidden_caps", "all_caps") & ~((F.size("forbidden_caps") > 0) & (F.size("caps") == 0)))
     phrase, own = F.lower("positive"), match_tokens(F.col("plain"))
     unasked = F.array_size(F.filter(F.array(*[F.lit(p) for p in I.PLATFORMS]), lambda p: F.array_contains(own, p) & ~F.contains(phrase, p))) > 0
     extra = (
@@ -92,60 +120,45 @@ def top_k(ranked: DataFrame, catalog: DataFrame, k: int = 3) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
 
 
-def select_skills(goals: DataFrame, ranked: DataFrame, catalog: DataFrame, conflicts: DataFrame, most: int = 3, depth: int = 200) -> DataFrame:
+def select_skills(goals: DataFrame, ranked: DataFrame, catalog: DataFrame, conflicts: DataFrame, most: int = 3) -> DataFrame:
     """One row per goal: ``goal_id, selected, coverage, confidence, abstained``.
 
-    A goal that an intent row fits needs a best score of 1.45, else 5. Every anchor concept of the goal needs a skill of its own
+    A goal that an intent row fits needs a best score of 1.45, else 5. Every anchor concept of the goal (the first ``most``) needs a skill of its own
     that matches it, two tags at least, and has no high conflict with those chosen; where one lacks it, the goal abstains.
-    Without anchors the best skill is chosen, and two literal words are asked for if no intent row fits. Looks at the
-    ``depth`` best skills of a goal. ``conflicts`` has ``a, b``: catalog ordinals in high conflict.
+    Without anchors the best skill is chosen, and two literal words are asked for if no intent row fits. All ranked skills are looked at: for each anchor in
+    turn the first in rank is chosen, after those are taken out that share a name, or conflict, with one chosen before. ``conflicts`` has ``a, b``: catalog
+    ordinals in high conflict.
     """
     asked = constraints(goals)
-    fired = [hit(F.col("positive"), f"(?i){p}") for p, _ in I.INTENTS]
-    anchors = F.array_compact(F.array(*[F.when(hit(F.col("positive"), f"(?i){p}"), F.struct(F.lit(t).alias("tags"), F.lit(m).alias("hits"))) for p, t, m in I.ANCHORS]))
-    facts = asked.select("goal_id", F.greatest(*fired).alias("fired"), anchors.alias("anchors"))
-    best = top_k(ranked, catalog, depth).select("goal_id", F.struct("place", "ord", "name", "score", "n_literal", "matched").alias("r"))
-    lists = best.groupBy("goal_id").agg(F.array_sort(F.collect_list("r")).alias("ranked"))
-    near = best.select("goal_id", F.col("r.ord").alias("a"))
-    bad = near.join(conflicts.select("a", "b"), "a").join(near.withColumnRenamed("a", "b"), ["goal_id", "b"]).groupBy("goal_id").agg(F.collect_list(F.struct("a", "b")).alias("bad"))
-    covered = ranked.select("goal_id", F.explode("matched").alias("tag")).distinct().groupBy("goal_id").agg(F.count(F.lit(1)).alias("coverable"))
-    rows = facts.join(lists, "goal_id", "left").join(bad, "goal_id", "left").join(covered, "goal_id", "left")
-
-    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for g in pdf.itertuples(index=False):
-                ranked_ = list(g.ranked) if g.ranked is not None else []
-                enemies = {frozenset((x["a"], x["b"])) for x in (g.bad if g.bad is not None else [])}
-                need = 1.45 if g.fired else 5
-                chosen: list[dict] = []
-                top = ranked_[0]["score"] if ranked_ else 0
-                ok = top >= need
-                for anchor in g.anchors if ok else []:
-                    if len(chosen) >= most:
-                        break
-                    wanted = set(anchor["tags"].split())
-                    fits = [
-                        r for r in ranked_
-                        if r["score"] >= need and len(r["matched"]) >= 2 and len(wanted & set(r["matched"])) >= anchor["hits"]
-                        and all(r["name"] != c["name"] and frozenset((r["ord"], c["ord"])) not in enemies for c in chosen)
-                    ]
-                    if not fits:
-                        ok = False
-                        break
-                    chosen.append(fits[0])
-                if ok and not g.fired and not len(g.anchors) and ranked_[0]["n_literal"] < 2:
-                    ok = False
-                if not ok:
-                    chosen = []
-                elif not chosen:
-                    chosen = ranked_[:1]
-                share = len({t for c in chosen for t in c["matched"]}) / g.coverable if chosen and g.coverable else 0.0
-                level = "none" if not chosen else "high" if top >= 10 and share >= 0.5 else "medium" if top >= 4 else "low"
-                out.append((g.goal_id, [int(c["ord"]) for c in chosen], round(share, 6), level, not chosen))
-            yield pd.DataFrame(out, columns=["goal_id", "selected", "coverage", "confidence", "abstained"])
-
-    return rows.mapInPandas(pick, "goal_id long, selected array<long>, coverage double, confidence string, abstained boolean")
+    fired = F.greatest(*[hit(F.col("positive"), f"(?i){p}") for p, _ in I.INTENTS])
+    anchors = F.array_compact(F.array(*[F.when(hit(F.col("positive"), f"(?i){p}"), F.struct(F.split(F.lit(t), " ").alias("tags"), F.lit(m).alias("hits"))) for p, t, m in I.ANCHORS]))
+    facts = cut(asked.select("goal_id", fired.alias("fired"), F.slice(anchors, 1, most).alias("anchors"), F.when(fired, 1.45).otherwise(5.0).alias("need")), "goal-facts")
+    place = F.struct((-F.col("score")).alias("s"), (F.col("grade") != "A").alias("g"), "tokens", "name", "ord")
+    rows = cut(ranked.join(catalog.select("ord", "name", "grade", "tokens"), "ord").select("goal_id", "ord", "name", "score", "n_literal", "matched", place.alias("place")), "ranked-skills")
+    best = rows.groupBy("goal_id").agg(F.max("score").alias("top"), F.min_by(F.struct("ord", "name", "matched", "n_literal"), "place").alias("first"))
+    coverable = rows.select("goal_id", F.explode("matched").alias("tag")).distinct().groupBy("goal_id").agg(F.count(F.lit(1)).alias("coverable"))
+    judged = cut(facts.join(best, "goal_id", "left").withColumn("able", F.coalesce(F.col("top") >= F.col("need"), F.lit(False))), "goals-judged")
+
+    fits = rows.join(judged.filter("able").select("goal_id", "need", F.posexplode("anchors").alias("k", "anchor")), "goal_id")
+    fits = cut(fits.filter((F.col("score") >= F.col("need")) & (F.size("matched") >= 2) & (F.size(F.array_intersect("matched", F.col("anchor.tags"))) >= F.col("anchor.hits"))).select("goal_id", "k", "ord", "name", "matched", "place"), "anchored")
+    enemies = conflicts.select("a", "b").union(conflicts.select("b", "a")).toDF("ord", "enemy")
+    chosen = fits.limit(0).select("goal_id", "k", F.struct("ord", "name", "matched").alias("c"))
+    for k in range(most):
+        names = chosen.select("goal_id", F.col("c.name").alias("name"))
+        hostile = chosen.select("goal_id", F.col("c.ord").alias("ord")).join(enemies, "ord").select("goal_id", F.col("enemy").alias("ord"))
+        free = fits.filter(F.col("k") == k).join(names, ["goal_id", "name"], "left_anti").join(hostile, ["goal_id", "ord"], "left_anti")
+        chosen = cut(chosen.union(free.groupBy("goal_id", "k").agg(F.min_by(F.struct("ord", "name", "matched"), "place").alias("c"))), "chosen")
+    sets = chosen.groupBy("goal_id").agg(F.array_sort(F.collect_list(F.struct("k", "c"))).alias("all"))
+    done = judged.join(sets, "goal_id", "left").join(coverable, "goal_id", "left")
+    none = F.array().cast(sets.schema["all"].dataType)
+    alone = F.array(F.struct(F.lit(0).alias("k"), F.struct(F.col("first.ord").alias("ord"), F.col("first.name").alias("name"), F.col("first.matched").alias("matched")).alias("c")))
+    literal = F.col("fired") | (F.col("first.n_literal") >= 2)
+    picked = F.when(~F.col("able"), none).when(F.size("anchors") == 0, F.when(literal, alone).otherwise(none)).when(F.size(F.coalesce("all", none)) == F.size("anchors"), F.col("all")).otherwise(none)
+    done = done.withColumn("picked", picked)
+    share = F.size(F.array_distinct(F.flatten(F.transform("picked", lambda x: x["c"]["matched"])))) / F.col("coverable")
+    some = F.size("picked") > 0
+    level = F.when(~some, "none").when((F.col("top") >= 10) & (share >= 0.5), "high").when(F.col("top") >= 4, "medium").otherwise("low")
+    return done.select("goal_id", F.transform("picked", lambda x: x["c"]["ord"]).alias("selected"), F.when(some, F.round(share, 6)).otherwise(0.0).alias("coverage"), level.alias("confidence"), (~some).alias("abstained"))
 
 
 def relevance(goals: DataFrame, skills: DataFrame) -> DataFrame:
@@ -157,13 +170,16 @@ def relevance(goals: DataFrame, skills: DataFrame) -> DataFrame:
 
 
 def gaps(goals: DataFrame, skills: DataFrame) -> DataFrame:
-    """``portfolio_id, goal_id, need``: goal tokens of four characters or more that no skill of the portfolio covers."""
+    """``portfolio_id, goal_id, need``: goal tokens of four characters or more that no skill of the portfolio covers, for every goal and portfolio (which is also the output's size)."""
     asked = goals.select("goal_id", F.explode(goal_tokens(F.col("goal"))).alias("need")).filter(F.length("need") >= 4)
     have = skills.select("portfolio_id", F.explode(goal_tokens(F.concat_ws(" ", "name", "description"))).alias("token")).distinct()
     have = have.select("portfolio_id", F.explode(keys(F.col("token"))).alias("key")).distinct()
-    every = asked.join(F.broadcast(skills.select("portfolio_id").distinct()))
-    met = every.withColumn("key", F.explode(keys(F.col("need")))).join(have, ["portfolio_id", "key"], "left_semi").select("portfolio_id", "goal_id", "need").distinct()
-    return every.join(met, ["portfolio_id", "goal_id", "need"], "left_anti")
+    # tokens of many goals are met once; what a portfolio lacks is what it does not meet of all
+    tokens = asked.select("need").distinct()
+    met = tokens.withColumn("key", F.explode(keys(F.col("need")))).join(have, "key").groupBy("portfolio_id").agg(F.collect_set("need").alias("met"))
+    every = skills.select("portfolio_id").distinct().join(met, "portfolio_id", "left").withColumn("all", F.lit(1))
+    needs = asked.withColumn("all", F.lit(1))
+    return needs.join(every, "all").filter(~F.array_contains(F.coalesce("met", F.array().cast("array<string>")), F.col("need"))).select("portfolio_id", "goal_id", "need")
 
 
 def pool(catalog: DataFrame, eligible: Column, stub: Column) -> DataFrame:
@@ -174,3 +190,25 @@ def pool(catalog: DataFrame, eligible: Column, stub: Column) -> DataFrame:
     rank = F.when(F.col("pool") == "seed", 0).when(F.col("pool") == "curated", 1).otherwise(2)
     rows = catalog.filter(eligible & ~stub).withColumn("i", F.row_number().over(Window.partitionBy("name").orderBy(rank, "ord")))
     return rows.filter("i = 1").drop("i")
+
+
+def nearest_kit(goals: DataFrame, kits: DataFrame, members: DataFrame | None = None, least: int = 4) -> DataFrame:
+    """``goal_id, id, score`` of the kit (``id, ord, kit, who``: name and introduction in lower case) closest to each goal, if it scores ``least``; the first of equals.
+
+    Each distinct word of the goals, and each pair of neighbouring Chinese characters, weighs 4 in a kit's name, else 2 in its introduction; ``members`` (``id, goal_id, score``), if given,
+    adds what the kit's skills score for the goal. Substrings of kits' texts are found by the pairs of characters that they begin with, so words and kits meet on keys.
+    """
+    runs = F.regexp_extract_all("goal", F.lit("([一-鿿]+)"), F.lit(1))
+    pairs = F.flatten(F.transform(runs, lambda r: F.filter(F.transform(F.sequence(F.lit(1), F.length(r)), lambda i: F.substr(r, i, F.lit(2))), lambda b: (F.length(b) == 2) & ~b.isin(I.CJK_STOP))))
+    asked = goals.select("goal_id", F.explode(F.concat(match_tokens(F.col("goal")), pairs)).alias("word"))
+    words = asked.select("word").distinct().withColumn("key", F.left("word", F.lit(2)))
+    starts = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 1)), lambda i: F.substr(F.col(c), i, F.lit(2)))
+    keyed = kits.select("id", "ord", "kit", "who", F.explode(F.array_union(starts("kit"), starts("who"))).alias("key"))
+    points = F.when(F.contains("kit", "word"), 4).when(F.contains("who", "word"), 2).otherwise(0)
+    hits = words.join(keyed, "key").select("word", "id", "ord", points.alias("points")).filter("points > 0")
+    scores = asked.join(hits, "word").select("goal_id", "id", "ord", "points")
+    if members is not None:
+        scores = scores.union(members.join(kits.select("id", "ord"), "id").select("goal_id", "id", "ord", "score"))
+    totals = scores.groupBy("goal_id", "id", "ord").agg(F.sum("points").alias("score"))
+    best = totals.withColumn("i", F.row_number().over(Window.partitionBy("goal_id").orderBy(F.desc("score"), "ord")))
+    return best.filter((F.col("i") == 1) & (F.col("score") >= least)).select("goal_id", "id", "score")

@@ -28,19 +28,19 @@ def token_sets(skills: DataFrame) -> DataFrame:
     return rows.drop("tokens").join(ordered, ["portfolio_id", "skill_ord"])
 
 
-def conflict_pairs(skills: DataFrame) -> DataFrame:
+def conflict_pairs(skills: DataFrame, only_high: bool = False) -> DataFrame:
     """``portfolio_id, a, b, kind, severity, n_shared, shared, jaccard``: pairs of skills that fire on the same requests.
 
     ``skills`` has ``portfolio_id, skill_ord, name, description``. A pair with a broad member shadows at Jaccard 0.16 or
     three shared tokens, others overlap at 0.34 and two tokens; skills of one name never conflict. Pairs are found on an
     inverted index of prefixes: with tokens in a common order, rare ones first, two sets that share enough meet in
     their first tokens, so frequent tokens bring few pairs together. A broad skill meets others by its first |x| - 2 tokens,
-    on both sides. Found pairs are checked on their whole sets.
+    on both sides. Found pairs are checked on their whole sets. Where only high conflicts are asked for, prefixes are as much shorter as those are stricter.
     """
     sets = cut(token_sets(skills), "tokens")
     n = F.size("tokens")
-    narrow = F.slice("tokens", 1, F.greatest(F.lit(1), n - F.ceil(n * F.lit(OVERLAP)).cast("int") + 1))
-    wide = F.slice("tokens", 1, F.greatest(F.lit(1), n - 2, n - F.ceil(n * F.lit(SHADOW)).cast("int") + 1))
+    prefix = lambda share, *least: F.slice("tokens", 1, F.greatest(F.lit(1), *least, n - F.ceil(n * F.lit(share)).cast("int") + 1))
+    narrow, wide = (prefix(OVERLAP_HIGH), prefix(SHADOW_HIGH)) if only_high else (prefix(OVERLAP), prefix(SHADOW, n - 2))
     key = ["portfolio_id", "token"]
     by = lambda part, side, keep=F.lit(True): sets.filter(keep).select("portfolio_id", F.explode(part).alias("token"), F.col("skill_ord").alias(side))
     close = by(narrow, "a").join(by(narrow, "b"), key).filter("a < b").select("portfolio_id", "a", "b")
@@ -54,6 +54,7 @@ def conflict_pairs(skills: DataFrame) -> DataFrame:
     kind = F.when(broad & ((F.col("jaccard") >= SHADOW) | (F.col("n_shared") >= 3)), "shadow").when((F.col("jaccard") >= OVERLAP) & (F.col("n_shared") >= 2), "overlap")
     rows = rows.withColumn("kind", kind).filter("kind is not null")
     high = F.when(F.col("kind") == "shadow", F.col("jaccard") >= SHADOW_HIGH).otherwise(F.col("jaccard") >= OVERLAP_HIGH)
+    rows = rows.filter(high) if only_high else rows
     return rows.select("portfolio_id", "a", "b", "kind", F.when(high, "high").otherwise("medium").alias("severity"), "n_shared", F.array_join("shared", "|").alias("shared"), "jaccard")
 
 
@@ -96,6 +97,14 @@ def relay_counts(skills: DataFrame, text: Column) -> DataFrame:
     return found.withColumn("n_pairs", F.col("n_sources") * F.col("n_sinks")).filter("n_pairs > 0")
 
 
+def relay_pairs(skills: DataFrame, text: Column, limit: int) -> DataFrame:
+    """``portfolio_id, source, sink``: the relays themselves, on request, of portfolios with ``limit`` of them at most; larger ones are only counted."""
+    rows = skills.select("portfolio_id", "skill_ord", hit(text, R.READS_SECRET).alias("reads"), hit(text, R.SENDS).alias("sends"))
+    few = relay_counts(skills, text).filter(F.col("n_pairs") <= limit).select("portfolio_id")
+    side = lambda cond, name: rows.filter(cond).join(few, "portfolio_id", "left_semi").select("portfolio_id", F.col("skill_ord").alias(name))
+    return side("reads and not sends", "source").join(side("sends and not reads", "sink"), "portfolio_id")
+
+
 def bloat(graded: DataFrame) -> DataFrame:
     """Adds each portfolio's upper median of tokens, the bloat threshold, the ratio, and flags; incomplete rows are never bloated."""
     order = Window.partitionBy("portfolio_id").orderBy("tokens_total", "skill_ord")

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from skillcorpus.functions import rules as R
 from skillcorpus.operators import catalog as K
 from skillcorpus.operators import compose as C
+from skillcorpus.operators import portfolio as P
 from skillcorpus.operators import receipts as V
 from skillcorpus.plans import sql as S
 from skillcorpus.plans.inputs import analysed
 from skillcorpus.plans.registry import query
+from skillcorpus.plans.storage import cut
 from skillcorpus.sources import adapters
 from skillcorpus.sources.tables import table
 
@@ -39,16 +41,24 @@ def narrow_victims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def job_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What to do with every skill."""
-    return C.compose(analysed(spark, sf_dir))
+    """What to do with every skill, for the goal of its portfolio."""
+    rows = C.compose(analysed(spark, sf_dir), adapters.portfolio_goals(spark, sf_dir))
+    return rows.select("portfolio_id", "skill_ord", "action", "target", "flag", F.round("value", 6).alias("value"), F.round("relevance", 6).alias("relevance"), "tokens_total")
+
+
+@query()
+def plan_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the goal of each portfolio needs that no skill that stays covers, the first six."""
+    goals = adapters.portfolio_goals(spark, sf_dir)
+    return C.gaps(C.compose(analysed(spark, sf_dir), goals), goals)
 
 
 @query()
 def plan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Actions of each portfolio, and its tokens before and after."""
-    n = lambda a: F.count_if(F.col("action") == a).alias(a)
-    rows = C.compose(analysed(spark, sf_dir))
-    return rows.groupBy("portfolio_id").agg(F.count(F.lit(1)).alias("total"), *[n(a) for a in C.ORDER], F.sum("tokens_total").alias("tokens_now"), F.sum(F.when(~F.col("action").isin("drop", "merge"), F.col("tokens_total")).otherwise(0)).alias("tokens_after"))
+    """Actions and conflicts of each portfolio, and its tokens before and after."""
+    graded = analysed(spark, sf_dir)
+    conflicts = P.conflict_pairs(graded.select("portfolio_id", "skill_ord", F.col("fm_name").alias("name"), "description"))
+    return C.summary(C.compose(graded), conflicts)
 
 
 @query()
@@ -62,12 +72,13 @@ def order_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PAIRED = """pa AS (SELECT receipt_id, round(coalesce(avg(CASE WHEN status = 'ok' AND arm = 'baseline' THEN pass::INT END) * 100, 0), 3) AS baseline_rate, round(coalesce(avg(CASE WHEN status = 'ok' AND arm = 'proposed' THEN pass::INT END) * 100, 0), 3) AS proposed_rate,
-  round(coalesce(avg(CASE WHEN status = 'ok' AND arm = 'baseline' THEN tokens END), 0), 3) AS baseline_tokens, round(coalesce(avg(CASE WHEN status = 'ok' AND arm = 'proposed' THEN tokens END), 0), 3) AS proposed_tokens, bool_or(status <> 'ok') AS any_error FROM obs GROUP BY 1),
+  round(coalesce(avg(CASE WHEN status = 'ok' AND arm = 'baseline' THEN tokens END), 0), 3) AS baseline_tokens, round(coalesce(avg(CASE WHEN status = 'ok' AND arm = 'proposed' THEN tokens END), 0), 3) AS proposed_tokens,
+  round(coalesce(avg(CASE WHEN status = 'ok' AND arm = 'baseline' THEN duration_ms END), 0), 3) AS baseline_duration, round(coalesce(avg(CASE WHEN status = 'ok' AND arm = 'proposed' THEN duration_ms END), 0), 3) AS proposed_duration, bool_or(status <> 'ok') AS any_error FROM obs GROUP BY 1),
 pr AS (SELECT *, round(proposed_rate - baseline_rate, 3) AS lift FROM pa),
 po AS (SELECT *, CASE WHEN any_error THEN 'error' WHEN lift < 0 THEN 'regressed' WHEN baseline_rate >= 95 THEN 'inconclusive' WHEN lift > 0 THEN 'improved' ELSE 'unchanged' END AS outcome FROM pr)"""
 
 
-@query(S.given("obs", f"{_PAIRED}\n---\nSELECT receipt_id, baseline_rate, proposed_rate, baseline_tokens, proposed_tokens, lift, outcome, CASE WHEN baseline_tokens <> 0 THEN round((proposed_tokens - baseline_tokens) / baseline_tokens * 100, 3) ELSE 0 END AS token_delta FROM po"))
+@query(S.given("obs", f"{_PAIRED}\n---\nSELECT receipt_id, baseline_rate, proposed_rate, baseline_tokens, proposed_tokens, lift, outcome, CASE WHEN baseline_tokens <> 0 THEN round((proposed_tokens - baseline_tokens) / baseline_tokens * 100, 3) ELSE 0 END AS token_delta, baseline_duration, proposed_duration, CASE WHEN baseline_duration <> 0 THEN round((proposed_duration - baseline_duration) / baseline_duration * 100, 3) ELSE 0 END AS duration_delta, CASE WHEN any_error THEN 'error' ELSE 'complete' END AS run_status, CASE WHEN any_error THEN 'inspected' ELSE 'verified-here' END AS evidence, CASE WHEN NOT any_error THEN proposed_rate / 100 >= 0.8 END AS goal_passed FROM po"))
 def paired_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paired results of all receipts."""
     return V.paired_results(adapters.observations_from_events(table(spark, sf_dir, "events")))
@@ -79,23 +90,38 @@ def ledger_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.ledger(adapters.observations_from_events(table(spark, sf_dir, "events")))
 
 
+_FIRST = f"""{_PAIRED.replace("WHEN any_error THEN 'error' WHEN lift", "WHEN any_error THEN 'error' WHEN receipt_id % 10 = 3 THEN 'inconclusive' WHEN lift")},
+rc AS (SELECT receipt_id AS ord, receipt_id % 97 AS receipt, receipt_id % 131 AS invocation, CASE WHEN receipt_id % 10 = 3 THEN 'simulated' ELSE 'real' END AS kind, CASE WHEN NOT any_error AND receipt_id % 10 <> 3 THEN proposed_rate / 100 >= 0.8 END AS goal_passed, outcome, receipt_id % 23 <> 7 AS valid FROM po),
+rn AS (SELECT *, row_number() OVER (ORDER BY ord) AS i FROM rc WHERE %s),
+fw(i, ord, kept, rs, vs) AS (SELECT 0::BIGINT, NULL::BIGINT, false, []::BIGINT[], []::BIGINT[] UNION ALL
+ SELECT rn.i, rn.ord, NOT (list_contains(rs, receipt) OR list_contains(vs, invocation)), CASE WHEN list_contains(rs, receipt) OR list_contains(vs, invocation) THEN rs ELSE list_append(rs, receipt) END, CASE WHEN list_contains(rs, receipt) OR list_contains(vs, invocation) THEN vs ELSE list_append(vs, invocation) END FROM fw JOIN rn ON rn.i = fw.i + 1)"""
+
+
+def _recursive(sql: str) -> str:
+    return S.given("obs", sql).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def _receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Receipts with ids that repeat: the receipt id every 97 users, the invocation id every 131."""
-    rows = V.paired_results(adapters.observations_from_events(table(spark, sf_dir, "events")))
-    return rows.select(F.col("receipt_id").alias("ord"), (F.col("receipt_id") % 97).alias("receipt"), (F.col("receipt_id") % 131).alias("invocation"), F.when(F.col("receipt_id") % 10 == 3, "simulated").otherwise("real").alias("kind"), (F.col("proposed_rate") >= 80).alias("goal_passed"), "outcome")
+    """Receipts with ids that repeat: the receipt id every 97 users, the invocation id every 131; every tenth is simulated, some are invalid."""
+    k = F.col("receipt_id")
+    rows = V.paired_results(adapters.observations_from_events(table(spark, sf_dir, "events")), simulated=k % 10 == 3)
+    return rows.select(k.alias("ord"), (k % 97).alias("receipt"), (k % 131).alias("invocation"), F.when(k % 10 == 3, "simulated").otherwise("real").alias("kind"), "goal_passed", "outcome", (k % 23 != 7).alias("valid"))
 
 
-@query()
+@query(_recursive(_FIRST.replace("%s", "true") + "\n---\nSELECT ord, kept FROM fw WHERE i > 0"))
 def receipt_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which receipts count, where ids repeat."""
     return V.first_wins(_receipts(spark, sf_dir))
 
 
-@query(S.given("obs", f"{_PAIRED}, rc AS (SELECT *, CASE WHEN receipt_id % 10 = 3 THEN 'simulated' ELSE 'real' END AS kind, proposed_rate >= 80 AS goal_passed FROM po)\n---\nSELECT count(*) FILTER (WHERE kind = 'real') AS real, count(*) FILTER (WHERE kind = 'real' AND goal_passed AND outcome NOT IN ('regressed', 'error')) AS successes, count(*) FILTER (WHERE kind = 'real' AND outcome = 'error') AS errors, count(*) FILTER (WHERE kind = 'real' AND outcome = 'regressed') AS regressions, count(*) FILTER (WHERE kind = 'real' AND outcome = 'inconclusive') AS inconclusive, count(*) FILTER (WHERE kind = 'simulated') AS simulations, 0::BIGINT AS duplicates, round(successes / nullif(real, 0)::DOUBLE * 100, 3) AS rate FROM rc"))
+@query(_recursive(_FIRST.replace("%s", "valid") + """, rj AS (SELECT rc.*, kept FROM rc LEFT JOIN (SELECT ord, kept FROM fw WHERE i > 0) f USING (ord)), rr AS (SELECT *, valid AND kept AND kind = 'real' AS counts FROM rj)
+---
+SELECT count(*) FILTER (WHERE counts) AS real, count(*) FILTER (WHERE counts AND goal_passed AND outcome <> 'regressed') AS successes, count(*) FILTER (WHERE counts AND outcome = 'error') AS errors, count(*) FILTER (WHERE counts AND outcome = 'regressed') AS regressions,
+ count(*) FILTER (WHERE counts AND outcome = 'inconclusive') AS inconclusive, count(*) FILTER (WHERE valid AND kept AND kind = 'simulated') AS simulations, count(*) FILTER (WHERE NOT valid) AS invalid, count(*) FILTER (WHERE valid AND NOT kept) AS duplicates, 0::BIGINT AS skipped, round(successes / nullif(real, 0)::DOUBLE * 100, 3) AS rate FROM rr"""))
 def receipt_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals over all receipts, each receipt id once."""
-    rows = _receipts(spark, sf_dir).withColumns({"receipt": F.col("ord"), "invocation": F.col("ord")})
-    return V.summary(rows.join(V.first_wins(rows), "ord"))
+    """Totals over all receipts: invalid ones aside, and of the valid ones each id once."""
+    rows = cut(_receipts(spark, sf_dir), "receipts")
+    return V.summary(rows.join(V.first_wins(rows.filter("valid")), "ord", "left"))
 
 
 _VALID = "'vr_' || CASE WHEN receipt_id % 9 = 4 THEN 'zz' ELSE left(md5(receipt_id::VARCHAR), 24) END"

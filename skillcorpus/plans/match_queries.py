@@ -128,7 +128,7 @@ def depends_on(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _high_conflicts(pool: DataFrame) -> DataFrame:
     named = pool.select(F.lit("catalog").alias("portfolio_id"), F.col("ord").alias("skill_ord"), "name", "description")
-    return P.conflict_pairs(named).filter("severity = 'high'").select("a", "b")
+    return P.conflict_pairs(named, only_high=True).select("a", "b")
 
 
 @query()
@@ -168,8 +168,10 @@ def _installed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _changes(chosen: DataFrame, installed: DataFrame) -> DataFrame:
+    """What each portfolio would do for each chosen skill; portfolios times chosen skills is the output's size. Those that have a skill of the name are found by a join, all others add it."""
     have = installed.groupBy("portfolio_id", F.lower("name").alias("key")).agg(F.bool_or("eligible").alias("eligible"))
-    every = chosen.join(F.broadcast(installed.select("portfolio_id").distinct())).withColumn("key", F.lower("name"))
+    keyed = chosen.withColumns({"key": F.lower("name"), "all": F.lit(1)})
+    every = keyed.join(installed.select("portfolio_id").distinct().withColumn("all", F.lit(1)), "all").drop("all")
     rows = every.join(have, ["portfolio_id", "key"], "left")
     return rows.select("portfolio_id", "goal_id", "name", F.when(F.col("eligible"), "installed").when(F.col("eligible").isNotNull(), "replace").otherwise("add").alias("change"))
 
@@ -184,11 +186,25 @@ def plan_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def job_goal_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each portfolio would add or replace for the skills that a match selects."""
-    pool = _pool(spark, sf_dir)
-    ranked = cut(M.rank_goals(_goals(spark, sf_dir), pool, _hinted()), "ranked")
-    picked = M.select_skills(_goals(spark, sf_dir), ranked, pool, _high_conflicts(pool)).select("goal_id", F.explode("selected").alias("ord"))
-    return _changes(picked.join(pool.select("ord", "name"), "ord").select("goal_id", "name"), _installed(spark, sf_dir))
+    """For the goal of each portfolio (see ``portfolio_goals``): the skills that a match selects, installed ones first, and what to add or replace."""
+    mine = adapters.portfolio_goals(spark, sf_dir)
+    have = analysed(spark, sf_dir).join(mine, "portfolio_id", "left_semi")
+    ok = F.col("grade").isin("A", "B") & (F.col("gate") == "pass") & (F.col("level") == "low") & (F.col("fm_name") != "")
+    caps = F.transform("capabilities", lambda c: c["cap"])
+    installed = have.select(
+        "portfolio_id", (-1 - F.col("skill_ord")).alias("ord"), F.lit("installed").alias("pool"), F.col("fm_name").alias("name"), "description", F.lit("Installed").alias("category"), "grade", "gate", F.col("level").alias("risk"), F.col("tokens_total").alias("tokens"), caps.alias("caps"), ok.alias("eligible")
+    )
+    first = Window.partitionBy("portfolio_id", F.lower("name")).orderBy(F.desc("ord"))
+    own = installed.filter("eligible").withColumn("i", F.row_number().over(first)).filter("i = 1").drop("i", "eligible")
+    pool = cut(_pool(spark, sf_dir).withColumn("portfolio_id", F.lit(None).cast("string")).unionByName(own), "plan-pool")
+    goals = mine.select("portfolio_id", "goal_id", "goal")
+    ranked = cut(M.rank_goals(goals, pool, _hinted()), "ranked")
+    picked = M.select_skills(goals, ranked, pool, _high_conflicts(pool)).select("goal_id", F.posexplode("selected").alias("place", "ord"))
+    rows = picked.join(pool.select("ord", "name"), "ord").join(goals.select("goal_id", "portfolio_id"), "goal_id")
+    there = installed.groupBy("portfolio_id", F.lower("name").alias("key")).agg(F.bool_or("eligible").alias("eligible"))
+    rows = rows.withColumn("key", F.lower("name")).join(there, ["portfolio_id", "key"], "left")
+    change = F.when(F.col("ord") < 0, "installed").when(F.col("eligible") == F.lit(False), "replace").otherwise("add")
+    return rows.select("portfolio_id", "goal_id", "place", "name", change.alias("change"))
 
 
 #: The artifact index of a catalog: every fifth name is ready, every seventh failed the full gate.
@@ -217,16 +233,12 @@ def artifact_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("goal_id").agg(F.count_if(F.col("status") == "pilot-ready").alias("n_ready"), F.count_if(F.col("reason") == "full-gate-failed").alias("n_rejected"), F.bool_and(F.coalesce(F.col("status") == "pilot-ready", F.lit(False))).alias("all_ready"))
 
 
-_KITS = f"kt AS (SELECT category || '/' || pool AS id, min(ord) AS o, lower(min(name)) AS kit, lower(min(description)) AS who FROM po GROUP BY 1), kw AS (SELECT goal_id, unnest({S.match_tokens('goal')}) AS word FROM gl)"
+_KITS = f"""kt AS (SELECT category || '/' || pool AS id, min(ord) AS o, lower(min(name)) AS kit, lower(min(description)) AS who FROM po GROUP BY 1), kd AS (SELECT DISTINCT goal_id, unnest({S.match_tokens('goal')}) AS word FROM gl UNION ALL SELECT goal_id, b FROM (SELECT goal_id, unnest(flatten(list_transform(regexp_extract_all(goal, '[一-鿿]+'), lambda r: list_transform(range(1, length(r)), lambda i: substr(r, i, 2))))) AS b FROM gl) WHERE b NOT IN ({S.in_list(I.CJK_STOP)}))"""
 
 
-@query(S.given("cat gl", f"{_POOL}, {_KITS}, ks AS (SELECT goal_id, id, o, sum(CASE WHEN contains(kit, word) THEN 4 WHEN contains(who, word) THEN 2 ELSE 0 END) AS score FROM kw, kt GROUP BY 1, 2, 3)\n---\nSELECT goal_id, id, score::BIGINT AS score FROM (SELECT *, row_number() OVER (PARTITION BY goal_id ORDER BY score DESC, o) AS i FROM ks) WHERE i = 1 AND score >= 4"))
+@query(S.given("cat gl", f"{_POOL}, {_KITS}, kx AS (SELECT DISTINCT word FROM kd), kh AS (SELECT word, id, o, CASE WHEN contains(kit, word) THEN 4 ELSE 2 END AS p FROM kx JOIN kt ON contains(kit, word) OR contains(who, word)), ks AS (SELECT goal_id, id, o, sum(p) AS score FROM kd JOIN kh USING (word) GROUP BY 1, 2, 3)\n---\nSELECT goal_id, id, score::BIGINT AS score FROM (SELECT *, row_number() OVER (PARTITION BY goal_id ORDER BY score DESC, o) AS i FROM ks) WHERE i = 1 AND score >= 4"))
 def nearest_kit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ready-made kit closest to each goal, by words in its name (4) or introduction (2); kits are a bounded table."""
+    """The ready-made kit closest to each goal, by words and pairs of Chinese characters in its name (4) or introduction (2)."""
     pool = _pool(spark, sf_dir)
-    kits = pool.groupBy(F.concat_ws("/", "category", "pool").alias("id")).agg(F.min("ord").alias("o"), F.lower(F.min("name")).alias("kit"), F.lower(F.min("description")).alias("who"))
-    words = _goals(spark, sf_dir).select("goal_id", F.explode(M.match_tokens(F.col("goal"))).alias("word"))
-    hit = F.when(F.contains(F.col("kit"), F.col("word")), 4).when(F.contains(F.col("who"), F.col("word")), 2).otherwise(0)
-    scores = words.join(F.broadcast(kits)).groupBy("goal_id", "id", "o").agg(F.sum(hit).alias("score"))
-    best = scores.withColumn("i", F.row_number().over(Window.partitionBy("goal_id").orderBy(F.desc("score"), "o")))
-    return best.filter("i = 1 and score >= 4").select("goal_id", "id", "score")
+    kits = pool.groupBy(F.concat_ws("/", "category", "pool").alias("id")).agg(F.min("ord").alias("ord"), F.lower(F.min("name")).alias("kit"), F.lower(F.min("description")).alias("who"))
+    return M.nearest_kit(_goals(spark, sf_dir), kits)

@@ -282,10 +282,10 @@ def combo_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("category", "pool", F.when(F.size("labels") == 1, F.get("labels", F.lit(0))).when(F.size("labels") > 1, "mixed").otherwise("unknown").alias("evidence"), "n")
 
 
-@query("SELECT doc_id, regexp_replace(regexp_replace(chr(27) || '[31m' || left(text, 40) || chr(8203) || chr(7), '\\x{1b}\\[[0-?]*[ -/]*[@-~]', '', 'g'), '[\\x{00}-\\x{1f}\\x{7f}-\\x{9f}\\x{200b}-\\x{200f}\\x{202a}-\\x{202e}\\x{2060}-\\x{2069}\\x{feff}\\x{e0000}-\\x{e007f}]', '', 'g') AS label FROM documents")
+@query("SELECT doc_id, regexp_replace(regexp_replace(chr(27) || '[31m' || text || chr(8203) || chr(7), '\\x{1b}\\[[0-?]*[ -/]*[@-~]', '', 'g'), '[\\x{00}-\\x{1f}\\x{7f}-\\x{9f}\\x{200b}-\\x{200f}\\x{202a}-\\x{202e}\\x{2060}-\\x{2069}\\x{feff}\\x{e0000}-\\x{e007f}]', '', 'g') AS label FROM documents")
 def text_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels freed from terminal escapes and invisible characters."""
-    raw = F.concat(F.lit("\x1b[31m"), F.left("text", F.lit(40)), F.lit("​\x07"))
+    """Whole texts, put between an escape and invisible characters, freed from such."""
+    raw = F.concat(F.lit("\x1b[31m"), F.col("text"), F.lit("​\x07"))
     return table(spark, sf_dir, "documents").select("doc_id", T.text_safe(raw).alias("label"))
 
 

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skillcorpus.functions import rules as R
+from skillcorpus.functions.text import goal_tokens
 from skillcorpus.operators import analysis as A
 from skillcorpus.operators import compose, matching, portfolio, receipts, rewrite, scan
 from skillcorpus.sources import files
@@ -212,6 +213,79 @@ def test_first_wins_along_chains(spark):
     assert got == want
 
 
+def test_compose_for_a_goal_equals_the_loop(spark):
+    rng = random.Random(11)
+    words = [f"word{chr(97 + i)}" for i in range(12)]
+    schema = "portfolio_id string, skill_ord long, fm_name string, description string, gate string, score int, grade string, tokens_total long, tokens_desc long, tokens int, findings array<struct<severity:string,category:string,title:string>>"
+    rows = []
+    for i in range(60):
+        gate = rng.choice(["pass", "pass", "review", "block"])
+        findings = [("low", rng.choice(["spec", "shell"]), "t")] if rng.random() < 0.6 else []
+        rows.append(("p", i, f"n{rng.randint(0, 40)}", ("any " if rng.random() < 0.2 else "") + " ".join(rng.sample(words, rng.randint(2, 6))), gate, rng.randint(20, 99), rng.choice("ABCDF"), rng.randint(50, 900), 10, rng.randint(60, 100), findings))
+    goal = "worda wordb zzzz wordabc"
+    tok = lambda t: set(spark.createDataFrame([(t,)], "t string").select(goal_tokens(F.col("t"))).first()[0])
+    graded, goals = spark.createDataFrame(rows, schema), spark.createDataFrame([("p", goal)], "portfolio_id string, goal string")
+    got = {r.skill_ord: (r.action, r.target, r.flag) for r in compose.compose(graded, goals).collect()}
+
+    asked = tok(goal)
+    meets = lambda terms, g: any(t == g or len(t) >= 5 and len(g) >= 5 and t[:5] == g[:5] for t in terms)
+    terms = {r[1]: tok(f"{r[2]} {r[3]}") for r in rows}
+    near = {r[1]: sum(meets(terms[r[1]], g) for g in asked) / len(asked) for r in rows}
+    value = {r[1]: (0 if r[4] == "block" else r[5]) * (0.35 + 0.65 * near[r[1]]) for r in rows}
+    name, state = {r[1]: r[2] for r in rows}, {r[1]: ("drop", None) for r in rows if r[4] == "block"}
+    pairs = []
+    for a, b in combinations(sorted(name), 2):
+        same = name[a] == name[b]
+        if same or min(len(terms[a]), len(terms[b])) >= 4:
+            sim = 1.0 if same else len(terms[a] & terms[b]) / len(terms[a] | terms[b])
+            if sim >= 0.45:
+                pairs.append((-sim, a, b, same))
+    for minus, a, b, same in sorted(pairs):
+        hi, lo = (a, b) if value[a] >= value[b] else (b, a)
+        if hi not in state and lo not in state:
+            state[lo] = ("drop" if same or -minus >= 0.8 else "merge", hi)
+    absorbed = set(state)
+    for r in rows:
+        if r[1] not in state and r[3].startswith("any "):
+            victim = next((o for o in sorted(name) if o != r[1] and o not in absorbed and any(len(t) > 3 for t in terms[r[1]] & terms[o])), None)
+            if victim is not None:
+                state[r[1]] = ("narrow", victim)
+    want = {}
+    for r in rows:
+        clean = r[6] == "A" and r[9] >= 85 and not any(f[1] in ("bloat", "spec", "trigger", "privilege") for f in r[10])
+        action, target = state.get(r[1], ("keep" if clean else "optimize", None))
+        flag = "review" if action in ("keep", "optimize") and r[4] == "review" else "offgoal" if action not in ("drop", "merge") and near[r[1]] == 0 and r[6] in "DF" else None
+        want[r[1]] = (action, target, flag)
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and {k: v[2] for k, v in got.items()} == {k: v[2] for k, v in want.items()}
+    assert {k: v[1] for k, v in got.items() if v[0] in ("narrow", "merge")} == {k: v[1] for k, v in want.items() if v[0] in ("narrow", "merge")}
+    kept = set().union(*(terms[k] for k, v in want.items() if v[0] not in ("drop", "merge")))
+    assert [r.need for r in compose.gaps(compose.compose(graded, goals), goals).collect()] == [g for g in ["zzzz"] if not meets(kept, g)]
+
+
+def test_goals_match_installed_skills_first(spark):
+    schema = "ord long, name string, description string, category string, grade string, tokens long, caps array<string>, portfolio_id string"
+    shared = [(1, "seo-audit", "Audits a site for SEO ranking and technical meta issues", "marketing", "A", 900, ["network"], None), (2, "pr-review", "Reviews pull request code for bugs", "dev", "A", 800, ["exec"], None)]
+    own = [(-5, "SEO-Audit", "Audits a site for SEO ranking and technical meta issues", "marketing", "B", 100, ["network"], "p")]
+    goals = spark.createDataFrame([(1, "SEO audit", "p"), (2, "SEO audit", "q")], "goal_id long, goal string, portfolio_id string")
+    pool = spark.createDataFrame(shared + own, schema)
+    ranked = matching.rank_goals(goals, pool, F.array().cast("array<string>"))
+    got = {r.goal_id: r.selected for r in matching.select_skills(goals, ranked, pool, spark.createDataFrame([], "a long, b long")).collect()}
+    assert got == {1: [-5], 2: [1]}
+    alone = matching.rank_goals(goals.filter("goal_id = 2").drop("portfolio_id"), pool.filter("ord > 0").drop("portfolio_id"), F.array().cast("array<string>"))
+    scores = lambda df, g: {r.ord: r.score for r in df.collect() if r.goal_id == g}
+    assert scores(alone, 2) == scores(ranked, 2)
+
+
+def test_selection_looks_at_all_ranked_skills(spark):
+    """More than two hundred skills of one name stand before the one that meets the second anchor."""
+    rows = [(i, "seo-audit", "Audits SEO ranking meta pull request", "m", "A", 10, []) for i in range(300)] + [(900, "pr-review", "Reviews pull request code", "dev", "B", 800, [])]
+    catalog = spark.createDataFrame(rows, "ord long, name string, description string, category string, grade string, tokens long, caps array<string>")
+    goals = spark.createDataFrame([(1, "seo audit and code review of a pull request")], "goal_id long, goal string")
+    ranked = matching.rank_goals(goals, catalog, F.array().cast("array<string>"))
+    got = matching.select_skills(goals, ranked, catalog, spark.createDataFrame([], "a long, b long")).first()
+    assert got.selected == [0, 900] and not got.abstained
+
+
 def test_goal_selection(spark):
     catalog = spark.createDataFrame([
         (1, "seo-audit", "Audits a site for SEO ranking and technical meta issues", "marketing", "A", 900, ["network"]), (2, "pr-review", "Reviews pull request code for bugs and quality", "dev", "A", 800, ["exec"]),
