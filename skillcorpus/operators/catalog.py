@@ -65,15 +65,18 @@ def audit_capsules(capsules: DataFrame, catalog_sha: str) -> DataFrame:
     return capsules.withColumns({"errors": F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(True)), F.lit(m)) for c, m in bad])), "compatible": F.col("catalog_sha") == catalog_sha})
 
 
-def install_gate(entries: DataFrame, names: DataFrame, installed: DataFrame, max_files: int = 200, max_total: int = 20 << 20, max_file: int = 4 << 20, max_depth: int = 8) -> DataFrame:
+def install_gate(entries: DataFrame, names: DataFrame, target: DataFrame, max_files: int = 200, max_total: int = 20 << 20, max_file: int = 4 << 20, max_depth: int = 8, max_path: int = 240) -> DataFrame:
     """``bundle_id, reasons, action``: why a bundle may not be installed, and whether it would add or replace.
 
-    ``names`` has ``bundle_id, name``: two names that differ only in case collide. ``installed`` has ``bundle_id, installed``.
+    ``names`` has ``bundle_id, name`` (its folder's), ``declared`` (in its document), ``grade, gate, risk``: both names must be equal, and the bundle graded A or B, passed and of low risk. Two names of
+    the batch that differ in case at most collide, and so does a name with one at the ``target`` (``bundle_id, installed``: the name found where it would go) that differs only in case.
     """
     sizes = entries.groupBy("bundle_id").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("total"), F.max("size").alias("largest"), F.max(F.size(F.split("path", "/"))).alias("depth"), F.max(F.octet_length("path")).alias("longest"))
-    rows = sizes.join(names, "bundle_id").withColumn("twins", F.count(F.lit(1)).over(Window.partitionBy(F.lower("name")))).join(installed, "bundle_id", "left")
+    rows = sizes.join(names, "bundle_id").withColumn("twins", F.count(F.lit(1)).over(Window.partitionBy(F.lower("name")))).join(target, "bundle_id", "left")
+    trusted = F.col("grade").isin("A", "B") & (F.col("gate") == "pass") & (F.col("risk") == "low")
     bad = [
-        (F.col("files") > max_files, "files"), (F.col("total") > max_total, "bytes"), (F.col("largest") > max_file, "file"), (F.col("depth") > max_depth, "depth"), (F.col("longest") > 240, "path"),
-        (~F.rlike("name", F.lit(r"^[A-Za-z0-9][A-Za-z0-9._-]{0,119}\z")) | F.lower("name").isin(".system"), "name"), (F.col("twins") > 1, "collision"),
+        (F.col("files") > max_files, "files"), (F.col("total") > max_total, "bytes"), (F.col("largest") > max_file, "file"), (F.col("depth") > max_depth, "depth"), (F.col("longest") > max_path, "path"),
+        (~F.rlike("name", F.lit(r"^[A-Za-z0-9][A-Za-z0-9._-]{0,119}\z")) | F.lower("name").isin(".system"), "name"), (~F.col("declared").eqNullSafe(F.col("name")), "identity"), (~F.coalesce(trusted, F.lit(False)), "trust"),
+        (F.col("twins") > 1, "collision"), (F.coalesce((F.col("installed") != F.col("name")) & (F.lower("installed") == F.lower("name")), F.lit(False)), "target"),
     ]
-    return rows.select("bundle_id", F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(m)) for c, m in bad])), "|").alias("reasons"), F.when(F.col("installed"), "replace").otherwise("add").alias("action"))
+    return rows.select("bundle_id", F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(m)) for c, m in bad])), "|").alias("reasons"), F.when(F.col("installed") == F.col("name"), "replace").otherwise("add").alias("action"))

@@ -124,26 +124,47 @@ def receipt_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.summary(rows.join(V.first_wins(rows.filter("valid")), "ord", "left"))
 
 
-_VALID = "'vr_' || CASE WHEN receipt_id % 9 = 4 THEN 'zz' ELSE left(md5(receipt_id::VARCHAR), 24) END"
-
-
-@query(S.given("obs", """c AS (SELECT receipt_id, task_id, seed, count(*) FILTER (WHERE arm = 'baseline') AS b, count(*) FILTER (WHERE arm = 'proposed') AS p FROM obs GROUP BY 1, 2, 3),
-l AS (SELECT receipt_id, sum((b > 0)::INT + (p > 0)::INT) AS n_cells, sum(greatest(b - 1, 0) + greatest(p - 1, 0)) AS n_duplicate, count(DISTINCT task_id) AS n_tasks, count(DISTINCT seed) AS n_seeds FROM c GROUP BY 1)
----
-SELECT receipt_id, array_to_string(list_filter([CASE WHEN receipt_id % 9 = 4 THEN 'receiptId is invalid' END, CASE WHEN receipt_id % 8 = 5 THEN 'invocationId is invalid' END, CASE WHEN receipt_id % 7 = 2 THEN 'timestamps are invalid' END, CASE WHEN receipt_id % 11 = 6 THEN 'provider kind and environment are inconsistent' END,
- CASE WHEN n_seeds < 3 OR n_seeds > 20 THEN 'environment seeds are invalid' END, CASE WHEN n_seeds <> 3 THEN 'environment trials must equal seed count' END, CASE WHEN receipt_id % 13 = 1 THEN 'baseline and proposed setups must differ' END, CASE WHEN n_duplicate > 0 THEN 'duplicate observation' END, CASE WHEN n_cells <> n_tasks * n_seeds * 2 THEN 'paired ledger is incomplete' END], lambda x: x IS NOT NULL), '; ') AS errors FROM l"""))
+_OBS_FAULTS = """ox AS (SELECT *, CASE WHEN receipt_id % 29 = 3 AND seed = 0 THEN 'other' ELSE sha256('suite') END AS su, CASE WHEN receipt_id % 31 = 4 AND arm = 'proposed' THEN 'other' WHEN arm = 'baseline' THEN sha256(receipt_id::VARCHAR) ELSE sha256((receipt_id + CASE WHEN receipt_id % 13 = 1 THEN 0 ELSE 1 END)::VARCHAR) END AS se FROM obs),
+dc AS (SELECT receipt_id, list_sort(list_distinct(list(task_id))) AS tasks, list_sort(list_distinct(list(seed))) AS seeds FROM obs GROUP BY 1),
+of0 AS (SELECT ox.receipt_id, arm, task_id, seed, count(*) AS n, count(*) FILTER (WHERE task_id = 4 AND ox.receipt_id % 37 = 5) AS o, count(*) FILTER (WHERE su <> sha256('suite')) AS d, count(*) FILTER (WHERE se <> CASE WHEN arm = 'baseline' THEN sha256(ox.receipt_id::VARCHAR) ELSE sha256((ox.receipt_id + CASE WHEN ox.receipt_id % 13 = 1 THEN 0 ELSE 1 END)::VARCHAR) END) AS u, count(*) FILTER (WHERE coalesce(tokens < 0, true)) AS x FROM ox GROUP BY 1, 2, 3, 4),
+oc AS (SELECT receipt_id, sum(n) AS n_obs, count(*) AS n_cells, sum(n - 1) AS n_dup, sum(o) AS n_out, sum(d) AS n_drift, sum(u) AS n_setup, sum(x) AS n_bad FROM of0 GROUP BY 1),
+rv AS (SELECT po.*, oc.* EXCLUDE (receipt_id), CASE WHEN receipt_id % 37 = 5 THEN list_filter(tasks, lambda t: t <> 4) ELSE tasks END AS tasks, seeds FROM po JOIN oc USING (receipt_id) JOIN dc USING (receipt_id)),
+rf AS (SELECT *, list_filter([CASE WHEN receipt_id % 41 = 6 THEN 'receipt contains forbidden raw field: prompt' END, CASE WHEN receipt_id % 43 = 7 THEN 'protocolVersion is invalid' END, CASE WHEN receipt_id % 9 = 4 THEN 'receiptId is invalid' END, CASE WHEN receipt_id % 8 = 5 THEN 'invocationId is invalid' END,
+  CASE WHEN receipt_id % 47 = 8 THEN 'attestation is invalid' END, CASE WHEN receipt_id % 53 = 9 THEN 'suite identity is invalid' END, CASE WHEN receipt_id % 14 = 6 THEN 'environment identity is invalid' END, CASE WHEN receipt_id % 17 = 2 THEN 'setup identity is invalid' END, CASE WHEN receipt_id % 7 = 2 THEN 'receipt timestamps are invalid' END,
+  CASE WHEN receipt_id % 59 = 1 THEN 'limitations are invalid' END, CASE WHEN receipt_id % 61 = 1 THEN 'integrity is invalid' END, CASE WHEN n_obs > 2000 THEN 'observations are invalid' END], lambda x: x IS NOT NULL) AS f,
+ list_filter([CASE WHEN receipt_id % 11 = 6 THEN 'provider kind and environment are inconsistent' END, CASE WHEN len(tasks) < 1 THEN 'suite taskIds are invalid' END, CASE WHEN len(seeds) < 3 THEN 'environment seeds are invalid' END, CASE WHEN len(seeds) <> 3 THEN 'environment trials must equal seed count' END, CASE WHEN receipt_id % 13 = 1 THEN 'baseline and proposed setups must differ' END,
+  CASE WHEN n_dup > 0 THEN 'duplicate observation' END, CASE WHEN n_out > 0 THEN 'observation is outside the declared suite' END, CASE WHEN n_drift > 0 THEN 'observation identity drift' END, CASE WHEN n_setup > 0 THEN 'observation setup drift' END, CASE WHEN n_bad > 0 THEN 'observation values are invalid' END,
+  CASE WHEN n_cells <> len(tasks) * len(seeds) * 2 THEN 'paired ledger is incomplete' END, CASE WHEN receipt_id % 19 = 4 THEN 'derived result does not match observations' END], lambda x: x IS NOT NULL) AS g FROM rv)"""
+
+
+@query(S.given("obs", f"{_PAIRED}, {_OBS_FAULTS}\n---\nSELECT receipt_id, array_to_string(CASE WHEN len(f) > 0 THEN f ELSE g END, '; ') AS errors FROM rf"))
 def job_receipt_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is wrong with each receipt; some have ids, times, origins or setups that cannot be."""
+    """What is wrong with each receipt: of its form, else of what it says; some are tampered with, in all fields that are checked."""
     obs = adapters.observations_from_events(table(spark, sf_dir, "events"))
-    sizes = obs.groupBy("receipt_id").agg(F.count_distinct("task_id").alias("n_tasks"), F.count_distinct("seed").alias("n_seeds"))
     k = F.col("receipt_id")
     sha = lambda c: F.sha2(c.cast("string"), 256)
-    rows = V.ledger(obs).join(sizes, "receipt_id").withColumns({
-        "receipt_id_text": F.concat(F.lit("vr_"), F.when(k % 9 == 4, "zz").otherwise(F.left(F.md5(k.cast("string")), F.lit(24)))), "invocation": F.when(k % 8 == 5, "short").otherwise(F.concat(F.lit("invocation-"), k)),
-        "kind": F.lit("real"), "origin": F.when(k % 11 == 6, "http://far.example.org").otherwise("https://api.example.org"), "model": F.lit("m"), "trials": F.lit(3), "started": F.lit("2026-01-01T00:00:00"),
-        "completed": F.when(k % 7 == 2, "not a time").otherwise("2026-01-01T00:10:00"), "baseline_sha": sha(k), "proposed_sha": sha(F.when(k % 13 == 1, k).otherwise(k + 1)),
+    says = lambda cond, bad, good: F.when(cond, F.lit(bad)).otherwise(F.lit(good) if isinstance(good, str) else good)
+    sets = obs.groupBy("receipt_id").agg(F.sort_array(F.collect_set("task_id")).alias("task_ids"), F.sort_array(F.collect_set("seed")).alias("seeds"))
+    results = V.paired_results(obs)
+    names = [c for c in results.columns if c != "receipt_id"]
+    recorded = F.struct(*names)
+    tampered = recorded.withField("lift", F.when(k % 19 == 4, F.col("lift") + 1).otherwise(F.col("lift")))
+    rows = sets.join(results.select("receipt_id", tampered.alias("result"), F.struct(*names).alias("derived")), "receipt_id").withColumns({
+        "task_ids": F.when(k % 37 == 5, F.filter("task_ids", lambda t: t != 4)).otherwise(F.col("task_ids")), "field_names": F.array(F.lit("receiptId"), says(k % 41 == 6, "Prompt", "suite")), "protocol": says(k % 43 == 7, "0.9", "1.0"),
+        "receipt_id_text": F.concat(F.lit("vr_"), says(k % 9 == 4, "zz", F.left(F.md5(k.cast("string")), F.lit(24)))), "invocation": says(k % 8 == 5, "short", F.concat(F.lit("invocation-"), k)), "attestation": says(k % 47 == 8, "remote", "local-self-attested"),
+        "kind": F.lit("real"), "suite_sha": F.sha2(F.lit("suite"), 256), "verifier_sha": says(k % 53 == 9, "none", F.sha2(F.lit("verifier"), 256)), "goal_sha": F.sha2(F.lit("goal"), 256), "environment_sha": F.sha2(F.lit("environment"), 256), "adapter": F.lit("chat"), "runner": F.lit("r1"),
+        "origin": says(k % 11 == 6, "http://far.example.org", "https://api.example.org"), "model": F.lit("m"), "node": F.lit("v20"), "os": F.lit("linux"), "arch": F.lit("x64"), "temperature": F.when(k % 14 == 6, 2.5).otherwise(0.0), "max_tokens": F.lit(512), "timeout_ms": F.lit(30_000),
+        "baseline_sha": sha(k), "proposed_sha": sha(F.when(k % 13 == 1, k).otherwise(k + 1)), "skills": F.array(F.struct(F.concat(F.lit("skill-"), k).alias("name"), sha(k).alias("sha256"), F.when(k % 17 == 2, 0).otherwise(3).alias("files"))),
+        "started": F.lit("2026-01-01T00:00:00"), "completed": says(k % 7 == 2, "not a time", "2026-01-01T00:10:00"), "limitations": F.when(k % 59 == 1, F.array().cast("array<string>")).otherwise(F.array(F.lit("one provider"))), "algorithm": F.lit("sha256"), "payload_sha": says(k % 61 == 1, "x", sha(k)),
+        "title": F.lit("suite"), "goal_rate": F.lit(0.8), "trials": F.lit(3),
     })
-    return V.receipt_errors(rows).select("receipt_id", F.array_join("errors", "; ").alias("errors"))
+    rows = cut(rows, "receipts")
+    arm = F.when(F.col("arm") == "baseline", sha(k)).otherwise(sha(F.when(k % 13 == 1, k).otherwise(k + 1)))
+    seen = obs.withColumns({
+        "suite_sha": says((k % 29 == 3) & (F.col("seed") == 0), "other", F.sha2(F.lit("suite"), 256)), "environment_sha": F.sha2(F.lit("environment"), 256), "setup_sha": says((k % 31 == 4) & (F.col("arm") == "proposed"), "other", arm),
+        "error_code": F.when(F.col("status") == "error", "provider-error"),
+    })
+    return V.receipt_errors(rows.join(V.observation_faults(seen, rows), "receipt_id"), "1.0", "chat", "r1").select("receipt_id", F.array_join("errors", "; ").alias("errors"))
 
 
 @query("SELECT conv_id, count(*) * 3 * 2 AS requests, sum(3 * 3 * (64 * 2 + octet_length(encode(text)) * 2))::BIGINT AS input_bytes, count(*) * 3 * 2 * 3 * 512 AS output_tokens, count(*) * 6 > 200 OR sum(3 * 3 * (64 * 2 + octet_length(encode(text)) * 2)) > 20971520 OR count(*) * 3 * 2 * 3 * 512 > 200000 AS over FROM conversations WHERE role = 'user' GROUP BY 1")
@@ -155,17 +176,23 @@ def verify_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("over", F.expr("requests > 200 or input_bytes > 20971520 or output_tokens > 200000"))
 
 
-@query("""WITH a AS (SELECT conv_id, turn, text AS output, CASE WHEN turn % 3 = 0 THEN 'exact' ELSE 'contains' END AS kind, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations WHERE role = 'assistant')
-SELECT conv_id, turn, kind, CASE WHEN kind = 'exact' THEN regexp_replace(output, '^\\s+|\\s+$', '', 'g') = regexp_replace(output || '  ', '^\\s+|\\s+$', '', 'g') ELSE contains(lower(output), lower(left(output, 12))) AND NOT contains(lower(output), lower(coalesce(left(next, 9), 'zzz'))) END AS pass FROM a""")
+@query("""WITH a AS (SELECT conv_id, turn, text AS output, CASE turn % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'contains' ELSE 'json' END AS kind, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations WHERE role = 'assistant'),
+ b AS (SELECT *, CASE WHEN conv_id % 2 = 0 THEN output || '  ' ELSE coalesce(next, output) END AS value FROM a)
+SELECT conv_id, turn, kind, CASE kind WHEN 'exact' THEN regexp_replace(output, '^\\s+|\\s+$', '', 'g') = regexp_replace(value, '^\\s+|\\s+$', '', 'g') WHEN 'contains' THEN contains(lower(output), lower(left(output, 12))) AND NOT contains(lower(output), lower(coalesce(left(next, 9), 'zzz'))) ELSE conv_id % 4 <> 3 AND conv_id % 5 <> 1 END AS pass FROM b""")
 def job_grade_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assistant turns graded as outputs: against themselves with other white space, or by texts they must and must not contain."""
+    """Assistant turns graded as outputs: against texts of their own or of the next turn, by texts they must and must not contain, and as JSON with keys in another order, other values, or broken."""
     from pyspark.sql import Window
 
     rows = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
     after = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    rows = rows.withColumns({"next": after, "kind": F.when(F.col("turn") % 3 == 0, "exact").when(F.col("turn") % 3 == 1, "contains").otherwise("json")})
+    body = F.to_json(F.struct(F.col("text").alias("t"), F.col("turn").alias("n")))
+    other = F.to_json(F.struct(F.col("turn").alias("n"), F.when(F.col("conv_id") % 5 == 1, F.lit("another")).otherwise(F.col("text")).alias("t")))
+    is_json = F.col("kind") == "json"
     outputs = rows.select(
-        "conv_id", "turn", F.col("text").alias("output"), F.when(F.col("turn") % 3 == 0, "exact").otherwise("contains").alias("kind"), F.concat("text", F.lit("  ")).alias("value"),
-        F.array(F.left("text", F.lit(12))).alias("all_of"), F.array(F.coalesce(F.left(after, F.lit(9)), F.lit("zzz"))).alias("none_of"),
+        "conv_id", "turn", "kind", F.when(is_json, F.when(F.col("conv_id") % 4 == 3, F.concat(body, F.lit("}"))).otherwise(body)).otherwise(F.col("text")).alias("output"),
+        F.when(is_json, other).when(F.col("conv_id") % 2 == 0, F.concat("text", F.lit("  "))).otherwise(F.coalesce("next", "text")).alias("value"),
+        F.array(F.left("text", F.lit(12))).alias("all_of"), F.array(F.coalesce(F.left("next", F.lit(9)), F.lit("zzz"))).alias("none_of"),
     )
     return V.grade_outputs(outputs).select("conv_id", "turn", "kind", "pass")
 
@@ -236,12 +263,19 @@ def job_capsule_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.audit_capsules(shared, "now").select("receipt_id", F.array_join("errors", "; ").alias("errors"), "compatible")
 
 
-@query(S.given("mf", "g AS (SELECT bundle_id, count(*) AS files, sum(size) AS total, max(size) AS largest, max(len(string_split(path, '/'))) AS depth, 'Kit' || (bundle_id // 2) AS name FROM mf GROUP BY 1), h AS (SELECT *, CASE WHEN bundle_id % 2 = 0 THEN name ELSE lower(name) END AS dest, count(*) OVER (PARTITION BY lower(name)) AS twins FROM g)\n---\nSELECT bundle_id, array_to_string(list_filter([CASE WHEN files > 4 THEN 'files' END, CASE WHEN total > 15000 THEN 'bytes' END, CASE WHEN largest > 4900 THEN 'file' END, CASE WHEN depth > 8 THEN 'depth' END, CASE WHEN twins > 1 THEN 'collision' END], lambda x: x IS NOT NULL), '|') AS reasons, CASE WHEN bundle_id % 5 = 0 THEN 'replace' ELSE 'add' END AS action FROM h"))
+@query(S.given("mf", """g AS (SELECT bundle_id, count(*) AS files, sum(size) AS total, max(size) AS largest, max(len(string_split(path, '/'))) AS depth, 'Kit' || (bundle_id // 2) AS kit FROM mf GROUP BY 1),
+h AS (SELECT *, CASE WHEN bundle_id % 2 = 0 THEN kit ELSE lower(kit) END AS name FROM g), i AS (SELECT *, count(*) OVER (PARTITION BY lower(name)) AS twins FROM h)
+---
+SELECT bundle_id, array_to_string(list_filter([CASE WHEN files > 4 THEN 'files' END, CASE WHEN total > 15000 THEN 'bytes' END, CASE WHEN largest > 4900 THEN 'file' END, CASE WHEN depth > 8 THEN 'depth' END, CASE WHEN bundle_id % 11 = 2 THEN 'identity' END, CASE WHEN bundle_id % 7 = 3 OR bundle_id % 13 = 4 OR bundle_id % 17 = 5 THEN 'trust' END,
+ CASE WHEN twins > 1 THEN 'collision' END, CASE WHEN bundle_id % 10 = 5 THEN 'target' END], lambda x: x IS NOT NULL), '|') AS reasons, CASE WHEN bundle_id % 5 = 0 AND bundle_id % 10 <> 5 THEN 'replace' ELSE 'add' END AS action FROM i"""))
 def job_install_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which bundles may be installed, under tight bounds, and why not."""
+    """Which bundles may be installed, under tight bounds, and why not; every fifth has its name taken at the target, half of these in another case."""
     mf = adapters.manifests_from_lineitem(table(spark, sf_dir, "lineitem"))
-    ids = mf.select("bundle_id").distinct()
-    name = F.concat(F.lit("Kit"), F.expr("bundle_id div 2"))
-    dest = ids.select("bundle_id", F.when(F.col("bundle_id") % 2 == 0, name).otherwise(F.lower(name)).alias("name"))
-    installed = ids.filter("bundle_id % 5 = 0").withColumn("installed", F.lit(True))
-    return K.install_gate(mf, dest, installed, max_files=4, max_total=15_000, max_file=4_900)
+    ids, k = mf.select("bundle_id").distinct(), F.col("bundle_id")
+    kit = F.concat(F.lit("Kit"), F.expr("bundle_id div 2"))
+    name = F.when(k % 2 == 0, kit).otherwise(F.lower(kit))
+    named = ids.select(
+        "bundle_id", name.alias("name"), F.when(k % 11 == 2, "another").otherwise(name).alias("declared"), F.when(k % 7 == 3, "C").otherwise("B").alias("grade"), F.when(k % 13 == 4, "review").otherwise("pass").alias("gate"), F.when(k % 17 == 5, "medium").otherwise("low").alias("risk")
+    )
+    target = ids.filter("bundle_id % 5 = 0").select("bundle_id", F.when(k % 10 == 5, F.upper(name)).otherwise(name).alias("installed"))
+    return K.install_gate(mf, named, target, max_files=4, max_total=15_000, max_file=4_900)
