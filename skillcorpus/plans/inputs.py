@@ -17,3 +17,8 @@ def analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
     if key not in _WRITTEN:
         _WRITTEN[key] = cut(analysis(adapters.skills(spark, sf_dir)), "analysis")
     return _WRITTEN[key]
+
+
+def forget() -> None:
+    """Lets the next query grade the skills anew."""
+    _WRITTEN.clear()
