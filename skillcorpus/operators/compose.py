@@ -75,8 +75,8 @@ def resolve(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """``portfolio_id, skill_ord, into, action``: which skills of the pairs are dropped or merged, in the order of strength.
 
     Over the pairs, strongest first, the lower in value goes to the higher unless one of both is gone. A pair's turn has come when no stronger pair that
-    is still open would take the lower one of it, nor the higher one; all such pairs are resolved at once, those of skills that went are closed, and so on until
-    none is open. So a skill with any number of copies takes one round, and nothing is gathered by group.
+    is still open would take the lower one of it, nor the higher one; all such pairs are resolved at once. Pairs whose lower one went are closed, and those whose higher one went
+    before their turn; the others of a skill that went stay open, as it still stood then. So it goes on until none is open: a skill with any number of copies takes one round, and nothing is gathered by group.
     """
     side = lambda s: rows.select("portfolio_id", F.col("skill_ord").alias(s), F.col("value").alias(f"value_{s}"), F.col("blocked").alias(f"blocked_{s}"))
     weighed = pairs.join(side("a"), ["portfolio_id", "a"]).join(side("b"), ["portfolio_id", "b"]).filter("not blocked_a and not blocked_b")
@@ -89,10 +89,10 @@ def resolve(rows: DataFrame, pairs: DataFrame) -> DataFrame:
         next_ = cut(open_.groupBy("portfolio_id", "lo").agg(F.min("turn").alias("next")), "turns")
         mine, other = next_, next_.select("portfolio_id", F.col("lo").alias("hi"), F.col("next").alias("before"))
         due = open_.join(mine, ["portfolio_id", "lo"]).filter("turn = next").join(other, ["portfolio_id", "hi"], "left").filter("before is null or before > turn")
-        due = cut(due.select("portfolio_id", F.col("lo").alias("skill_ord"), F.col("hi").alias("into"), "action"), "resolved")
-        done = done.union(due)
-        gone = due.select("portfolio_id", "skill_ord")
-        left = open_.join(gone.withColumnRenamed("skill_ord", "lo"), ["portfolio_id", "lo"], "left_anti").join(gone.withColumnRenamed("skill_ord", "hi"), ["portfolio_id", "hi"], "left_anti")
+        due = cut(due.select("portfolio_id", F.col("lo").alias("skill_ord"), F.col("hi").alias("into"), "action", F.col("turn").alias("at")), "resolved")
+        done = done.union(due.drop("at"))
+        left = open_.join(due.select("portfolio_id", F.col("skill_ord").alias("lo")), ["portfolio_id", "lo"], "left_anti")
+        left = left.join(due.select("portfolio_id", F.col("skill_ord").alias("hi"), "at"), ["portfolio_id", "hi"], "left").filter("at is null or turn < at")
         open_ = cut(left.select(*open_.columns), "merge-pairs")
     return done
 

@@ -12,6 +12,7 @@ from skillcorpus.operators import portfolio as P
 from skillcorpus.operators import receipts as V
 from skillcorpus.plans import sql as S
 from skillcorpus.plans.inputs import analysed
+from skillcorpus.plans.portfolio_queries import _CONFLICTS
 from skillcorpus.plans.registry import query
 from skillcorpus.plans.storage import cut
 from skillcorpus.sources import adapters
@@ -26,6 +27,37 @@ cn AS (SELECT portfolio_id, least(x, y) AS a, greatest(x, y) AS b, 1.0::DOUBLE A
 cm AS (SELECT portfolio_id, a, b, max(sim) AS sim, bool_or(same_name) AS same_name FROM (SELECT * FROM ck UNION ALL SELECT * FROM cn WHERE a < b) GROUP BY 1, 2, 3)"""
 
 
+# Pairs, strongest first, folded over what is gone so far; the first pair always counts, as blocked skills are in none.
+_GONE = "list_contains(list_transform(acc, lambda y: y.lo), x[1].{0})"
+_COMPOSED = f"""cw AS (SELECT cm.portfolio_id, a, b, sim, CASE WHEN p.value >= q.value THEN a ELSE b END AS hi, CASE WHEN p.value >= q.value THEN b ELSE a END AS lo, CASE WHEN same_name OR sim >= 0.8 THEN 'drop' ELSE 'merge' END AS act
+  FROM cm JOIN cr p ON p.portfolio_id = cm.portfolio_id AND p.skill_ord = a JOIN cr q ON q.portfolio_id = cm.portfolio_id AND q.skill_ord = b WHERE NOT p.blocked AND NOT q.blocked),
+cx AS (SELECT portfolio_id, unnest(list_reduce(list([{{'lo': lo, 'hi': hi, 'act': act}}] ORDER BY sim DESC, a, b), lambda acc, x: CASE WHEN {_GONE.format("lo")} OR {_GONE.format("hi")} THEN acc ELSE acc || x END)) AS m FROM cw GROUP BY 1),
+mv AS (SELECT portfolio_id, m.lo AS skill_ord, m.hi AS target, m.act AS action FROM cx UNION ALL SELECT portfolio_id, skill_ord, NULL, 'drop' FROM cr WHERE blocked),
+sd AS (SELECT portfolio_id, skill_ord, broad AND NOT blocked AS broad, unnest(list_filter(terms, lambda t: length(t) > 3)) AS t FROM cr ANTI JOIN mv USING (portfolio_id, skill_ord)),
+vi AS (SELECT x.portfolio_id, x.skill_ord, min(y.skill_ord) AS victim FROM sd x JOIN sd y USING (portfolio_id, t) WHERE x.broad AND x.skill_ord <> y.skill_ord GROUP BY 1, 2),
+fx AS (SELECT DISTINCT skill_ord, true AS fixable FROM af WHERE category IN ({S.in_list(C.FIXABLE)})),
+co AS (SELECT an.portfolio_id, an.skill_ord, cr.value::DOUBLE AS value, cr.relevance, cr.terms, an.tokens_total, an.tokens_desc, an.gate, an.grade, coalesce(mv.target, vi.victim) AS target,
+  coalesce(mv.action, CASE WHEN vi.victim IS NOT NULL THEN 'narrow' WHEN an.grade = 'A' AND an.tokens >= 85 AND fixable IS NULL THEN 'keep' ELSE 'optimize' END) AS action
+  FROM an JOIN cr ON cr.portfolio_id = an.portfolio_id AND cr.skill_ord = an.skill_ord LEFT JOIN mv ON mv.portfolio_id = an.portfolio_id AND mv.skill_ord = an.skill_ord
+  LEFT JOIN vi ON vi.portfolio_id = an.portfolio_id AND vi.skill_ord = an.skill_ord LEFT JOIN fx ON fx.skill_ord = an.skill_ord)"""
+_PLAIN = _MERGES.replace("value, gate = 'block' AS blocked", "value, NULL::DOUBLE AS relevance, gate = 'block' AS blocked", 1)
+_KEYS = "list_filter(['exact:' || {0}, CASE WHEN length({0}) >= 5 THEN 'p5:' || left({0}, 5) END], lambda k: k IS NOT NULL)"
+# The goal of each portfolio, and how far skills cover it.
+_GOALS = f"""pn AS (SELECT source AS portfolio_id, ('0x' || left(md5(source), 8))::BIGINT % (SELECT greatest(1, count(*)) FROM benchmark) AS slot FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)),
+pg AS (SELECT portfolio_id, list_filter(words, lambda w, i: list_position(words, w) = i) AS needs FROM (SELECT portfolio_id, {S.goal_tokens("goal").removeprefix("list_distinct")} AS words FROM pn JOIN (SELECT *, row_number() OVER (ORDER BY goal_id) - 1 AS slot FROM gl) USING (slot))),
+pt AS (SELECT portfolio_id, len(needs) AS n, unnest(needs) AS need, unnest(range(len(needs))) AS pos FROM pg),
+pk AS (SELECT *, unnest({_KEYS.format("need")}) AS key FROM pt),
+hk AS (SELECT DISTINCT portfolio_id, skill_ord, unnest({_KEYS.format("term")}) AS key FROM (SELECT portfolio_id, skill_ord, unnest({S.goal_tokens("(fm_name || chr(32) || description)")}) AS term FROM an)),
+rm AS (SELECT portfolio_id, skill_ord, count(DISTINCT need) AS hit FROM pk JOIN hk USING (portfolio_id, key) GROUP BY 1, 2),
+rg AS (SELECT an.portfolio_id, an.skill_ord, coalesce(hit, 0) / n::DOUBLE AS relevance FROM an JOIN (SELECT DISTINCT portfolio_id, n FROM pt) p ON p.portfolio_id = an.portfolio_id LEFT JOIN rm ON rm.portfolio_id = an.portfolio_id AND rm.skill_ord = an.skill_ord)"""
+_WEIGHED = (
+    _MERGES.replace("CASE WHEN gate = 'block' THEN 0 ELSE score END AS value", "CASE WHEN gate = 'block' THEN 0 ELSE score * CASE WHEN relevance IS NULL THEN 1.0::DOUBLE ELSE 0.35::DOUBLE + 0.65::DOUBLE * relevance END END::DOUBLE AS value, relevance", 1)
+    .replace("AS terms FROM an)", "AS terms FROM an LEFT JOIN rg USING (portfolio_id, skill_ord))", 1)
+)
+_FOR_GOALS = f"{_GOALS},\n{_WEIGHED},\n{_COMPOSED}"
+_ORDER = "CASE action " + " ".join(f"WHEN '{a}' THEN {i}" for a, i in C.ORDER.items()) + " END"
+
+
 @query(S.given("an", f"{_MERGES}\n---\nSELECT portfolio_id, a, b, round(sim, 6) AS sim, same_name FROM cm"))
 def dup_merge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of skills that are copies of each other or overlap heavily."""
@@ -39,21 +71,28 @@ def narrow_victims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.narrow_victims(rows, rows.filter("blocked").select("portfolio_id", "skill_ord"))
 
 
-@query()
+@query(S.given("af gl", f"{_FOR_GOALS}\n---\nSELECT portfolio_id, skill_ord, action, target, CASE WHEN action IN ('optimize', 'keep') AND gate = 'review' THEN 'review' WHEN action NOT IN ('drop', 'merge') AND relevance = 0 AND grade IN ('D', 'F') THEN 'offgoal' END AS flag, value, relevance, tokens_total FROM co"))
 def job_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What to do with every skill, for the goal of its portfolio."""
     rows = C.compose(analysed(spark, sf_dir), adapters.portfolio_goals(spark, sf_dir))
-    return rows.select("portfolio_id", "skill_ord", "action", "target", "flag", F.round("value", 6).alias("value"), F.round("relevance", 6).alias("relevance"), "tokens_total")
+    return rows.select("portfolio_id", "skill_ord", "action", "target", "flag", "value", "relevance", "tokens_total")
 
 
-@query()
+@query(S.given("af gl", f"""{_FOR_GOALS}, st AS (SELECT DISTINCT portfolio_id, unnest({_KEYS.format("term")}) AS key FROM (SELECT portfolio_id, unnest(terms) AS term FROM co WHERE action NOT IN ('drop', 'merge'))),
+me AS (SELECT DISTINCT portfolio_id, need FROM pk JOIN st USING (portfolio_id, key)),
+un AS (SELECT portfolio_id, need, pos FROM pt ANTI JOIN me USING (portfolio_id, need) WHERE length(need) >= 4)
+---
+SELECT * FROM (SELECT portfolio_id, row_number() OVER (PARTITION BY portfolio_id ORDER BY pos) AS place, need FROM un) WHERE place <= 6"""))
 def plan_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the goal of each portfolio needs that no skill that stays covers, the first six."""
     goals = adapters.portfolio_goals(spark, sf_dir)
     return C.gaps(C.compose(analysed(spark, sf_dir), goals), goals)
 
 
-@query()
+@query(S.given("af", f"""{_PLAIN}, {_COMPOSED}, {_CONFLICTS}, nc AS (SELECT portfolio_id, count(*) AS n FROM cf GROUP BY 1)
+---
+SELECT portfolio_id, count(*) AS total, {", ".join(f"count(*) FILTER (WHERE action = '{a}') AS {chr(34)}{a}{chr(34)}" for a in C.ORDER)}, sum(tokens_total)::BIGINT AS tokens_now, sum(CASE WHEN action IN ('drop', 'merge') THEN 0 ELSE tokens_total END)::BIGINT AS tokens_after,
+ sum(tokens_desc + 8)::BIGINT AS always_on, coalesce(any_value(n), 0) AS conflicts FROM co LEFT JOIN nc USING (portfolio_id) GROUP BY 1"""))
 def plan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Actions and conflicts of each portfolio, and its tokens before and after."""
     graded = analysed(spark, sf_dir)
@@ -61,7 +100,7 @@ def plan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.summary(C.compose(graded), conflicts)
 
 
-@query()
+@query(S.given("af", f"{_PLAIN}, {_COMPOSED}\n---\nSELECT portfolio_id, skill_ord, action, row_number() OVER (PARTITION BY portfolio_id ORDER BY {_ORDER}, value DESC, skill_ord) AS place FROM co"))
 def order_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Actions in the order in which they are shown."""
     from pyspark.sql import Window

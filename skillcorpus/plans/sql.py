@@ -135,8 +135,22 @@ gr1 AS (SELECT *, CASE WHEN level IN ('critical', 'high') THEN 'block' WHEN leve
 an AS (SELECT *, CASE WHEN gate = 'block' THEN 'F' WHEN score >= 85 THEN 'A' WHEN score >= 72 THEN 'B' WHEN score >= 58 THEN 'C' WHEN score >= 42 OR loadable THEN 'D' ELSE 'F' END AS grade,
   CASE WHEN length(tt) < 8 THEN 'empty' WHEN bundle_files IS NOT NULL THEN 'full' ELSE 'partial' END AS evidence FROM gr1)"""
 
-PARTS = {"sk": SKILLS_SQL, "pf": PARSED, "ax": AXES, "ht": HITS, "cp": CAPS, "rk": RISK, "an": GRADED, "cat": CATALOG_SQL, "gl": GOALS_SQL, "obs": OBSERVATIONS_SQL, "mf": MANIFESTS_SQL}
-NEEDS = {"pf": ["sk"], "ax": ["pf"], "ht": ["pf"], "cp": ["pf"], "rk": ["ht", "cp"], "an": ["ax", "rk"]}
+_NAMED = "fm_name <> ''"
+_DESCRIBED = "d <> ''"
+_MONOLITH = "tokens_total > 2500 AND n_headings >= 4 AND NOT defers"
+_OVER = "(tokens_body > 5000 OR n_lines > 500)"
+_QUALITY = [
+    ("NOT has_frontmatter", "medium", "spec"), (f"NOT ({_NAMED})", "low", "spec"), (f"{_NAMED} AND homoglyph", "medium", "injection"), (f"{_NAMED} AND NOT homoglyph AND NOT shaped", "low", "spec"), ("shaped AND generic", "low", "trigger"),
+    (f"NOT ({_DESCRIBED})", "medium", "spec"), ("length(d) > 1024", "medium", "spec"), ("NOT short AND plain", "low", "spec"), (f"{_DESCRIBED} AND eff < 40", "medium", "trigger"), (f"{_DESCRIBED} AND eff >= 40 AND length(d) > 500", "low", "trigger"),
+    (f"{_DESCRIBED} AND NOT (cue OR cue2)", "medium", "trigger"), (f"{_DESCRIBED} AND len(broad_words) > 0", "medium", "trigger"), (f"{_DESCRIBED} AND filler", "low", "trigger"), ("len(over_tools) > 0", "low", "privilege"), ("no_bash", "low", "spec"),
+    ("dangling", "medium", "spec"), ("tokens_body > 5000", "medium", "bloat"), ("n_lines > 500", "medium", "bloat"), ("n_repeated >= 2", "low", "bloat"), (f"{_MONOLITH} AND {_OVER}", "medium", "bloat"), (f"{_MONOLITH} AND NOT {_OVER}", "low", "bloat"),
+]
+#: All findings, of quality and of risk.
+ALL_FINDINGS = f"""af AS (SELECT skill_ord, severity, category FROM fr
+ UNION ALL SELECT skill_ord, split_part(f, ':', 1), split_part(f, ':', 2) FROM (SELECT skill_ord, unnest(list_filter([{", ".join(f"CASE WHEN {c} THEN '{s}:{k}' END" for c, s, k in _QUALITY)}], lambda x: x IS NOT NULL)) AS f FROM ax))"""
+
+PARTS = {"af": ALL_FINDINGS, "sk": SKILLS_SQL, "pf": PARSED, "ax": AXES, "ht": HITS, "cp": CAPS, "rk": RISK, "an": GRADED, "cat": CATALOG_SQL, "gl": GOALS_SQL, "obs": OBSERVATIONS_SQL, "mf": MANIFESTS_SQL}
+NEEDS = {"pf": ["sk"], "ax": ["pf"], "ht": ["pf"], "cp": ["pf"], "rk": ["ht", "cp"], "an": ["ax", "rk"], "af": ["an"]}
 
 
 def given(parts: str, body: str, recursive: bool = False) -> str:
@@ -157,3 +171,9 @@ def given(parts: str, body: str, recursive: bool = False) -> str:
     more, _, select = body.rpartition("---")
     ctes = [PARTS[p] for p in done] + ([more.strip().rstrip(",")] if more.strip() else [])
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(ctes) + "\n" + select.strip()
+
+
+def versions(parts: str, new: str, body: str) -> str:
+    """Like ``given``, with two rows for each skill: as it is (an even ``skill_ord``, twice its own), and with ``new`` as its text (the odd one after)."""
+    twice = ", sk AS (SELECT * REPLACE (skill_ord * 2 AS skill_ord) FROM sk0 UNION ALL SELECT * REPLACE (skill_ord * 2 + 1 AS skill_ord, " + new + " AS md) FROM sk0)"
+    return given(parts, body).replace(SKILLS_SQL, SKILLS_SQL.replace("sk AS (", "sk0 AS (", 1) + twice, 1)

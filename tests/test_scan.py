@@ -200,6 +200,16 @@ def test_compose_equals_the_loop(spark):
     assert got == want and want
 
 
+def test_a_skill_that_goes_later_still_takes_others_before(spark):
+    """Pairs 1-2 (hi 1), 2-3, 4-3 by strength: 3 goes to 2 while 2 stands, whatever order rounds find them in."""
+    rows = [("p", 1, "a", 90), ("p", 2, "b", 80), ("p", 3, "c", 10), ("p", 4, "d", 70), ("p", 5, "e", 95)]
+    df = spark.createDataFrame([(*r, False) for r in rows], "portfolio_id string, skill_ord long, name string, value long, blocked boolean")
+    # 4 goes to 5 first, so 3 cannot go to it; 3 goes to 2 then; 2 goes to 1 last
+    pairs = spark.createDataFrame([("p", 4, 5, 0.9, False), ("p", 3, 4, 0.85, False), ("p", 2, 3, 0.7, False), ("p", 1, 2, 0.6, False)], "portfolio_id string, a long, b long, sim double, same_name boolean")
+    got = {r.skill_ord: (r.into, r.action) for r in compose.resolve(df, pairs).collect()}
+    assert got == {4: (5, "drop"), 3: (2, "merge"), 2: (1, "merge")}
+
+
 def test_first_wins_along_chains(spark):
     rng = random.Random(8)
     rows = [(i, f"r{rng.randint(0, 30)}", f"i{rng.randint(0, 30)}") for i in range(60)] + [(100 + i, f"x{i}", f"y{i}") for i in range(20)]
