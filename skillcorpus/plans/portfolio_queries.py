@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,10 +11,13 @@ from skillcorpus.functions import rules as R
 from skillcorpus.functions import text as T
 from skillcorpus.operators import analysis as A
 from skillcorpus.operators import portfolio as P
+from skillcorpus.operators.reports import harden, labels, published
 from skillcorpus.plans import sql as S
 from skillcorpus.plans.inputs import analysed
 from skillcorpus.plans.registry import query
+from skillcorpus.plans.storage import shared_folder
 from skillcorpus.sources import adapters
+from skillcorpus.sources.files import read_scan, write_scan
 from skillcorpus.sources.tables import table
 
 
@@ -175,22 +180,22 @@ def limiter_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(S.given("an", f"{_BLOAT}, lb AS (SELECT *, row_number() OVER (PARTITION BY portfolio_id ORDER BY skill_ord) AS i FROM bb)\n---\nSELECT portfolio_id, skill_ord, 'skill-' || max(i) OVER (PARTITION BY portfolio_id, fm_name) AS label FROM lb"))
 def ordinal_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anonymous labels of skills; a name that occurs twice has the label of its last row."""
-    return _labels(analysed(spark, sf_dir)).select("portfolio_id", "skill_ord", "label")
-
-
-def _labels(rows: DataFrame) -> DataFrame:
-    i = F.row_number().over(Window.partitionBy("portfolio_id").orderBy("skill_ord"))
-    return rows.withColumn("i", i).withColumn("label", F.concat(F.lit("skill-"), F.max("i").over(Window.partitionBy("portfolio_id", "fm_name"))))
+    return labels(analysed(spark, sf_dir)).select("portfolio_id", "skill_ord", "label")
 
 
 _REASON = "CASE WHEN unsafe THEN 'unsafe' WHEN review THEN 'review' WHEN bloated THEN 'bloated' ELSE 'clean' END"
 
 
-@query(S.given("an", f"{_BLOAT}, lb AS (SELECT *, row_number() OVER (PARTITION BY portfolio_id ORDER BY skill_ord) AS i FROM bb)\n---\nSELECT portfolio_id, 'skill-' || max(i) OVER (PARTITION BY portfolio_id, fm_name) AS label, tokens_total, CASE WHEN complete THEN grade ELSE '?' END AS grade, {_REASON} AS reason FROM lb"))
+@query(S.given("af", f"""{_BLOAT}, {_CONFLICTS}, lb0 AS (SELECT *, row_number() OVER (PARTITION BY portfolio_id ORDER BY skill_ord) AS i FROM bb), lb AS (SELECT *, 'skill-' || max(i) OVER (PARTITION BY portfolio_id, fm_name) AS label FROM lb0),
+fl AS (SELECT skill_ord, string_agg(severity || ':' || category, '|' ORDER BY severity || ':' || category) AS findings FROM af GROUP BY 1)
+---
+SELECT portfolio_id, 'skill' AS part, label, NULL AS other, NULL AS kind, NULL AS severity, tokens_total, CASE WHEN complete THEN grade ELSE '?' END AS grade, unsafe, review, bloated, ratio, {_REASON} AS reason, coalesce(findings, '') AS findings FROM lb LEFT JOIN fl USING (skill_ord)
+UNION ALL SELECT cf.portfolio_id, 'conflict', x.label, y.label, kind, severity, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM cf JOIN lb x ON x.portfolio_id = cf.portfolio_id AND x.skill_ord = a JOIN lb y ON y.portfolio_id = cf.portfolio_id AND y.skill_ord = b
+UNION ALL SELECT portfolio_id, 'broad', label, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM lb WHERE {S.matches("description", R.BROAD)}"""))
 def sink_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The anonymous report: labels and verdicts, no names, paths or texts."""
-    rows = _labels(P.bloat(analysed(spark, sf_dir)))
-    return rows.select("portfolio_id", "label", "tokens_total", F.when(F.col("complete"), F.col("grade")).otherwise("?").alias("grade"), F.expr(_REASON).alias("reason"))
+    """The anonymous report: labels and verdicts of skills, conflicts and broad skills; no names, paths or texts."""
+    rows = P.bloat(analysed(spark, sf_dir)).withColumn("broad", A.hit(F.col("description"), R.BROAD))
+    return published(rows, P.conflict_pairs(_described(spark, sf_dir)), F.expr(_REASON))
 
 
 @query(S.given("an", f"{_BLOAT}\n---\nSELECT portfolio_id, skill_ord, fm_name AS name, CASE WHEN complete THEN grade ELSE '?' END AS grade, CASE WHEN complete THEN score END AS score, tokens_total, CASE WHEN complete THEN level ELSE 'unknown' END AS level, {_REASON} AS reason FROM bb"))
@@ -203,24 +208,53 @@ def job_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(S.given("an", f"{_BLOAT}\n---\nSELECT count(*) AS n, count(*) FILTER (WHERE unsafe) AS unsafe, sum(tokens_total)::BIGINT AS tokens FROM bb"))
+@query(S.given("an", f"""{_BLOAT}, {_CONFLICTS}, {_LISTED},
+he AS (SELECT portfolio_id, unnest({_HOSTS}) AS value FROM pf), hv AS (SELECT portfolio_id, value FROM he GROUP BY 1, 2 HAVING count(*) > 1),
+js AS (SELECT portfolio_id, 'skills' AS part, {_REASON} || ':' || CASE WHEN complete THEN grade ELSE '?' END AS kind, tokens_total AS amount FROM bb UNION ALL SELECT portfolio_id, 'conflicts', kind || ':' || severity, n_shared FROM cf
+ UNION ALL SELECT portfolio_id, 'listings', harness, tokens FROM ls UNION ALL SELECT portfolio_id, 'hosts', value, 1 FROM hv)
+---
+SELECT portfolio_id, part, kind, count(*) AS n, sum(amount)::BIGINT AS amount FROM js GROUP BY 1, 2, 3"""))
 def sink_scan_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Writes the scan as one JSON dataset per portfolio, reads it back and counts."""
-    from skillcorpus.sources.files import read_scan, write_scan
-    from skillcorpus.plans.storage import shared_folder
+    """Writes a scan (skills, conflicts, listings, shared hosts) as JSON datasets in a folder per portfolio, reads them back and counts."""
+    rows, described, done = P.bloat(analysed(spark, sf_dir)), _described(spark, sf_dir), F.col("complete")
+    skills = rows.select(
+        "portfolio_id", "skill_ord", F.col("fm_name").alias("name"), "path", "source", "tokens_total", "unsafe", "review", "bloated", "ratio", "median", "threshold", "findings", F.when(done, F.col("grade")).otherwise("?").alias("grade"),
+        F.when(done, F.col("score")).alias("score"), F.when(done, F.col("level")).otherwise("unknown").alias("level"), F.expr(_REASON).alias("reason"),
+    )
+    conflicts = P.conflict_pairs(described)
+    parts = {"skills": skills, "conflicts": conflicts, "listings": P.listings(described), "hosts": P.shared_values(described, P.hosts(F.col("text")))}
+    kinds = {"skills": ("concat(reason, ':', grade)", "tokens_total"), "conflicts": ("concat(kind, ':', severity)", "n_shared"), "listings": ("harness", "tokens"), "hosts": ("value", "1")}
+    path = write_scan(parts, shared_folder(spark))
+    read = [read_scan(spark, path, name, df.schema).select("portfolio_id", F.lit(name).alias("part"), F.expr(kinds[name][0]).alias("kind"), F.expr(kinds[name][1]).cast("long").alias("amount")) for name, df in parts.items()]
+    return reduce(DataFrame.unionByName, read).groupBy("portfolio_id", "part", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount"))
 
-    path = write_scan(P.bloat(analysed(spark, sf_dir)).select("portfolio_id", "skill_ord", "grade", "unsafe", "tokens_total"), shared_folder(spark))
-    return read_scan(spark, path).agg(F.count(F.lit(1)).alias("n"), F.count_if("unsafe").alias("unsafe"), F.sum("tokens_total").alias("tokens"))
 
+_N = "doc_id % 60"
+_SAFE_LANG = "CASE WHEN lang = 'zh' THEN 'zh' ELSE 'en' END"
 
-@query("SELECT doc_id, left(text, 120) AS name, CASE WHEN doc_id % 3 = 0 THEN 'A' ELSE 'F' END AS grade, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE n_chars END::DOUBLE AS tokens, doc_id % 5 = 0 AS unsafe, CASE WHEN doc_id % 2 = 0 THEN 'high' ELSE 'low' END AS severity FROM documents")
+
+@query(f"""SELECT doc_id, doc_id % 9 = 8 AS refused, CASE WHEN doc_id % 9 <> 8 THEN coalesce(left(text, 120), '') END AS name, CASE WHEN doc_id % 9 <> 8 THEN CASE WHEN doc_id % 3 = 0 THEN 'A' ELSE 'F' END END AS grade,
+ CASE WHEN doc_id % 9 <> 8 THEN CASE doc_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE n_chars END::DOUBLE END AS tokens, CASE WHEN doc_id % 9 <> 8 THEN doc_id % 5 = 0 END AS unsafe,
+ CASE WHEN doc_id % 9 <> 8 THEN least(40, {_N}) END AS n_findings, CASE WHEN doc_id % 9 <> 8 THEN least(40, {_N}) // 2 END AS n_high, CASE WHEN doc_id % 9 <> 8 THEN least(100, doc_id % 130) END AS n_conflicts,
+ CASE WHEN doc_id % 9 <> 8 THEN least(100, doc_id % 130) // 2 END AS n_shadow, CASE WHEN doc_id % 9 <> 8 THEN least(12, doc_id % 17) * (doc_id % 130 > 0)::INT END AS n_shared, CASE WHEN doc_id % 9 <> 8 THEN coalesce({_SAFE_LANG}, 'en') END AS lang,
+ CASE WHEN doc_id % 9 <> 8 THEN CASE WHEN doc_id % 2 = 0 THEN coalesce(left(text, 200), '') ELSE '' END END AS change FROM documents""")
 def sink_harden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Untrusted report rows, made safe: known enums only, numbers coerced, strings cut."""
-    from skillcorpus.operators.reports import harden
-
-    k = F.col("doc_id")
-    raw = F.to_json(F.struct(
-        F.col("text").alias("name"), F.when(k % 3 == 0, "A").otherwise(F.col("source")).alias("grade"), F.when(k % 4 == 0, F.col("lang")).otherwise(F.col("n_chars").cast("string")).alias("tokens"),
-        (k % 5 == 0).alias("unsafe"), F.when(k % 2 == 0, "high").otherwise(F.col("lang")).alias("severity"),
-    ))
-    return harden(table(spark, sf_dir, "documents").select("doc_id", raw.alias("raw")), "raw")
+    """Reports from others, one for each document and every ninth a mere string, made safe: known enums, finite numbers, only a literal true, strings and lists cut."""
+    k, items = F.col("doc_id"), lambda n: F.filter(F.sequence(F.lit(1), n.cast("int") + 1), lambda i: i <= n)
+    finding = lambda i: F.struct(F.when(i % 2 == 0, "high").otherwise(F.col("source")).alias("severity"), F.col("lang").alias("category"), i.alias("title"))
+    shared = F.transform(items(k % 17), lambda i: F.concat(F.lit("word-"), i))
+    conflict = lambda i: F.struct(F.lit("x").alias("a"), F.col("source").alias("b"), F.when(i % 2 == 0, "shadow").otherwise(F.col("lang")).alias("kind"), shared.alias("shared"))
+    start, end = F.lit('{"skills":[{"name":'), F.lit("}")
+    tokens = F.when(k % 4 == 0, F.to_json(F.array("lang"))).when(k % 4 == 1, "true").when(k % 4 == 2, F.concat(F.lit('"'), "n_chars", F.lit('"'))).otherwise(F.col("n_chars").cast("string"))
+    quoted = lambda c: F.regexp_extract(F.to_json(F.array(F.coalesce(c, F.lit("")))), r"(?s)^\[(.*)\]$", 1)
+    raw = F.concat(
+        start, quoted(F.col("text")), F.lit(',"grade":'), quoted(F.when(k % 3 == 0, "A").otherwise(F.col("source"))), F.lit(',"tokens":'), tokens, F.lit(',"unsafe":'), F.when(k % 5 == 0, "true").otherwise('"true"'), F.lit(',"changes":['),
+        F.when(k % 2 == 0, quoted(F.col("text"))).otherwise("5"), F.lit('],"a":{"findings":'), F.to_json(F.transform(items(k % 60), finding)), F.lit('}}],"conflicts":'), F.to_json(F.transform(items(k % 130), conflict)), F.lit(',"lang":'), quoted(F.col("lang")), end,
+    )
+    out = harden(table(spark, sf_dir, "documents").select("doc_id", F.when(k % 9 == 8, quoted(F.col("text"))).otherwise(raw).alias("raw")), "raw")
+    skill, size = F.get("report.skills", F.lit(0)), lambda c: F.when(F.col("report").isNotNull(), F.size(c)).cast("long")
+    return out.withColumn("skill", skill).select(
+        "doc_id", F.col("report").isNull().alias("refused"), "skill.name", "skill.grade", "skill.tokens", "skill.unsafe", size("skill.findings").alias("n_findings"), size(F.filter("skill.findings", lambda f: f["severity"] == "high")).alias("n_high"),
+        size("report.conflicts").alias("n_conflicts"), size(F.filter("report.conflicts", lambda c: c["kind"] == "shadow")).alias("n_shadow"), F.when(F.col("report").isNotNull(), F.coalesce(F.size(F.get("report.conflicts", F.lit(0))["shared"]), F.lit(0))).cast("long").alias("n_shared"),
+        "report.lang", F.get("skill.changes", F.lit(0)).alias("change"),
+    )

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # File patterns of the agent tools (source, path pattern), most specific first; extensions of bundle files.
 MATCHERS = [
@@ -114,15 +115,17 @@ def bundles(skills: DataFrame, files: DataFrame, max_file: int = 64_000, max_fil
     return done.select("portfolio_id", "skill_path", F.array_join("s.texts", "\n\n").alias("bundle_text"), F.col("s.files").alias("bundle_files"), (F.size("s.issues") == 0).alias("complete"), F.col("s.issues").alias("issues"))
 
 
-def write_scan(rows: DataFrame, folder: str) -> str:
-    """Writes a scan table as JSON, a part per portfolio; returns where."""
+def write_scan(parts: dict[str, DataFrame], folder: str) -> str:
+    """Writes the parts of a scan (``skills``, ``conflicts``, …) as JSON, each with a folder per portfolio; returns where."""
     path = f"{folder.rstrip('/')}/scan-{uuid.uuid4().hex}"
-    rows.write.partitionBy("portfolio_id").json(path)
+    for name, rows in parts.items():
+        rows.write.partitionBy("portfolio_id").json(f"{path}/{name}")
     return path
 
 
-def read_scan(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("skill_ord long, grade string, unsafe boolean, tokens_total long, portfolio_id string").json(path)
+def read_scan(spark: SparkSession, path: str, part: str, schema: StructType) -> DataFrame:
+    """A part of a written scan. A part without rows has no folder of a portfolio, and reads as empty."""
+    return spark.read.schema(schema).json(f"{path}/{part}")
 
 
 def read_json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
