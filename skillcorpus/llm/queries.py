@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skillcorpus.llm import chat_format, decontamination, html_extract, jaccard_join, language_id, line_dedup, mixing, quality_rules, sharding, url_filter
+from skillcorpus.llm import chat_format, decontamination, html_extract, jaccard_join, language_id, lexical_search, line_dedup, mixing, quality_rules, sharding, url_filter
 from skillcorpus.sources.tables import table
 
 
@@ -72,7 +72,12 @@ def op10_union_free_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ngram_jaccard, op3_sampled_splitters, op4_digest_array, op5_output_codes, op6_poisson_mix, op7_host_rules, op8_quotation_links, op9_string_tiling, op10_union_free_wrappers)}
+def op12_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents for each benchmark item."""
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 50)
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ngram_jaccard, op3_sampled_splitters, op4_digest_array, op5_output_codes, op6_poisson_mix, op7_host_rules, op8_quotation_links, op9_string_tiling, op10_union_free_wrappers, op12_norm_buckets)}
 
 ORACLES = {
     "op1_line_dedup": """
@@ -134,4 +139,12 @@ WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t,
  w AS (SELECT m, CASE WHEN m * (1 - m) > 0 THEN greatest(m * (1 - m) / greatest(v - m * (1 - m) * k, m * (1 - m) / 1001) - 1, 0.01) ELSE 1000 END AS w FROM m),
  o AS (SELECT host, (x + m * w) / (n + w) <= 0.5 AS ok FROM h, w)
 SELECT doc_id, n_words, word_chars, n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND ok) AS kept FROM f JOIN o USING (host)""",
+    "op12_norm_buckets": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws FROM documents),
+ q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term FROM benchmark),
+ c AS (SELECT count(*) AS n_docs, sum(len(ws))::BIGINT AS n_terms FROM d WHERE len(ws) > 0),
+ t AS (SELECT r, doc_id, len(ws) AS n, term, count(*) AS tf FROM (SELECT r, doc_id, ws, unnest(ws) AS term FROM d) GROUP BY ALL),
+ w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM t, c GROUP BY term, n_docs),
+ s AS (SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score FROM t JOIN w USING (term) JOIN q USING (term), c GROUP BY item_id, r, doc_id)
+SELECT item_id, rank, doc_id, score FROM (SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM s WHERE score > 0) WHERE rank <= 50""",
 }
