@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skillcorpus.llm import chat_format, decontamination, html_extract, jaccard_join, language_id, lexical_search, line_dedup, mixing, quality_rules, sharding, url_filter
+from skillcorpus.llm import chat_format, decontamination, divergence, html_extract, jaccard_join, language_id, lexical_search, line_dedup, mixing, quality_rules, sharding, url_filter
 from skillcorpus.sources.tables import table
 
 
@@ -72,12 +72,17 @@ def op10_union_free_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_consed_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language are apart, and by which terms."""
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 def op12_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 50 best documents for each benchmark item."""
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 50)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ngram_jaccard, op3_sampled_splitters, op4_digest_array, op5_output_codes, op6_poisson_mix, op7_host_rules, op8_quotation_links, op9_string_tiling, op10_union_free_wrappers, op12_norm_buckets)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ngram_jaccard, op3_sampled_splitters, op4_digest_array, op5_output_codes, op6_poisson_mix, op7_host_rules, op8_quotation_links, op9_string_tiling, op10_union_free_wrappers, op11_consed_trees, op12_norm_buckets)}
 
 ORACLES = {
     "op1_line_dedup": """
@@ -139,6 +144,19 @@ WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t,
  w AS (SELECT m, CASE WHEN m * (1 - m) > 0 THEN greatest(m * (1 - m) / greatest(v - m * (1 - m) * k, m * (1 - m) / 1001) - 1, 0.01) ELSE 1000 END AS w FROM m),
  o AS (SELECT host, (x + m * w) / (n + w) <= 0.5 AS ok FROM h, w)
 SELECT doc_id, n_words, word_chars, n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND ok) AS kept FROM f JOIN o USING (host)""",
+    "op11_consed_trees": r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{80}-\x{10FFFF}]+') AS ws FROM documents),
+ t AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM (SELECT r, lang, source, unnest(ws) AS term FROM d) GROUP BY ALL),
+ k AS (SELECT lang, term, sum(n) AS total FROM t GROUP BY ALL HAVING sum(docs) >= 3),
+ g AS (SELECT DISTINCT lang, source FROM d),
+ v AS (SELECT lang, count(*) AS v, sum(total) AS lang_n FROM k GROUP BY lang),
+ c AS (SELECT lang, source, term, total, coalesce(t.n, 0) AS n, sum(coalesce(t.n, 0)) OVER (PARTITION BY lang, source) AS gn FROM g JOIN k USING (lang) LEFT JOIN t USING (lang, source, term)),
+ p AS (SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 1)) // (gn + v) AS p, 1 + (1000000000::HUGEINT * (total + 1)) // (lang_n + v) AS q FROM c JOIN v USING (lang)),
+ x AS (SELECT lang, a.source, 'pair' AS part, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::BIGINT AS value FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL
+  UNION ALL SELECT a.lang, a.source, 'pair', b.source, 0 FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source WHERE a.lang NOT IN (SELECT lang FROM v)
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, rank FROM (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM x) WHERE part = 'pair' OR rank <= 200""",
     "op12_norm_buckets": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws FROM documents),
  q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term FROM benchmark),
