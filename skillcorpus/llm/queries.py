@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skillcorpus.llm import chat_format, decontamination, divergence, html_extract, jaccard_join, language_id, lexical_search, line_dedup, mixing, quality_rules, sharding, url_filter
+from skillcorpus.llm import chat_format, decontamination, divergence, html_extract, jaccard_join, language_id, lexical_search, line_dedup, mixing, quality_rules, sharding, toxicity, url_filter
 from skillcorpus.sources.tables import table
 
 
@@ -82,7 +82,15 @@ def op12_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 50)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ngram_jaccard, op3_sampled_splitters, op4_digest_array, op5_output_codes, op6_poisson_mix, op7_host_rules, op8_quotation_links, op9_string_tiling, op10_union_free_wrappers, op11_consed_trees, op12_norm_buckets)}
+def op13_toxic_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from labels that are not held out."""
+    docs, labels = (table(spark, sf_dir, x) for x in ("documents", "labels"))
+    out = toxicity.held_out(F.col("doc_id"))
+    found = toxicity.score(docs.select("doc_id", "text"), toxicity.learn(docs, labels.filter(~out)))
+    return found.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "hits")
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ngram_jaccard, op3_sampled_splitters, op4_digest_array, op5_output_codes, op6_poisson_mix, op7_host_rules, op8_quotation_links, op9_string_tiling, op10_union_free_wrappers, op11_consed_trees, op12_norm_buckets, op13_toxic_lexicon)}
 
 ORACLES = {
     "op1_line_dedup": """
