@@ -185,7 +185,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> dic
     gain = 2 * (F.col("t") * F.log(F.col("t") / (n * p)) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / (n * (1 - p)))).otherwise(0.0))
     least = 2 * math.log(max(2, entries.filter("t + c >= 3").count())) + 2
     toxic_texts = sample.filter("toxic = 1").count()
-    telling = entries.filter((F.col("t") > 0) & (F.col("t") >= ENTRY_SHARE * toxic_texts) & (F.col("t") / n > 2 * p)).withColumn("gain", gain).filter(F.col("gain") >= least)
+    telling = entries.filter((F.col("t") > 0) & (F.col("t") >= ENTRY_SHARE * toxic_texts) & (F.col("t") * (1 - p) > 2 * F.col("c") * p)).withColumn("gain", gain).filter(F.col("gain") >= least)
     weights: dict[str, float] = {}
     taken: set[str] = set()  # entries and all their beginnings
     for r in sorted(telling.collect(), key=lambda r: (-r["gain"], -len(r["entry"]), r["entry"])):
