@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from skillcorpus.functions import rules as R
 from skillcorpus.functions.text import goal_tokens
 from skillcorpus.operators.analysis import hit
 from skillcorpus.operators.matching import keys
+from skillcorpus.operators.ordered import settle
 from skillcorpus.plans.storage import cut
 
 # Overlap from which skills are merged, or count as duplicates; order of actions; findings an edit can fix.
@@ -71,30 +73,46 @@ def merge_candidates(rows: DataFrame) -> DataFrame:
     return both.groupBy("portfolio_id", "a", "b").agg(F.max("sim").alias("sim"), F.bool_or("same_name").alias("same_name"))
 
 
-def resolve(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+def _merge_round(open_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Resolves all pairs whose turn has come: no stronger pair that is open would take the lower one of it, nor the higher one.
+
+    Pairs whose lower one went are closed, and those whose higher one went before their turn; the others of a skill that went stay open, as it still stood then.
+    """
+    next_ = cut(open_.groupBy("portfolio_id", "lo").agg(F.min("turn").alias("next")), "turns")
+    mine, other = next_, next_.select("portfolio_id", F.col("lo").alias("hi"), F.col("next").alias("before"))
+    due = open_.join(mine, ["portfolio_id", "lo"]).filter("turn = next").join(other, ["portfolio_id", "hi"], "left").filter("before is null or before > turn")
+    due = cut(due.select("portfolio_id", F.col("lo").alias("skill_ord"), F.col("hi").alias("into"), "action", F.col("turn").alias("at")), "resolved")
+    left = open_.join(due.select("portfolio_id", F.col("skill_ord").alias("lo")), ["portfolio_id", "lo"], "left_anti")
+    left = left.join(due.select("portfolio_id", F.col("skill_ord").alias("hi"), "at"), ["portfolio_id", "hi"], "left").filter("at is null or turn < at")
+    return due.drop("at"), left.select(*open_.columns)
+
+
+def _merge_fold(pairs: pd.DataFrame) -> pd.DataFrame:
+    pairs = pairs.assign(s=[t["s"] for t in pairs["turn"]], a=[t["a"] for t in pairs["turn"]], b=[t["b"] for t in pairs["turn"]]).sort_values(["portfolio_id", "s", "a", "b"])
+    gone, rows = set(), []
+    for portfolio, hi, lo, action in zip(pairs["portfolio_id"], pairs["hi"], pairs["lo"], pairs["action"], strict=True):
+        if (portfolio, hi) not in gone and (portfolio, lo) not in gone:
+            gone.add((portfolio, lo))
+            rows.append((portfolio, lo, hi, action))
+    return pd.DataFrame(rows, columns=["portfolio_id", "skill_ord", "into", "action"])
+
+
+def resolve(rows: DataFrame, pairs: DataFrame, limit: int | None = None) -> DataFrame:
     """``portfolio_id, skill_ord, into, action``: which skills of the pairs are dropped or merged, in the order of strength.
 
-    Over the pairs, strongest first, the lower in value goes to the higher unless one of both is gone. A pair's turn has come when no stronger pair that
-    is still open would take the lower one of it, nor the higher one; all such pairs are resolved at once. Pairs whose lower one went are closed, and those whose higher one went
-    before their turn; the others of a skill that went stay open, as it still stood then. So it goes on until none is open: a skill with any number of copies takes one round, and nothing is gathered by group.
+    Over the pairs, strongest first, the lower in value goes to the higher unless one of both is gone. Skills that pairs connect are settled
+    by component (see ``ordered.settle``): a chain of skills of falling likeness takes one pass, and so does a skill with any number of copies up to the bound of one task.
     """
     side = lambda s: rows.select("portfolio_id", F.col("skill_ord").alias(s), F.col("value").alias(f"value_{s}"), F.col("blocked").alias(f"blocked_{s}"))
     weighed = pairs.join(side("a"), ["portfolio_id", "a"]).join(side("b"), ["portfolio_id", "b"]).filter("not blocked_a and not blocked_b")
     first = F.col("value_a") >= F.col("value_b")
     turn = F.struct((-F.col("sim")).alias("s"), "a", "b")
     action = F.when(F.col("same_name") | (F.col("sim") >= DUPLICATE), "drop").otherwise("merge")
-    open_ = cut(weighed.select("portfolio_id", F.when(first, F.col("a")).otherwise(F.col("b")).alias("hi"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("lo"), turn.alias("turn"), action.alias("action")), "merge-pairs")
-    done = open_.limit(0).select("portfolio_id", F.col("lo").alias("skill_ord"), F.col("hi").alias("into"), "action")
-    while not open_.isEmpty():
-        next_ = cut(open_.groupBy("portfolio_id", "lo").agg(F.min("turn").alias("next")), "turns")
-        mine, other = next_, next_.select("portfolio_id", F.col("lo").alias("hi"), F.col("next").alias("before"))
-        due = open_.join(mine, ["portfolio_id", "lo"]).filter("turn = next").join(other, ["portfolio_id", "hi"], "left").filter("before is null or before > turn")
-        due = cut(due.select("portfolio_id", F.col("lo").alias("skill_ord"), F.col("hi").alias("into"), "action", F.col("turn").alias("at")), "resolved")
-        done = done.union(due.drop("at"))
-        left = open_.join(due.select("portfolio_id", F.col("skill_ord").alias("lo")), ["portfolio_id", "lo"], "left_anti")
-        left = left.join(due.select("portfolio_id", F.col("skill_ord").alias("hi"), "at"), ["portfolio_id", "hi"], "left").filter("at is null or turn < at")
-        open_ = cut(left.select(*open_.columns), "merge-pairs")
-    return done
+    open_ = weighed.select("portfolio_id", F.when(first, F.col("a")).otherwise(F.col("b")).alias("hi"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("lo"), turn.alias("turn"), action.alias("action"))
+    ends = F.xxhash64("portfolio_id", "hi"), F.xxhash64("portfolio_id", "lo")
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("portfolio_id", "skill_ord")}
+    schema = f"portfolio_id {kinds['portfolio_id']}, skill_ord {kinds['skill_ord']}, into {kinds['skill_ord']}, action string"
+    return settle(open_, ends, _merge_round, _merge_fold, schema, limit)
 
 
 def narrow_victims(rows: DataFrame, absorbed: DataFrame) -> DataFrame:
