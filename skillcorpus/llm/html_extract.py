@@ -36,9 +36,9 @@ FLAT = set("br hr p h1 h2 h3 h4 h5 h6 pre blockquote dd dt li td th tr tbody the
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 OUTSIDE = set("head nav header footer aside form menu dialog title".split())
 NAMES = set(
-    "ad ads advert advertisement advertising banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disclaimer "
-    "footer header masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related respond "
-    "share sharing sidebar social sponsor sponsored subscribe toolbar widget widgets".split()
+    "ad ads advert advertisement advertising banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disclaimer disqus "
+    "feedback footer guestbook header masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion reactions "
+    "related replies respond responses share sharing sidebar social sponsor sponsored subscribe toolbar widget widgets".split()
 )
 ROLES = set("banner navigation complementary contentinfo search form dialog alert note menu menubar".split())
 
@@ -54,7 +54,7 @@ _WITHIN = re.compile(r"(?:^|/)(?:article|main)(?:[./]|$)")
 #: Lists, tables and figures that stand right in an article are parts of its text.
 _FLOW = re.compile(r"(?:^|/)(?:article|main)(?:\.[^/]*)?(?:/(?:ul|ol|dl|table|figure))+$")
 
-PARSED = ["host", "page", "sid", "shape", "h", "item", "texts"]
+PARSED = ["host", "page", "sid", "shape", "h", "chars", "item", "texts"]
 #: Shapes that one task aligns.
 GROUP = 128
 
@@ -123,15 +123,16 @@ def blocks(page: str) -> list[tuple[str, bool, str]]:
     return found
 
 
-def folded(slots: list[str], longest: int = 8, least: int = 4) -> tuple[list[str], list[list[int]]]:
+def folded(slots: list[str]) -> tuple[list[str], list[list[int]]]:
     """A page's items, and for each item the numbers of the ``slots`` that it holds.
 
-    A slot that follows itself is one item that repeats (``slot+``); so are the items of a listing, a run of up to ``longest``
-    slots that follows itself ``least`` times or more. Shorter runs keep their places, as their texts may be of unlike kinds.
+    A slot that follows itself is one item that repeats (``slot+``); so are the items of a listing, a run of slots of any length that
+    follows itself: at once, if it has more than eight slots, else four times or more. What is shorter keeps its places, as its texts may be of unlike kinds.
     """
     names: list[str] = []
     held: list[list[int]] = []
     listed: list[int] = []  # the length of the listed run that an item is in
+    where: dict[str, list[int]] = {}  # of each slot its places in names, ascending
     for k, slot in enumerate(slots):
         if names and names[-1] == slot:
             held[-1].append(k)
@@ -139,18 +140,24 @@ def folded(slots: list[str], longest: int = 8, least: int = 4) -> tuple[list[str
         names.append(slot)
         held.append([k])
         listed.append(0)
-        p = 2
-        while p <= longest and 2 * p <= len(names):
-            times = 2 if all(x == p for x in listed[-2 * p : -p]) else least
-            if names[-p:] * times == names[-times * p :]:
-                for _ in range(times - 1):
-                    for q in range(-p, 0):
-                        held[q - p] += held[q]
-                    del names[-p:], held[-p:], listed[-p:]
-                listed[-p:] = [p] * p
-                p = 2
-            else:
-                p += 1
+        where.setdefault(slot, []).append(len(names) - 1)
+        again = True
+        while again:
+            again = False
+            for before in where[names[-1]][-2::-1]:  # a run ends with the slot that it goes on after
+                p = len(names) - 1 - before
+                if 2 * p > len(names):
+                    break
+                times = 2 if p > 8 or all(x == p for x in listed[-2 * p : -p]) else 4
+                if times * p <= len(names) and all(names[-p - 1 - q] == names[-1 - q] for q in range((times - 1) * p)):
+                    for _ in range(times - 1):
+                        for q in range(-p, 0):
+                            held[q - p] += held[q]
+                            where[names[q]].pop()
+                        del names[-p:], held[-p:], listed[-p:]
+                    listed[-p:] = [p] * p
+                    again = True
+                    break
     return [n + "+" * (len(h) > 1) for n, h in zip(names, held, strict=True)], held
 
 
@@ -158,7 +165,7 @@ def _longest(x: list[str], y: list[str], weight: np.ndarray | None = None) -> np
     """The common subsequence's length (or greatest weight, by ``y``) of each pair of ends of two lists."""
     number: dict[str, int] = {}
     a, b = (np.array([number.setdefault(s, len(number)) for s in z], np.int64) for z in (x, y))
-    table = np.zeros((len(x) + 1, len(y) + 1), np.int32 if weight is None else np.int64)
+    table = np.zeros((len(x) + 1, len(y) + 1), np.int32 if weight is None or int(weight.sum()) < 1 << 31 else np.int64)
     for i in range(len(x) - 1, -1, -1):
         best = np.maximum(table[i + 1, :-1], np.where(b == a[i], table[i + 1, 1:] + (1 if weight is None else weight), 0))
         table[i, :-1] = np.maximum.accumulate(best[::-1])[::-1]
@@ -172,7 +179,8 @@ def align(a: list[str], b: list[str]) -> list[str]:
     ``?`` wherever either list has it; what is in one list only becomes optional at its place.
     """
     x, y = [i.rstrip("+?") for i in a], [i.rstrip("+?") for i in b]
-    table = _longest(x, y)
+    same = next((k for k, (s, t) in enumerate(zip(x, y, strict=False)) if s != t), min(len(x), len(y)))  # what both begin with needs no table
+    table = _longest(x[same:], y[same:])
     out, i, j = [], 0, 0
     optional = lambda s: s if s.endswith("?") else s + "?"
     while i < len(a) or j < len(b):
@@ -180,7 +188,7 @@ def align(a: list[str], b: list[str]) -> list[str]:
             flags = a[i][len(x[i]) :] + b[j][len(y[j]) :]
             out.append(x[i] + "+" * ("+" in flags) + "?" * ("?" in flags))
             i, j = i + 1, j + 1
-        elif j == len(b) or i < len(a) and table[i + 1, j] >= table[i, j + 1]:
+        elif j == len(b) or i < len(a) and table[i + 1 - same, j - same] >= table[i - same, j + 1 - same]:
             out.append(optional(a[i]))
             i += 1
         else:
@@ -222,7 +230,7 @@ def likeness(a: list[str], b: list[str]) -> float:
 
 
 def _parsed(names: list[str]):
-    """Each page's host, hash, shape (its items, a line each), by item the hash of its text (null outside), and its texts with their items."""
+    """Each page's host, hash, shape (its items, a line each), by item the hash and the length of its text (null outside), and its texts with their items."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,9 +244,10 @@ def _parsed(names: list[str]):
                         at[k] = i
                 inside = [k for k, (_, out, _) in enumerate(found) if not out]
                 h = [None if item.startswith("!") else xxhash.xxh64_intdigest(" ".join(found[k][2] for k in sorted(members))) >> 1 for item, members in zip(items, held, strict=True)]
+                chars = [None if item.startswith("!") else sum(len(found[k][2]) for k in members) for item, members in zip(items, held, strict=True)]
                 shape = "\n".join(items)
-                rows.append((xxhash.xxh64_intdigest(page or "") >> 1, xxhash.xxh64_intdigest(shape) >> 1, shape, h, [at[k] for k in inside], [found[k][2] for k in inside]))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.string())]
+                rows.append((xxhash.xxh64_intdigest(page or "") >> 1, xxhash.xxh64_intdigest(shape) >> 1, shape, h, chars, [at[k] for k in inside], [found[k][2] for k in inside]))
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)), *batch.columns[2:]], names=[*PARSED, *names])
 
     return of
@@ -295,21 +304,34 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.select(["host", "sid", "cid", "wrapper"]).columns, pa.array(places, pa.list_(pa.int32()))], names=["host", "sid", "cid", "wrapper", "places"])
 
 
-def main_items(wrapper: list[str], data: set[int], places: list[int]) -> list[int]:
-    """Which items of a shape are main text, by their ``places`` in its template's wrapper and the places that hold ``data``.
+def repeated_story(slots: list[str], fixed: dict[int, int], total: int) -> set[int]:
+    """Places of a template's container whose ``fixed`` text (place and characters) is most of ``total``, what the template's pages have in all."""
+    out: set[int] = set()
+    for p in fixed:
+        within = {q for q in fixed if slots[q] == slots[p] or slots[q].startswith(f"{slots[p]}/")}
+        if slots[p] not in ("", "html", "body", "html/body") and 2 * sum(fixed[q] for q in within) > total:
+            out |= within
+    return out
+
+
+def main_items(wrapper: list[str], data: set[int], places: list[int], fixed: dict[int, int] | None = None, total: int = 0) -> list[int]:
+    """Which items of a shape are main text, by their ``places`` in its template's wrapper, the places that hold ``data``, and the ``fixed`` ones (see ``repeated_story``).
 
     Under ``article`` or ``main``, data, and lists, tables and figures of the article's own; all there if nothing of it is
-    data. A shape without such takes all its data.
+    data. A shape without such takes all its data, and a story that all pages repeat. If a template has no data, its pages differ outside their text only, and all of it is kept.
     """
     slots = [w.rstrip("+?") for w in wrapper]
     inside = {p for p, s in enumerate(slots) if not s.startswith("!") and _WITHIN.search(s)}
     main = {p for p in inside if p in data or _FLOW.search(slots[p])} if inside & data else inside
-    return [i for i, p in enumerate(places) if p in main] or [i for i, p in enumerate(places) if p in data]
+    told = data | repeated_story(slots, fixed or {}, total)
+    shown = [i for i, p in enumerate(places) if p >= 0 and not slots[p].startswith("!")]
+    return [i for i, p in enumerate(places) if p in main] or ([i for i, p in enumerate(places) if p in told] if data else shown)
 
 
 def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = [main_items(w.split("\n"), set(d or ()), p) for w, d, p in zip(*(batch.column(c).to_pylist() for c in ("wrapper", "data", "places")), strict=True)]
+        columns = (batch.column(c).to_pylist() for c in ("wrapper", "data", "places", "fixed", "all_chars"))
+        keep = [main_items(w.split("\n"), set(d or ()), p, {x["place"]: x["chars"] for x in f or ()}, n or 0) for w, d, p, f, n in zip(*columns, strict=True)]
         yield pa.RecordBatch.from_arrays([*batch.select(["host", "sid"]).columns, pa.array(keep, pa.list_(pa.int32()))], names=["host", "sid", "keep"])
 
 
@@ -318,19 +340,22 @@ def wrappers(parsed: DataFrame, alike: int = 3) -> DataFrame:
 
     All pages take part. Equal shapes are counted first, then aligned into the host's templates, and each shape's items are
     matched with its template's wrapper. A place in the wrapper is template text where all pages that have it agree on it
-    (two different pages at least, in a template of ``alike`` or more), else data; see ``main_items`` for what is kept.
+    (two different pages at least, in a template of ``alike`` or more), else data. A container that agrees but holds most of its template's text is
+    a story that the site repeats, under stamps or counters that differ, and no template text; see ``main_items`` for what is kept.
     """
-    pages = parsed.select("host", "sid", "page", "shape", "h").filter("shape <> ''")
+    pages = parsed.select("host", "sid", "page", "shape", "h", "chars").filter("shape <> ''")
     shapes = cut(pages.groupBy("host", "sid").agg(F.min("shape").alias("shape"), F.count(F.lit(1)).alias("n")), "shapes")
     matched = cut(templates(shapes).mapInArrow(_matched, "host string, sid long, cid long, wrapper string, places array<int>"), "matched")
     at = matched.select("host", "sid", "cid", "places")
-    different = pages.groupBy("host", "sid", "page").agg(F.first("h").alias("h")).join(at, ["host", "sid"])
-    texts = different.select("host", "cid", "places", F.posexplode("h").alias("item", "h")).filter("h is not null").select("host", "cid", F.expr("places[item]").alias("place"), "h")
-    judged = texts.groupBy("host", "cid", "place").agg((F.min("h") == F.max("h")).alias("same"), F.count(F.lit(1)).alias("n"))
+    different = pages.groupBy("host", "sid", "page").agg(F.first(F.arrays_zip("h", "chars")).alias("held")).join(at, ["host", "sid"])
+    texts = different.select("host", "cid", "places", F.posexplode("held").alias("item", "x")).filter("x.h is not null").select("host", "cid", F.expr("places[item]").alias("place"), "x.h", "x.chars")
+    judged = texts.groupBy("host", "cid", "place").agg((F.min("h") == F.max("h")).alias("same"), F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
     sizes = different.groupBy("host", "cid").agg(F.count(F.lit(1)).alias("pages"))
-    varied = judged.join(sizes, ["host", "cid"]).filter(~(F.col("same") & (F.col("n") > 1) & (F.col("pages") >= alike)))
-    data = varied.groupBy("host", "cid").agg(F.collect_list("place").alias("data"))
-    return matched.join(data, ["host", "cid"], "left").select("host", "sid", "wrapper", "places", "data").mapInArrow(_chosen, "host string, sid long, keep array<int>")
+    fixed = F.col("same") & (F.col("n") > 1) & (F.col("pages") >= alike)
+    marked = judged.join(sizes, ["host", "cid"])
+    kinds = (F.collect_list(F.when(~fixed, F.col("place"))).alias("data"), F.collect_list(F.when(fixed, F.struct("place", "chars"))).alias("fixed"), F.sum("chars").alias("all_chars"))
+    kinds = marked.groupBy("host", "cid").agg(*kinds)  # as many as a wrapper has places
+    return matched.join(kinds, ["host", "cid"], "left").select("host", "sid", "wrapper", "places", "data", "fixed", "all_chars").mapInArrow(_chosen, "host string, sid long, keep array<int>")
 
 
 def extract(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
@@ -343,7 +368,7 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame
     held = [f"__{i}" for i in range(len(kept))]
     rows = pages.select(F.col(page), url_host(F.col(url)), *(F.col(c).alias(h) for c, h in zip(kept, held, strict=True)))
     own = [T.StructField(h, pages.schema[c].dataType) for c, h in zip(kept, held, strict=True)]
-    parsed = cut(rows.mapInArrow(_parsed(held), T.StructType([*T._parse_datatype_string("host string, page long, sid long, shape string, h array<long>, item array<int>, texts array<string>").fields, *own])), "parsed")
+    parsed = cut(rows.mapInArrow(_parsed(held), T.StructType([*T._parse_datatype_string("host string, page long, sid long, shape string, h array<long>, chars array<long>, item array<int>, texts array<string>").fields, *own])), "parsed")
     found = cut(wrappers(parsed), "wrappers")
     joined = parsed.select("host", "sid", "item", "texts", *held).join(found, ["host", "sid"], "left")
     text = F.array_join(F.filter("texts", lambda t, i: F.array_contains("keep", F.get("item", i))), " ")

@@ -11,15 +11,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skillcorpus.llm.components import components
+from skillcorpus.operators.components import components
 from skillcorpus.llm.shingles import Hasher, digest
 from skillcorpus.plans.storage import cut, discard, partitions
 
 #: Postings that a mapper gathers before it deals them out, and shingles of one search task at most.
 DEAL, TASK = 1 << 20, 1 << 19
+#: Bytes of texts whose postings (about one for 15 bytes) are one group.
+GROUP_BYTES = 1 << 24
 #: A mapper reports the length of lists that have ``HEAVY`` entries or more in one deal; lists of ``HOT`` or more in all are in no group.
 HEAVY, HOT = 16, 1 << 14
 
@@ -294,9 +296,14 @@ def _runs(members: DataFrame) -> DataFrame:
     return members.join(starts, ["block", "kind", "n"]).withColumn("run", F.expr(f"cast((begin + pmod(xxhash64(g), s)) div {TASK} as int)")).drop("s", "begin")
 
 
-def _searched(sets: DataFrame, tasks: DataFrame, width: int) -> DataFrame:
-    """Links found by the searches that ``tasks`` (``g, block, part, side``) names, over ``sets`` (``g, block, h``)."""
-    at = F.pmod(F.xxhash64("block", "part"), F.lit(width)).cast("int").alias("at")
+def _searched(sets: DataFrame, tasks: DataFrame, width: int, alone: Column | bool = True) -> DataFrame:
+    """Links found by the searches that ``tasks`` (``g, block, part, side``) names, over ``sets`` (``g, block, h``).
+
+    Searches that are ``alone`` have a group each; the others, which are small, share ``width`` groups.
+    """
+    search = F.xxhash64("block", "part")
+    at = F.when(F.col("alone"), search).otherwise(F.pmod(search, F.lit(width))).alias("at")
+    tasks = tasks.withColumn("alone", alone if isinstance(alone, Column) else F.lit(alone))
     return sets.join(tasks, ["block", "g"]).select(at, "block", "part", "side", "g", "h").groupBy("at").applyInArrow(_search, "a long, b long")
 
 
@@ -310,7 +317,9 @@ def _links(sets: DataFrame, members: DataFrame, width: int) -> DataFrame:
     """
     total = members.groupBy("block").agg(F.sum("n").alias("total")).withColumn("large", F.col("total") > TASK)
     marked = cut(members.join(total, "block"), "members")
-    small = _searched(sets, marked.filter("not large").select("g", "block", F.lit(0).cast("long").alias("part"), F.lit(0).alias("side")), width)
+    least = marked.filter("not large").select("g", "block", F.lit(0).cast("long").alias("part"), F.lit(0).alias("side"), "total")
+    width = max(width, -(-(members.agg(F.sum("n")).first()[0] or 0) * 8 // TASK))
+    small = _searched(sets, least, width, F.col("total") > TASK // 8).select("a", "b")
     large = marked.filter("large")
     if large.isEmpty():
         return small
@@ -334,6 +343,11 @@ def _links(sets: DataFrame, members: DataFrame, width: int) -> DataFrame:
     return small.union(first).union(second)
 
 
+def groups(spark: SparkSession, docs: DataFrame) -> int:
+    """Into how many groups postings are dealt: by the bytes of the texts, so that a group's size does not grow with the input."""
+    return max(24, 2 * partitions(spark), -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // GROUP_BYTES))
+
+
 def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id, class, text_hash``.
 
@@ -352,8 +366,8 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     component unless they link with others. Extra columns are ignored. Empty input gives no rows.
     """
     spark = docs.sparkSession
-    buckets = min(60_000, max(24, 2 * partitions(spark)))
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    buckets = groups(spark, slim)
     slim = slim.select("doc_id", F.coalesce("doc_id", F.xxhash64("text")).alias("ref"), "text", F.xxhash64("text").alias("th"))  # ref finds a text again
     dealt = cut(slim.mapInArrow(_postings(buckets, HEAVY), DEALT), "postings")
     sets = cut(dealt.filter("kind = 1").select("doc_id", "ref", "g", "n", "th"), "set-names")

@@ -77,3 +77,32 @@ def test_wrappers_against_brute_force(spark):
     for r in found:
         used.setdefault(r.wrapper, set()).update(html_extract.match(r.shape.split("\n"), r.wrapper.split("\n")))
     assert all(u == set(range(len(w.split("\n")))) for w, u in used.items())
+
+
+def test_a_story_that_a_site_repeats_is_kept(spark):
+    """Pages of one story under other stamps: the story is on all pages of its template, and most of what they have."""
+    story = "<div class=top>Welcome</div><div class=story><p>The same story, told at some length, with all that belongs to it.</p><p>And its end.</p></div><div class=stamp>Updated {0}</div><div class=end>All rights</div>"
+    rows = [(i, "http://a.example.com/p", story.format(i)) for i in range(4)]
+    assert texts(spark, rows) == {i: f"The same story, told at some length, with all that belongs to it. And its end. Updated {i}" for i in range(4)}
+    nested = story.replace("<p>And its end.</p>", "<ul><li>And</li><li>its end.</li></ul>")
+    rows = [(i, "http://b.example.com/p", nested.format(i)) for i in range(4)]
+    assert texts(spark, rows) == {i: f"The same story, told at some length, with all that belongs to it. And its end. Updated {i}" for i in range(4)}
+
+
+def test_pages_that_differ_outside_their_text_only_keep_it(spark):
+    page = "<div class=nav>Item {0}</div><div class=a><p>One half of it</p></div><div class=b><p>And the other</p></div>"
+    assert texts(spark, [(i, "http://c.example.com/p", page.format(i)) for i in range(4)]) == {i: "One half of it And the other" for i in range(4)}
+
+
+def test_comments_without_an_article(spark):
+    page = "<div class=top>Welcome</div><div class=story><p>Story {0} here, at length</p></div><div class=reactions><p>Reader {0} says</p></div>"
+    assert texts(spark, [(i, "http://d.example.com/p", page.format(i)) for i in range(4)]) == {i: f"Story {i} here, at length" for i in range(4)}
+
+
+def test_long_records_are_groups():
+    record = [f"s{i}" for i in range(30)]
+    for times in (2, 3, 7):
+        items, held = html_extract.folded(["a", *record * times, "z"])
+        assert items == ["a", *(f"{s}+" for s in record), "z"] and all(len(h) == times for h in held[1:-1])
+    slots = [f"x{i % 7}" for i in range(4900)]
+    assert html_extract.folded(slots)[0] == [f"x{i}+" for i in range(7)]
