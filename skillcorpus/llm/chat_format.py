@@ -1,7 +1,7 @@
 """Chat formatting by quotation linking.
 
-Quoted lines (``>``, nested by repeating it) are normalised and hashed, joined to the message of the same conversation that
-first wrote them, and taken out; messages are then ordered along the tree of replies.
+Quoted passages, runs of lines of one level (``>``, nested by repeating it), are normalised and hashed as a whole, joined to the messages of the
+same conversation that wrote the same lines in a row, and taken out; messages are then ordered along the tree of replies.
 """
 
 from __future__ import annotations
@@ -26,28 +26,52 @@ def normal(line: Column) -> Column:
 
 
 def quoted_lines(turns: DataFrame) -> DataFrame:
-    """``conv, turn, level, passage, h``: one row per non-blank line; ``passage`` numbers runs of one level in a message."""
+    """``conv, turn, row, pos, level, passage, h``: one row per non-blank line; ``passage`` numbers runs of one level in a message."""
     lines = turns.select("conv", "turn", "row", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pos", "line"))
     found = lines.select("conv", "turn", "row", "pos", level(F.col("line")).alias("level"), normal(F.col("line")).alias("norm")).filter("norm <> ''")
     order = Window.partitionBy("conv", "turn", "row").orderBy("pos")
     new = F.coalesce((F.col("level") != F.lag("level").over(order)).cast("int"), F.lit(1))
-    return found.withColumn("new", new).withColumn("passage", F.sum("new").over(order)).select("conv", "turn", "level", "passage", F.xxhash64("norm").alias("h"))
+    return found.withColumn("new", new).withColumn("passage", F.sum("new").over(order)).select("conv", "turn", "row", "pos", "level", "passage", F.xxhash64("norm").alias("h"))
+
+
+def _latest_before(key: str) -> Column:
+    """The latest earlier message of the conversation that has ``key`` as its own."""
+    return F.max("own").over(Window.partitionBy("conv", key).orderBy("turn").rangeBetween(Window.unboundedPreceding, -1))
+
+
+def passage_origins(lines: DataFrame) -> DataFrame:
+    """``conv, turn, row, passage, whole``: of each quoted passage the latest earlier message that has all its lines in a row among its own, if there is one.
+
+    The lines' hashes are hashed once more by passage. Of messages all runs of own lines are hashed that are as long as a passage of the conversation, and both meet by hash.
+    Passages of n lines in all have the root of 2 n lengths at most, so that is what a line's runs are bounded by.
+    """
+    hs = F.transform(F.array_sort(F.collect_list(F.struct("pos", "h"))), lambda x: x["h"]).alias("hs")
+    passages = lines.filter("level > 0").groupBy("conv", "turn", "row", "passage").agg(hs)
+    passages = passages.select("conv", "turn", "row", "passage", F.xxhash64("hs").alias("run"), F.size("hs").alias("k"))
+    lengths = passages.groupBy("conv").agg(F.collect_set("k").alias("ks"))
+    own = lines.filter("level = 0").groupBy("conv", "turn", "row").agg(hs).join(lengths, "conv")
+    runs = F.flatten(F.transform(F.filter("ks", lambda k: k <= F.size("hs")), lambda k: F.transform(F.sequence(F.lit(1), F.size("hs") - k + 1), lambda i: F.xxhash64(F.slice("hs", i, k)))))
+    wrote = own.select("conv", "turn", F.explode(runs).alias("run")).distinct().withColumn("own", F.col("turn"))
+    both = passages.select("conv", "turn", "row", "passage", "run").unionByName(wrote, allowMissingColumns=True)
+    return both.withColumn("whole", _latest_before("run")).filter("passage is not null").select("conv", "turn", "row", "passage", "whole")
 
 
 def reply_links(turns: DataFrame) -> DataFrame:
     """``conv, turn, reply_to``: messages that quote an earlier message of their conversation.
 
-    Each quoted line is led back to the latest earlier message with that line among its own; a passage goes to the
-    message that most of its lines lead to (half of them at least; the later one of two). Of a message's passages the one of
-    least level decides, then the one with the most lines found, then the later origin.
+    A quoted passage goes to the latest earlier message that wrote it as a whole (see ``passage_origins``). Only one that no message wrote as a whole is led
+    back line by line: to the message that most of its lines lead to (half of them at least; the later one of two), a line leading to the latest
+    earlier message that wrote it. Of a message's passages the one of least level decides, then the one with the most lines found, then the later origin.
     """
-    lines = quoted_lines(turns)
-    own = F.when(F.col("level") == 0, F.col("turn"))
-    before = Window.partitionBy("conv", "h").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    traced = lines.withColumn("origin", F.max(own).over(before)).filter("level > 0")
-    votes = traced.groupBy("conv", "turn", "passage", "level", "origin").agg(F.count(F.lit(1)).alias("n"))
-    passages = votes.groupBy("conv", "turn", "passage", "level").agg(F.sum("n").alias("all"), F.max(F.when(F.col("origin").isNotNull(), F.struct("n", "origin"))).alias("best")).filter("2 * best.n >= all")
-    best = passages.groupBy("conv", "turn").agg(F.max(F.struct((-F.col("level")).alias("l"), F.col("best.n").alias("n"), F.col("best.origin").alias("origin"))).alias("best"))
+    lines = cut(quoted_lines(turns), "lines")
+    traced = lines.withColumn("own", F.when(F.col("level") == 0, F.col("turn"))).withColumn("origin", _latest_before("h")).filter("level > 0")
+    key = ["conv", "turn", "row", "passage"]
+    votes = traced.groupBy(*key, "level", "origin").agg(F.count(F.lit(1)).alias("n"))
+    passages = votes.groupBy(*key, "level").agg(F.sum("n").alias("all"), F.max(F.when(F.col("origin").isNotNull(), F.struct("n", "origin"))).alias("best"))
+    found = passages.join(passage_origins(lines), key)
+    origin = F.when(F.col("whole").isNotNull(), F.struct(F.col("all").alias("n"), F.col("whole").alias("origin"))).when(F.expr("2 * best.n >= all"), F.col("best"))
+    found = found.withColumn("best", origin).filter("best is not null")
+    best = found.groupBy("conv", "turn").agg(F.max(F.struct((-F.col("level")).alias("l"), F.col("best.n").alias("n"), F.col("best.origin").alias("origin"))).alias("best"))
     return best.select("conv", "turn", F.col("best.origin").alias("reply_to"))
 
 
@@ -86,7 +110,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
     order of its reply tree (see ``branches``; ``depth`` is 0 on the first branch). ``n_quoted`` counts quoted lines, ``max_level`` is their deepest nesting (0: none). A null text is an empty
     one. Null conversation ids are one conversation, null turns stand before all others. Rows that share conversation and
     turn are one message for links and have positions in the order of role and text. A quote that no earlier message has
-    links to nothing. Extra columns are ignored; empty input gives no rows.
+    links to nothing. Very long texts are lines like others. Extra columns are ignored; empty input gives no rows.
     """
     none = -(2**63)
     rows = turns.select(

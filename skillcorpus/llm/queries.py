@@ -125,8 +125,12 @@ WITH RECURSIVE m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, str
  l3 AS (SELECT *, sum(new) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS passage FROM l2),
  q AS (SELECT a.conv_id, a.turn, a.passage, a.lv, a.pos, max(b.turn) AS origin FROM l3 a LEFT JOIN l3 b ON a.conv_id = b.conv_id AND a.norm = b.norm AND b.turn < a.turn AND b.lv = 0 WHERE a.lv > 0 GROUP BY ALL),
  v AS (SELECT conv_id, turn, passage, lv, origin, count(*) AS n FROM q GROUP BY ALL),
- p AS (SELECT conv_id, turn, lv, sum(n) AS total, max(struct_pack(n := n, o := origin)) FILTER (WHERE origin IS NOT NULL) AS best FROM v GROUP BY conv_id, turn, passage, lv),
- r AS (SELECT conv_id, turn, max(struct_pack(l := -lv, n := best.n, o := best.o)).o AS reply_to FROM p WHERE 2 * best.n >= total GROUP BY conv_id, turn),
+ qp AS (SELECT conv_id, turn, passage, count(*) AS k, list(norm ORDER BY pos) AS ns FROM l3 WHERE lv > 0 GROUP BY ALL),
+ ow AS (SELECT conv_id, turn, list(norm ORDER BY pos) AS ns FROM l3 WHERE lv = 0 GROUP BY ALL),
+ fu AS (SELECT q.conv_id, q.turn, q.passage, max(o.turn) AS whole FROM qp q JOIN ow o ON o.conv_id = q.conv_id AND o.turn < q.turn AND list_contains(list_transform(range(1, len(o.ns) - k + 2), lambda i: o.ns[i:i + k - 1]), q.ns) GROUP BY ALL),
+ p0 AS (SELECT conv_id, turn, passage, lv, sum(n) AS total, max(struct_pack(n := n, o := origin)) FILTER (WHERE origin IS NOT NULL) AS best FROM v GROUP BY conv_id, turn, passage, lv),
+ p AS (SELECT conv_id, turn, lv, CASE WHEN whole IS NOT NULL THEN total WHEN 2 * best.n >= total THEN best.n END AS n, coalesce(whole, best.o) AS o FROM p0 LEFT JOIN fu USING (conv_id, turn, passage)),
+ r AS (SELECT conv_id, turn, max(struct_pack(l := -lv, n := n, o := o)).o AS reply_to FROM p WHERE n IS NOT NULL GROUP BY conv_id, turn),
  s AS (SELECT m.*, reply_to, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM m LEFT JOIN r USING (conv_id, turn)),
  b AS (SELECT *, max(CASE WHEN prev IS NULL OR coalesce(reply_to <> prev, false) THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn) AS branch FROM s),
  t AS (SELECT conv_id, branch, [struct_pack(a := -9000000000, b := branch)] AS path FROM b WHERE turn = branch AND prev IS NULL

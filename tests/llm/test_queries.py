@@ -24,6 +24,7 @@ def test_chat_twin_on_quotes(spark):
     rows = [
         (1, 0, "user", "Hello there\nfirst line\nsecond line"), (1, 1, "assistant", "I answer this\nwith words"), (1, 2, "user", "> first  LINE\n> second line\nnew thought"), (1, 3, "user", "on topic two"),
         (1, 4, "assistant", "> I answer this\n>> nested thing\nok back"), (1, 5, "user", "> new thought\nreply deep"), (1, 6, "user", "> zzz\nunlinked"), (1, 7, "user", "> i answer this\nback up"), (1, 8, "user", "> back up\nyes"),
+        (3, 0, "user", "yes\nno\nmaybe"), (3, 1, "assistant", "no"), (3, 2, "user", "yes"), (3, 3, "assistant", "> yes\n> no\nso it is"), (3, 4, "user", "> yes\nfine"), (3, 5, "user", "> no\n> maybe\n>> yes\nhm"), (3, 6, "user", "> no\n> yes\nmixed"),
         (1, 9, "user", "> reply deep\nmore"), (1, 10, "user", "> > new thought\nand again\n> first line\nend"), (2, 0, "user", "first line"), (2, 1, "user", "> first line"),
     ]
     df = chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
@@ -32,6 +33,8 @@ def test_chat_twin_on_quotes(spark):
     out = df.withColumns({"n_chars": F.length("text").cast("long"), "text_md5": F.md5("text")}).drop("text")
     view = {"conversations": pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"])}
     assert differences(out, queries.ORACLES["op8_quotation_links"], "", view) == []
+    # of common lines the passage as a whole tells where it is from; lines in no message in that order are led back one by one
+    assert {r.turn: r.reply_to for r in df.filter("conv_id = 3 and turn > 2").collect()} == {3: 0, 4: 2, 5: 0, 6: 3 - 1}
     order = [r.turn for r in df.filter("conv_id = 1").orderBy("position").collect()]
     assert order != sorted(order) and order[0] == 0
 
