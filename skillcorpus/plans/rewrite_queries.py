@@ -22,7 +22,7 @@ KEY = ["portfolio_id", "skill_ord"]
 @query()
 def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All skills with their disguises taken off."""
-    rows = adapters.skills(spark, sf_dir).select("skill_ord", N.normalize_udf("md").alias("text"))
+    rows = N.normalized(adapters.skills(spark, sf_dir).select("skill_ord", "md"))
     return rows.select("skill_ord", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
@@ -44,8 +44,8 @@ def grade_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def risk_env_exfil(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Skills that send the whole environment away."""
-    rows = adapters.skills(spark, sf_dir).filter(F.rlike("md", F.lit(r"(?i)environ|process\.env|printenv|\benv\b|ENV\.|declare\s+-x")))
-    return rows.select("skill_ord", N.leaks_environment_udf("md").alias("leaks"))
+    rows = N.normalized(adapters.skills(spark, sf_dir).select("skill_ord", "md").filter(F.rlike("md", F.lit(N.ENVIRONMENT))))
+    return rows.select("skill_ord", N.leaks_environment_udf("text").alias("leaks"))
 
 
 @query(S.given("pf", r"""l AS (SELECT skill_ord, unnest(string_split(body, chr(10))) AS line, unnest(range(len(string_split(body, chr(10))))) AS i FROM pf),
