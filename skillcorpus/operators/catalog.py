@@ -44,27 +44,6 @@ def index_errors(entries: DataFrame) -> DataFrame:
     return entries.withColumn("errors", F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(True)), F.lit(m)) for c, m in bad])))
 
 
-def bridge(skills: DataFrame, ready: DataFrame) -> DataFrame:
-    """``receipt_id, n_skills, all_ready, eligible`` of receipts' skills ``receipt_id, name, outcome, proposed_rate``: those that
-    improved or held, passed their goal, have one to three skills, all of them ready in the catalog."""
-    rows = skills.join(ready.withColumn("ready", F.lit(True)), "name", "left")
-    found = rows.groupBy("receipt_id").agg(F.count(F.lit(1)).alias("n_skills"), F.bool_and(F.coalesce("ready", F.lit(False))).alias("all_ready"), F.any_value("outcome").alias("outcome"), F.any_value("proposed_rate").alias("rate"))
-    ok = F.col("outcome").isin("improved", "unchanged") & (F.col("rate") >= 50) & F.col("all_ready") & (F.col("n_skills") <= 3)
-    return found.select("receipt_id", "n_skills", "all_ready", ok.alias("eligible"))
-
-
-def audit_capsules(capsules: DataFrame, catalog_sha: str) -> DataFrame:
-    """Adds ``errors, compatible`` to shared setups ``capsule_id, body, outcome, baseline_rate, proposed_rate, lift, catalog_sha``.
-
-    A record made for another catalog is not compatible, but valid if intact.
-    """
-    bad = [
-        (F.col("capsule_id") != F.concat(F.lit("sc_"), F.left(F.sha2("body", 256), F.lit(32))), "capsuleId does not match"), (~F.col("outcome").isin("improved", "unchanged"), "result is not eligible"),
-        (F.col("baseline_rate") >= 95, "baseline leaves no room"), (F.col("lift") != F.round(F.col("proposed_rate") - F.col("baseline_rate"), 3), "lift does not follow"),
-    ]
-    return capsules.withColumns({"errors": F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(True)), F.lit(m)) for c, m in bad])), "compatible": F.col("catalog_sha") == catalog_sha})
-
-
 def install_gate(entries: DataFrame, names: DataFrame, target: DataFrame, max_files: int = 200, max_total: int = 20 << 20, max_file: int = 4 << 20, max_depth: int = 8, max_path: int = 240) -> DataFrame:
     """``bundle_id, reasons, action``: why a bundle may not be installed, and whether it would add or replace.
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skillcorpus.functions import rules as R
 from skillcorpus.operators import catalog as K
 from skillcorpus.operators import compose as C
+from skillcorpus.operators import identity as I
 from skillcorpus.operators import portfolio as P
 from skillcorpus.operators import receipts as V
 from skillcorpus.plans import sql as S
@@ -283,23 +286,162 @@ def job_catalog_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.index_errors(_entries(spark, sf_dir)).select("ord", F.array_join("errors", "|").alias("errors"))
 
 
-@query(S.given("obs", f"{_PAIRED}, {_ENTRIES}, rs AS (SELECT receipt_id, unnest(range(0, receipt_id % 4)) AS i, outcome, proposed_rate FROM po), nm AS (SELECT receipt_id, 'kit-' || ((receipt_id * 3 + i * 7) % 200) AS name, outcome, proposed_rate FROM rs), rd AS (SELECT DISTINCT name FROM en WHERE status = 'pilot-ready')\n---\nSELECT receipt_id, count(*) AS n_skills, bool_and(rd.name IS NOT NULL) AS all_ready, any_value(outcome) IN ('improved', 'unchanged') AND any_value(proposed_rate) >= 50 AND bool_and(rd.name IS NOT NULL) AND count(*) <= 3 AS eligible FROM nm LEFT JOIN rd ON rd.name = nm.name GROUP BY 1"))
+def _skill(name: Column, files: Column) -> Column:
+    """A skill of a setup, as receipts name it."""
+    return F.struct(name.alias("name"), F.sha2(name, 256).alias("sha256"), files.cast("long").alias("files"), F.lit("A").alias("grade"), F.lit("pass").alias("gate"), F.lit("low").alias("risk"))
+
+
+def _nested_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``receipt_id, r``: a nested receipt per user of the events, with right ids and digests; up to three skills, some twice in other case."""
+    obs = adapters.observations_from_events(table(spark, sf_dir, "events"))
+    results = V.paired_results(obs, simulated=F.col("receipt_id") % 10 == 3)
+    text = F.col("receipt_id").cast("string")
+    seen = F.struct(
+        F.col("task_id").cast("string").alias("taskId"), "seed", "arm", F.when(F.col("status") == "ok", "ok").otherwise("provider-error").alias("status"), "pass", F.col("tokens").cast("double").alias("tokens"), F.col("duration_ms").alias("durationMs"),
+        F.sha2(F.lit("suite"), 256).alias("suiteSha256"), F.lit("").alias("environmentSha256"), F.lit("").alias("setupSha256"), F.when(F.col("status") != "ok", "provider-error").alias("errorCode"),
+    )
+    listed = obs.groupBy("receipt_id").agg(F.sort_array(F.collect_list(seen)).alias("observations"), F.sort_array(F.collect_set("seed")).alias("seeds"), F.sort_array(F.collect_set(F.col("task_id").cast("string"))).alias("tasks"))
+    k = F.col("receipt_id")
+    name = lambda i: F.when((k % 13 == 6) & (i == 1), F.concat(F.lit("KIT-"), (k * 3) % 200)).otherwise(F.concat(F.lit("kit-"), (k * 3 + i * 7) % 200))
+    skills = F.transform(F.slice(F.array(F.lit(0), F.lit(1), F.lit(2), F.lit(3)), F.lit(1), (k % 5).cast("int")), lambda i: _skill(name(i), 1 + (k + i) % 2))
+    goal = F.parse_json(F.coalesce(F.col("goal_passed").cast("string"), F.lit('"unknown"')))
+    none = F.lit("").alias("sha256")
+    r = F.struct(
+        F.lit("run-1").alias("protocolVersion"), F.lit("").alias("receiptId"), F.concat(F.lit("invocation-"), text).alias("invocationId"), F.lit("2026-01-01T00:00:00Z").alias("startedAt"), F.lit("2026-01-01T00:01:00Z").alias("completedAt"), F.lit("local-self-attested").alias("attestation"),
+        F.when(k % 10 == 3, "simulated").otherwise("real").alias("providerKind"),
+        F.struct(F.sha2(F.lit("suite"), 256).alias("sha256"), F.sha2(F.lit("v"), 256).alias("verifierSha256"), F.sha2(F.lit("g"), 256).alias("goalSha256"), F.concat(F.lit("Suite \"é\" "), text).alias("title"), F.col("tasks").alias("taskIds"), F.lit(0.8).alias("goalPassRate")).alias("suite"),
+        F.struct(F.struct(none, F.array().cast(f"array<struct<{I.SKILL}>>").alias("orderedSkills")).alias("baseline"), F.struct(none, skills.alias("orderedSkills")).alias("proposed")).alias("setups"),
+        F.struct(none, F.lit("openai-compatible-chat").alias("adapter"), F.lit("r1").alias("runnerVersion"), F.lit("https://api.example.com").alias("providerOrigin"), F.concat(F.lit("model-"), k % 5).alias("model"), F.lit("v20").alias("node"), F.lit("linux").alias("os"), F.lit("x64").alias("arch"), F.lit(0.0).alias("temperature"),
+            F.lit(512).cast("long").alias("maxTokens"), F.lit(30_000).cast("long").alias("timeoutMs"), F.size("seeds").cast("long").alias("trials"), F.col("seeds").alias("seeds")).alias("environment"),
+        "observations",
+        F.struct(F.col("run_status").alias("runStatus"), F.col("evidence").alias("evidenceStatus"), F.col("outcome").alias("experimentOutcome"), goal.alias("goalPassed"), F.col("baseline_rate").alias("baselinePassRate"), F.col("proposed_rate").alias("proposedPassRate"), F.col("lift").alias("liftPoints"),
+            F.col("baseline_tokens").alias("baselineAvgTokens"), F.col("proposed_tokens").alias("proposedAvgTokens"), F.col("token_delta").alias("tokenDeltaPct"), F.col("baseline_duration").alias("baselineAvgDurationMs"), F.col("proposed_duration").alias("proposedAvgDurationMs"), F.col("duration_delta").alias("durationDeltaPct")).alias("result"),
+        F.array(F.lit("Local run only.")).alias("limitations"), F.struct(F.lit("sha256").alias("algorithm"), F.lit("").alias("payloadSha256")).alias("integrity"),
+    )
+    rows = results.join(listed, "receipt_id").select("receipt_id", r.alias("r"))
+    for fields in (("baseline_sha", "proposed_sha", "environment_sha"), ("receipt_id",), ("payload_sha",)):  # each follows from those before
+        at = {"baseline_sha": "setups.baseline.sha256", "proposed_sha": "setups.proposed.sha256", "environment_sha": "environment.sha256", "receipt_id": "receiptId", "payload_sha": "integrity.payloadSha256"}
+        told, whole = I.receipt_digests(F.col("r")), F.col("r")
+        for f in fields:
+            whole = whole.withField(at[f], told[f])
+        rows = cut(rows.select("receipt_id", whole.alias("r")), "nested-receipts")
+    return rows
+
+
+_SKILLS = """ks AS (SELECT receipt_id, i, CASE WHEN receipt_id % 13 = 6 AND i = 1 THEN 'KIT-' || ((receipt_id * 3) % 200) ELSE 'kit-' || ((receipt_id * 3 + i * 7) % 200) END AS name, 1 + (receipt_id + i) % 2 AS files FROM (SELECT receipt_id, unnest(range(0, receipt_id % 5)) AS i FROM po)),
+kl AS (SELECT receipt_id, '[' || string_agg('{"files":' || files || ',"gate":"pass","grade":"A","name":"' || name || '","risk":"low","sha256":"' || sha256(name) || '"}', ',' ORDER BY i) || ']' AS skills FROM ks GROUP BY 1),
+ev AS (SELECT receipt_id, list_sort(list_distinct(list(seed))) AS seeds FROM obs GROUP BY 1),
+di AS (SELECT po.receipt_id, sha256('[]') AS baseline_sha, sha256(coalesce(skills, '[]')) AS proposed_sha, sha256('{"adapter":"openai-compatible-chat","arch":"x64","maxTokens":512,"model":"model-' || (po.receipt_id % 5) || '","node":"v20","os":"linux","providerOrigin":"https://api.example.com","runnerVersion":"r1","seeds":[' || array_to_string(seeds, ',') || '],"temperature":0,"timeoutMs":30000,"trials":' || len(seeds) || '}') AS environment_sha
+ FROM po LEFT JOIN kl USING (receipt_id) JOIN ev USING (receipt_id))"""
+
+
+@query(S.given("obs", f"""{_PAIRED}, {_SKILLS}
+---
+SELECT receipt_id, baseline_sha, proposed_sha, environment_sha, 'vr_' || left(sha256('{{"baseline":"' || baseline_sha || '","completedAt":"2026-01-01T00:01:00Z","environment":"' || environment_sha || '","invocationId":"invocation-' || receipt_id || '","proposed":"' || proposed_sha || '","suite":"' || sha256('suite') || '"}}'), 24) AS receipt_text_id FROM di"""))
+def receipt_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the setups and the environment of nested receipts, and the ids that follow from them."""
+    r = F.col("r")
+    return _nested_receipts(spark, sf_dir).select("receipt_id", r["setups"]["baseline"]["sha256"].alias("baseline_sha"), r["setups"]["proposed"]["sha256"].alias("proposed_sha"), r["environment"]["sha256"].alias("environment_sha"), r["receiptId"].alias("receipt_text_id"))
+
+
+def _tampered(rows: DataFrame) -> DataFrame:
+    """The receipts with some changed after they were signed: results, models, ids, skills."""
+    k, r = F.col("receipt_id"), F.col("r")
+    changed = F.when(k % 7 == 2, r.withField("result.experimentOutcome", F.lit("improved!"))).when(k % 11 == 3, r.withField("receiptId", F.lit("vr_0"))).when(k % 13 == 4, r.withField("environment.model", F.lit("other"))).when((k % 17 == 5) & (k % 5 > 0), r.withField("setups.proposed.orderedSkills", F.slice(r["setups"]["proposed"]["orderedSkills"], F.lit(2), F.lit(9))))
+    return rows.withColumn("r", changed.otherwise(r))
+
+
+@query(S.given("obs", """---
+SELECT DISTINCT receipt_id, CASE WHEN receipt_id % 7 = 2 THEN 'payload_sha' WHEN receipt_id % 11 = 3 THEN 'receipt_id|payload_sha' WHEN receipt_id % 13 = 4 THEN 'environment_sha|payload_sha' WHEN receipt_id % 17 = 5 AND receipt_id % 5 > 0 THEN 'proposed_sha|payload_sha' ELSE '' END AS tampered FROM obs""".replace("---\n", "zz AS (SELECT 1 AS one)\n---\n", 1)))
+def receipt_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which ids and digests of receipts do not follow from what they hold; some were changed after they were signed."""
+    return _tampered(_nested_receipts(spark, sf_dir)).select("receipt_id", F.array_join(I.receipt_tampered(F.col("r")), "|").alias("tampered"))
+
+
+@query(_recursive(_FIRST.replace("receipt_id % 97 AS receipt, receipt_id % 131 AS invocation", "receipt_id AS receipt, receipt_id AS invocation").replace("receipt_id % 23 <> 7 AS valid", "NOT (receipt_id % 23 = 7 OR receipt_id % 7 = 2 OR receipt_id % 11 = 3 OR receipt_id % 13 = 4 OR (receipt_id % 17 = 5 AND receipt_id % 5 > 0)) AS valid").replace("%s", "valid") + """, rj AS (SELECT *, valid AND kind = 'real' AS counts FROM rc), dd AS (SELECT * FROM rj WHERE ord % 9 = 4 AND valid)
+---
+SELECT count(*) FILTER (WHERE counts) AS real, count(*) FILTER (WHERE counts AND goal_passed AND outcome <> 'regressed') AS successes, count(*) FILTER (WHERE counts AND outcome = 'error') AS errors, count(*) FILTER (WHERE counts AND outcome = 'regressed') AS regressions,
+ count(*) FILTER (WHERE counts AND outcome = 'inconclusive') AS inconclusive, count(*) FILTER (WHERE valid AND kind = 'simulated') AS simulations, count(*) FILTER (WHERE NOT valid) + count(*) FILTER (WHERE NOT valid AND ord % 9 = 4) AS invalid, (SELECT count(*) FROM dd) AS duplicates, 0::BIGINT AS skipped, round(successes / nullif(real, 0)::DOUBLE * 100, 3) AS rate FROM rj"""))
+def receipt_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals over receipts written to several JSON files and read back: broken lines, tampered records and copies are counted."""
+    import uuid
+
+    from skillcorpus.plans.storage import shared_folder
+    from skillcorpus.sources.receipts import read_receipts, summarize
+
+    path = f"{shared_folder(spark).rstrip('/')}/receipts-{uuid.uuid4().hex}"
+    rows = _tampered(_nested_receipts(spark, sf_dir))
+    line = F.when(F.col("receipt_id") % 23 == 7, F.concat(F.lit('{"receiptId": '), F.col("receipt_id"))).otherwise(F.to_json("r"))
+    copies = F.explode(F.sequence(F.lit(0), (F.col("receipt_id") % 9 == 4).cast("int")))
+    rows.select(line.alias("value"), copies.alias("copy")).repartition(4, "copy", "value").select("value").write.text(path)
+    return summarize(read_receipts(spark, path, whole=False))
+
+
+@query(S.given("obs", f"""{_PAIRED.replace("WHEN any_error THEN 'error' WHEN lift", "WHEN any_error THEN 'error' WHEN receipt_id % 10 = 3 THEN 'inconclusive' WHEN lift")}, {_SKILLS}, {_ENTRIES},
+rd AS (SELECT name, min(ord) AS ord FROM en WHERE status = 'pilot-ready' GROUP BY 1),
+jn AS (SELECT ks.*, CASE WHEN rd.name IS NULL OR rd.ord % 15 = 4 THEN 1 WHEN rd.ord % 6 = 1 OR ks.files <> 1 + ord % 2 THEN 2 WHEN rd.ord % 10 = 3 THEN 3 END AS fault, rd.ord AS a FROM ks LEFT JOIN rd ON rd.name = ks.name),
+ag AS (SELECT receipt_id, count(*) AS n, count(DISTINCT lower(name)) AS names, arg_min(fault, i) FILTER (WHERE fault IS NOT NULL) AS fault, string_agg('sa_' || a, '|' ORDER BY i) AS ids FROM jn GROUP BY 1),
+al AS (SELECT po.receipt_id, NOT any_error AND receipt_id % 10 <> 3 AND proposed_rate / 100 >= 0.8 AND outcome IN ('improved', 'unchanged') AS good, coalesce(n, 0) AS n, names, fault, ids FROM po LEFT JOIN ag USING (receipt_id)),
+rs AS (SELECT *, CASE WHEN NOT good THEN 'result is not eligible' WHEN n NOT BETWEEN 1 AND 3 THEN 'setup must contain 1 to 3 skills' WHEN names < n THEN 'duplicate skill' WHEN fault = 1 THEN 'no embedded artifact' WHEN fault = 2 THEN 'identity differs' WHEN fault = 3 THEN 'assessment differs' END AS reason FROM al)
+---
+SELECT receipt_id, reason, CASE WHEN reason IS NULL THEN ids END AS artifact_ids FROM rs"""))
 def job_capsule_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which receipts can be shared as exact catalog setups."""
-    results = V.paired_results(adapters.observations_from_events(table(spark, sf_dir, "events")))
-    skills = results.filter("receipt_id % 4 > 0").select("receipt_id", "outcome", "proposed_rate", F.explode(F.sequence(F.lit(0), (F.col("receipt_id") % 4 - 1).cast("int"))).alias("i"))
-    named = skills.withColumn("name", F.concat(F.lit("kit-"), (F.col("receipt_id") * 3 + F.col("i") * 7) % 200))
-    return K.bridge(named, _entries(spark, sf_dir).filter("status = 'pilot-ready'").select("name").distinct())
+    """Which receipts can be shared as exact catalog setups, and why others cannot."""
+    k = F.col("ord")
+    ready = _entries(spark, sf_dir).filter("status = 'pilot-ready'").groupBy("name").agg(F.min("ord").alias("ord"))
+    artifacts = ready.select(
+        "name", F.concat(F.lit("sa_"), k).alias("artifact_id"), F.when(k % 15 == 4, "revoked").otherwise("embedded").alias("availability"), F.sha2(F.when(k % 6 == 1, F.lit("other")).otherwise(F.col("name")), 256).alias("verification_sha"), (1 + k % 2).alias("files"),
+        F.when(k % 10 == 3, "B").otherwise("A").alias("grade"), F.lit("pass").alias("gate"), F.lit("low").alias("risk"),
+    )
+    rows = cut(_nested_receipts(spark, sf_dir), "receipts")
+    found = I.bridge(rows.select("r"), artifacts)
+    ids = rows.select("receipt_id", F.col("r")["receiptId"].alias("receiptId"))
+    return ids.join(found, "receiptId").select("receipt_id", "reason", F.array_join("artifact_ids", "|").alias("artifact_ids"))
+
+
+def _artifact(name: Column, total: Column) -> Column:
+    """An artifact of the catalog, in the form that shared setups have."""
+    return F.struct(
+        name.alias("name"), F.concat(F.lit("sa_"), F.left(F.sha2(name, 256), F.lit(32))).alias("artifactId"), *[F.sha2(F.concat(name, F.lit(x)), 256).alias(f"{x}Sha256") for x in ("verification", "bundle", "payload")], F.lit(2).cast("long").alias("files"), total.cast("long").alias("totalBytes"),
+        F.struct(F.lit("acme/skills").alias("repository"), F.sha1(name).alias("commit"), F.sha1(F.concat(name, F.lit("t"))).alias("rootTreeOid"), F.concat(F.lit("skills/"), name).alias("rootPath"), F.concat(F.lit("https://github.com/acme/skills/tree/"), F.sha1(name), F.lit("/skills/"), name).alias("pinnedUrl")).alias("source"),
+        F.struct(F.lit("A").alias("grade"), F.lit("pass").alias("gate"), F.lit("low").alias("risk"), F.lit("static/1").alias("rubricVersion"), F.lit("SMV:2.0").alias("vector"), F.lit(0).cast("long").alias("uninterpretedFiles")).alias("assessment"),
+        F.struct(F.lit("MIT").alias("spdx"), F.sha2(F.lit("MIT"), 256).alias("sha256"), F.lit("LICENSE").alias("installPath")).alias("license"), F.lit("inspected-exact-version").alias("evidence"), F.array(F.lit("As inspected.")).alias("limitations"),
+    )
 
 
-@query(S.given("obs", f"{_PAIRED}\n---\nSELECT receipt_id, array_to_string(list_filter([CASE WHEN receipt_id % 6 = 1 THEN 'capsuleId does not match' END, CASE WHEN outcome NOT IN ('improved', 'unchanged') THEN 'result is not eligible' END, CASE WHEN baseline_rate >= 95 THEN 'baseline leaves no room' END, CASE WHEN lift + (receipt_id % 5 = 2)::INT <> round(proposed_rate - baseline_rate, 3) THEN 'lift does not follow' END], lambda x: x IS NOT NULL), '; ') AS errors, receipt_id % 3 <> 0 AS compatible FROM po"))
+@query(S.given("obs", f"""{_PAIRED.replace("WHEN any_error THEN 'error' WHEN lift", "WHEN any_error THEN 'error' WHEN receipt_id % 10 = 3 THEN 'inconclusive' WHEN lift")},
+c AS (SELECT receipt_id AS k, NOT any_error AND receipt_id % 10 <> 3 AND proposed_rate / 100 >= 0.8 AND outcome IN ('improved', 'unchanged') AS good, list_transform(range(0, receipt_id % 5), lambda i: (receipt_id * 3 + i * 7) % 200) AS xs FROM po WHERE receipt_id % 5 BETWEEN 1 AND 3),
+f AS (SELECT *, list_filter([CASE WHEN k % 6 = 1 THEN 'capsule contains missing or unknown top-level fields' END, CASE WHEN k % 9 = 4 THEN 'setup projection is invalid' END, CASE WHEN NOT good THEN 'sender evidence projection is invalid' END], lambda e: e IS NOT NULL) AS form FROM c)
+---
+SELECT k AS receipt_id, array_to_string(CASE WHEN len(form) > 0 THEN form ELSE list_concat(list_filter([CASE WHEN k % 7 = 2 OR k % 8 = 3 THEN 'capsuleId does not match canonical content' END, CASE WHEN k % 7 = 2 OR k % 8 = 3 THEN 'capsule integrity does not match canonical content' END, CASE WHEN k % 8 = 3 AND len(xs) > 1 THEN 'replay artifact order differs from setup order' END], lambda e: e IS NOT NULL),
+ CASE WHEN k % 3 <> 0 THEN list_filter(list_transform(xs, lambda x: CASE WHEN x % 10 = 7 THEN 'artifact is unavailable in this catalog: kit-' || x WHEN x % 10 = 3 THEN 'artifact projection differs from this catalog: kit-' || x END), lambda e: e IS NOT NULL) ELSE [] END) END, '; ') AS errors, len(form) = 0 AND k % 3 <> 0 AS compatible FROM f"""))
 def job_capsule_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shared setup records checked: ids, arithmetic and fit to the catalog; some are tampered with."""
-    rows = V.paired_results(adapters.observations_from_events(table(spark, sf_dir, "events")))
-    k = F.col("receipt_id")
-    body = F.concat_ws("|", k.cast("string"), "baseline_rate", "proposed_rate")
-    shared = rows.withColumns({"capsule_id": F.concat(F.lit("sc_"), F.left(F.sha2(F.when(k % 6 == 1, F.lit("other")).otherwise(body), 256), F.lit(32))), "body": body, "lift": F.col("lift") + (k % 5 == 2).cast("int"), "catalog_sha": F.when(k % 3 == 0, "old").otherwise("now")})
-    return K.audit_capsules(shared, "now").select("receipt_id", F.array_join("errors", "; ").alias("errors"), "compatible")
+    """Shared setup records checked: closed form, ids and digests by content, the result's arithmetic, and their artifacts against the catalog; some are tampered with."""
+    k, r = F.col("receipt_id"), F.col("r")
+    rows = _nested_receipts(spark, sf_dir).filter(k % 5 >= 1).filter(k % 5 <= 3)
+    arts = F.transform(F.slice(F.array(F.lit(0), F.lit(1), F.lit(2)), F.lit(1), (k % 5).cast("int")), lambda i: _artifact(F.concat(F.lit("kit-"), (k * 3 + i * 7) % 200), F.lit(900)))
+    ids = lambda a: F.transform(a, lambda x: x["artifactId"])
+    sha = F.sha2(F.when(k % 3 == 0, "old").otherwise("now"), 256)
+    body = F.struct(
+        F.lit("capsule-1").alias("protocolVersion"), F.lit("").alias("capsuleId"), r["completedAt"].alias("createdAt"), F.struct(F.lit("catalog-2").alias("catalogProtocolVersion"), F.lit("1.0.0").alias("cliVersion"), sha.alias("catalogSha256"), I.setup_sha(arts).alias("setupSha256"), arts.alias("orderedArtifacts")).alias("setup"),
+        F.struct(r["protocolVersion"].alias("verificationProtocolVersion"), r["integrity"]["payloadSha256"].alias("sourceReceiptPayloadSha256"), *[r["suite"][a].alias(b) for a, b in (("sha256", "suiteSha256"), ("verifierSha256", "verifierSha256"), ("goalSha256", "goalSha256"))], r["environment"]["sha256"].alias("environmentSha256"),
+            F.lit("local-self-attested").alias("attestation"), F.lit("none").alias("authentication"), F.lit("receipt-schema-ledger-and-integrity-only").alias("localValidation"), r["result"].alias("result")).alias("senderEvidence"),
+        F.struct(F.lit("exact-catalog-artifacts").alias("setup"), F.lit("unavailable-private-suite").alias("experiment"), ids(arts).alias("artifactIds")).alias("replay"), F.array(F.lit("As sent.")).alias("limitations"), F.struct(F.lit("sha256").alias("algorithm"), F.lit("").alias("payloadSha256")).alias("integrity"),
+    )
+    rows = cut(rows.select("receipt_id", body.alias("c")), "capsule-bodies")
+    rows = cut(rows.select("receipt_id", F.col("c").withField("capsuleId", I.capsule_id(F.col("c"))).alias("c")), "capsule-named")
+    rows = rows.select("receipt_id", F.col("c").withField("integrity.payloadSha256", I.capsule_payload_sha(F.col("c"))).alias("c"))
+    c = F.col("c")
+    changed = F.when(k % 8 == 3, c.withField("replay.artifactIds", F.reverse(c["replay"]["artifactIds"]))).otherwise(c)
+    changed = F.when(k % 7 == 2, changed.withField("capsuleId", F.lit("sc_" + "0" * 32))).otherwise(F.when(k % 8 == 3, changed.withField("limitations", F.array(F.lit("Another.")))).otherwise(changed))
+    text = F.to_json(changed)
+    text = F.when(k % 9 == 4, F.replace(text, F.lit('"repository":'), F.lit('"branch":"main","repository":'))).otherwise(text)
+    text = F.when(k % 6 == 1, F.replace(text, F.lit('{"protocolVersion"'), F.lit('{"extra":1,"protocolVersion"'))).otherwise(text)
+    names = spark.range(200).filter("id % 10 <> 7").withColumn("name", F.concat(F.lit("kit-"), "id"))
+    index = names.select("name", _artifact(F.col("name"), F.when(F.col("id") % 10 == 3, 901).otherwise(900)).alias("artifact"))
+    now = {"catalogProtocolVersion": "catalog-2", "cliVersion": "1.0.0"}
+    found = I.audit_capsules(rows.select("receipt_id", text.alias("capsule")), index, now | {"catalogSha256": hashlib.sha256(b"now").hexdigest()})
+    return found.select("receipt_id", F.array_join("errors", "; ").alias("errors"), "compatible")
 
 
 @query(S.given("mf", """g AS (SELECT bundle_id, count(*) AS files, sum(size) AS total, max(size) AS largest, max(len(string_split(path, '/'))) AS depth, 'Kit' || (bundle_id // 2) AS kit FROM mf GROUP BY 1),
