@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skillcorpus.functions import rules as R
 from skillcorpus.functions.text import js_trim, listing_tokens, trigger_tokens
 from skillcorpus.operators.analysis import hit
+from skillcorpus.operators.ranks import ranked
 from skillcorpus.plans.storage import cut
 
 # Cut-offs of token overlap; listing rules of the two harnesses.
@@ -97,19 +98,37 @@ def relay_counts(skills: DataFrame, text: Column) -> DataFrame:
     return found.withColumn("n_pairs", F.col("n_sources") * F.col("n_sinks")).filter("n_pairs > 0")
 
 
-def relay_pairs(skills: DataFrame, text: Column, limit: int) -> DataFrame:
-    """``portfolio_id, source, sink``: the relays themselves, on request, of portfolios with ``limit`` of them at most; larger ones are only counted."""
-    rows = skills.select("portfolio_id", "skill_ord", hit(text, R.READS_SECRET).alias("reads"), hit(text, R.SENDS).alias("sends"))
-    few = relay_counts(skills, text).filter(F.col("n_pairs") <= limit).select("portfolio_id")
-    side = lambda cond, name: rows.filter(cond).join(few, "portfolio_id", "left_semi").select("portfolio_id", F.col("skill_ord").alias(name))
-    return side("reads and not sends", "source").join(side("sends and not reads", "sink"), "portfolio_id")
+def relay_members(skills: DataFrame, text: Column) -> DataFrame:
+    """``portfolio_id, skill_ord, role``: the relays of every portfolio in a form that is linear in skills: each ``source`` is linked with each ``sink`` of its portfolio.
+
+    Portfolios without both have no rows. ``relays_of`` expands the links of one skill or of some.
+    """
+    rows = skills.select("portfolio_id", "skill_ord", F.when(hit(text, R.READS_SECRET), "source").alias("a"), F.when(hit(text, R.SENDS), "sink").alias("b"))
+    one = rows.filter(F.col("a").isNull() != F.col("b").isNull()).select("portfolio_id", "skill_ord", F.coalesce("a", "b").alias("role"))
+    both = one.groupBy("portfolio_id").agg(F.count_distinct("role").alias("n")).filter("n = 2").select("portfolio_id")
+    return one.join(both, "portfolio_id", "left_semi").select("portfolio_id", "skill_ord", "role")
+
+
+def relays_of(members: DataFrame, asked: DataFrame) -> DataFrame:
+    """``portfolio_id, source, sink``: the relays that the skills of ``asked`` (``portfolio_id, skill_ord``) take part in, as many as these have."""
+    mine = members.join(asked.select("portfolio_id", "skill_ord").distinct(), ["portfolio_id", "skill_ord"])
+    other = members.select("portfolio_id", F.col("skill_ord").alias("other"), F.col("role").alias("other_role"))
+    met = mine.join(other, "portfolio_id").filter("role <> other_role")
+    source = F.when(F.col("role") == "source", F.col("skill_ord")).otherwise(F.col("other"))
+    return met.select("portfolio_id", source.alias("source"), F.when(F.col("role") == "source", F.col("other")).otherwise(F.col("skill_ord")).alias("sink")).distinct()
+
+
+def sharing_members(skills: DataFrame, values: Column) -> DataFrame:
+    """``portfolio_id, value, skill_ord, n_skills, first``: who shares a value, one row per skill and value: any two rows of a value are linked. ``first`` stands for the class."""
+    each = skills.select("portfolio_id", "skill_ord", F.explode(values).alias("value"))
+    return each.join(shared_values(skills, values).select("portfolio_id", "value", "n_skills", "first"), ["portfolio_id", "value"])
 
 
 def bloat(graded: DataFrame) -> DataFrame:
     """Adds each portfolio's upper median of tokens, the bloat threshold, the ratio, and flags; incomplete rows are never bloated."""
-    order = Window.partitionBy("portfolio_id").orderBy("tokens_total", "skill_ord")
-    ranked = graded.select("portfolio_id", "tokens_total", F.row_number().over(order).alias("i"), F.count(F.lit(1)).over(Window.partitionBy("portfolio_id")).alias("n"))
-    median = ranked.filter("i = n div 2 + 1").select("portfolio_id", F.col("tokens_total").alias("median"))
+    sizes = graded.groupBy("portfolio_id").agg(F.count(F.lit(1)).alias("n"))
+    placed = ranked(graded.select("portfolio_id", "tokens_total", "skill_ord"), ["portfolio_id"], [F.col("tokens_total"), F.col("skill_ord")])
+    median = placed.join(sizes, "portfolio_id").filter("rank = n div 2 + 1").select("portfolio_id", F.col("tokens_total").alias("median"))
     rows = graded.join(median, "portfolio_id").withColumn("threshold", F.greatest(F.floor(F.col("median") * 1.6 + 0.5), F.lit(350)))
     unsafe = F.col("complete") & ((F.col("gate") == "block") | (F.col("grade") == "F") | F.col("level").isin("high", "critical"))
     review = ~unsafe & (~F.col("complete") | (F.col("gate") == "review") | (F.col("level") == "medium"))
@@ -127,8 +146,9 @@ def listings(skills: DataFrame) -> DataFrame:
     rows = skills.withColumn("harness", harness).filter("harness is not null")
     keeps = F.col("harness") == "claude-code"
     rows = rows.withColumns({"cost": listing_tokens(F.concat_ws(" ", "name", "description")) + 4, "bare": F.when(keeps, listing_tokens(F.col("name")) + 4).otherwise(0), "long": keeps & (F.length("description") > 1536)})
-    part = Window.partitionBy("portfolio_id", "harness")
-    before = F.coalesce(F.sum(F.col("cost") - F.col("bare")).over(part.orderBy(F.desc("cost"), "skill_ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = rows.withColumn("total", F.sum("cost").over(part)).withColumn("goes", F.col("total") - before > 2000)
-    found = cut.groupBy("portfolio_id", "harness").agg(F.count(F.lit(1)).alias("n_skills"), F.sum("cost").alias("tokens"), F.count_if("goes").alias("n_dropped"), F.count_if("long").alias("n_over_long"))
+    key = ["portfolio_id", "harness"]
+    rows = cut(rows.select(*key, "skill_ord", "cost", "bare", "long"), "listed")
+    placed = ranked(rows, key, [-F.col("cost"), F.col("skill_ord")], add=F.col("cost") - F.col("bare"))
+    goes = placed.join(rows.groupBy(*key).agg(F.sum("cost").alias("total")), key).withColumn("goes", F.col("total") - F.col("before") > 2000)
+    found = goes.groupBy("portfolio_id", "harness").agg(F.count(F.lit(1)).alias("n_skills"), F.sum("cost").alias("tokens"), F.count_if("goes").alias("n_dropped"), F.count_if("long").alias("n_over_long"))
     return found.withColumns({"budget": F.lit(2000), "over_by": F.greatest(F.lit(0), F.col("tokens") - 2000), "cliff": F.floor(F.lit(2000) / (F.col("tokens") / F.col("n_skills"))), "ratio": F.round(F.col("tokens") / 2000, 3)})

@@ -13,6 +13,7 @@ from skillcorpus.operators import compose as C
 from skillcorpus.operators import identity as I
 from skillcorpus.operators import portfolio as P
 from skillcorpus.operators import receipts as V
+from skillcorpus.operators.ranks import ranked
 from skillcorpus.plans import sql as S
 from skillcorpus.plans.inputs import analysed
 from skillcorpus.plans.portfolio_queries import _CONFLICTS
@@ -106,11 +107,9 @@ def plan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(S.given("af", f"{_PLAIN}, {_COMPOSED}\n---\nSELECT portfolio_id, skill_ord, action, row_number() OVER (PARTITION BY portfolio_id ORDER BY {_ORDER}, value DESC, skill_ord) AS place FROM co"))
 def order_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Actions in the order in which they are shown."""
-    from pyspark.sql import Window
-
-    rows = C.compose(analysed(spark, sf_dir))
-    order = Window.partitionBy("portfolio_id").orderBy(C.rank_of(F.col("action")), F.desc("value"), "skill_ord")
-    return rows.select("portfolio_id", "skill_ord", "action", F.row_number().over(order).cast("long").alias("place"))
+    rows = cut(C.compose(analysed(spark, sf_dir)).select("portfolio_id", "skill_ord", "action", "value"), "actions")
+    order = [C.rank_of(F.col("action")), -F.col("value"), F.col("skill_ord")]
+    return ranked(rows, ["portfolio_id"], order).select("portfolio_id", "skill_ord", "action", F.col("rank").alias("place"))
 
 
 _PAIRED = """pa AS (SELECT receipt_id, round(coalesce(avg(CASE WHEN status = 'ok' AND arm = 'baseline' THEN pass::INT END) * 100, 0), 3) AS baseline_rate, round(coalesce(avg(CASE WHEN status = 'ok' AND arm = 'proposed' THEN pass::INT END) * 100, 0), 3) AS proposed_rate,

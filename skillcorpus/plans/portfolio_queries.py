@@ -11,11 +11,12 @@ from skillcorpus.functions import rules as R
 from skillcorpus.functions import text as T
 from skillcorpus.operators import analysis as A
 from skillcorpus.operators import portfolio as P
+from skillcorpus.operators.ranks import ranked
 from skillcorpus.operators.reports import harden, labels, published
 from skillcorpus.plans import sql as S
 from skillcorpus.plans.inputs import analysed
 from skillcorpus.plans.registry import query
-from skillcorpus.plans.storage import shared_folder
+from skillcorpus.plans.storage import cut, shared_folder
 from skillcorpus.sources import adapters
 from skillcorpus.sources.files import read_scan, write_scan
 from skillcorpus.sources.tables import table
@@ -91,6 +92,19 @@ def relay_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.relay_counts(_described(spark, sf_dir), F.col("text"))
 
 
+@query(S.given("pf", f"s AS (SELECT portfolio_id, skill_ord, {S.matches('text', R.READS_SECRET)} AS r, {S.matches('text', R.SENDS)} AS s FROM pf), m AS (SELECT portfolio_id, skill_ord, CASE WHEN r THEN 'source' ELSE 'sink' END AS role FROM s WHERE r <> s)\n---\nSELECT portfolio_id, skill_ord, role FROM m WHERE portfolio_id IN (SELECT portfolio_id FROM m GROUP BY 1 HAVING count(DISTINCT role) = 2)"))
+def relay_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relays by membership: every source of a portfolio is linked with each of its sinks."""
+    return P.relay_members(_described(spark, sf_dir), F.col("text"))
+
+
+@query(S.given("pf", f"e AS (SELECT portfolio_id, skill_ord, unnest({_FRAGS}) AS value FROM pf), n AS (SELECT portfolio_id, value, count(*) AS n_skills, min(skill_ord) AS first FROM e GROUP BY 1, 2 HAVING count(*) > 1)\n---\nSELECT portfolio_id, md5(value) AS value_md5, skill_ord, n_skills, first FROM e JOIN n USING (portfolio_id, value)"))
+def fragment_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who shares a distinctive command: one row per skill and command, any two of a command being linked."""
+    rows = P.sharing_members(_described(spark, sf_dir), P.fragments(F.col("text")))
+    return rows.select("portfolio_id", F.md5("value").alias("value_md5"), "skill_ord", "n_skills", "first")
+
+
 _BLOAT = """bm AS (SELECT portfolio_id, tokens_total AS median FROM (SELECT *, row_number() OVER (PARTITION BY portfolio_id ORDER BY tokens_total, skill_ord) AS i, count(*) OVER (PARTITION BY portfolio_id) AS n FROM an) WHERE i = n // 2 + 1),
 bl AS (SELECT *, complete AND (gate = 'block' OR grade = 'F' OR level IN ('high', 'critical')) AS unsafe, greatest(floor(median * 1.6::DOUBLE + 0.5)::BIGINT, 350) AS threshold, complete AND tokens_total > greatest(floor(median * 1.6::DOUBLE + 0.5), 350) AS bloated,
   CASE WHEN median > 0 THEN round(tokens_total / median::DOUBLE, 3) ELSE 1 END AS ratio FROM an JOIN bm USING (portfolio_id)),
@@ -155,14 +169,47 @@ def tightest_harness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.listings(_described(spark, sf_dir)).groupBy("portfolio_id").agg(F.max_by("harness", F.struct("tokens", "harness")).alias("harness"))
 
 
+_SIX = """SELECT skill_ord, 'grade' AS field, grade AS value, CASE WHEN grade IN ('A', 'B') THEN 'ok' WHEN grade = 'C' THEN 'warn' ELSE 'bad' END AS state FROM an
+UNION ALL SELECT skill_ord, 'gate', gate, CASE gate WHEN 'pass' THEN 'ok' WHEN 'review' THEN 'warn' ELSE 'bad' END FROM an
+UNION ALL SELECT skill_ord, 'tokens', (tokens_desc + 8) || '/' || tokens_body, CASE WHEN tokens_body > 5000 THEN 'warn' ELSE 'ok' END FROM an
+UNION ALL SELECT an.skill_ord, 'evidence', coalesce(n, 0)::VARCHAR, CASE WHEN coalesce(n, 0) = 0 THEN 'ok' WHEN crit THEN 'bad' ELSE 'warn' END
+ FROM an LEFT JOIN (SELECT skill_ord, count(*) FILTER (WHERE severity <> 'low' AND category IN ('injection', 'persistence', 'obfuscation', 'exfil', 'shell', 'secret', 'network', 'privilege', 'install', 'filesystem')) AS n, bool_or(severity = 'critical') AS crit FROM fr GROUP BY skill_ord) USING (skill_ord)
+UNION ALL SELECT skill_ord, 'trigger', trigger || '/100', CASE WHEN trigger >= 85 THEN 'ok' WHEN trigger >= 60 THEN 'warn' ELSE 'bad' END FROM an
+UNION ALL SELECT skill_ord, 'conflict', CASE WHEN coalesce(sk_n, 0) < 2 THEN 'Needs ≥2 skills' WHEN coalesce(total, 0) = 0 THEN 'None' ELSE total || ' pair' || CASE WHEN total > 1 THEN 's' ELSE '' END || ' (' || shadow || ' shadow · ' || (total - shadow) || ' overlap)' END,
+ CASE WHEN coalesce(sk_n, 0) < 2 THEN 'unknown' WHEN coalesce(total, 0) = 0 THEN 'ok' WHEN shadow > 0 THEN 'bad' ELSE 'warn' END FROM an LEFT JOIN (SELECT portfolio_id, count(*) AS sk_n FROM an GROUP BY 1) USING (portfolio_id) LEFT JOIN (SELECT portfolio_id, count(*) AS total, count(*) FILTER (WHERE kind = 'shadow') AS shadow FROM cf GROUP BY 1) USING (portfolio_id)"""
+
+
+@query(S.given("an pf", f"{_CONFLICTS}\n---\n{_SIX}"))
+def six_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six results per skill, each with a state; the conflicts are those of its portfolio, and unknown where it is the only skill."""
+    risky = F.size(F.filter("findings", lambda f: (f["severity"] != "low") & f["category"].isin("injection", "persistence", "obfuscation", "exfil", "shell", "secret", "network", "privilege", "install", "filesystem")))
+    critical = F.exists("findings", lambda f: f["severity"] == "critical")
+    many = F.concat(F.col("total"), F.when(F.col("total") > 1, " pairs (").otherwise(" pair ("), F.col("shadow"), F.lit(" shadow · "), F.col("total") - F.col("shadow"), F.lit(" overlap)"))
+    shown = F.when(F.col("n") < 2, "Needs ≥2 skills").when(F.col("total") == 0, "None").otherwise(many)
+    row = lambda name, value, state: F.struct(F.lit(name).alias("field"), value.cast("string").alias("value"), state.alias("state"))
+    fields = F.array(
+        row("grade", F.col("grade"), F.when(F.col("grade").isin("A", "B"), "ok").when(F.col("grade") == "C", "warn").otherwise("bad")),
+        row("gate", F.col("gate"), F.when(F.col("gate") == "pass", "ok").when(F.col("gate") == "review", "warn").otherwise("bad")),
+        row("tokens", F.concat_ws("/", F.col("tokens_desc") + 8, "tokens_body"), F.when(F.col("tokens_body") > 5000, "warn").otherwise("ok")),
+        row("evidence", risky, F.when(risky == 0, "ok").when(critical, "bad").otherwise("warn")),
+        row("trigger", F.concat(F.col("trigger"), F.lit("/100")), F.when(F.col("trigger") >= 85, "ok").when(F.col("trigger") >= 60, "warn").otherwise("bad")),
+        row("conflict", shown, F.when(F.col("n") < 2, "unknown").when(F.col("total") == 0, "ok").when(F.col("shadow") > 0, "bad").otherwise("warn")),
+    )
+    graded = analysed(spark, sf_dir)
+    pairs = P.conflict_pairs(graded.select("portfolio_id", "skill_ord", F.col("fm_name").alias("name"), "description"))
+    pairs = pairs.groupBy("portfolio_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("kind") == "shadow").alias("shadow"))
+    sets = cut(graded.groupBy("portfolio_id").agg(F.count(F.lit(1)).alias("n")).join(pairs, "portfolio_id", "left").na.fill(0, ["total", "shadow"]), "conflict-counts")
+    return graded.join(sets, "portfolio_id", "left").select("skill_ord", F.inline(fields))
+
+
 _RANK = "CASE WHEN unsafe THEN 0 WHEN review THEN 1 WHEN bloated THEN 2 ELSE 3 END"
 
 
 @query(S.given("an", f"{_BLOAT}\n---\nSELECT portfolio_id, skill_ord, {_RANK} AS class, row_number() OVER (PARTITION BY portfolio_id ORDER BY {_RANK}, tokens_total DESC, skill_ord) AS place FROM bb"))
 def rank_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Skills of a portfolio, worst first, then largest."""
-    rows = P.bloat(analysed(spark, sf_dir)).withColumn("class", F.expr(_RANK))
-    return rows.select("portfolio_id", "skill_ord", "class", F.row_number().over(Window.partitionBy("portfolio_id").orderBy("class", F.desc("tokens_total"), "skill_ord")).cast("long").alias("place"))
+    rows = cut(P.bloat(analysed(spark, sf_dir)).select("portfolio_id", "skill_ord", "tokens_total", F.expr(_RANK).alias("class")), "classes")
+    return ranked(rows, ["portfolio_id"], [F.col("class"), -F.col("tokens_total"), F.col("skill_ord")]).select("portfolio_id", "skill_ord", "class", F.col("rank").alias("place"))
 
 
 @query(S.given("an", "SELECT skill_ord, CASE WHEN m <= 0 THEN NULL WHEN d1 = m THEN 'structure' WHEN d2 = m THEN 'trigger' WHEN d3 = m THEN 'tokens' ELSE 'risk' END AS limiter FROM (SELECT skill_ord, d1, d2, d3, greatest(d1, d2, d3, d4) AS m FROM (SELECT skill_ord, 0.25::DOUBLE * greatest(0, 85 - structure) AS d1, 0.45::DOUBLE * greatest(0, 85 - trigger) AS d2, 0.3::DOUBLE * greatest(0, 85 - tokens) AS d3, 1.0::DOUBLE * greatest(0, 85 - risk) AS d4 FROM an))"))

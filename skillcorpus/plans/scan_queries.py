@@ -312,32 +312,6 @@ def flt_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysed(spark, sf_dir).select("skill_ord", F.when(complete, F.col("grade")).otherwise("?").alias("grade"), F.when(complete, F.col("gate")).otherwise("review").alias("gate"), unsafe.alias("unsafe"))
 
 
-_SIX = """SELECT skill_ord, 'grade' AS field, grade AS value, CASE WHEN grade IN ('A', 'B') THEN 'ok' WHEN grade = 'C' THEN 'warn' ELSE 'bad' END AS state FROM an
-UNION ALL SELECT skill_ord, 'gate', gate, CASE gate WHEN 'pass' THEN 'ok' WHEN 'review' THEN 'warn' ELSE 'bad' END FROM an
-UNION ALL SELECT skill_ord, 'tokens', (tokens_desc + 8) || '/' || tokens_body, CASE WHEN tokens_body > 5000 THEN 'warn' ELSE 'ok' END FROM an
-UNION ALL SELECT an.skill_ord, 'evidence', coalesce(n, 0)::VARCHAR, CASE WHEN coalesce(n, 0) = 0 THEN 'ok' WHEN crit THEN 'bad' ELSE 'warn' END
- FROM an LEFT JOIN (SELECT skill_ord, count(*) FILTER (WHERE severity <> 'low' AND category IN ('injection', 'persistence', 'obfuscation', 'exfil', 'shell', 'secret', 'network', 'privilege', 'install', 'filesystem')) AS n, bool_or(severity = 'critical') AS crit FROM fr GROUP BY skill_ord) USING (skill_ord)
-UNION ALL SELECT skill_ord, 'trigger', trigger || '/100', CASE WHEN trigger >= 85 THEN 'ok' WHEN trigger >= 60 THEN 'warn' ELSE 'bad' END FROM an
-UNION ALL SELECT skill_ord, 'conflict', '', 'unknown' FROM an"""
-
-
-@query(S.given("an", _SIX))
-def six_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Six results per skill, each with a state; conflict is unknown as long as one skill is seen alone."""
-    risky = F.size(F.filter("findings", lambda f: (f["severity"] != "low") & f["category"].isin("injection", "persistence", "obfuscation", "exfil", "shell", "secret", "network", "privilege", "install", "filesystem")))
-    critical = F.exists("findings", lambda f: f["severity"] == "critical")
-    row = lambda name, value, state: F.struct(F.lit(name).alias("field"), value.cast("string").alias("value"), state.alias("state"))
-    fields = F.array(
-        row("grade", F.col("grade"), F.when(F.col("grade").isin("A", "B"), "ok").when(F.col("grade") == "C", "warn").otherwise("bad")),
-        row("gate", F.col("gate"), F.when(F.col("gate") == "pass", "ok").when(F.col("gate") == "review", "warn").otherwise("bad")),
-        row("tokens", F.concat_ws("/", F.col("tokens_desc") + 8, "tokens_body"), F.when(F.col("tokens_body") > 5000, "warn").otherwise("ok")),
-        row("evidence", risky, F.when(risky == 0, "ok").when(critical, "bad").otherwise("warn")),
-        row("trigger", F.concat(F.col("trigger"), F.lit("/100")), F.when(F.col("trigger") >= 85, "ok").when(F.col("trigger") >= 60, "warn").otherwise("bad")),
-        row("conflict", F.lit(""), F.lit("unknown")),
-    )
-    return analysed(spark, sf_dir).select("skill_ord", F.inline(fields))
-
-
 # Chinese titles of some findings.
 ZH = {"Embedded shell script block": "内嵌 shell 脚本块", "Contains curl / wget network command": "包含 curl / wget 网络命令", "Trigger is too broad": "触发过于宽泛", "Repeated content": "重复内容", "Destructive file operation": "破坏性文件操作"}
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skillcorpus.plans.storage import spread
@@ -95,12 +95,13 @@ def goals_from_benchmark(benchmark: DataFrame) -> DataFrame:
 
 
 def portfolio_goals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``portfolio_id, goal_id, goal``: for each portfolio of the documents the first of the goals that fall to its name."""
+    """``portfolio_id, goal_id, goal``: for each portfolio of the documents the first of the goals that fall to its name by a hash, if any; the id is the portfolio's own."""
     docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     n = max(1, bench.count())
-    goals = goals_from_benchmark(bench).withColumn("slot", F.row_number().over(Window.orderBy("goal_id")) - 1)
-    slots = docs.select(F.col("source").alias("portfolio_id")).distinct().filter("portfolio_id is not null").withColumn("slot", F.pmod(F.conv(F.left(F.md5("portfolio_id"), F.lit(8)), 16, 10).cast("long"), F.lit(n)))
-    return slots.join(goals, "slot").select("portfolio_id", F.dense_rank().over(Window.orderBy("portfolio_id")).cast("long").alias("goal_id"), "goal")
+    slot = lambda c: F.pmod(c, F.lit(n)).alias("slot")
+    slots = docs.select(F.col("source").alias("portfolio_id")).distinct().filter("portfolio_id is not null").select("portfolio_id", slot(F.conv(F.left(F.md5("portfolio_id"), F.lit(8)), 16, 10).cast("long")))
+    mine = slots.join(goals_from_benchmark(bench).select("*", slot(F.col("goal_id"))), "slot").groupBy("portfolio_id").agg(F.min_by("goal", "goal_id").alias("goal"))
+    return mine.select("portfolio_id", F.xxhash64("portfolio_id").alias("goal_id"), "goal")
 
 
 GOALS_SQL = """gl AS (SELECT item_id AS goal_id, coalesce(text, '') || CASE item_id % 4 WHEN 1 THEN ' without network' WHEN 3 THEN ', do not use shell commands' ELSE '' END AS goal FROM benchmark)"""
