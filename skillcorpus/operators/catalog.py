@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from skillcorpus.functions.canonical import digest
 
 
 def manifest_diff(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -44,6 +47,74 @@ def index_errors(entries: DataFrame) -> DataFrame:
     return entries.withColumn("errors", F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(True)), F.lit(m)) for c, m in bad])))
 
 
+def git_blob(content: Column, digits: Column) -> Column:
+    """The object id that git gives to a file of these bytes: of 40 digits by SHA-1, of 64 by SHA-256, as ``digits`` has."""
+    whole = F.concat(F.concat(F.lit("blob "), F.octet_length(content).cast("string"), F.lit("\0")).cast("binary"), content)
+    return F.when(F.length(digits) == 64, F.sha2(whole, 256)).otherwise(F.sha1(whole))
+
+
+FILE = "path string, sourcePath string, gitMode string, gitBlobOid string, size bigint, sha256 string"
+PAYLOAD_FILE = "path string, mode bigint, size bigint, sha256 string, base64 string"
+PAYLOAD_LICENSE = "path string, sha256 string, base64 string"
+
+
+def payload_sha(protocol: Column, name: Column, files: Column, license_: Column) -> Column:
+    """The digest that a payload's content gives."""
+    kind = T.StructType.fromDDL(f"protocolVersion string, name string, files array<struct<{PAYLOAD_FILE}>>, license struct<{PAYLOAD_LICENSE}>")
+    return digest(F.struct(protocol.alias("protocolVersion"), name.alias("name"), files.alias("files"), license_.alias("license")), kind)
+
+
+def payload_errors(artifacts: DataFrame, payloads: DataFrame, max_license: int = 1 << 20) -> DataFrame:
+    """``artifactId, name, errors``: what is wrong with each artifact's payload, in order; an artifact without one is in error, too.
+
+    ``artifacts`` has ``artifactId, name, payloadSha256, license`` (``sourcePath, sha256``) and ``files`` (``FILE``), ``payloads`` ``protocolVersion, artifactId, name, payloadSha256, license, files``. Bytes are decoded, and must be what the Base64
+    text says in its only form, of the size, digest and git object id that are declared. Files of both sides are joined by artifact and place, so one that is there on one side only is found. Ids are unique on both sides.
+    """
+    a = artifacts.select(*[F.col(c).alias(f"a_{c}") for c in ("artifactId", "name", "payloadSha256", "license", "files")])
+    p = payloads.select(*[F.col(c).alias(f"p_{c}") for c in ("artifactId", "protocolVersion", "name", "payloadSha256", "license", "files")])
+    rows = a.join(p, F.col("a_artifactId") == F.col("p_artifactId"), "left")
+    known = F.col("p_artifactId").isNotNull() & (F.col("p_name") == F.col("a_name")) & (F.col("p_payloadSha256") == F.col("a_payloadSha256"))
+    own = F.try_to_binary(F.col("p_license.base64"), F.lit("base64"))
+    license_ = (F.base64(own) == F.col("p_license.base64")) & (F.octet_length(own) <= max_license) & (F.col("p_license.path") == F.col("a_license.sourcePath")) & (F.col("p_license.sha256") == F.col("a_license.sha256")) & (F.sha2(own, 256) == F.col("p_license.sha256"))
+    whole = rows.select(
+        F.col("a_artifactId").alias("artifactId"), F.col("a_name").alias("name"), known.alias("known"), (payload_sha(F.col("p_protocolVersion"), F.col("p_name"), F.col("p_files"), F.col("p_license")) == F.col("p_payloadSha256")).alias("digested"), license_.alias("licensed"), (F.size("a_files") == F.size("p_files")).alias("covered"),
+    )
+    declared = artifacts.select("artifactId", F.posexplode("files").alias("pos", "f"))
+    given = payloads.select("artifactId", F.posexplode("files").alias("pos", "g"))
+    both = declared.join(given, ["artifactId", "pos"], "full")
+    f, g = F.col("f"), F.col("g")
+    content = F.try_to_binary(g["base64"], F.lit("base64"))
+    same = (
+        (F.base64(content) == g["base64"]) & (g["path"] == f["path"]) & (g["mode"] == F.when(f["gitMode"] == "100755", 448).otherwise(384)) & (g["size"] == f["size"]) & (g["sha256"] == f["sha256"]) & (F.octet_length(content) == g["size"])
+        & (F.sha2(content, 256) == g["sha256"]) & (git_blob(content, f["gitBlobOid"]) == f["gitBlobOid"])
+    )
+    wrong = both.filter(~F.coalesce(same, F.lit(False))).groupBy("artifactId").agg(F.min(F.struct("pos", F.coalesce(f["path"], g["path"]).alias("path"))).alias("first"))
+    found = whole.join(wrong, "artifactId", "left")
+    checks = [(F.col("known"), "payload identity mismatch"), (F.col("digested"), "payload digest mismatch"), (F.col("licensed"), "license payload mismatch"), (F.col("covered"), "payload file coverage mismatch")]
+    listed = [F.when(~F.coalesce(ok, F.lit(False)), F.lit(m)) for ok, m in checks] + [F.when(F.col("first").isNotNull(), F.concat(F.lit("payload file mismatch: "), F.col("first.path")))]
+    return found.select("artifactId", "name", F.array_compact(F.array(*listed)).alias("errors"))
+
+
+def manifest_coverage(files: DataFrame, manifests: DataFrame) -> DataFrame:
+    """``artifactId, path, fault``: where the source files of artifacts (``artifactId, path, gitMode, size, sha256``) and the entries of their manifests (``artifactId, path, mode, size, sha256``) do not cover each other: ``no source``, ``no entry`` or ``differs``."""
+    a = files.select("artifactId", "path", F.struct(F.when(F.col("gitMode") == "100755", 448).otherwise(384).alias("mode"), F.col("size").cast("long").alias("size"), "sha256").alias("s"))
+    b = manifests.select("artifactId", "path", F.struct(F.col("mode").cast("int").alias("mode"), F.col("size").cast("long").alias("size"), "sha256").alias("m"))
+    fault = F.when(F.col("s").isNull(), "no source").when(F.col("m").isNull(), "no entry").when(F.col("s") != F.col("m"), "differs")
+    return a.join(b, ["artifactId", "path"], "full").select("artifactId", "path", fault.alias("fault")).filter("fault is not null")
+
+
+def unsorted(entries: DataFrame, span: int = 100_000) -> DataFrame:
+    """The rows of an index (``ord, name``) whose name is less than that of the row before, in order of ``ord``.
+
+    Rows are compared within spans of ``ord``, each in a task of its own, and the first of a span with the last of the span before it that has rows: those are as few as spans.
+    """
+    rows = entries.withColumn("__span", F.expr(f"ord div {span}"))
+    before = F.lag("name").over(Window.partitionBy("__span").orderBy("ord"))
+    ends = rows.groupBy("__span").agg(F.max_by("name", "ord").alias("__last"))
+    last = ends.withColumn("__before", F.lag("__last").over(Window.orderBy("__span"))).select("__span", "__before")
+    return rows.withColumn("__mine", before).join(last, "__span").filter(F.col("name") < F.coalesce("__mine", "__before")).select(*entries.columns)
+
+
 def install_gate(entries: DataFrame, names: DataFrame, target: DataFrame, max_files: int = 200, max_total: int = 20 << 20, max_file: int = 4 << 20, max_depth: int = 8, max_path: int = 240) -> DataFrame:
     """``bundle_id, reasons, action``: why a bundle may not be installed, and whether it would add or replace.
 

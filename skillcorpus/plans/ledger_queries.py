@@ -285,6 +285,44 @@ def job_catalog_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.index_errors(_entries(spark, sf_dir)).select("ord", F.array_join("errors", "|").alias("errors"))
 
 
+def _artifacts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Artifacts and their payloads: an order's lines as files; bytes, files, modes, encodings and git ids of some were changed after they were signed."""
+    k = F.col("bundle_id")
+    mf = adapters.manifests_from_lineitem(table(spark, sf_dir, "lineitem"))
+    text = F.concat(F.lit("# "), F.col("path"), F.lit("\n"), F.repeat(F.lit("é "), F.pmod("size", F.lit(40)).cast("int")))
+    files = mf.withColumn("content", F.encode(text, "UTF-8")).select(
+        "bundle_id", F.struct("path", F.concat(F.lit("skills/"), "path").alias("sourcePath"), F.when(F.col("mode") == 493, "100755").otherwise("100644").alias("gitMode"), K.git_blob(F.col("content"), F.lit("0" * 40)).alias("gitBlobOid"), F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256")).alias("f"),
+        F.struct("path", F.when(F.col("mode") == 493, 448).otherwise(384).cast("long").alias("mode"), F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256"), F.base64("content").alias("base64")).alias("g"),
+    )
+    both = files.groupBy("bundle_id").agg(F.array_sort(F.collect_list(F.struct("f", "g"))).alias("x"))
+    own = F.encode(F.lit("MIT"), "UTF-8")
+    license_ = F.struct(F.lit("LICENSE").alias("path"), F.sha2(own, 256).alias("sha256"), F.base64(own).alias("base64"))
+    rows = both.select(k, F.concat(F.lit("sa_"), k).alias("artifactId"), F.concat(F.lit("kit-"), k).alias("name"), F.transform("x", lambda x: x["f"]).alias("files"), F.transform("x", lambda x: x["g"]).alias("given"), license_.alias("license"))
+    rows = cut(rows.withColumn("payloadSha256", K.payload_sha(F.lit("p1"), F.col("name"), F.col("given"), F.col("license"))), "artifacts")
+    first = lambda c, change: F.transform(c, lambda x, i: F.when(i == 0, change(x)).otherwise(x))
+    zeros = first(F.col("files"), lambda x: x.withField("gitBlobOid", F.lit("0" * 40)))
+    artifacts = rows.select("bundle_id", "artifactId", "name", "payloadSha256", F.struct(F.lit("LICENSE").alias("sourcePath"), F.col("license.sha256").alias("sha256")).alias("license"), F.when(k % 19 == 5, zeros).otherwise(F.col("files")).alias("files"))
+    given = F.when(k % 7 == 1, first(F.col("given"), lambda x: x.withField("base64", F.base64(F.encode(F.lit("tampered"), "UTF-8"))))).when(k % 11 == 2, F.slice("given", F.lit(1), F.size("given") - 1))
+    given = given.when(k % 13 == 3, first(F.col("given"), lambda x: x.withField("mode", 832 - x["mode"]))).when(k % 17 == 4, first(F.col("given"), lambda x: x.withField("base64", F.concat(x["base64"], F.lit("=="))))).otherwise(F.col("given"))
+    payloads = rows.filter(k % 23 != 6).select("artifactId", F.lit("p1").alias("protocolVersion"), "name", "payloadSha256", "license", given.alias("files"))
+    return artifacts, payloads
+
+
+@query(S.given("mf", """f AS (SELECT bundle_id, path, encode('# ' || path || chr(10) || repeat('é ', (size % 40)::INT)) AS b FROM mf),
+o AS (SELECT bundle_id, min(path) AS first, max(path) AS last, max(sha1(encode('blob ' || octet_length(b)) || '\\x00'::BLOB || b)) AS most FROM f GROUP BY 1),
+e AS (SELECT *, CASE WHEN bundle_id % 23 = 6 THEN 'gone' WHEN bundle_id % 7 = 1 THEN 'first' WHEN bundle_id % 11 = 2 THEN 'cut' WHEN bundle_id % 13 = 3 THEN 'first' WHEN bundle_id % 17 = 4 THEN 'first' END AS t FROM o)
+---
+SELECT bundle_id, most AS largest_blob, array_to_string(list_filter([CASE WHEN t = 'gone' THEN 'payload identity mismatch' END, CASE WHEN t IS NOT NULL THEN 'payload digest mismatch' END, CASE WHEN t = 'gone' THEN 'license payload mismatch' END, CASE WHEN t IN ('gone', 'cut') THEN 'payload file coverage mismatch' END,
+ CASE WHEN t IN ('gone', 'first') OR bundle_id % 19 = 5 THEN 'payload file mismatch: ' || first WHEN t = 'cut' THEN 'payload file mismatch: ' || last END], lambda x: x IS NOT NULL), '; ') AS errors FROM e"""))
+def catalog_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the payloads of artifacts hold the bytes that these declare, by size, digest and git object id."""
+    artifacts, payloads = _artifacts(spark, sf_dir)
+    contents = adapters.manifests_from_lineitem(table(spark, sf_dir, "lineitem")).withColumn("content", F.encode(F.concat(F.lit("# "), F.col("path"), F.lit("\n"), F.repeat(F.lit("é "), F.pmod("size", F.lit(40)).cast("int"))), "UTF-8"))
+    largest = contents.groupBy("bundle_id").agg(F.max(K.git_blob(F.col("content"), F.lit(""))).alias("largest_blob"))
+    found = K.payload_errors(artifacts, payloads)
+    return artifacts.select("bundle_id", "artifactId").join(found, "artifactId").join(largest, "bundle_id").select("bundle_id", "largest_blob", F.array_join("errors", "; ").alias("errors"))
+
+
 def _skill(name: Column, files: Column) -> Column:
     """A skill of a setup, as receipts name it."""
     return F.struct(name.alias("name"), F.sha2(name, 256).alias("sha256"), files.cast("long").alias("files"), F.lit("A").alias("grade"), F.lit("pass").alias("gate"), F.lit("low").alias("risk"))
