@@ -47,6 +47,11 @@ def index_errors(entries: DataFrame) -> DataFrame:
     return entries.withColumn("errors", F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(True)), F.lit(m)) for c, m in bad])))
 
 
+def base64_text(content: Column) -> Column:
+    """The Base64 text of bytes, in one line."""
+    return F.regexp_replace(F.base64(content), r"[\r\n]+", "")
+
+
 def git_blob(content: Column, digits: Column) -> Column:
     """The object id that git gives to a file of these bytes: of 40 digits by SHA-1, of 64 by SHA-256, as ``digits`` has."""
     whole = F.concat(F.concat(F.lit("blob "), F.octet_length(content).cast("string"), F.lit("\0")).cast("binary"), content)
@@ -75,7 +80,7 @@ def payload_errors(artifacts: DataFrame, payloads: DataFrame, max_license: int =
     rows = a.join(p, F.col("a_artifactId") == F.col("p_artifactId"), "left")
     known = F.col("p_artifactId").isNotNull() & (F.col("p_name") == F.col("a_name")) & (F.col("p_payloadSha256") == F.col("a_payloadSha256"))
     own = F.try_to_binary(F.col("p_license.base64"), F.lit("base64"))
-    license_ = (F.base64(own) == F.col("p_license.base64")) & (F.octet_length(own) <= max_license) & (F.col("p_license.path") == F.col("a_license.sourcePath")) & (F.col("p_license.sha256") == F.col("a_license.sha256")) & (F.sha2(own, 256) == F.col("p_license.sha256"))
+    license_ = (base64_text(own) == F.col("p_license.base64")) & (F.octet_length(own) <= max_license) & (F.col("p_license.path") == F.col("a_license.sourcePath")) & (F.col("p_license.sha256") == F.col("a_license.sha256")) & (F.sha2(own, 256) == F.col("p_license.sha256"))
     whole = rows.select(
         F.col("a_artifactId").alias("artifactId"), F.col("a_name").alias("name"), known.alias("known"), (payload_sha(F.col("p_protocolVersion"), F.col("p_name"), F.col("p_files"), F.col("p_license")) == F.col("p_payloadSha256")).alias("digested"), license_.alias("licensed"), (F.size("a_files") == F.size("p_files")).alias("covered"),
     )
@@ -85,7 +90,7 @@ def payload_errors(artifacts: DataFrame, payloads: DataFrame, max_license: int =
     f, g = F.col("f"), F.col("g")
     content = F.try_to_binary(g["base64"], F.lit("base64"))
     same = (
-        (F.base64(content) == g["base64"]) & (g["path"] == f["path"]) & (g["mode"] == F.when(f["gitMode"] == "100755", 448).otherwise(384)) & (g["size"] == f["size"]) & (g["sha256"] == f["sha256"]) & (F.octet_length(content) == g["size"])
+        (base64_text(content) == g["base64"]) & (g["path"] == f["path"]) & (g["mode"] == F.when(f["gitMode"] == "100755", 448).otherwise(384)) & (g["size"] == f["size"]) & (g["sha256"] == f["sha256"]) & (F.octet_length(content) == g["size"])
         & (F.sha2(content, 256) == g["sha256"]) & (git_blob(content, f["gitBlobOid"]) == f["gitBlobOid"])
     )
     wrong = both.filter(~F.coalesce(same, F.lit(False))).groupBy("artifactId").agg(F.min(F.struct("pos", F.coalesce(f["path"], g["path"]).alias("path"))).alias("first"))

@@ -292,17 +292,17 @@ def _artifacts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     text = F.concat(F.lit("# "), F.col("path"), F.lit("\n"), F.repeat(F.lit("é "), F.pmod("size", F.lit(40)).cast("int")))
     files = mf.withColumn("content", F.encode(text, "UTF-8")).select(
         "bundle_id", F.struct("path", F.concat(F.lit("skills/"), "path").alias("sourcePath"), F.when(F.col("mode") == 493, "100755").otherwise("100644").alias("gitMode"), K.git_blob(F.col("content"), F.lit("0" * 40)).alias("gitBlobOid"), F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256")).alias("f"),
-        F.struct("path", F.when(F.col("mode") == 493, 448).otherwise(384).cast("long").alias("mode"), F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256"), F.base64("content").alias("base64")).alias("g"),
+        F.struct("path", F.when(F.col("mode") == 493, 448).otherwise(384).cast("long").alias("mode"), F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256"), K.base64_text(F.col("content")).alias("base64")).alias("g"),
     )
     both = files.groupBy("bundle_id").agg(F.array_sort(F.collect_list(F.struct("f", "g"))).alias("x"))
     own = F.encode(F.lit("MIT"), "UTF-8")
-    license_ = F.struct(F.lit("LICENSE").alias("path"), F.sha2(own, 256).alias("sha256"), F.base64(own).alias("base64"))
+    license_ = F.struct(F.lit("LICENSE").alias("path"), F.sha2(own, 256).alias("sha256"), K.base64_text(own).alias("base64"))
     rows = both.select(k, F.concat(F.lit("sa_"), k).alias("artifactId"), F.concat(F.lit("kit-"), k).alias("name"), F.transform("x", lambda x: x["f"]).alias("files"), F.transform("x", lambda x: x["g"]).alias("given"), license_.alias("license"))
     rows = cut(rows.withColumn("payloadSha256", K.payload_sha(F.lit("p1"), F.col("name"), F.col("given"), F.col("license"))), "artifacts")
     first = lambda c, change: F.transform(c, lambda x, i: F.when(i == 0, change(x)).otherwise(x))
     zeros = first(F.col("files"), lambda x: x.withField("gitBlobOid", F.lit("0" * 40)))
     artifacts = rows.select("bundle_id", "artifactId", "name", "payloadSha256", F.struct(F.lit("LICENSE").alias("sourcePath"), F.col("license.sha256").alias("sha256")).alias("license"), F.when(k % 19 == 5, zeros).otherwise(F.col("files")).alias("files"))
-    given = F.when(k % 7 == 1, first(F.col("given"), lambda x: x.withField("base64", F.base64(F.encode(F.lit("tampered"), "UTF-8"))))).when(k % 11 == 2, F.slice("given", F.lit(1), F.size("given") - 1))
+    given = F.when(k % 7 == 1, first(F.col("given"), lambda x: x.withField("base64", K.base64_text(F.encode(F.lit("tampered"), "UTF-8"))))).when(k % 11 == 2, F.slice("given", F.lit(1), F.size("given") - 1))
     given = given.when(k % 13 == 3, first(F.col("given"), lambda x: x.withField("mode", 832 - x["mode"]))).when(k % 17 == 4, first(F.col("given"), lambda x: x.withField("base64", F.concat(x["base64"], F.lit("=="))))).otherwise(F.col("given"))
     payloads = rows.filter(k % 23 != 6).select("artifactId", F.lit("p1").alias("protocolVersion"), "name", "payloadSha256", "license", given.alias("files"))
     return artifacts, payloads
