@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skillcorpus.functions import chinese as Z
 from skillcorpus.functions import rules as R
 from skillcorpus.functions import text as T
 from skillcorpus.operators import analysis as A
+from skillcorpus.operators.localize import dictionary, localized
 from skillcorpus.plans import sql as S
 from skillcorpus.plans.inputs import analysed
 from skillcorpus.plans.registry import query
@@ -312,16 +314,24 @@ def flt_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysed(spark, sf_dir).select("skill_ord", F.when(complete, F.col("grade")).otherwise("?").alias("grade"), F.when(complete, F.col("gate")).otherwise("review").alias("gate"), unsafe.alias("unsafe"))
 
 
-# Chinese titles of some findings.
-ZH = {"Embedded shell script block": "内嵌 shell 脚本块", "Contains curl / wget network command": "包含 curl / wget 网络命令", "Trigger is too broad": "触发过于宽泛", "Repeated content": "重复内容", "Destructive file operation": "破坏性文件操作"}
+_ZH = "z(en, zh) AS (VALUES " + ", ".join(f"({S.sql_text(a)}, {S.sql_text(b)})" for a, b in Z.TITLES.items()) + "), c(en, zh) AS (VALUES " + ", ".join(f"({S.sql_text(a)}, {S.sql_text(b)})" for a, b in Z.CAPABILITIES.items()) + ")"
 
 
-@query(S.given("ht", "z(en, zh) AS (VALUES " + ", ".join(f"({S.sql_text(a)}, {S.sql_text(b)})" for a, b in ZH.items()) + ")\n---\nSELECT skill_ord, id, coalesce(zh, title) AS title FROM ht LEFT JOIN z ON en = title"))
+@query(S.given("ht", _ZH + """, t AS (SELECT skill_ord, id, title FROM ht)
+---
+SELECT skill_ord, id, coalesce(zh, title) || CASE WHEN skill_ord % 3 = 1 THEN ' —— 出现在警告里' ELSE '' END AS title FROM t LEFT JOIN z ON en = title
+UNION ALL SELECT DISTINCT skill_ord, 'edit', CASE skill_ord % 4 WHEN 0 THEN '删除了 ' || skill_ord || ' 行重复内容' WHEN 1 THEN '触发描述更精准了 —— 评分从 C 提到 A' WHEN 2 THEN '正文压缩 ' || (skill_ord % 90) || '% —— 2,' || (100 + skill_ord % 800) || ' → ' || skill_ord || ' token' ELSE 'Removed 3 odd words' END FROM t
+UNION ALL SELECT DISTINCT skill_ord, 'capability', CASE WHEN skill_ord % 5 = 0 THEN '脚本能力：juggles' ELSE '脚本能力：' || zh END FROM t, c WHERE c.en = CASE WHEN skill_ord % 2 = 0 THEN 'reads secrets' ELSE 'network egress' END"""))
 def localize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Finding titles in Chinese where there is one, else as they are."""
-    zh = spark.createDataFrame(list(ZH.items()), "title string, zh string")
+    """Titles, edits with numbers and capabilities in Chinese where there is an entry, else as they are; some titles stand in a warning."""
+    k = F.col("skill_ord")
     hits = A.parse(adapters.skills(spark, sf_dir)).select("skill_ord", F.inline(A.rule_hits(F.col("text"))))
-    return hits.join(F.broadcast(zh), "title", "left").select("skill_ord", "id", F.coalesce("zh", "title").alias("title"))
+    titles = hits.select("skill_ord", "id", F.concat("title", F.when(k % 3 == 1, Z.WARNED[0]).otherwise("")).alias("text"))
+    ids = titles.select("skill_ord").distinct()
+    edit = F.when(k % 4 == 0, F.concat(F.lit("Removed "), k, F.lit(" duplicate lines"))).when(k % 4 == 1, F.lit("Grade C → A — sharper description/trigger")).when(k % 4 == 2, F.concat(F.lit("−"), k % 90, F.lit("% tokens (2,"), 100 + k % 800, F.lit(" → "), k, F.lit(")"))).otherwise(F.lit("Removed 3 odd words"))
+    capability = F.concat(F.lit(Z.CAPABILITY[0]), F.when(k % 5 == 0, "juggles").when(k % 2 == 0, "reads secrets").otherwise("network egress"))
+    rows = titles.union(ids.select("skill_ord", F.lit("edit"), edit)).union(ids.select("skill_ord", F.lit("capability"), capability))
+    return localized(rows, "text", dictionary(spark)).select("skill_ord", "id", F.col("zh").alias("title"))
 
 
 _LOCATED = " UNION ALL ".join(f"SELECT skill_ord, '{r.id}' AS id, {S.sql_text(r.sql)} AS p FROM pf WHERE {S.matches('text', r.sql)}" for r in R.RISK_RULES if r.id in ("r25", "r34", "r35", "r36", "r38"))
