@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skillcorpus.llm import decontamination, jaccard_join, language_id, mixing, sharding
+from skillcorpus.llm import decontamination, jaccard_join, key_filter, language_id, mixing, sharding
 from skillcorpus.plans.storage import cut, discard
 from skillcorpus.sources.tables import table
 
@@ -49,12 +49,14 @@ def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     judged = classes.join(kept, "class").select(*KEY, order.eqNullSafe(F.col("kept")).alias("stays")).groupBy(*KEY, "stays").agg(F.count(F.lit(1)).alias("n"))
     judged = cut(judged, "judged")
     discard(classes)
-    docs = _keyed(docs)
-    repeated = judged.filter("stays and n > 1")
+    repeated = cut(judged.filter("stays and n > 1").select(*KEY), "repeated")
     gone = cut(judged.filter("not stays or n > 1").select(*KEY), "gone")
-    rest = docs.alias("d").join(gone.alias("g"), _same("d", "g"), "left_anti").select(*DOCUMENTS)
+    # rows that no key of these can be are not moved: their texts are most of the input
+    docs = key_filter.marked(_keyed(docs), gone, KEY)
+    suspects = docs.filter("suspect").alias("d")
+    rest = docs.filter("not suspect").select(*DOCUMENTS).union(suspects.join(gone.alias("g"), _same("d", "g"), "left_anti").select(*DOCUMENTS))
     others = [c for c in DOCUMENTS if c != "doc_id"]
-    copies = docs.alias("d").join(repeated.alias("r"), _same("d", "r"), "left_semi").groupBy(*KEY).agg(F.min(F.struct(*others)).alias("row"))
+    copies = suspects.join(repeated.alias("r"), _same("d", "r"), "left_semi").groupBy(*KEY).agg(F.min(F.struct(*others)).alias("row"))
     return rest.union(copies.select("doc_id", *[F.col(f"row.{c}").alias(c) for c in others]).select(*DOCUMENTS))
 
 
