@@ -87,12 +87,6 @@ def job_optimize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _optimized(spark, sf_dir).select(*KEY, "verified", "reason", F.array_join("changes", "|").alias("changes"), F.array_join("resolved", "|").alias("resolved"), "saved_pct", "tokens_before", "tokens_after")
 
 
-@query()
-def set_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings that safe edits clear."""
-    return _optimized(spark, sf_dir).select("skill_ord", F.explode("resolved").alias("title"))
-
-
 @query()
 def job_optimize_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each skill is optimal, can be bettered at once, or needs a plan; its fixes, and what it could reach at most."""
@@ -141,6 +135,16 @@ def set_new_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.compare(_candidates(spark, sf_dir), "md", "new").select("skill_ord", F.explode(F.array_except("a_risks", "b_risks")).alias("risk"))
 
 
+_TITLES = sorted({r.title for r in R.RISK_RULES})
+
+
+@query(S.versions("an", _REWRITTEN, "SELECT skill_ord // 2 AS skill_ord, title FROM fr WHERE title IN (" + S.in_list(_TITLES) + ") AND skill_ord % 2 = 0 EXCEPT SELECT skill_ord // 2 AS skill_ord, title FROM fr WHERE skill_ord % 2 = 1"))
+def set_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of the rules that candidate rewrites clear, by title; what safe edits clear is a column of ``job_optimize``."""
+    cleared = F.filter(F.array_except("b_titles", "a_titles"), lambda t: t.isin(_TITLES))
+    return W.compare(_candidates(spark, sf_dir), "md", "new").select("skill_ord", F.explode(cleared).alias("title"))
+
+
 _LABELLED = " UNION ALL ".join(f"SELECT skill_ord, {S.sql_text(label)} AS label FROM cp WHERE c_{cap} IS NOT NULL" for cap, label in {b[0]: b[2] for b in R.BEHAVIORS}.items())
 
 
