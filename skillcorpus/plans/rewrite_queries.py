@@ -9,7 +9,6 @@ from skillcorpus.functions import rules as R
 from skillcorpus.operators import rewrite as W
 from skillcorpus.operators import scan as N
 from skillcorpus.plans import sql as S
-from skillcorpus.plans.inputs import analysed
 from skillcorpus.plans.registry import query
 from skillcorpus.plans.storage import cut, spread
 from skillcorpus.sources import adapters

@@ -6,7 +6,6 @@ import base64
 import random
 from itertools import combinations
 
-import pytest
 from pyspark.sql import functions as F
 
 from skillcorpus.functions import rules as R
