@@ -167,29 +167,21 @@ def _installed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysed(spark, sf_dir).select("portfolio_id", "skill_ord", F.concat(F.lit("kit-"), (F.col("skill_ord") - F.col("skill_ord") % 2).cast("string")).alias("name"), ok.alias("eligible"))
 
 
-_ASKS = "ak AS (SELECT portfolio_id, goal_id, goal FROM (SELECT DISTINCT portfolio_id FROM pf) JOIN gl ON ('0x' || left(md5(portfolio_id), 8))::BIGINT % 5 = goal_id % 5)"
-
-
-def _asks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``portfolio_id, goal_id, goal``: every portfolio asks for a fifth of the goals, by a hash of its name."""
-    portfolios = _named_skills(spark, sf_dir).select("portfolio_id").distinct().filter("portfolio_id is not null")
-    slots = portfolios.withColumn("slot", F.pmod(F.conv(F.left(F.md5("portfolio_id"), F.lit(8)), 16, 10).cast("long"), F.lit(5)))
-    return slots.join(_goals(spark, sf_dir).withColumn("slot", F.pmod("goal_id", F.lit(5))), "slot").select("portfolio_id", "goal_id", "goal")
-
-
-def _changes(chosen: DataFrame, asks: DataFrame, installed: DataFrame) -> DataFrame:
-    """What each portfolio would do for each skill chosen for the goals that it asks for: those that have a skill of the name replace it or are served, all others add it."""
+def _changes(chosen: DataFrame, installed: DataFrame) -> DataFrame:
+    """What each portfolio would do for each chosen skill; portfolios times chosen skills is the output's size. Those that have a skill of the name replace it or are served, all others add it."""
     have = installed.groupBy("portfolio_id", F.lower("name").alias("key")).agg(F.bool_or("eligible").alias("eligible"))
-    rows = chosen.join(asks.select("portfolio_id", "goal_id"), "goal_id").withColumn("key", F.lower("name")).join(have, ["portfolio_id", "key"], "left")
+    wanted = chosen.select(F.lower("name").alias("key")).distinct()
+    have = have.join(wanted, "key", "left_semi")  # of all that is installed, what a goal may want
+    rows = chosen.withColumn("key", F.lower("name")).crossJoin(installed.select("portfolio_id").distinct()).join(have, ["portfolio_id", "key"], "left")
     return rows.select("portfolio_id", "goal_id", "name", F.when(F.col("eligible"), "installed").when(F.col("eligible").isNotNull(), "replace").otherwise("add").alias("change"))
 
 
-@query(S.given("an pf cat gl", f"{_RANKED}, {_INSTALLED}, {_ASKS}, hv AS (SELECT portfolio_id, lower(name) AS key, bool_or(eligible) AS eligible FROM ins GROUP BY 1, 2), ev AS (SELECT portfolio_id, goal_id, name FROM rt JOIN ak USING (goal_id) WHERE place <= 3)\n---\nSELECT ev.portfolio_id, goal_id, name, CASE WHEN eligible THEN 'installed' WHEN eligible IS NOT NULL THEN 'replace' ELSE 'add' END AS change FROM ev LEFT JOIN hv ON hv.portfolio_id = ev.portfolio_id AND hv.key = lower(ev.name)"))
+@query(S.given("an cat gl", f"{_RANKED}, {_INSTALLED}, hv AS (SELECT portfolio_id, lower(name) AS key, bool_or(eligible) AS eligible FROM ins GROUP BY 1, 2), ev AS (SELECT portfolio_id, goal_id, name FROM rt, (SELECT DISTINCT portfolio_id FROM ins) WHERE place <= 3)\n---\nSELECT ev.portfolio_id, goal_id, name, CASE WHEN eligible THEN 'installed' WHEN eligible IS NOT NULL THEN 'replace' ELSE 'add' END AS change FROM ev LEFT JOIN hv ON hv.portfolio_id = ev.portfolio_id AND hv.key = lower(ev.name)"))
 def plan_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each portfolio would add or replace for the best three skills of each goal that it asks for."""
+    """What each portfolio would add or replace for the best three skills of each goal."""
     pool = _pool(spark, sf_dir)
-    best = M.top_k(M.rank_goals(_goals(spark, sf_dir), pool, _hinted()), pool).select("goal_id", "name")
-    return _changes(best, _asks(spark, sf_dir), _installed(spark, sf_dir))
+    best = cut(M.top_k(M.rank_goals(_goals(spark, sf_dir), pool, _hinted()), pool).select("goal_id", "name"), "best")
+    return _changes(best, _installed(spark, sf_dir))
 
 
 @query()

@@ -23,3 +23,19 @@ def test_goal_gaps_leave_no_portfolio_and_goal_out(spark, sf_dir):
     goals = table(spark, sf_dir, "benchmark").count()
     assert found == portfolios * goals  # no portfolio of the table covers a goal
     assert " ak " not in registry.ORACLES["goal_gaps"]
+
+
+def test_plan_changes_of_every_portfolio_for_every_goal(spark, sf_dir):
+    best = match_queries.rank_goal_topk(spark, sf_dir).count()
+    rows = match_queries.plan_changes(spark, sf_dir).groupBy("portfolio_id").count().collect()
+    assert len(rows) == table(spark, sf_dir, "documents").select("source").distinct().count()
+    assert {r["count"] for r in rows} == {best}  # no portfolio leaves a goal out
+    assert " ak " not in registry.ORACLES["plan_changes"]
+
+
+def test_changes_of_null_and_of_empty_handed_portfolios(spark):
+    chosen = spark.createDataFrame([(1, "Kit-2"), (1, "kit-4"), (2, "kit-2")], "goal_id long, name string")
+    installed = spark.createDataFrame([("p", "kit-2", True), ("p", "KIT-2", False), ("q", "Kit-4", False), (None, "kit-2", True)], "portfolio_id string, name string, eligible boolean")
+    states = {"p": ("installed", "add"), "q": ("add", "replace"), None: ("add", "add")}
+    want = sorted((str(p), g, n, states[p][n == "kit-4"]) for p in states for g, n in [(1, "Kit-2"), (1, "kit-4"), (2, "kit-2")])
+    assert sorted((str(r.portfolio_id), r.goal_id, r.name, r.change) for r in match_queries._changes(chosen, installed).select("portfolio_id", "goal_id", "name", "change").collect()) == want
