@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skillcorpus.operators.components import components
+from skillcorpus.llm.key_filter import marked
 from skillcorpus.llm.shingles import Hasher, digest
 from skillcorpus.plans.storage import cut, discard, partitions
 
@@ -277,12 +278,12 @@ def _search(table: pa.Table) -> pa.Table:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sets of rows ``text, g, block``; where ids repeat, rows of other texts go."""
+    """The sets of rows ``text, g, block, total``; where ids repeat, rows of other texts go."""
     hasher = Hasher()
     for batch in batches:
         found = [(row, v.tobytes()) for row, v in hasher.sets(batch.column(0)) if digest(v) == batch.column(1)[row].as_py()]
-        kept = batch.select(["g", "block"]).take(pa.array([x[0] for x in found], pa.int64()))
-        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([x[1] for x in found], pa.binary())], names=["g", "block", "h"])
+        kept = batch.select(["g", "block", "total"]).take(pa.array([x[0] for x in found], pa.int64()))
+        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([x[1] for x in found], pa.binary())], names=["g", "block", "total", "h"])
 
 
 def _runs(members: DataFrame) -> DataFrame:
@@ -296,15 +297,14 @@ def _runs(members: DataFrame) -> DataFrame:
     return members.join(starts, ["block", "kind", "n"]).withColumn("run", F.expr(f"cast((begin + pmod(xxhash64(g), s)) div {TASK} as int)")).drop("s", "begin")
 
 
-def _searched(sets: DataFrame, tasks: DataFrame, width: int, alone: Column | bool = True) -> DataFrame:
-    """Links found by the searches that ``tasks`` (``g, block, part, side``) names, over ``sets`` (``g, block, h``).
+def _searched(sets: DataFrame, width: int, alone: Column | bool = True) -> DataFrame:
+    """Links found by the searches that ``sets`` (``g, block, part, side, h``) are in.
 
     Searches that are ``alone`` have a group each; the others, which are small, share ``width`` groups.
     """
     search = F.xxhash64("block", "part")
-    at = F.when(F.col("alone"), search).otherwise(F.pmod(search, F.lit(width))).alias("at")
-    tasks = tasks.withColumn("alone", alone if isinstance(alone, Column) else F.lit(alone))
-    return sets.join(tasks, ["block", "g"]).select(at, "block", "part", "side", "g", "h").groupBy("at").applyInArrow(_search, "a long, b long")
+    at = F.when(alone if isinstance(alone, Column) else F.lit(alone), search).otherwise(F.pmod(search, F.lit(width))).alias("at")
+    return sets.select(at, "block", "part", "side", "g", "h").groupBy("at").applyInArrow(_search, "a long, b long")
 
 
 def _links(sets: DataFrame, members: DataFrame, width: int) -> DataFrame:
@@ -314,20 +314,20 @@ def _links(sets: DataFrame, members: DataFrame, width: int) -> DataFrame:
     searched against all runs of sets, which for copies of one text leaves one large class. Then only pairs of runs are searched
     that may join classes: a class of ``TASK`` shingles or more has runs of its own and is not searched in itself, all
     others share runs, which are searched in themselves and against all. So the work grows with what the pivots left apart.
+    ``sets`` (``g, block, total, h``) and ``members`` (``g, block, total, n``) name the shingles of their block, so sets of small blocks need no join.
     """
-    total = members.groupBy("block").agg(F.sum("n").alias("total")).withColumn("large", F.col("total") > TASK)
-    marked = cut(members.join(total, "block"), "members")
-    least = marked.filter("not large").select("g", "block", F.lit(0).cast("long").alias("part"), F.lit(0).alias("side"), "total")
+    in_large = F.col("total") > TASK
     width = max(width, -(-(members.agg(F.sum("n")).first()[0] or 0) * 8 // TASK))
-    small = _searched(sets, least, width, F.col("total") > TASK // 8).select("a", "b")
-    large = marked.filter("large")
+    small = _searched(sets.filter(~in_large).withColumns({"part": F.lit(0).cast("long"), "side": F.lit(0)}), width, F.col("total") > TASK // 8)
+    large, sets = members.filter(in_large), sets.filter(in_large).select("g", "block", "h")
     if large.isEmpty():
         return small
     runs = _runs(large.withColumn("kind", F.lit(0).cast("long")))
     is_pivot = F.pmod(F.xxhash64("g", F.lit(5)), F.ceil(F.col("total") / TASK)) == 0
     parts = runs.select("block", "run").distinct()
     pivots = large.filter(is_pivot).select("g", "block").join(parts, "block").select("g", "block", F.col("run").cast("long").alias("part"), F.lit(1).alias("side"))
-    first = cut(_searched(sets, runs.select("g", "block", F.col("run").cast("long").alias("part"), F.lit(2).alias("side")).union(pivots), width), "pivot-links")
+    tasks = runs.select("g", "block", F.col("run").cast("long").alias("part"), F.lit(2).alias("side")).union(pivots)
+    first = cut(_searched(sets.join(tasks, ["block", "g"]), width), "pivot-links")
 
     labelled = cut(large.join(components(first).toDF("g", "label"), "g", "left").withColumn("label", F.coalesce("label", "g")), "labelled")
     whole = labelled.groupBy("block", "label").agg(F.sum("n").alias("in_label")).filter(F.col("in_label") >= TASK).select("block", "label", F.lit(1).alias("own"))
@@ -339,7 +339,7 @@ def _links(sets: DataFrame, members: DataFrame, width: int) -> DataFrame:
     pairs = x.join(y, "block").filter(differ).withColumn("part", F.xxhash64("kx", "rx", "ky", "ry"))
     alone = F.expr("kx = ky and rx = ry")
     sides = pairs.select("block", F.col("kx").alias("kind"), F.col("rx").alias("run"), "part", F.when(alone, 0).otherwise(1).alias("side")).union(pairs.filter(~alone).select("block", "ky", "ry", "part", F.lit(2)))
-    second = _searched(sets, runs.join(sides, ["block", "kind", "run"]).select("g", "block", "part", "side"), width)
+    second = _searched(sets.join(runs.join(sides, ["block", "kind", "run"]).select("g", "block", "part", "side"), ["block", "g"]), width)
     return small.union(first).union(second)
 
 
@@ -391,13 +391,15 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     discard(kept)
 
     first = sets.filter("n > 0").groupBy("g").agg(F.min("ref").alias("ref"), F.max("n").alias("n"))
-    members = cut(first.join(blocks.toDF("g", "block"), "g"), "blocks")
-    texts = slim.select("ref", "text").join(members.select("ref", "g", "block").hint("shuffle_hash"), "ref")
-    found = cut(texts.select("text", "g", "block").mapInArrow(_sets, "g long, block long, h binary"), "sets")
-    links = _links(found, members.select("g", "block", "n"), 4 * buckets)
+    blocked = cut(first.join(blocks.toDF("g", "block"), "g"), "blocks")
+    members = cut(blocked.join(blocked.groupBy("block").agg(F.sum("n").alias("total")), "block"), "members")
+    # texts in no block, which are most, are not moved
+    texts = marked(slim.select("ref", "text"), members, ["ref"]).filter("suspect").select("ref", "text").join(members.select("ref", "g", "block", "total").hint("shuffle_hash"), "ref")
+    found = cut(texts.select("text", "g", "block", "total").mapInArrow(_sets, "g long, block long, total long, h binary"), "sets")
+    links = _links(found, members.select("g", "block", "total", "n"), 4 * buckets)
 
     comps = components(links).toDF("g", "c")
-    discard(found, members, blocks)
+    discard(found, members, blocked, blocks)
     named = sets.join(comps, "g", "left").withColumn("c", F.coalesce("c", "g"))
     # written and without classes of one row, so that the join is one that Spark can split where a class is large
     least = cut(named.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("c", "least"), "least")
