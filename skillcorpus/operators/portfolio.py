@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from skillcorpus.functions import rules as R
 from skillcorpus.functions.text import edges, js_trim, listing_tokens, trigger_tokens
 from skillcorpus.operators.analysis import hit
 from skillcorpus.operators.ranks import ranked
+from skillcorpus.operators.set_pairs import Judge, Pairs, set_pairs
 from skillcorpus.plans.storage import cut
 
 # Cut-offs of token overlap; listing rules of the two harnesses.
@@ -29,34 +31,39 @@ def token_sets(skills: DataFrame) -> DataFrame:
     return rows.drop("tokens").join(ordered, ["portfolio_id", "skill_ord"])
 
 
-def conflict_pairs(skills: DataFrame, only_high: bool = False) -> DataFrame:
+def conflict_pairs(skills: DataFrame, only_high: bool = False, words: bool = True) -> DataFrame:
     """``portfolio_id, a, b, kind, severity, n_shared, shared, jaccard``: pairs of skills that fire on the same requests.
 
     ``skills`` has ``portfolio_id, skill_ord, name, description``. A pair with a broad member shadows at Jaccard 0.16 or
-    three shared tokens, others overlap at 0.34 and two tokens; skills of one name never conflict. Pairs are found on an
-    inverted index of prefixes: with tokens in a common order, rare ones first, two sets that share enough meet in
-    their first tokens, so frequent tokens bring few pairs together. A broad skill meets others by its first |x| - 2 tokens,
-    on both sides. Found pairs are checked on their whole sets. Where only high conflicts are asked for, prefixes are as much shorter as those are stricter.
+    three shared tokens, others overlap at 0.34 and two tokens; skills of one name never conflict. Shared tokens are counted by blocks of skills (see
+    ``set_pairs``), so only conflicts leave a task. Without ``words``, what is shared is not listed.
     """
-    sets = cut(token_sets(skills), "tokens")
-    n = F.size("tokens")
-    prefix = lambda share, *least: F.slice("tokens", 1, F.greatest(F.lit(1), *least, n - F.ceil(n * F.lit(share)).cast("int") + 1))
-    narrow, wide = (prefix(OVERLAP_HIGH), prefix(SHADOW_HIGH)) if only_high else (prefix(OVERLAP), prefix(SHADOW, n - 2))
-    key = ["portfolio_id", "token"]
-    by = lambda part, side, keep=F.lit(True): sets.filter(keep).select("portfolio_id", F.explode(part).alias("token"), F.col("skill_ord").alias(side))
-    close = by(narrow, "a").join(by(narrow, "b"), key).filter("a < b").select("portfolio_id", "a", "b")
-    shadowed = by(wide, "a", F.col("broad")).join(by(wide, "b"), key).filter("a <> b").select("portfolio_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = close.union(shadowed).distinct()
-    side = lambda s: sets.select("portfolio_id", F.col("skill_ord").alias(s), F.col("name").alias(f"name_{s}"), F.col("broad").alias(f"broad_{s}"), F.col("tokens").alias(f"tokens_{s}"))
-    rows = pairs.join(side("a"), ["portfolio_id", "a"]).join(side("b"), ["portfolio_id", "b"]).filter("name_a <> name_b")
-    rows = rows.withColumn("shared", F.array_sort(F.array_intersect("tokens_a", "tokens_b"))).withColumn("n_shared", F.size("shared")).filter("n_shared > 0")
-    rows = rows.withColumn("jaccard", F.col("n_shared") / (F.size("tokens_a") + F.size("tokens_b") - F.col("n_shared")))
-    broad = F.col("broad_a") | F.col("broad_b")
-    kind = F.when(broad & ((F.col("jaccard") >= SHADOW) | (F.col("n_shared") >= 3)), "shadow").when((F.col("jaccard") >= OVERLAP) & (F.col("n_shared") >= 2), "overlap")
-    rows = rows.withColumn("kind", kind).filter("kind is not null")
-    high = F.when(F.col("kind") == "shadow", F.col("jaccard") >= SHADOW_HIGH).otherwise(F.col("jaccard") >= OVERLAP_HIGH)
-    rows = rows.filter(high) if only_high else rows
-    return rows.select("portfolio_id", "a", "b", "kind", F.when(high, "high").otherwise("medium").alias("severity"), "n_shared", F.array_join("shared", "|").alias("shared"), "jaccard")
+    found = set_pairs(_conflict_sets(skills), ["name", "broad"], _conflicts(only_high), CONFLICT, words)
+    return found.select(*_told(), *([F.col("shared")] if words else []), "jaccard")
+
+
+CONFLICT = "shadow boolean, high boolean, jaccard double"
+
+
+def _conflict_sets(skills: DataFrame) -> DataFrame:
+    return cut(token_sets(skills).filter("name is not null"), "tokens")
+
+
+def _told() -> list[Column]:
+    return ["portfolio_id", "a", "b", F.when(F.col("shadow"), "shadow").otherwise("overlap").alias("kind"), F.when(F.col("high"), "high").otherwise("medium").alias("severity"), F.col("n_shared")]
+
+
+def _conflicts(only_high: bool) -> Judge:
+    def judge(pairs: Pairs) -> tuple[Pairs, dict]:
+        pairs = pairs.where(pairs.a("name") != pairs.b("name"))
+        j, broad = pairs.jaccard(), pairs.a("broad") | pairs.b("broad")
+        shadow = broad & ((j >= SHADOW) | (pairs.n >= 3))
+        high = np.where(shadow, j >= SHADOW_HIGH, j >= OVERLAP_HIGH)
+        keep = shadow | ((j >= OVERLAP) & (pairs.n >= 2))
+        keep &= high | (not only_high)
+        return pairs.where(keep), {"shadow": shadow[keep], "high": high[keep], "jaccard": j[keep]}
+
+    return judge
 
 
 def hosts(text: Column) -> Column:

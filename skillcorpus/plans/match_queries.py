@@ -128,7 +128,7 @@ def depends_on(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _high_conflicts(pool: DataFrame) -> DataFrame:
     named = pool.select(F.lit("catalog").alias("portfolio_id"), F.col("ord").alias("skill_ord"), "name", "description")
-    return P.conflict_pairs(named, only_high=True).select("a", "b")
+    return P.conflict_pairs(named, only_high=True, words=False).select("a", "b")
 
 
 @query()
