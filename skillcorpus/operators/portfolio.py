@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skillcorpus.functions import rules as R
@@ -42,6 +42,17 @@ def conflict_pairs(skills: DataFrame, only_high: bool = False, words: bool = Tru
     return found.select(*_told(), *([F.col("shared")] if words else []), "jaccard")
 
 
+def worst_conflicts(skills: DataFrame, most: int) -> DataFrame:
+    """``portfolio_id, a, b, kind, severity, n_shared, place``: the ``most`` worst conflicts of each portfolio, by severity, then shared tokens, then ordinals.
+
+    Every two blocks of skills bring their own worst ones, so what meets in a portfolio's window grows with its blocks, not with its conflicts.
+    """
+    order = lambda c: (c["b"], c["a"], -c["n_shared"], ~c["high"])
+    found = set_pairs(_conflict_sets(skills), ["name", "broad"], _conflicts(False), CONFLICT, best=(most, order))
+    place = F.row_number().over(Window.partitionBy("portfolio_id").orderBy(F.desc("high"), F.desc("n_shared"), "a", "b"))
+    return found.withColumn("place", place.cast("long")).filter(F.col("place") <= most).select(*_told(), "place")
+
+
 CONFLICT = "shadow boolean, high boolean, jaccard double"
 
 

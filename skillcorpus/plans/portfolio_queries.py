@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skillcorpus.functions import rules as R
@@ -49,8 +49,7 @@ def conflict_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(S.given("pf", f"{_CONFLICTS}\n---\nSELECT portfolio_id, a, b, kind, severity, place FROM (SELECT *, row_number() OVER (PARTITION BY portfolio_id ORDER BY severity = 'high' DESC, n_shared DESC, a, b) AS place FROM cf) WHERE place <= 6"))
 def rank_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The six worst conflicts of each portfolio: by severity, then by shared tokens."""
-    order = Window.partitionBy("portfolio_id").orderBy(F.desc(F.col("severity") == "high"), F.desc("n_shared"), "a", "b")
-    return P.conflict_pairs(_described(spark, sf_dir)).withColumn("place", F.row_number().over(order).cast("long")).filter("place <= 6").select("portfolio_id", "a", "b", "kind", "severity", "place")
+    return P.worst_conflicts(_described(spark, sf_dir), 6).drop("n_shared")
 
 
 @query(S.given("pf", f"{_TOKENS}\n---\nSELECT portfolio_id, token, df FROM tkd"))
