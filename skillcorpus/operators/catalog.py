@@ -69,35 +69,39 @@ def payload_sha(protocol: Column, name: Column, files: Column, license_: Column)
     return digest(F.struct(protocol.alias("protocolVersion"), name.alias("name"), files.alias("files"), license_.alias("license")), kind)
 
 
-def payload_errors(artifacts: DataFrame, payloads: DataFrame, max_license: int = 1 << 20) -> DataFrame:
+def payload_errors(artifacts: DataFrame, payloads: DataFrame, max_license: int = 1 << 20, key: str = "artifactId") -> DataFrame:
     """``artifactId, name, errors``: what is wrong with each artifact's payload, in order; an artifact without one is in error, too.
 
     ``artifacts`` has ``artifactId, name, payloadSha256, license`` (``sourcePath, sha256``) and ``files`` (``FILE``), ``payloads`` ``protocolVersion, artifactId, name, payloadSha256, license, files``. Bytes are decoded, and must be what the Base64
-    text says in its only form, of the size, digest and git object id that are declared. Files of both sides are joined by artifact and place, so one that is there on one side only is found. Ids are unique on both sides.
+    text says in its only form, of the size, digest and git object id that are declared. Files of both sides are laid side by side by place, so one that is there on one side only is found. Ids are unique on both sides.
+    Both sides meet once, by ``key``: another column that tells artifacts apart, kept in the result, where both are dealt by it already.
     """
-    a = artifacts.select(*[F.col(c).alias(f"a_{c}") for c in ("artifactId", "name", "payloadSha256", "license", "files")])
-    p = payloads.select(*[F.col(c).alias(f"p_{c}") for c in ("artifactId", "protocolVersion", "name", "payloadSha256", "license", "files")])
-    rows = a.join(p, F.col("a_artifactId") == F.col("p_artifactId"), "left")
-    known = F.col("p_artifactId").isNotNull() & (F.col("p_name") == F.col("a_name")) & (F.col("p_payloadSha256") == F.col("a_payloadSha256"))
+    held = [key] if key != "artifactId" else []
+    a = artifacts.select(*[F.col(c).alias(f"a_{c}") for c in ("artifactId", "name", "payloadSha256", "license", "files", *held)])
+    p = payloads.select(*[F.col(c).alias(f"p_{c}") for c in ("artifactId", "protocolVersion", "name", "payloadSha256", "license", "files", *held)])
+    rows = a.join(p, F.col(f"a_{key}") == F.col(f"p_{key}"), "left")
+    known = (F.col("p_artifactId") == F.col("a_artifactId")) & (F.col("p_name") == F.col("a_name")) & (F.col("p_payloadSha256") == F.col("a_payloadSha256"))
     own = F.try_to_binary(F.col("p_license.base64"), F.lit("base64"))
     license_ = (base64_text(own) == F.col("p_license.base64")) & (F.octet_length(own) <= max_license) & (F.col("p_license.path") == F.col("a_license.sourcePath")) & (F.col("p_license.sha256") == F.col("a_license.sha256")) & (F.sha2(own, 256) == F.col("p_license.sha256"))
-    whole = rows.select(
-        F.col("a_artifactId").alias("artifactId"), F.col("a_name").alias("name"), known.alias("known"), (payload_sha(F.col("p_protocolVersion"), F.col("p_name"), F.col("p_files"), F.col("p_license")) == F.col("p_payloadSha256")).alias("digested"), license_.alias("licensed"), (F.size("a_files") == F.size("p_files")).alias("covered"),
-    )
-    declared = artifacts.select("artifactId", F.posexplode("files").alias("pos", "f"))
-    given = payloads.select("artifactId", F.posexplode("files").alias("pos", "g"))
-    both = declared.join(given, ["artifactId", "pos"], "full")
-    f, g = F.col("f"), F.col("g")
-    content = F.try_to_binary(g["base64"], F.lit("base64"))
-    same = (
-        (base64_text(content) == g["base64"]) & (g["path"] == f["path"]) & (g["mode"] == F.when(f["gitMode"] == "100755", 448).otherwise(384)) & (g["size"] == f["size"]) & (g["sha256"] == f["sha256"]) & (F.octet_length(content) == g["size"])
-        & (F.sha2(content, 256) == g["sha256"]) & (git_blob(content, f["gitBlobOid"]) == f["gitBlobOid"])
+
+    def same(f: Column, g: Column) -> Column:
+        content = F.try_to_binary(g["base64"], F.lit("base64"))
+        return (
+            (base64_text(content) == g["base64"]) & (g["path"] == f["path"]) & (g["mode"] == F.when(f["gitMode"] == "100755", 448).otherwise(384)) & (g["size"] == f["size"]) & (g["sha256"] == f["sha256"]) & (F.octet_length(content) == g["size"])
+            & (F.sha2(content, 256) == g["sha256"]) & (git_blob(content, f["gitBlobOid"]) == f["gitBlobOid"])
+        )
+
+    none = lambda c: F.coalesce(F.col(c), F.array().cast(rows.schema[c].dataType)).alias(c)
+    both = F.arrays_zip(none("a_files"), none("p_files"))
+    wrong = F.filter(both, lambda z: ~F.coalesce(same(z["a_files"], z["p_files"]), F.lit(False)))
+    found = rows.select(
+        F.col("a_artifactId").alias("artifactId"), F.col("a_name").alias("name"), *[F.col(f"a_{c}").alias(c) for c in held], known.alias("known"),
+        (payload_sha(F.col("p_protocolVersion"), F.col("p_name"), F.col("p_files"), F.col("p_license")) == F.col("p_payloadSha256")).alias("digested"), license_.alias("licensed"), (F.size("a_files") == F.size("p_files")).alias("covered"),
+        F.get(F.transform(wrong, lambda z: F.struct(F.coalesce(z["a_files"]["path"], z["p_files"]["path"]).alias("path"))), F.lit(0)).alias("first"),
     )
-    wrong = both.filter(~F.coalesce(same, F.lit(False))).groupBy("artifactId").agg(F.min(F.struct("pos", F.coalesce(f["path"], g["path"]).alias("path"))).alias("first"))
-    found = whole.join(wrong, "artifactId", "left")
     checks = [(F.col("known"), "payload identity mismatch"), (F.col("digested"), "payload digest mismatch"), (F.col("licensed"), "license payload mismatch"), (F.col("covered"), "payload file coverage mismatch")]
     listed = [F.when(~F.coalesce(ok, F.lit(False)), F.lit(m)) for ok, m in checks] + [F.when(F.col("first").isNotNull(), F.concat(F.lit("payload file mismatch: "), F.col("first.path")))]
-    return found.select("artifactId", "name", F.array_compact(F.array(*listed)).alias("errors"))
+    return found.select("artifactId", "name", *held, F.array_compact(F.array(*listed)).alias("errors"))
 
 
 def manifest_coverage(files: DataFrame, manifests: DataFrame) -> DataFrame:
